@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, packing, token_counts
+from strandline.llm import bpe, packing, quality, substring, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -18,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), size=1024, end_id=2)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), rule="most")
 
@@ -26,8 +30,18 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"), k=20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op7_token_counts, op8_bpe_encoding)}
+    return {f.__name__: f for f in (
+        op1_best_fit_packing,
+        op2_quality_rules,
+        op7_token_counts,
+        op8_bpe_encoding,
+        op10_substring_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
