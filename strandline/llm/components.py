@@ -1,0 +1,33 @@
+"""Connected components of an edge table, by star contraction over DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandline.llm.common import written
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, component (the least node that links reach), for the nodes of edges (a, b): long, undirected.
+
+    Alternates large-star and small-star steps, each a grouping and a join, until every node hangs on its least one.
+    Self-links and repeated links do no harm; a node of many links is reduced to its least neighbour before the join.
+    """
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = None
+    for _ in range(most_rounds):
+        # large star: every larger neighbour of a node moves to the node's least neighbour
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "n")
+        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: a node and its smaller neighbours move to the least of them
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
+        moved = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
+        e = written(moved.select("x.a", "x.b").where("a <> b").distinct(), "links")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
+        if now == before:
+            break
+        before = now
+    roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

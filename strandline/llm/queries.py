@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, packing, quality, substring, token_counts
+from strandline.llm import bpe, jaccard, packing, quality, substring, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -30,6 +30,10 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, sf_dir, "documents"), k=20)
 
@@ -40,6 +44,7 @@ def queries() -> dict:
         op2_quality_rules,
         op7_token_counts,
         op8_bpe_encoding,
+        op9_ngram_jaccard_join,
         op10_substring_dedup,
     )}
 
