@@ -155,12 +155,17 @@ def range_bounds(df: DataFrame, key: str, buckets: int, cells: int = 1024) -> li
     return out
 
 
+def long_array(values: list[int | None]) -> Column:
+    """A literal array<bigint>, in one expression however long."""
+    return F.expr("array(" + ", ".join("CAST(NULL AS BIGINT)" if v is None else f"CAST('{v}' AS BIGINT)" for v in values) + ")")
+
+
 def range_of(key: str | Column, bounds: list[int]) -> Column:
     """The number of bounds at or below the key, by binary search in a literal array; null keys get 0."""
     k = F.col(key) if isinstance(key, str) else key
     if not bounds:
         return F.when(k.isNull(), F.lit(0)).otherwise(F.lit(0))
-    arr = F.lit(np.array(bounds, dtype=np.int64).tolist()) if len(bounds) < 3 else F.array(*[F.lit(b).cast("long") for b in bounds])
+    arr = long_array(bounds)
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     found = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),

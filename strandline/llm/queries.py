@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, jaccard, packing, quality, substring, token_counts
+from strandline.llm import bpe, fingerprint, jaccard, packing, quality, substring, token_counts, url_filter
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -22,6 +22,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), rule="most")
 
@@ -42,6 +50,8 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         op1_best_fit_packing,
         op2_quality_rules,
+        op3_document_fingerprints,
+        op6_url_filters,
         op7_token_counts,
         op8_bpe_encoding,
         op9_ngram_jaccard_join,
