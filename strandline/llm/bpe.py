@@ -28,6 +28,8 @@ _split = regex.compile(PATTERN)
 _ODD_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}] ([\t-\r\x1c-\x20\x{85}\p{Z}]|$)"
 #: Fragments that a worker remembers before it starts afresh.
 MEMORY = 700_000
+#: Bytes of text encoded at once: the longer, the fewer fragments are looked up twice.
+SLICE = 8 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -288,7 +290,7 @@ def encode_documents(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_c
 
     def run(batches):
         bpe = load(vocab)
-        for (keys,), texts in scan_rows(batches, "__text", ["__id"]):
+        for (keys,), texts in scan_rows(batches, "__text", ["__id"], SLICE):
             ids, counts = bpe.encode_batch(texts)
             ends = np.cumsum(counts)
             sums, decoded, lists = [], [], []

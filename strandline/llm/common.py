@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 #: Rows up to which a side made of a few fixed-width columns may be broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
 

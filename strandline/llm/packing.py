@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.bpe import load
+from strandline.llm.bpe import SLICE, load
 from strandline.llm.common import scan_rows, written
 
 
@@ -154,7 +154,7 @@ def cut_pieces(docs: DataFrame, vocab: str, size: int, id_col: str = "doc_id", t
 
     def run(batches):
         bpe = load(vocab)
-        for (keys,), texts in scan_rows(batches, "__text", ["__id"]):
+        for (keys,), texts in scan_rows(batches, "__text", ["__id"], SLICE):
             ids, counts = bpe.encode_batch(texts)
             row, piece, start, length, crc = [], [], [], [], []
             at = 0

@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, fingerprint, jaccard, packing, quality, substring, token_counts, url_filter
+from strandline.llm import bpe, fingerprint, jaccard, lattice_lm, packing, quality, substring, token_counts, url_filter
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -51,6 +56,7 @@ def queries() -> dict:
         op1_best_fit_packing,
         op2_quality_rules,
         op3_document_fingerprints,
+        op5_lm_scoring,
         op6_url_filters,
         op7_token_counts,
         op8_bpe_encoding,

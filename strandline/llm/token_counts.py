@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.bpe import load
+from strandline.llm.bpe import SLICE, load
 from strandline.llm.common import flat_ranges, scan_rows
 
 RULES = ("first", "last", "most")
@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         bpe = load(vocab)
-        for (keys,), texts in scan_rows(batches, "__text", ["__id"]):
+        for (keys,), texts in scan_rows(batches, "__text", ["__id"], SLICE):
             texts = texts.fill_null("") if texts.null_count else texts
             ids, _ = bpe.encode_batch(texts)
             at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
