@@ -1,9 +1,10 @@
 """Document likelihood under a unigram model over subwords: all segmentations count, by recursion over the lattice.
 
-The vocabulary is given (a public tokenizer's pieces); the pieces' probabilities are learned from the training texts
-by expectation maximisation over the corpus's distinct words and their counts. A text is a sequence of pieces and an
-end; a piece may begin a word but not go on into the next one, so that a text's probability is the product of its
-words', and each distinct word passes the lattice once.
+The vocabulary is given (a public tokenizer's pieces). A word is a blank and its bytes: a piece that begins with the
+blank, further pieces, and a stop. The pieces' probabilities are learned by expectation maximisation over the distinct
+words of the training texts. In the lattice of a word there is one more arc, from its start to its end, for the word as
+a whole: with its discounted frequency in the training texts, the discounts being what all segmentations share. So a
+text's probability is the product of its words' and the end's, and each distinct word passes the lattice once.
 
 Words and counts are gathered from all texts. Each chunk of texts (a range of ids) asks for the words it holds and
 gets back their counts and probabilities, so that a task holds the words of one chunk, however large the corpus is.
@@ -207,29 +208,36 @@ def _count_words(src: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "word binary, h long, chunk int, c long")
 
 
-def learn_pieces(words: DataFrame, docs: int, model: str, rounds: int) -> np.ndarray:
-    """Log-probabilities of all pieces and, last, of the end. words: (word, c), written; docs: how many ends."""
+def shares(counts: np.ndarray, lat: Lattice, stops: float) -> np.ndarray:
+    """Log-probabilities: of pieces that begin a word among themselves, of the others together with the stop (last)."""
+    begins = np.array([p.startswith(b" ") for p in lat.pieces])
+    inner = counts[~begins].sum() + stops
+    return np.append(np.log(counts / np.where(begins, counts[begins].sum(), inner)), math.log(stops / inner))
+
+
+def learn_pieces(words: DataFrame, model: str, rounds: int) -> np.ndarray:
+    """Log-probabilities of all pieces and of the stop. words: (word, c), written; each distinct word counts once."""
     lat = lattice(model)
-    logp = lat.start
+    first = np.exp(lat.start)
+    logp = shares(first, lat, 0.5 * float(first.sum()))
     seen = words.where("c > 0").select("word", "c")
     for _ in range(rounds):
         now = logp
 
         def run(batches, now=now):
             lat = lattice(model)
-            total = np.zeros(len(now))
+            total = np.zeros(len(now) - 1)
             for b in batches:
-                total += lat.expected(b.column("word").to_pylist(), b.column("c").to_numpy().astype(float), now)
+                total += lat.expected(b.column("word").to_pylist(), np.ones(b.num_rows), now[:-1])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
 
-        counts = np.full(len(logp), 0.01)
+        counts = np.full(len(lat.pieces), 0.01)
         for r in seen.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
             counts[r.piece] += r.n
-        logp = np.log(counts / counts.sum())
-    used = float(counts.sum()) if rounds else 1.0
-    end = max(docs, 0.01) / (used + max(docs, 0.01))
-    return np.append(logp + math.log1p(-end), math.log(end))
+        begins = np.array([p.startswith(b" ") for p in lat.pieces])
+        logp = shares(counts, lat, float(counts[begins].sum()))
+    return logp
 
 
 def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
@@ -251,15 +259,20 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
     else:
         src = src.withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(chunks)).cast("int"))
     words = written(_count_words(src).groupBy("word", "h").agg(F.sum("c").alias("c"), F.collect_set("chunk").alias("chunks")), "words")
-    n_words, distinct = words.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0))).first()
+    n_words, distinct, once, twice = words.agg(F.sum("c"), *[F.sum(F.when(F.expr(f"c {x}"), 1).otherwise(0)) for x in ("> 0", "= 1", "= 2")]).first()
     total = int(n_words or 0) + n_train
     v = int(distinct or 0) + (1 if n_train else 0)
-    logp = learn_pieces(words, n_train, model, rounds if n_words else 0)
+    logp = learn_pieces(words, model, rounds if n_words else 0)
+    # what a seen word (and the end) gives up, and what all segmentations together get
+    discount = min(0.95, max(0.1, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
+    rest = discount * v / total if total else 1.0
 
     def weigh(batches):
         lat = lattice(model)
         for b in batches:
-            lp = lat.log_probability(b.column("word").to_pylist(), logp)
+            lp = lat.log_probability(b.column("word").to_pylist(), logp[:-1]) + logp[-1] + math.log(rest)
+            whole = np.maximum(b.column("c").to_numpy() - discount, 0.0) / max(total, 1)
+            lp = np.logaddexp(lp, np.where(whole > 0, np.log(np.maximum(whole, 1e-300)), -np.inf))
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(lp / math.log(10)), b.column("chunks")], ["h", "c", "lp", "chunks"])
 
     weighed = words.mapInArrow(weigh, "h long, c long, lp double, chunks array<int>")
@@ -268,7 +281,7 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
     dealt = answers.unionByName(asked, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "kind")
     id_type = src.schema["__id"].dataType.simpleString()
     denominator = total + 0.1 * (v + 1)
-    end_base, end_score = math.log10((n_train + 0.1) / denominator), float(logp[-1]) / math.log(10)
+    end_base, end_score = math.log10((n_train + 0.1) / denominator), math.log10(max(n_train - discount, 0.05) / max(total, 1))
 
     def run(batches):
         parts: list = []
