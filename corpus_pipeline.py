@@ -1,20 +1,55 @@
-"""Corpus preparation in stages: each works on all its predecessor kept."""
+"""Corpus preparation in four stages: quality rules, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents;
+the last returns the pieces of packed sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandline.llm import jaccard, packing, quality, substring
 from strandline.llm.common import written
 
-STAGES: list = []
-#: Tokenisation, binomial bounds and whole-text windows have no SQL form; tests compare run() with brute force.
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail neither the base nor a certified rule (see quality.quality_verdicts)."""
+    return quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of least id, of each group linked by five-word shingles at a similarity of 0.8."""
+    return jaccard.keep_one_of_each(docs, n=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages of 50 words or more that occur earlier; n_chars is that of the new text."""
+    kept = substring.without_repeats(docs, k=50)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the texts' tokens in sequences of at most 1024."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=1024, end_id=2)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Binomial bounds, similarity groups and tokenisation have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs, "stage")
+            docs = written(docs, name)
     return docs

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, fingerprint, jaccard, lattice_lm, packing, quality, substring, token_counts, url_filter
+from strandline.llm import bpe, fingerprint, jaccard, lattice_lm, packing, quality, substring, token_counts, url_filter, warc
+from strandline.llm.common import shared_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -27,6 +30,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/strandline-warc-{uuid.uuid4().hex}")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -56,6 +63,7 @@ def queries() -> dict:
         op1_best_fit_packing,
         op2_quality_rules,
         op3_document_fingerprints,
+        op4_warc,
         op5_lm_scoring,
         op6_url_filters,
         op7_token_counts,
