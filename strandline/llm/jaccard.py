@@ -1,10 +1,10 @@
 """Exact similarity join of word n-gram sets by a prefix tree, and the groups that its links form.
 
 1. Every document becomes a set of hashed word n-grams. Equal sets are one class from here on.
-2. Blocks. Two sets of sizes within [1, 1/t] that are t-similar differ in few members. If the members are dealt by hash
-   into more classes than can differ, some class is equal in both. Each set sends one key for each of its classes (at
-   the scale of its own size and, near a boundary, of the next); sets with a common key go into one block. Nothing
-   that is similar is missed, and most sets meet no other.
+2. Blocks. Two t-similar sets differ in few members. If the members are dealt by hash into more classes than can differ,
+   some classes are equal in both. Each set sends keys for its largest classes (at the scale of its own size and, near
+   a boundary, of the next); sets with a common key go into one block. Nothing that is similar is missed, and most
+   sets meet no other.
 3. Within a block, sets are ordered by a common order of their members (the most frequent first) and stored in a
    compressed prefix tree. Each set walks the tree level by level: the overlap with a path is counted once for all sets
    below it, and a subtree is left as soon as its overlap and the shorter of both remainders cannot reach what is needed.
@@ -59,21 +59,27 @@ def bands(size: int) -> int:
 
 
 def classes_of(band: int, percent: int) -> int:
-    """One class more than two similar sets can differ in, if neither is above the band."""
+    """Classes at a band: a seventh more than two similar sets of the band can differ in, and two."""
     top = math.ceil(_BAND ** (band + 1))
     # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|)
-    return (100 - percent) * 2 * top // (100 + percent) + 1
+    return ((100 - percent) * 2 * top // (100 + percent)) * 8 // 7 + 2
 
 
 def block_keys(g: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sets and each one's set."""
+    """Keys of all sets and each one's set.
+
+    Of m classes, two similar sets have at least m - d equal ones, d being the most members they can differ in. Each
+    set sends its largest classes, leaving out fewer than m - d: then an equal class is among those sent by whichever
+    of the two leaves out more, and its size is at least the other's bound too. Empty and tiny classes, which unlike
+    sets share by chance, are sent only by sets that have too few others.
+    """
     band = np.array([bands(int(s)) for s in sizes.tolist()], np.int64)
-    top = np.array([math.ceil(_BAND ** (b + 1)) for b in range(int(band.max()) + 2)] if len(band) else [1], np.int64)
-    m = np.array([classes_of(b, percent) for b in range(len(top))], np.int64)
+    m = np.array([classes_of(b, percent) for b in range(int(band.max()) + 2)] if len(band) else [1], np.int64)
     keys, owner = [], []
     first = np.cumsum(sizes) - sizes
     # a similar set that is larger has at most size * 100 / percent members
     above = (sizes * 100 // percent >= np.floor(_BAND ** (band + 1)).astype(np.int64)) & (sizes > 0)
+    differ = (100 - percent) * sizes // percent
     for shift, who in ((0, np.flatnonzero(sizes > 0)), (1, np.flatnonzero(above))):
         if not len(who):
             continue
@@ -84,13 +90,18 @@ def block_keys(g: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarr
         slots = m[level]
         base = np.cumsum(slots) - slots
         slot = base[own] + cls.astype(np.int64)
+        held = np.bincount(slot, minlength=int(slots.sum()))
         sums = np.zeros(int(slots.sum()), np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(sums, slot, mix(g[at] ^ np.uint64(0x5BF0363546A3D2C1)))
             number = flat_ranges(np.zeros(len(who), np.int64), slots).astype(np.uint64)
             sums = mix(sums + mix(number * _MUL + np.repeat(level, slots).astype(np.uint64)))
-        keys.append(sums)
-        owner.append(np.repeat(who, slots))
+        who_of = np.repeat(np.arange(len(who)), slots)
+        order = np.lexsort((held, who_of))
+        bound = held[order][base + np.maximum(slots - np.minimum(differ[who], slots - 1) - 1, 0)]
+        sent = held >= bound[who_of]
+        keys.append(sums[sent])
+        owner.append(who[who_of[sent]])
     return (np.concatenate(keys), np.concatenate(owner)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
