@@ -54,6 +54,7 @@ def scan_rows(batches, text_col: str, keys: list[str], slice_bytes: int = SLICE_
             to = min(max(to, at + 1), len(text))
             yield [c.slice(at, to - at) for c in cols], text.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):

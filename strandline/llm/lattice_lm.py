@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from strandline.llm.common import hashed, lower_words_of, range_bounds, range_of, scan_rows, written
 
 #: Bytes of text that share a dictionary, and distinct words that a task counts before it sends them on.
-CHUNK_BYTES = 64 << 20
-COUNTED = 500_000
+CHUNK_BYTES = 32 << 20
+COUNTED = 200_000
 #: Words up to this many bytes pass the lattice together with others of their length.
 SHORT = 48
 _NEG = -1e30
@@ -63,22 +63,21 @@ class Lattice:
                 node = step[node][byte]
             self._end[node] = k
         self._step = step
-        self._next = np.zeros((len(step), 256), np.int32)
-        for node, to in enumerate(step):
-            for byte, child in to.items():
-                self._next[node, byte] = child
+        arcs = sorted((node << 8 | byte, child) for node, to in enumerate(step) for byte, child in to.items())
+        self._arcs = np.array([a for a, _ in arcs], np.int64)
+        self._child = np.array([c for _, c in arcs], np.int64)
         self._piece = np.array(self._end, np.int64)
 
     def _edges(self, codes: np.ndarray):
         """(start, end, rows, pieces) of the lattice of words of one length, ascending by start."""
         n, size = codes.shape
         for i in range(size):
-            rows, state = np.arange(n), np.zeros(n, np.int32)
+            rows, state = np.arange(n), np.zeros(n, np.int64)
             for j in range(i, min(size, i + self.longest)):
-                state = self._next[state, codes[rows, j]]
-                on = state > 0
-                if not on.all():
-                    rows, state = rows[on], state[on]
+                arc = state << 8 | codes[rows, j]
+                at = np.minimum(np.searchsorted(self._arcs, arc), len(self._arcs) - 1)
+                on = self._arcs[at] == arc
+                rows, state = rows[on], self._child[at[on]]
                 if not len(rows):
                     break
                 piece = self._piece[state]
