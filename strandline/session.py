@@ -23,10 +23,7 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """df as a Parquet table under spark.checkpoint.dir: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/strandline-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandline-checkpoints"
     path = f"{base.rstrip('/')}/strandline-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
