@@ -17,12 +17,8 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A local one is set only where none is given."""
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file:///tmp/strandline-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir. A local one is used only where none is given."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandline-checkpoints").rstrip("/")
 
 
 def written(df: DataFrame, label: str = "t") -> DataFrame:

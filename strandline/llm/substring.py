@@ -27,17 +27,17 @@ _NO_ID = -(1 << 63)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with __d (the id, nulls as the least), __o (a text's rank among rows of one id, mostly 0) and __text."""
+    """docs with __sl_d (the id, nulls as the least), __sl_o (a text's rank among rows of one id, mostly 0) and __sl_text."""
     d = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    src = docs.withColumns({"__d": d, "__text": F.col(text_col).cast("string")})
-    twice = docs.select(d.alias("__t")).groupBy("__t").count().where("count > 1").drop("count")
+    src = docs.withColumns({"__sl_d": d, "__sl_text": F.col(text_col).cast("string")})
+    twice = docs.select(d.alias("__sl_t")).groupBy("__sl_t").count().where("count > 1").drop("count")
     if twice.isEmpty():
-        return src.withColumn("__o", F.lit(0))
+        return src.withColumn("__sl_o", F.lit(0))
     twice = written(twice, "twice")
-    again = src.join(twice, F.col("__d") == F.col("__t"), "left_semi")
-    once = src.join(twice, F.col("__d") == F.col("__t"), "left_anti").withColumn("__o", F.lit(0))
-    rank = F.dense_rank().over(Window.partitionBy("__d").orderBy("__text")) - 1
-    return once.unionByName(again.withColumn("__o", rank))
+    again = src.join(twice, F.col("__sl_d") == F.col("__sl_t"), "left_semi")
+    once = src.join(twice, F.col("__sl_d") == F.col("__sl_t"), "left_anti").withColumn("__sl_o", F.lit(0))
+    rank = F.dense_rank().over(Window.partitionBy("__sl_d").orderBy("__sl_text")) - 1
+    return once.unionByName(again.withColumn("__sl_o", rank))
 
 
 class Slice:
@@ -106,14 +106,14 @@ def pieces_of(d, o, pos, source, later) -> dict[str, np.ndarray]:
 
 def _minimizers(src: DataFrame, k: int) -> DataFrame:
     def run(batches):
-        for (ds, os_), texts in scan_rows(batches, "__text", ["__d", "__o"]):
+        for (ds, os_), texts in scan_rows(batches, "__sl_text", ["__sl_d", "__sl_o"]):
             sl = Slice(texts.to_pylist(), k)
             at = np.unique(sl.arg)
             doc = np.searchsorted(sl.first, at, side="right") - 1
             rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays([pa.array(sl.grams[at].view(np.int64)), ds.take(rows), os_.take(rows), pa.array((at - sl.first[doc]).astype(np.int32))], ["m", "d", "o", "pos"])
 
-    return src.select("__d", "__o", "__text").mapInArrow(run, "m long, d long, o int, pos int")
+    return src.select("__sl_d", "__sl_o", "__sl_text").mapInArrow(run, "m long, d long, o int, pos int")
 
 
 def _only_repeated(batches):
@@ -142,15 +142,15 @@ _SENT = "kind int, m long, blob binary, d long, o int, start int, n int, sd long
 def _send(src: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
     """Of each document: what it has without any repeat (kind 2, with its text where repeats are possible), repeats
     found in its slice (kind 1) and the remaining edges under their minimizers (kind 0)."""
-    found = repeated.groupBy("d", "o").agg(F.collect_set("pos").alias("__at"))
-    both = src.select("__d", "__o", "__text").join(found, (F.col("__d") == F.col("d")) & (F.col("__o") == F.col("o")), "left").select("__d", "__o", "__text", "__at")
+    found = repeated.groupBy("d", "o").agg(F.collect_set("pos").alias("__sl_at"))
+    both = src.select("__sl_d", "__sl_o", "__sl_text").join(found, (F.col("__sl_d") == F.col("d")) & (F.col("__sl_o") == F.col("o")), "left").select("__sl_d", "__sl_o", "__sl_text", "__sl_at")
     schema = pa.schema([("kind", pa.int32()), ("m", pa.int64()), ("blob", pa.binary()), ("d", pa.int64()), ("o", pa.int32()), ("start", pa.int32()), ("n", pa.int32()), ("sd", pa.int64()), ("so", pa.int32()), ("ss", pa.int32()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string())])
 
     def rows(size, **cols):
         return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches):
-        for (ds, os_, at_), texts in scan_rows(batches, "__text", ["__d", "__o", "__at"]):
+        for (ds, os_, at_), texts in scan_rows(batches, "__sl_text", ["__sl_d", "__sl_o", "__sl_at"]):
             listed = texts.to_pylist()
             at = [x.values.to_numpy() if x.is_valid else None for x in at_]
             may = [i for i, x in enumerate(at) if x is not None]
@@ -243,14 +243,14 @@ def _spans(src: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _kept(sent: DataFrame, spans: DataFrame, k: int, with_text: bool) -> DataFrame:
-    by_doc = spans.groupBy(F.col("d").alias("__sd"), F.col("o").alias("__so")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))).alias("__spans"))
+    by_doc = spans.groupBy(F.col("d").alias("__sl_sd"), F.col("o").alias("__sl_so")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))).alias("__sl_spans"))
     docs = sent.where("kind = 2").select("d", "o", "n_words", "sha", "text")
     plain = docs.where("text is null").select("d", "o", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    joined = docs.where("text is not null").join(by_doc, (F.col("d") == F.col("__sd")) & (F.col("o") == F.col("__so")), "left").select("d", "o", "n_words", "sha", "text", "__spans")
+    joined = docs.where("text is not null").join(by_doc, (F.col("d") == F.col("__sl_sd")) & (F.col("o") == F.col("__sl_so")), "left").select("d", "o", "n_words", "sha", "text", "__sl_spans")
     names = ["d", "o", "n_words", "n_removed", "kept_sha256", "kept"]
 
     def run(batches):
-        for (d, o, n_words, sha, spans_), texts in scan_rows(batches, "text", ["d", "o", "n_words", "sha", "__spans"]):
+        for (d, o, n_words, sha, spans_), texts in scan_rows(batches, "text", ["d", "o", "n_words", "sha", "__sl_spans"]):
             removed, sums, kept = [], [], []
             for i, text in enumerate(texts.to_pylist()):
                 if not spans_[i].is_valid:
@@ -301,6 +301,6 @@ def without_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_c
     """docs, all columns; texts that lose words become their kept words joined by one space, others stay as they are."""
     src = keyed(docs, id_col, text_col)
     sent, spans = _spans(src, k)
-    kept = _kept(sent, spans, k, True).where("n_removed > 0").select("d", "o", "kept").distinct()
-    joined = src.join(kept, (F.col("__d") == F.col("d")) & (F.col("__o") == F.col("o")), "left")
-    return joined.withColumn(text_col, F.coalesce("kept", "__text")).select(*docs.columns)
+    kept = _kept(sent, spans, k, True).where("n_removed > 0").select(F.col("d").alias("__sl_kd"), F.col("o").alias("__sl_ko"), F.col("kept").alias("__sl_kept")).distinct()
+    joined = src.join(kept, (F.col("__sl_d") == F.col("__sl_kd")) & (F.col("__sl_o") == F.col("__sl_ko")), "left")
+    return joined.withColumn(text_col, F.coalesce("__sl_kept", "__sl_text")).select(*docs.columns)
