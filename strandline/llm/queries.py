@@ -73,5 +73,63 @@ def queries() -> dict:
     )}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "list_filter(string_split_regex(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _archives_sql() -> str:
+    return """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+k AS (SELECT h, max(page_id) AS keeper FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM p LEFT JOIN k ON k.h = p.h"""
+
+
+def _urls_sql() -> str:
+    """All rules on every URL, without an index."""
+    rest = "CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+    sites = " UNION ALL ".join(f"SELECT '{r.host}' AS h, '{r.path}' AS p, '{r.name}' AS name, '{r.verdict}' AS v" for r in url_filter.SITE_RULES)
+    low = _LOWER.format("parts.url")
+    found = " ".join(f"WHEN regexp_matches({low}, '{r.pattern}') THEN '{r.pattern}'" for r in url_filter.PATTERN_RULES)
+    verdict = " ".join(f"WHEN pattern = '{r.pattern}' THEN '{r.verdict}'" for r in url_filter.PATTERN_RULES)
+    return f"""WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), r AS (SELECT page_id, url, {rest} AS rest FROM u),
+parts AS (SELECT page_id, url, {_LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+fits AS (SELECT page_id, url, s.name, s.v, row_number() OVER (PARTITION BY page_id, url ORDER BY length(s.name) DESC) AS k
+  FROM (SELECT DISTINCT * FROM parts) x JOIN ({sites}) s ON (host = s.h OR ends_with(host, '.' || s.h)) AND starts_with(path, s.p)),
+j AS (SELECT parts.page_id, host, path, f.name AS rule, f.v, CASE WHEN f.name IS NULL THEN CASE {found} END END AS pattern
+  FROM parts LEFT JOIN fits f ON f.page_id = parts.page_id AND f.url = parts.url AND f.k = 1)
+SELECT page_id, host, path, rule, coalesce(v, CASE {verdict} END, 'allow') AS verdict, pattern FROM j"""
+
+
+def _groups_sql(n: int = 4, percent: int = 85) -> str:
+    """All pairs that share an n-gram, and the closure of their links."""
+    words = _WORDS.format(_LOWER.format("text"))
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, {words} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, array_to_string(list_slice(ws, i, i + {n - 1}), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, CAST(len(ws) AS BIGINT) - {n - 2})) AS i FROM w) a
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND {n - 1}) b),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE 100 * o >= {percent} * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT x AS d, least(x, y) AS m FROM e UNION SELECT e.x, r.m FROM e JOIN r ON e.y = r.d WHERE r.m < e.x)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(m) FROM r WHERE r.d = w.doc_id), w.doc_id)) AS component_id FROM w LEFT JOIN c ON c.doc_id = w.doc_id"""
+
+
+def _repeats_sql(k: int = 20) -> str:
+    """Every window by its words; all but the first of each cover their words."""
+    return f"""WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + {k - 1}), ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, CAST(len(ws) AS BIGINT) - {k - 2})) AS i FROM w) a),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i FROM f WHERE r > 1) g, range({k}) t(j)),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, CAST(len(ws) AS BIGINT) + 1)) AS p FROM w),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS t, count(*) AS n FROM p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.p = p.p WHERE g.p IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Tokenisation, Unicode folding, binomial bounds, lattices and packing have no SQL form; tests check those."""
+    return {
+        "op4_warc": _archives_sql(),
+        "op6_url_filters": _urls_sql(),
+        "op9_ngram_jaccard_join": _groups_sql(),
+        "op10_substring_dedup": _repeats_sql(),
+    }
