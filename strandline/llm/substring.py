@@ -110,26 +110,35 @@ def _minimizers(src: DataFrame, k: int) -> DataFrame:
             sl = Slice(texts.to_pylist(), k)
             at = np.unique(sl.arg)
             doc = np.searchsorted(sl.first, at, side="right") - 1
-            rows = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([pa.array(sl.grams[at].view(np.int64)), ds.take(rows), os_.take(rows), pa.array((at - sl.first[doc]).astype(np.int32))], ["m", "d", "o", "pos"])
+            m, rows = sl.grams[at], pa.array(doc)
+            # what occurs again in the slice is known to: one of each goes to the others' task, the rest anywhere
+            order = np.argsort(m, kind="stable")
+            starts, lengths = runs(m[order])
+            again, salt = np.empty(len(m), bool), np.empty(len(m), np.int32)
+            again[order] = np.repeat(lengths > 1, lengths)
+            salt[order] = flat_ranges(np.zeros(len(starts), np.int64), lengths)
+            salt = np.where(salt > 0, 1 + (at % 97), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(salt), pa.array(again), ds.take(rows), os_.take(rows), pa.array((at - sl.first[doc]).astype(np.int32))], ["m", "salt", "again", "d", "o", "pos"])
 
-    return src.select("__sl_d", "__sl_o", "__sl_text").mapInArrow(run, "m long, d long, o int, pos int")
+    return src.select("__sl_d", "__sl_o", "__sl_text").mapInArrow(run, "m long, salt int, again boolean, d long, o int, pos int")
 
 
 def _only_repeated(batches):
-    """Rows whose m occurs at least twice, from rows sorted by m; holds one row between batches."""
+    """Rows whose m occurs at least twice, from rows sorted by m and salt; holds one row between batches."""
     held, last, going = None, None, False
     for batch in batches:
         t = pa.Table.from_batches([held, batch] if held is not None else [batch])
         held = None
-        m = t.column("m").to_numpy()
+        m, salt, again = (t.column(c).to_numpy() for c in ("m", "salt", "again"))
         if not len(m):
             continue
-        starts, lengths = runs(m)
-        out = lengths > 1
-        if going and m[0] == last:
+        new = np.concatenate(([True], (m[1:] != m[:-1]) | (salt[1:] != salt[:-1])))
+        starts = np.flatnonzero(new)
+        lengths = np.diff(np.append(starts, len(m)))
+        out = (lengths > 1) | again[starts]
+        if going and (m[0], salt[0]) == last:
             out[0] = True
-        last, going = m[-1], bool(out[-1])
+        last, going = (m[-1], salt[-1]), bool(out[-1])
         keep = np.repeat(out, lengths)
         if not out[-1]:
             held = t.slice(len(m) - 1).combine_chunks().to_batches()[0]
@@ -236,7 +245,7 @@ def glue(pieces: DataFrame) -> DataFrame:
 
 def _spans(src: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """What _send wrote, and all repeated paths: windows start .. start + n - 1 of a document occur earlier."""
-    repeated = _minimizers(src, k).repartition("m").sortWithinPartitions("m").mapInArrow(_only_repeated, "d long, o int, pos int")
+    repeated = _minimizers(src, k).repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_only_repeated, "d long, o int, pos int")
     sent = written(_send(src, repeated, k), "edges")
     met = sent.where("kind = 0").select("m", "blob", "d", "o", "start").repartition("m").sortWithinPartitions("m").mapInArrow(_meet, "d long, o int, start int, n int, sd long, so int, ss int")
     return sent, glue(written(sent.where("kind = 1").select(*_PIECE).unionByName(met), "pieces"))
