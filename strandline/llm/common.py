@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,19 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of all texts as lower_words_of has them, by Arrow: each one's text and code, and the distinct words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    own = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    if b"" in own:  # around white space at either end
+        on = codes != own.index(b"")
+        codes, doc = codes[on], doc[on]
+    return doc, codes, own
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 

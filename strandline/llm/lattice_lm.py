@@ -17,14 +17,15 @@ import math
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import hashed, lower_words_of, range_bounds, range_of, scan_rows, written
+from strandline.llm.common import range_bounds, range_of, scan_rows, word_codes, written
 
 #: Bytes of text that share a dictionary, and distinct words that a task counts before it sends them on.
-CHUNK_BYTES = 32 << 20
-COUNTED = 200_000
+CHUNK_BYTES = 24 << 20
+COUNTED = 400_000
 #: Words up to this many bytes pass the lattice together with others of their length.
 SHORT = 48
 _NEG = -1e30
@@ -186,23 +187,28 @@ def _count_words(src: DataFrame) -> DataFrame:
     """(word, h, chunk, c): the chunk holds the word, c times in training texts. A task adds up what it has read."""
 
     def run(batches):
-        held: dict[tuple[int, bytes], int] = {}
+        held: dict[int, dict[bytes, int]] = {}
 
         def send():
-            words = [w for _, w in held]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(hashed(words).view(np.int64)), pa.array([k for k, _ in held], pa.int32()), pa.array(list(held.values()), pa.int64())], ["word", "h", "chunk", "c"])
+            for k, found in held.items():
+                words = list(found)
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(h), pa.array(np.full(len(words), k, np.int32)), pa.array(list(found.values()), pa.int64())], ["word", "h", "chunk", "c"])
+            held.clear()
 
         for (chunk, out), texts in scan_rows(batches, "__text", ["__chunk", "__out"]):
-            for text, k, o in zip(texts.to_pylist(), chunk.to_pylist(), out.to_pylist(), strict=True):
-                add = 0 if o else 1
-                for w in lower_words_of(text):
-                    key = (k, w)
-                    held[key] = held.get(key, 0) + add
-                if len(held) > COUNTED:
-                    yield send()
-                    held.clear()
-        if held:
-            yield send()
+            doc, codes, own = word_codes(texts)
+            chunk, train = chunk.to_numpy(), ~out.to_numpy(zero_copy_only=False)
+            for k in np.unique(chunk).tolist():
+                on = chunk[doc] == k
+                c = np.bincount(codes[on], weights=train[doc[on]], minlength=len(own)).astype(np.int64)
+                there = np.flatnonzero(np.bincount(codes[on], minlength=len(own)))
+                found = held.setdefault(k, {})
+                for i, n in zip(there.tolist(), c[there].tolist(), strict=True):
+                    found[own[i]] = found.get(own[i], 0) + n
+            if sum(map(len, held.values())) > COUNTED:
+                yield from send()
+        yield from send()
 
     return src.mapInArrow(run, "word binary, h long, chunk int, c long")
 
@@ -277,7 +283,7 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
     weighed = words.mapInArrow(weigh, "h long, c long, lp double, chunks array<int>")
     answers = weighed.select(F.explode("chunks").alias("chunk"), F.lit(0).alias("kind"), "h", "c", "lp")
     asked = src.select(F.col("__chunk").alias("chunk"), F.lit(1).alias("kind"), F.col("__id"), "__text", "__out")
-    dealt = answers.unionByName(asked, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    dealt = answers.unionByName(asked, allowMissingColumns=True).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind")
     id_type = src.schema["__id"].dataType.simpleString()
     denominator = total + 0.1 * (v + 1)
     end_base, end_score = math.log10((n_train + 0.1) / denominator), math.log10(max(n_train - discount, 0.05) / max(total, 1))
@@ -309,12 +315,11 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
                     lp = np.concatenate([p[3] for p in own])[order] if own else np.empty(0)
                     base, known, parts = np.log10((c + 0.1) / denominator), c > 0, []
                 for (ids, outs), texts in scan_rows([t], "__text", ["__id", "__out"]):
-                    words = [lower_words_of(x) for x in texts.to_pylist()]
-                    n = np.array([len(w) for w in words], np.int64)
-                    h, inverse = np.unique(hashed([w for ws in words for w in ws]), return_inverse=True)
-                    at = np.searchsorted(keys, h)[inverse]
-                    doc = np.repeat(np.arange(len(words)), n)
-                    sums = [np.bincount(doc, weights=x[at], minlength=len(words)) for x in (base, lp, known)]
+                    doc, codes, own = word_codes(texts)
+                    n = np.bincount(doc, minlength=len(texts))
+                    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+                    at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
+                    sums = [np.bincount(doc, weights=x[at][codes], minlength=len(texts)) if len(codes) else np.zeros(len(texts)) for x in (base, lp, known)]
                     yield pa.RecordBatch.from_arrays(
                         [ids, outs, pa.array(n + 1), pa.array(sums[2].astype(np.int64) + (n_train > 0)), pa.array(np.full(len(n), total)), pa.array(sums[0] + end_base), pa.array(sums[1] + end_score)],
                         ["__id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
