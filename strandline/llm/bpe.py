@@ -27,7 +27,7 @@ _split = regex.compile(PATTERN)
 #: A space between white space: there, and only there, a space does not begin a pre-token (RE2 syntax).
 _ODD_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}] ([\t-\r\x1c-\x20\x{85}\p{Z}]|$)"
 #: Fragments that a worker remembers before it starts afresh.
-MEMORY = 700_000
+MEMORY = 400_000
 #: Bytes of text encoded at once: the longer, the fewer fragments are looked up twice.
 SLICE = 8 << 20
 

@@ -54,19 +54,6 @@ def scan_rows(batches, text_col: str, keys: list[str], slice_bytes: int = SLICE_
         pa.default_memory_pool().release_unused()
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit xxh3; forgets everything at a fixed size."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Runs of [^\\x20\\x09-\\x0D], in UTF-8. bytes.split() parts at exactly these six bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -77,9 +64,11 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The words of all texts as lower_words_of has them, by Arrow: each one's text and code, and the distinct words."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of all texts as words_of or lower_words_of have them, by Arrow: each one's text and code, and the
+    distinct words. Nothing is remembered from one call to the next."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
@@ -90,8 +79,16 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return doc, codes, own
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def text_hashes(texts: pa.Array | list, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash of every word, one text after another, and how many words each text has."""
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.large_string())
+    doc, codes, own = word_codes(texts, lower)
+    return word_hashes(own)[codes] if len(codes) else np.empty(0, np.uint64), np.bincount(doc, minlength=len(texts))
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import _MUL, flat_ranges, hashed, lower_words_of, mix, runs, scan_rows, small_side, window_hashes, written
+from strandline.llm.common import _MUL, flat_ranges, mix, runs, scan_rows, small_side, text_hashes, window_hashes, written
 from strandline.llm.components import components
 
 #: Sizes of chunks of a block: sets, members.
@@ -31,20 +31,18 @@ CHUNK_SETS, CHUNK_MEMBERS = 500, 1_000_000
 _BAND = 1.5
 
 
-def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array | list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
     """The ascending hashed n-gram sets, one after another, and their sizes. Shorter texts are one n-gram as a whole;
     texts without words have none."""
-    words = [lower_words_of(t) for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
+    h, counts = text_hashes(texts, lower=True)
     first = np.cumsum(counts) - counts
-    h = hashed([w for ws in words for w in ws])
     grams = window_hashes(h, n)
     windows = np.maximum(counts - n + 1, 0)
     doc = np.repeat(np.arange(len(texts)), windows)
     g = grams[flat_ranges(first, windows)] if len(grams) else np.empty(0, np.uint64)
     short = np.flatnonzero((counts > 0) & (counts < n))
     if len(short):
-        own = np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i]), seed=n) for i in short.tolist()], np.uint64)
+        own = np.array([xxhash.xxh3_64_intdigest(h[a : a + c].tobytes(), seed=n) for a, c in zip(first[short].tolist(), counts[short].tolist(), strict=True)], np.uint64)
         g, doc = np.concatenate([g, own]), np.concatenate([doc, short])
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
@@ -304,7 +302,7 @@ def _measure(src: DataFrame, n: int, percent: int) -> DataFrame:
 
     def run(batches):
         for (ids,), texts in scan_rows(batches, "__text", ["__id"]):
-            g, sizes = shingle_sets(texts.to_pylist(), n)
+            g, sizes = shingle_sets(texts, n)
             keys, owner = block_keys(g, sizes, percent)
             order = np.argsort(owner, kind="stable")
             ends = np.cumsum(np.bincount(owner, minlength=len(sizes)))
@@ -322,7 +320,7 @@ def _measure(src: DataFrame, n: int, percent: int) -> DataFrame:
 def _members(src: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for (ids, block, chunk, chunks), texts in scan_rows(batches, "__text", ["__id", "block", "chunk", "chunks"]):
-            g, sizes = shingle_sets(texts.to_pylist(), n)
+            g, sizes = shingle_sets(texts, n)
             data, at = g.tobytes(), np.cumsum(sizes)
             blobs = pa.array([data[8 * (e - s) : 8 * e] for e, s in zip(at.tolist(), sizes.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, block, chunk, chunks, blobs], ["node", "block", "chunk", "chunks", "members"])

@@ -17,11 +17,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import range_bounds, range_of, scan_rows, word_codes, written
+from strandline.llm.common import range_bounds, range_of, scan_rows, word_codes, word_hashes, written
 
 #: Bytes of text that share a dictionary, and distinct words that a task counts before it sends them on.
 CHUNK_BYTES = 24 << 20
@@ -192,7 +191,7 @@ def _count_words(src: DataFrame) -> DataFrame:
         def send():
             for k, found in held.items():
                 words = list(found)
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+                h = word_hashes(words).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(h), pa.array(np.full(len(words), k, np.int32)), pa.array(list(found.values()), pa.int64())], ["word", "h", "chunk", "c"])
             held.clear()
 
@@ -317,7 +316,7 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
                 for (ids, outs), texts in scan_rows([t], "__text", ["__id", "__out"]):
                     doc, codes, own = word_codes(texts)
                     n = np.bincount(doc, minlength=len(texts))
-                    h = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+                    h = word_hashes(own)
                     at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                     sums = [np.bincount(doc, weights=x[at][codes], minlength=len(texts)) if len(codes) else np.zeros(len(texts)) for x in (base, lp, known)]
                     yield pa.RecordBatch.from_arrays(

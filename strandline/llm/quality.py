@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import hashed, mix, runs, scan_rows, small_side, window_hashes, written
+from strandline.llm.common import mix, runs, scan_rows, small_side, text_hashes, window_hashes, written
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -32,21 +32,17 @@ def features(texts: list[str | None]) -> dict[str, np.ndarray]:
     """The base counts of every text; null has no words. Windows are found by 64-bit hashes of their words."""
     n = len(texts)
     out = {k: np.zeros(n, np.int64) for k in FEATURES}
-    all_words: list[bytes] = []
     for i, text in enumerate(texts):
         if not text:
             continue
         data = text.encode("utf-8", "surrogatepass")
-        words = data.split()
-        all_words += words
-        out["n_words"][i] = len(words)
         out["word_chars"][i] = len(text) - (len(data) - len(data.translate(None, _SPACE)))
         out["n_symbols"][i] = len(data) - len(data.translate(None, SYMBOLS))
         lines = [x for x in data.split(b"\n") if x.strip()]
         out["n_lines"][i] = len(lines)
         out["n_dup_lines"][i] = len(lines) - len(set(lines))
-    counts = out["n_words"]
-    h = hashed(all_words)
+    h, counts = text_hashes(texts, lower=False)
+    out["n_words"] = counts
     doc = np.repeat(np.arange(n), counts)
     w = window_hashes(h, 5)
     if len(w):

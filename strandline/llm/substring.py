@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import flat_ranges, hashed, runs, scan_rows, window_hashes, words_of, written
+from strandline.llm.common import flat_ranges, runs, scan_rows, text_hashes, window_hashes, words_of, written
 
 GRAM = 6
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -43,12 +43,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class Slice:
     """Word hashes of some texts, one after another, with each window's minimizer."""
 
-    def __init__(self, texts: list[str | None], k: int):
-        words = [words_of(t) for t in texts]
-        self.words = words
-        self.counts = np.array([len(w) for w in words], np.int64)
+    def __init__(self, texts: pa.Array, k: int):
+        self.h, self.counts = text_hashes(texts, lower=False)
         self.first = np.cumsum(self.counts) - self.counts
-        self.h = hashed([w for ws in words for w in ws])
         self.k = k
         windows = np.maximum(self.counts - k + 1, 0)
         self.at = flat_ranges(self.first, windows)  # starts of the windows, as places in h
@@ -107,7 +104,7 @@ def pieces_of(d, o, pos, source, later) -> dict[str, np.ndarray]:
 def _minimizers(src: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for (ds, os_), texts in scan_rows(batches, "__sl_text", ["__sl_d", "__sl_o"]):
-            sl = Slice(texts.to_pylist(), k)
+            sl = Slice(texts, k)
             at = np.unique(sl.arg)
             doc = np.searchsorted(sl.first, at, side="right") - 1
             m, rows = sl.grams[at], pa.array(doc)
@@ -164,12 +161,15 @@ def _send(src: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
             at = [x.values.to_numpy() if x.is_valid else None for x in at_]
             may = [i for i, x in enumerate(at) if x is not None]
             d, o = ds.to_numpy(), os_.to_numpy()
-            words = [words_of(t) for t in listed]
-            sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
-            yield rows(len(listed), kind=np.full(len(listed), 2), d=d, o=o, n_words=[len(w) for w in words], sha=sha, text=[listed[i] if at[i] is not None else None for i in range(len(listed))])
+            counts, sha = [], []
+            for t in listed:
+                w = words_of(t)
+                counts.append(len(w))
+                sha.append(hashlib.sha256(b" ".join(w)).hexdigest())
+            yield rows(len(listed), kind=np.full(len(listed), 2), d=d, o=o, n_words=counts, sha=sha, text=[listed[i] if at[i] is not None else None for i in range(len(listed))])
             if not may:
                 continue
-            sl = Slice([listed[i] for i in may], k)
+            sl = Slice(texts.take(pa.array(may)), k)
             marked = np.zeros(len(sl.h) + 1, bool)
             for j, i in enumerate(may):
                 marked[sl.first[j] + at[i]] = True
@@ -311,5 +311,5 @@ def without_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_c
     src = keyed(docs, id_col, text_col)
     sent, spans = _spans(src, k)
     kept = _kept(sent, spans, k, True).where("n_removed > 0").select(F.col("d").alias("__sl_kd"), F.col("o").alias("__sl_ko"), F.col("kept").alias("__sl_kept")).distinct()
-    joined = src.join(kept, (F.col("__sl_d") == F.col("__sl_kd")) & (F.col("__sl_o") == F.col("__sl_ko")), "left")
-    return joined.withColumn(text_col, F.coalesce("__sl_kept", "__sl_text")).select(*docs.columns)
+    joined = src.drop("__sl_text").join(kept, (F.col("__sl_d") == F.col("__sl_kd")) & (F.col("__sl_o") == F.col("__sl_ko")), "left")
+    return joined.withColumn(text_col, F.coalesce("__sl_kept", F.col(text_col).cast("string"))).select(*docs.columns)
