@@ -103,7 +103,7 @@ def keepers(pages: DataFrame, id_col: str, payload_col: str, least: int = LEAST_
     return big.groupBy("sum").agg(F.max("i").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("sum", "keeper")
 
 
-def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, level: int = 6, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = 16 << 20, file_bytes: int = 16 << 20, level: int = 6, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes every row as a record under `out` (a folder all executors reach) and returns the manifest.
 
     Of equal payloads of at least 1000 bytes, the row of greatest id is a response and others revisit it (all rows of
@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
     same = written(keepers(src, "__id", "__payload"), "keepers")
     marked = src.withColumn("__sum", F.when(F.octet_length("__payload") >= LEAST_REVISIT, F.sha2("__payload", 256))).join(small_side(same, same.count()), F.col("__sum") == F.col("sum"), "left")
     dealt = marked.select("__id", "__url", "__payload", F.when(~F.col("__id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("__refers"), range_of("__id", range_bounds(src, "__id", shards)).cast("int").alias("__shard"))
-    dealt = dealt.repartition("__shard").sortWithinPartitions("__shard", "__id", "__url", "__payload")
+    dealt = dealt.repartitionById(shards, "__shard").sortWithinPartitions("__shard", "__id", "__url", "__payload")
     store, base = fs.FileSystem.from_uri(out)
     store.create_dir(f"{base}/_temporary", recursive=True)
 
