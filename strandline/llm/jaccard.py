@@ -27,7 +27,7 @@ from strandline.llm.common import _MUL, flat_ranges, mix, runs, scan_rows, small
 from strandline.llm.components import components
 
 #: Sizes of chunks of a block: sets, members.
-CHUNK_SETS, CHUNK_MEMBERS = 500, 1_000_000
+CHUNK_SETS, CHUNK_MEMBERS = 2500, 1_000_000
 _BAND = 1.5
 
 
