@@ -15,16 +15,7 @@ from strandline.session import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = V.registrar(QUERIES, SQL)
 
 
 _TOKENS = "CAST(greatest(1, CAST(ceil(length(regexp_replace({0}, '[0-9]+', '', 'g')) / 4.0) AS BIGINT) + coalesce(list_sum(list_transform(regexp_extract_all({0}, '[0-9]+'), lambda x: CAST(ceil(length(x) / 3.0) AS BIGINT))), 0)) AS BIGINT)"
@@ -177,9 +168,9 @@ _PP = f"(SELECT src, dst, max(weight) AS max_weight, sum(evidence_count) AS evid
 _PM = f"(SELECT p.package, p.file_count, coalesce(i.n, 0) AS ca, coalesce(o.n, 0) AS ce, coalesce(i.w, 0) AS wca, coalesce(o.w, 0) AS wce, CASE WHEN coalesce(i.n, 0) + coalesce(o.n, 0) > 0 THEN coalesce(o.n, 0) / CAST(coalesce(i.n, 0) + coalesce(o.n, 0) AS DOUBLE) END AS instability FROM (SELECT p_brand AS package, count(*) AS file_count FROM part GROUP BY 1) p LEFT JOIN (SELECT dst, count(*) AS n, sum(max_weight) AS w FROM e GROUP BY 1) i ON i.dst = p.package LEFT JOIN (SELECT src, count(*) AS n, sum(max_weight) AS w FROM e GROUP BY 1) o ON o.src = p.package)"
 
 
-def _certain(spark, sf):
-    """Certain pairs of the sparse graph between brands that are not each other's only ones."""
-    e = V.part_edges_sparse(spark, sf).where("resolution = 'exact' and confidence = 'static_certain' and relation <> 'TESTS'")
+def _certain(spark, sf, whole=False):
+    """Certain pairs between brands, of the sparse sample or of all relations."""
+    e = V.relations(spark, sf, whole).where("resolution = 'exact' and confidence = 'static_certain' and relation <> 'TESTS'")
     o = _owner(spark, sf)
     a, b = o.select(F.col("node").alias("na"), F.col("file").alias("src")), o.select(F.col("node").alias("nb"), F.col("file").alias("dst"))
     return e.join(a, F.col("from_id") == F.col("na")).join(b, F.col("to_id") == F.col("nb")).where("src <> dst").groupBy("src", "dst").agg(F.lit(1.0).alias("max_weight"), F.count("*").alias("evidence_count"))
@@ -188,34 +179,34 @@ def _certain(spark, sf):
 _CERTAIN = "e AS (SELECT a.p_brand AS src, b.p_brand AS dst, 1.0::DOUBLE AS max_weight, count(*) AS evidence_count FROM part_edges_sparse x JOIN part a ON a.p_partkey = from_id JOIN part b ON b.p_partkey = to_id WHERE resolution = 'exact' AND confidence = 'static_certain' AND relation <> 'TESTS' AND a.p_brand <> b.p_brand GROUP BY 1, 2)"
 
 
-def _metrics(spark, sf):
-    return S.package_metrics(_certain(spark, sf), _owner(spark, sf).groupBy(F.col("file").alias("package")).agg(F.count("*").alias("file_count")))
+def _metrics(spark, sf, whole=False):
+    return S.package_metrics(_certain(spark, sf, whole), _owner(spark, sf).groupBy(F.col("file").alias("package")).agg(F.count("*").alias("file_count")))
 
 
 def _with_e(body: str) -> str:
     return V.sql("@", "part_edges_sparse").replace(" @", f", {_CERTAIN} {body}")
 
 
-@query(_with_e("SELECT src, dst, max_weight, evidence_count FROM e"))
-def package_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _certain(spark, sf)
+@query(_with_e("SELECT src, dst, max_weight, evidence_count FROM e"), whole=True)
+def package_pairs(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return _certain(spark, sf, whole)
 
 
-@query(_with_e(f"SELECT package, file_count, ca, ce, round(instability, 9) AS instability FROM {_PM} m"))
-def package_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return _metrics(spark, sf).select("package", "file_count", "ca", "ce", F.round("instability", 9).alias("instability"))
+@query(_with_e(f"SELECT package, file_count, ca, ce, round(instability, 9) AS instability FROM {_PM} m"), whole=True)
+def package_metrics(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return _metrics(spark, sf, whole).select("package", "file_count", "ca", "ce", F.round("instability", 9).alias("instability"))
 
 
-@query(_with_e(f"SELECT package, instability FROM (SELECT package, round(instability, 9) AS instability FROM {_PM} m) x ORDER BY instability DESC NULLS LAST, package LIMIT 10"))
-def unstable_packages(spark: SparkSession, sf: str) -> DataFrame:
-    return _metrics(spark, sf).select("package", F.round("instability", 9).alias("instability")).orderBy(F.desc_nulls_last("instability"), "package").limit(10)
+@query(_with_e(f"SELECT package, instability FROM (SELECT package, round(instability, 9) AS instability FROM {_PM} m) x ORDER BY instability DESC NULLS LAST, package LIMIT 10"), whole=True)
+def unstable_packages(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return _metrics(spark, sf, whole).select("package", F.round("instability", 9).alias("instability")).orderBy(F.desc_nulls_last("instability"), "package").limit(10)
 
 
-@query(_with_e(f"SELECT e.src AS from_package, e.dst AS to_package, round(b.instability - a.instability, 9) AS instability_delta FROM e JOIN {_PM} a ON a.package = e.src JOIN {_PM} b ON b.package = e.dst WHERE b.instability > a.instability"))
-def unstable_dependency(spark: SparkSession, sf: str) -> DataFrame:
-    m = written(_metrics(spark, sf).select("package", "instability"), "metrics")
+@query(_with_e(f"SELECT e.src AS from_package, e.dst AS to_package, round(b.instability - a.instability, 9) AS instability_delta FROM e JOIN {_PM} a ON a.package = e.src JOIN {_PM} b ON b.package = e.dst WHERE b.instability > a.instability"), whole=True)
+def unstable_dependency(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    m = written(_metrics(spark, sf, whole).select("package", "instability"), "metrics")
     a, b = m.toDF("pa", "ia"), m.toDF("pb", "ib")
-    return _certain(spark, sf).join(a, F.col("src") == F.col("pa")).join(b, F.col("dst") == F.col("pb")).where("ib > ia").select(F.col("src").alias("from_package"), F.col("dst").alias("to_package"), F.round(F.col("ib") - F.col("ia"), 9).alias("instability_delta"))
+    return _certain(spark, sf, whole).join(a, F.col("src") == F.col("pa")).join(b, F.col("dst") == F.col("pb")).where("ib > ia").select(F.col("src").alias("from_package"), F.col("dst").alias("to_package"), F.round(F.col("ib") - F.col("ia"), 9).alias("instability_delta"))
 
 
 #: Layers by globs over paths: api and services, data, and tests.
@@ -244,12 +235,12 @@ def layer_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return V.files(spark, sf).join(l, F.col("doc_id") == F.col("k"), "left").groupBy(F.coalesce("layer", F.lit("unassigned")).alias("layer")).agg(F.count("*").alias("files"))
 
 
-@query(V.sql(f"SELECT DISTINCT a.path AS from_path, b.path AS to_path, a.layer AS from_layer, b.layer AS to_layer FROM part_edges_sparse e JOIN {_LAYER} a ON a.doc_id = e.from_id JOIN {_LAYER} b ON b.doc_id = e.to_id WHERE a.layer = 'data' AND b.layer = 'interface' OR a.layer = 'interface' AND b.layer = 'tests'", "part_edges_sparse", "files"))
-def layer_violations(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(f"SELECT DISTINCT a.path AS from_path, b.path AS to_path, a.layer AS from_layer, b.layer AS to_layer FROM part_edges_sparse e JOIN {_LAYER} a ON a.doc_id = e.from_id JOIN {_LAYER} b ON b.doc_id = e.to_id WHERE a.layer = 'data' AND b.layer = 'interface' OR a.layer = 'interface' AND b.layer = 'tests'", "part_edges_sparse", "files"), whole=True)
+def layer_violations(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     forbid = spark.createDataFrame([("data", "interface"), ("interface", "tests")], "fl string, tl string")
     l = written(_layers(spark, sf), "layers")
     a, b = l.toDF("ka", "from_path", "from_layer"), l.toDF("kb", "to_path", "to_layer")
-    e = V.part_edges_sparse(spark, sf).join(a, F.col("from_id") == F.col("ka")).join(b, F.col("to_id") == F.col("kb"))
+    e = V.relations(spark, sf, whole).join(a, F.col("from_id") == F.col("ka")).join(b, F.col("to_id") == F.col("kb"))
     return e.join(F.broadcast(forbid), (F.col("from_layer") == F.col("fl")) & (F.col("to_layer") == F.col("tl"))).select("from_path", "to_path", "from_layer", "to_layer").distinct()
 
 
@@ -324,9 +315,9 @@ def untested_hub(spark: SparkSession, sf: str) -> DataFrame:
 _SIDES = "SELECT from_id AS id, * FROM (SELECT from_id, to_id, confidence, resolution FROM part_edges_sparse WHERE from_id <> to_id) x UNION ALL SELECT to_id AS id, * FROM (SELECT from_id, to_id, confidence, resolution FROM part_edges_sparse WHERE from_id <> to_id) y"
 
 
-@query(V.sql(f"SELECT n.id, count(s.id) FILTER (confidence = 'framework_inferred') AS framework_edges, count(s.id) FILTER (confidence = 'dynamic_required') AS dynamic_edges, count(s.id) FILTER (confidence LIKE 'static_%') AS uncertain_static_edges FROM nodes n LEFT JOIN ({_SIDES}) s ON s.id = n.id WHERE n.category = 'production' AND n.id NOT IN (SELECT id FROM ({_SIDES}) t WHERE confidence LIKE 'static_%' AND resolution IN ('exact', 'unique_name')) GROUP BY 1", "nodes", "part_edges_sparse"))
-def isolated_node(spark: SparkSession, sf: str) -> DataFrame:
-    e = V.part_edges_sparse(spark, sf).where("from_id <> to_id").select(F.explode(F.array("from_id", "to_id")).alias("k"), "confidence", "resolution")
+@query(V.sql(f"SELECT n.id, count(s.id) FILTER (confidence = 'framework_inferred') AS framework_edges, count(s.id) FILTER (confidence = 'dynamic_required') AS dynamic_edges, count(s.id) FILTER (confidence LIKE 'static_%') AS uncertain_static_edges FROM nodes n LEFT JOIN ({_SIDES}) s ON s.id = n.id WHERE n.category = 'production' AND n.id NOT IN (SELECT id FROM ({_SIDES}) t WHERE confidence LIKE 'static_%' AND resolution IN ('exact', 'unique_name')) GROUP BY 1", "nodes", "part_edges_sparse"), whole=True)
+def isolated_node(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    e = V.relations(spark, sf, whole).where("from_id <> to_id").select(F.explode(F.array("from_id", "to_id")).alias("k"), "confidence", "resolution")
     static = F.col("confidence").startswith("static_")
     linked = e.where(static & F.col("resolution").isin("exact", "unique_name")).select("k").distinct()
     c = e.groupBy("k").agg(*[F.count_if(x).alias(a) for x, a in ((F.col("confidence") == "framework_inferred", "framework_edges"), (F.col("confidence") == "dynamic_required", "dynamic_edges"), (static, "uncertain_static_edges"))])
@@ -340,9 +331,9 @@ def symbol_refs(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("id").agg(F.sum("sure").cast("long").alias("external_refs"), F.sum(1 - F.col("sure")).cast("long").alias("uncertain_external_refs"))
 
 
-@query(V.sql("SELECT package, count(*) AS unreferenced_count FROM nodes WHERE category = 'production' AND id NOT IN (SELECT to_id FROM part_edges_sparse WHERE relation <> 'READS') AND kind NOT LIKE 'S%' GROUP BY 1", "nodes", "part_edges_sparse"))
-def unreferenced_symbol(spark: SparkSession, sf: str) -> DataFrame:
-    used = V.part_edges_sparse(spark, sf).where("relation <> 'READS'").select(F.col("to_id").alias("k")).distinct()
+@query(V.sql("SELECT package, count(*) AS unreferenced_count FROM nodes WHERE category = 'production' AND id NOT IN (SELECT to_id FROM part_edges_sparse WHERE relation <> 'READS') AND kind NOT LIKE 'S%' GROUP BY 1", "nodes", "part_edges_sparse"), whole=True)
+def unreferenced_symbol(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    used = V.relations(spark, sf, whole).where("relation <> 'READS'").select(F.col("to_id").alias("k")).distinct()
     n = V.part_nodes(spark, sf).where("category = 'production' and not startswith(kind, 'S')")
     return n.join(used, F.col("id") == F.col("k"), "left_anti").groupBy("package").agg(F.count("*").alias("unreferenced_count"))
 
@@ -387,33 +378,33 @@ def candidate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return V.part_edges(spark, sf).where("resolution = 'ambiguous'").groupBy(F.concat(F.lit("cg:"), F.sha2(F.array_join(t, ","), 256)).alias("group_id")).agg(F.count("*").alias("edges"))
 
 
-@query(V.sql("SELECT coalesce(a.from_pkg, b.from_pkg) AS from_pkg, coalesce(a.to_pkg, b.to_pkg) AS to_pkg, CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM snap_cur a FULL JOIN snap_base b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL", "snap_cur", "snap_base"))
-def delta_package_dependencies(spark: SparkSession, sf: str) -> DataFrame:
-    return S.changes(V.snap_cur(spark, sf), V.snap_base(spark, sf), ["from_pkg", "to_pkg"])
+@query(V.sql("SELECT coalesce(a.from_pkg, b.from_pkg) AS from_pkg, coalesce(a.to_pkg, b.to_pkg) AS to_pkg, CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM snap_cur a FULL JOIN snap_base b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL", "snap_cur", "snap_base"), whole=True)
+def delta_package_dependencies(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return S.changes(V.snap_cur(spark, sf, whole), V.snap_base(spark, sf, whole), ["from_pkg", "to_pkg"])
 
 
 def _inst(side: str) -> str:
     return f"(SELECT p, sum(o) / CAST(count(*) AS DOUBLE) AS i FROM (SELECT from_pkg AS p, 1 AS o FROM {side} UNION ALL SELECT to_pkg, 0 FROM {side}) x GROUP BY 1)"
 
 
-@query(V.sql(f"SELECT a.p AS package, round(a.i - b.i, 9) AS delta FROM {_inst('snap_cur')} a JOIN {_inst('snap_base')} b ON a.p = b.p WHERE abs(a.i - b.i) >= 0.05 - 1e-12", "snap_cur", "snap_base"))
-def delta_instability(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(f"SELECT a.p AS package, round(a.i - b.i, 9) AS delta FROM {_inst('snap_cur')} a JOIN {_inst('snap_base')} b ON a.p = b.p WHERE abs(a.i - b.i) >= 0.05 - 1e-12", "snap_cur", "snap_base"), whole=True)
+def delta_instability(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     def inst(df, name):
         m = S.package_metrics(df.select(F.col("from_pkg").alias("src"), F.col("to_pkg").alias("dst"), F.lit(1.0).alias("max_weight")), df.select(F.explode(F.array("from_pkg", "to_pkg")).alias("package")).groupBy("package").agg(F.count("*").alias("file_count")))
         return m.select(F.col("package").alias(f"p_{name}"), F.col("instability").alias(name))
 
-    j = inst(V.snap_cur(spark, sf), "now").join(inst(V.snap_base(spark, sf), "before"), F.col("p_now") == F.col("p_before"))
+    j = inst(V.snap_cur(spark, sf, whole), "now").join(inst(V.snap_base(spark, sf, whole), "before"), F.col("p_now") == F.col("p_before"))
     return j.where("abs(now - before) >= 0.05 - 1e-12").select(F.col("p_now").alias("package"), F.round(F.col("now") - F.col("before"), 9).alias("delta"))
 
 
-@query(V.sql("SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM snap_cur a FULL JOIN snap_base b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL) x GROUP BY 1", "snap_cur", "snap_base"))
-def delta_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return delta_package_dependencies(spark, sf).groupBy("change").agg(F.count("*").alias("n"))
+@query(V.sql("SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM snap_cur a FULL JOIN snap_base b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL) x GROUP BY 1", "snap_cur", "snap_base"), whole=True)
+def delta_counts(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return delta_package_dependencies(spark, sf, whole).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query(V.sql("SELECT count(*) > 0 AS regressed FROM snap_cur a WHERE NOT EXISTS (SELECT 1 FROM snap_base b WHERE a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg)", "snap_cur", "snap_base"))
-def regression_gate(spark: SparkSession, sf: str) -> DataFrame:
-    return V.snap_cur(spark, sf).join(V.snap_base(spark, sf), ["from_pkg", "to_pkg"], "left_anti").agg((F.count("*") > 0).alias("regressed"))
+@query(V.sql("SELECT count(*) > 0 AS regressed FROM snap_cur a WHERE NOT EXISTS (SELECT 1 FROM snap_base b WHERE a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg)", "snap_cur", "snap_base"), whole=True)
+def regression_gate(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return V.snap_cur(spark, sf, whole).join(V.snap_base(spark, sf, whole), ["from_pkg", "to_pkg"], "left_anti").agg((F.count("*") > 0).alias("regressed"))
 
 
 _CASES = "SELECT user_id, event_type, count(*) FILTER (value > 50) AS strong, count(*) FILTER (value <= 50) AS weak, count(*) FILTER (value > 90) AS mocks FROM events WHERE event_id % 2 = {0} GROUP BY 1, 2"

@@ -12,24 +12,15 @@ from strandline.plans import views as V
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = V.registrar(QUERIES, SQL)
 
 
 def _pairs(spark, sf):
     return G.pair_weights(G.project(V.part_edges(spark, sf)))
 
 
-def _sparse(spark, sf):
-    return V.part_edges_sparse(spark, sf).where("from_id <> to_id").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
+def _sparse(spark, sf, whole=False):
+    return V.relations(spark, sf, whole).where("from_id <> to_id").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
 
 
 @query(V.sql("SELECT from_id, to_id, resolution, unnest(targets) AS target, CAST(len(targets) AS BIGINT) AS n_targets FROM targets", "targets"))
@@ -182,36 +173,36 @@ def path_search(spark: SparkSession, sf: str) -> DataFrame:
     return hit.agg(F.min_by("path", F.struct((F.col("path") != "app/api/src1/f21.py").alias("other"), "path")).alias("path"))
 
 
-@query(V.sql("SELECT n.id, coalesce(sum(t.ticks), 0) / 10.0::DOUBLE AS hop_2_cost FROM nodes n LEFT JOIN (SELECT DISTINCT a AS id, b FROM (SELECT src AS a, dst AS b FROM u UNION SELECT x.src, y.dst FROM u x JOIN u y ON x.dst = y.src) h WHERE a <> b) h ON h.id = n.id LEFT JOIN (SELECT id, token_cost * CASE category WHEN 'vendored' THEN 0 WHEN 'generated' THEN 1 ELSE 10 END AS ticks FROM nodes) t ON t.id = h.b GROUP BY 1", "nodes", "sparse_pairs").replace("SELECT n.id, coalesce", ", u AS (SELECT src, dst FROM sparse_pairs UNION SELECT dst, src FROM sparse_pairs) SELECT n.id, coalesce", 1).replace(") , u AS", "), u AS"))
-def hop2_cost(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql("SELECT n.id, coalesce(sum(t.ticks), 0) / 10.0::DOUBLE AS hop_2_cost FROM nodes n LEFT JOIN (SELECT DISTINCT a AS id, b FROM (SELECT src AS a, dst AS b FROM u UNION SELECT x.src, y.dst FROM u x JOIN u y ON x.dst = y.src) h WHERE a <> b) h ON h.id = n.id LEFT JOIN (SELECT id, token_cost * CASE category WHEN 'vendored' THEN 0 WHEN 'generated' THEN 1 ELSE 10 END AS ticks FROM nodes) t ON t.id = h.b GROUP BY 1", "nodes", "sparse_pairs").replace("SELECT n.id, coalesce", ", u AS (SELECT src, dst FROM sparse_pairs UNION SELECT dst, src FROM sparse_pairs) SELECT n.id, coalesce", 1).replace(") , u AS", "), u AS"), whole=True)
+def hop2_cost(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     n = V.part_nodes(spark, sf).withColumn("ticks", F.col("token_cost") * cost_ticks(F.col("category")))
-    return G.two_hop_cost(_sparse(spark, sf), n)
+    return G.two_hop_cost(_sparse(spark, sf, whole), n)
 
 
-@query(V.sql("SELECT n.id, coalesce(min(r.dst), n.id) AS component FROM nodes n LEFT JOIN r ON r.src = n.id GROUP BY n.id", "nodes", "sparse_pairs", recursive="u AS (SELECT src, dst FROM sparse_pairs UNION SELECT dst, src FROM sparse_pairs), r AS (SELECT src, least(src, dst) AS dst FROM u UNION SELECT u.src, r.dst FROM u JOIN r ON u.dst = r.src WHERE r.dst < u.src)"))
-def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return G.components(_sparse(spark, sf), V.part_nodes(spark, sf))
+@query(V.sql("SELECT n.id, coalesce(min(r.dst), n.id) AS component FROM nodes n LEFT JOIN r ON r.src = n.id GROUP BY n.id", "nodes", "sparse_pairs", recursive="u AS (SELECT src, dst FROM sparse_pairs UNION SELECT dst, src FROM sparse_pairs), r AS (SELECT src, least(src, dst) AS dst FROM u UNION SELECT u.src, r.dst FROM u JOIN r ON u.dst = r.src WHERE r.dst < u.src)"), whole=True)
+def connected_components(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return G.components(_sparse(spark, sf, whole), V.part_nodes(spark, sf))
 
 
 _REACH = "r AS (SELECT src, dst FROM sparse_pairs UNION SELECT r.src, e.dst FROM r JOIN sparse_pairs e ON r.dst = e.src)"
 _SCC = "SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src"
 
 
-@query(V.sql(_SCC, "sparse_pairs", recursive=_REACH))
-def scc(spark: SparkSession, sf: str) -> DataFrame:
-    return G.strong_components(_sparse(spark, sf))
+@query(V.sql(_SCC, "sparse_pairs", recursive=_REACH), whole=True)
+def scc(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return G.strong_components(_sparse(spark, sf, whole))
 
 
-@query(V.sql(f"SELECT component, count(DISTINCT id) AS members, count(*) AS internal_pairs FROM (SELECT s.component, s.id, e.dst FROM ({_SCC}) s JOIN sparse_pairs e ON e.src = s.id JOIN ({_SCC}) t ON t.id = e.dst AND t.component = s.component) x GROUP BY 1", "sparse_pairs", recursive=_REACH))
-def scc_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    e, s = _sparse(spark, sf), G.strong_components(_sparse(spark, sf))
+@query(V.sql(f"SELECT component, count(DISTINCT id) AS members, count(*) AS internal_pairs FROM (SELECT s.component, s.id, e.dst FROM ({_SCC}) s JOIN sparse_pairs e ON e.src = s.id JOIN ({_SCC}) t ON t.id = e.dst AND t.component = s.component) x GROUP BY 1", "sparse_pairs", recursive=_REACH), whole=True)
+def scc_metrics(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    e, s = _sparse(spark, sf, whole), G.strong_components(_sparse(spark, sf, whole))
     inside = e.join(s.select(F.col("id").alias("a"), "component"), F.col("src") == F.col("a")).join(s.select(F.col("id").alias("b"), F.col("component").alias("other")), F.col("dst") == F.col("b")).where("component = other")
     return inside.groupBy("component").agg(F.countDistinct("src").alias("members"), F.count("*").alias("internal_pairs"))
 
 
-@query(V.sql(f"SELECT component, src, dst, k FROM (SELECT s.component, e.src, e.dst, row_number() OVER (PARTITION BY s.component ORDER BY p.weight, e.src, e.dst) AS k FROM ({_SCC}) s JOIN sparse_pairs e ON e.src = s.id JOIN ({_SCC}) t ON t.id = e.dst AND t.component = s.component JOIN (SELECT src, dst, round(weight, 9) AS weight FROM pairs) p ON p.src = e.src AND p.dst = e.dst) x WHERE k <= 10", "sparse_pairs", "pairs", recursive=_REACH))
-def scc_cut_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    e, s = _sparse(spark, sf), G.strong_components(_sparse(spark, sf))
+@query(V.sql(f"SELECT component, src, dst, k FROM (SELECT s.component, e.src, e.dst, row_number() OVER (PARTITION BY s.component ORDER BY p.weight, e.src, e.dst) AS k FROM ({_SCC}) s JOIN sparse_pairs e ON e.src = s.id JOIN ({_SCC}) t ON t.id = e.dst AND t.component = s.component JOIN (SELECT src, dst, round(weight, 9) AS weight FROM pairs) p ON p.src = e.src AND p.dst = e.dst) x WHERE k <= 10", "sparse_pairs", "pairs", recursive=_REACH), whole=True)
+def scc_cut_candidates(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    e, s = _sparse(spark, sf, whole), G.strong_components(_sparse(spark, sf, whole))
     inside = e.join(s.select(F.col("id").alias("a"), "component"), F.col("src") == F.col("a")).join(s.select(F.col("id").alias("b"), F.col("component").alias("other")), F.col("dst") == F.col("b")).where("component = other").select("component", "src", "dst")
     w = inside.join(_pairs(spark, sf).withColumn("weight", F.round("weight", 9)), ["src", "dst"])
     return w.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("weight", "src", "dst")).cast("long")).where("k <= 10").select("component", "src", "dst", "k")
@@ -220,18 +211,18 @@ def scc_cut_candidates(spark: SparkSession, sf: str) -> DataFrame:
 _CLOSED = "SELECT id FROM nodes WHERE id NOT IN (SELECT src FROM r WHERE dst % 3 = 0) AND id % 3 <> 0"
 
 
-@query(V.sql(_CLOSED, "nodes", "sparse_pairs", recursive=_REACH))
-def closed_ancestry(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(_CLOSED, "nodes", "sparse_pairs", recursive=_REACH), whole=True)
+def closed_ancestry(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Nodes that reach no open one (here: ids divisible by three) and are none."""
     n = V.part_nodes(spark, sf).select("id")
-    back = _sparse(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = _sparse(spark, sf, whole).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return n.join(G.reach(back, n.where("id % 3 = 0")), "id", "left_anti")
 
 
-@query(V.sql("SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN 'tested' WHEN id IN (SELECT id FROM p) THEN 'uncertain' ELSE 'untested' END AS test_reach FROM nodes", "nodes", "part_edges_sparse", recursive="t AS (SELECT id FROM nodes WHERE category = 'test' UNION SELECT e.to_id FROM t JOIN part_edges_sparse e ON e.from_id = t.id WHERE e.resolution IN ('exact', 'unique_name')), p AS (SELECT id FROM nodes WHERE category = 'test' UNION SELECT e.to_id FROM p JOIN part_edges_sparse e ON e.from_id = p.id)"))
-def reach_status(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql("SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN 'tested' WHEN id IN (SELECT id FROM p) THEN 'uncertain' ELSE 'untested' END AS test_reach FROM nodes", "nodes", "part_edges_sparse", recursive="t AS (SELECT id FROM nodes WHERE category = 'test' UNION SELECT e.to_id FROM t JOIN part_edges_sparse e ON e.from_id = t.id WHERE e.resolution IN ('exact', 'unique_name')), p AS (SELECT id FROM nodes WHERE category = 'test' UNION SELECT e.to_id FROM p JOIN part_edges_sparse e ON e.from_id = p.id)"), whole=True)
+def reach_status(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     n = V.part_nodes(spark, sf)
-    e = V.part_edges_sparse(spark, sf).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "resolution")
+    e = V.relations(spark, sf, whole).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "resolution")
     tests = n.where("category = 'test'").select("id")
     sure = G.reach(e.where(F.col("resolution").isin("exact", "unique_name")).select("src", "dst").distinct(), tests).select("id", F.lit(1).alias("sure"))
     may = G.reach(e.select("src", "dst").distinct(), tests).select("id", F.lit(1).alias("may"))
@@ -245,8 +236,10 @@ r AS (SELECT 0 AS i, id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS score FRO
   LEFT JOIN (SELECT pp.dst, 0.85::DOUBLE * sum(r.score * pp.weight / deg.d) AS got FROM r JOIN pp ON pp.src = r.id JOIN deg ON deg.src = pp.src WHERE r.i < 10 GROUP BY 1) g ON g.dst = s.id) q)"""
 
 
-@query(V.sql("SELECT id, round(score, 9) AS pagerank FROM r WHERE i = 10", "nodes", "pairs", "sparse_pairs", recursive="pp AS (SELECT p.* FROM pairs p JOIN sparse_pairs s ON p.src = s.src AND p.dst = s.dst), " + _PR))
-def pagerank_k(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql("SELECT id, round(score, 9) AS pagerank FROM r WHERE i = 10", "nodes", "pairs", "sparse_pairs", recursive="pp AS (SELECT p.* FROM pairs p JOIN sparse_pairs s ON p.src = s.src AND p.dst = s.dst), " + _PR), whole=None)
+def pagerank_k(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    if whole:  # every pair, to the operator's own tolerance
+        return G.pagerank(_pairs(spark, sf), V.part_nodes(spark, sf)).select("id", F.round("score", 9).alias("pagerank"))
     e = _pairs(spark, sf).join(_sparse(spark, sf), ["src", "dst"])
     return G.pagerank(e, V.part_nodes(spark, sf), iterations=10, tolerance=None).select("id", F.round("score", 9).alias("pagerank"))
 
@@ -259,8 +252,10 @@ def betweenness_exact(spark: SparkSession, sf: str) -> DataFrame:
     return G.betweenness(e, V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"))).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
-@query(None)
-def betweenness_sampled(spark: SparkSession, sf: str) -> DataFrame:
+@query(None, whole=None)
+def betweenness_sampled(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    if whole:  # every pair, sampled as the operator does by itself
+        return G.betweenness(_sparse(spark, sf, True), V.part_nodes(spark, sf).select("id")).select("id", F.round("betweenness", 9).alias("betweenness"))
     return G.betweenness(_sparse(spark, sf), V.part_nodes(spark, sf).select("id"), exact_up_to=10, sample=20).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 

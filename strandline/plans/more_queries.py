@@ -13,20 +13,11 @@ from strandline.session import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+query = V.registrar(QUERIES, SQL)
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _sparse(spark, sf):
-    return V.part_edges_sparse(spark, sf).where("from_id <> to_id").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
+def _sparse(spark, sf, whole=False):
+    return V.relations(spark, sf, whole).where("from_id <> to_id").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
 
 
 _REACH = "r AS (SELECT src, dst FROM sparse_pairs UNION SELECT r.src, e.dst FROM r JOIN sparse_pairs e ON r.dst = e.src)"
@@ -131,42 +122,42 @@ def doc_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("name", F.when(F.col("candidates") == 1, "resolved").otherwise("ambiguous").alias("status"), "candidates", "first")
 
 
-@query(V.sql(f"SELECT s.component, CASE WHEN count(DISTINCT t.component) > 0 THEN min(t.component) END AS parent FROM ({_SCC.replace('r a', 'q a').replace('r b', 'q b')}) s LEFT JOIN ({_SCC}) t ON t.id = s.id GROUP BY 1", "part_edges_sparse", "sparse_pairs", recursive=_REACH + ", q AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM part_edges_sparse WHERE from_id <> to_id AND resolution <> 'unresolved' UNION SELECT q.src, e.to_id FROM q JOIN part_edges_sparse e ON q.dst = e.from_id WHERE e.from_id <> e.to_id AND resolution <> 'unresolved')"))
-def scc_parent(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(f"SELECT s.component, CASE WHEN count(DISTINCT t.component) > 0 THEN min(t.component) END AS parent FROM ({_SCC.replace('r a', 'q a').replace('r b', 'q b')}) s LEFT JOIN ({_SCC}) t ON t.id = s.id GROUP BY 1", "part_edges_sparse", "sparse_pairs", recursive=_REACH + ", q AS (SELECT DISTINCT from_id AS src, to_id AS dst FROM part_edges_sparse WHERE from_id <> to_id AND resolution <> 'unresolved' UNION SELECT q.src, e.to_id FROM q JOIN part_edges_sparse e ON q.dst = e.from_id WHERE e.from_id <> e.to_id AND resolution <> 'unresolved')"), whole=True)
+def scc_parent(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Components of the stricter graph in those of the whole one: one member decides, as components nest."""
-    strict = V.part_edges_sparse(spark, sf).where("from_id <> to_id and resolution <> 'unresolved'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
+    strict = V.relations(spark, sf, whole).where("from_id <> to_id and resolution <> 'unresolved'").select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).distinct()
     inner = written(G.strong_components(strict), "inner").groupBy("component").agg(F.min("id").alias("member"))
-    outer = G.strong_components(_sparse(spark, sf)).select(F.col("id").alias("k"), F.col("component").alias("parent"))
+    outer = G.strong_components(_sparse(spark, sf, whole)).select(F.col("id").alias("k"), F.col("component").alias("parent"))
     return inner.join(outer, F.col("member") == F.col("k"), "left").select("component", "parent")
 
 
 _PKG = "p AS (SELECT DISTINCT a.p_type AS src, b.p_type AS dst FROM part_edges_sparse JOIN part a ON a.p_partkey = from_id JOIN part b ON b.p_partkey = to_id WHERE a.p_type <> b.p_type AND resolution = 'exact' AND confidence = 'static_certain'), r AS (SELECT src, dst FROM p UNION SELECT r.src, p.dst FROM r JOIN p ON r.dst = p.src)"
 
 
-@query(V.sql("SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src", "part_edges_sparse", recursive=_PKG))
-def package_cycle(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql("SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src", "part_edges_sparse", recursive=_PKG), whole=True)
+def package_cycle(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     p = V.table(spark, sf, "part")
-    e = V.part_edges_sparse(spark, sf).where("resolution = 'exact' and confidence = 'static_certain'").join(p.select(F.col("p_partkey").alias("ka"), F.col("p_type").alias("src")), F.col("from_id") == F.col("ka")).join(p.select(F.col("p_partkey").alias("kb"), F.col("p_type").alias("dst")), F.col("to_id") == F.col("kb"))
+    e = V.relations(spark, sf, whole).where("resolution = 'exact' and confidence = 'static_certain'").join(p.select(F.col("p_partkey").alias("ka"), F.col("p_type").alias("src")), F.col("from_id") == F.col("ka")).join(p.select(F.col("p_partkey").alias("kb"), F.col("p_type").alias("dst")), F.col("to_id") == F.col("kb"))
     return G.strong_components(e.where("src <> dst").select("src", "dst").distinct())
 
 
-@query(V.sql(f"SELECT component, members FROM (SELECT component, count(*) AS members FROM ({_SCC}) s GROUP BY 1) x ORDER BY members DESC, component LIMIT 20", "sparse_pairs", recursive=_REACH))
-def cycle_list(spark: SparkSession, sf: str) -> DataFrame:
-    return G.strong_components(_sparse(spark, sf)).groupBy("component").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "component").limit(20)
+@query(V.sql(f"SELECT component, members FROM (SELECT component, count(*) AS members FROM ({_SCC}) s GROUP BY 1) x ORDER BY members DESC, component LIMIT 20", "sparse_pairs", recursive=_REACH), whole=True)
+def cycle_list(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return G.strong_components(_sparse(spark, sf, whole)).groupBy("component").agg(F.count("*").alias("members")).orderBy(F.desc("members"), "component").limit(20)
 
 
-@query(V.sql(f"SELECT 'dependency_cycle' AS kind, id AS target FROM ({_SCC}) s UNION ALL SELECT 'large_node', id FROM nodes WHERE line_count > 45", "sparse_pairs", "nodes", recursive=_REACH))
-def finding_targets(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(f"SELECT 'dependency_cycle' AS kind, id AS target FROM ({_SCC}) s UNION ALL SELECT 'large_node', id FROM nodes WHERE line_count > 45", "sparse_pairs", "nodes", recursive=_REACH), whole=True)
+def finding_targets(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Cycles are about their members, other findings about their target."""
-    c = G.strong_components(_sparse(spark, sf)).groupBy("component").agg(F.collect_list("id").alias("members")).select(F.lit("dependency_cycle").alias("kind"), F.col("component").alias("target"), "members")
+    c = G.strong_components(_sparse(spark, sf, whole)).groupBy("component").agg(F.collect_list("id").alias("members")).select(F.lit("dependency_cycle").alias("kind"), F.col("component").alias("target"), "members")
     n = V.part_nodes(spark, sf).where("line_count > 45").select(F.lit("large_node").alias("kind"), F.col("id").alias("target"), F.lit(None).cast("array<bigint>").alias("members"))
     return c.unionByName(n).select("kind", F.explode(F.when(F.col("kind") == "dependency_cycle", F.col("members")).otherwise(F.array("target"))).alias("target"))
 
 
-@query(V.sql("SELECT n.id, CASE WHEN count(DISTINCT o.file) = 1 THEN min(o.file) END AS file FROM nodes n LEFT JOIN o ON o.id = n.id GROUP BY 1", "nodes", "sparse_pairs", recursive="o AS (SELECT id, package AS file FROM nodes WHERE id % 5 = 0 UNION SELECT e.dst, o.file FROM o JOIN sparse_pairs e ON e.src = o.id WHERE e.dst % 5 <> 0)"))
-def owner_propagation(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql("SELECT n.id, CASE WHEN count(DISTINCT o.file) = 1 THEN min(o.file) END AS file FROM nodes n LEFT JOIN o ON o.id = n.id GROUP BY 1", "nodes", "sparse_pairs", recursive="o AS (SELECT id, package AS file FROM nodes WHERE id % 5 = 0 UNION SELECT e.dst, o.file FROM o JOIN sparse_pairs e ON e.src = o.id WHERE e.dst % 5 <> 0)"), whole=True)
+def owner_propagation(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Nodes without a file take it from what owns them, as long as it is one: labels run along pairs to a fixpoint."""
-    n, e = V.part_nodes(spark, sf), written(_sparse(spark, sf).where("dst % 5 <> 0"), "own")
+    n, e = V.part_nodes(spark, sf), written(_sparse(spark, sf, whole).where("dst % 5 <> 0"), "own")
     labels = frontier = written(n.where("id % 5 = 0").select("id", F.col("package").alias("file")), "own")
     while True:
         new = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "file").distinct().join(labels, ["id", "file"], "left_anti")
@@ -194,23 +185,23 @@ _CLOSURE = "r AS (SELECT from_pkg AS src, to_pkg AS dst FROM x UNION SELECT r.sr
 _X = "x AS (SELECT DISTINCT p.p_brand AS from_pkg, q.p_brand AS to_pkg FROM part_edges_sparse JOIN part p ON p.p_partkey = from_id JOIN part q ON q.p_partkey = to_id WHERE relation = 'IMPORTS' AND p.p_brand <> q.p_brand AND q > 49)"
 
 
-def _exports(spark, sf):
+def _exports(spark, sf, whole=False):
     p = V.table(spark, sf, "part")
-    e = V.part_edges_sparse(spark, sf).where("relation = 'IMPORTS' and q > 49").join(p.select(F.col("p_partkey").alias("ka"), F.col("p_brand").alias("src")), F.col("from_id") == F.col("ka")).join(p.select(F.col("p_partkey").alias("kb"), F.col("p_brand").alias("dst")), F.col("to_id") == F.col("kb"))
+    e = V.relations(spark, sf, whole).where("relation = 'IMPORTS'" if whole else "relation = 'IMPORTS' and q > 49").join(p.select(F.col("p_partkey").alias("ka"), F.col("p_brand").alias("src")), F.col("from_id") == F.col("ka")).join(p.select(F.col("p_partkey").alias("kb"), F.col("p_brand").alias("dst")), F.col("to_id") == F.col("kb"))
     return e.where("src <> dst").select("src", "dst").distinct()
 
 
-@query(V.sql("SELECT src, dst FROM r", "part_edges_sparse", recursive=_X.replace("AND q > 49", "AND part_edges_sparse.q > 49") + ", " + _CLOSURE))
-def visibility_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return G.closure(_exports(spark, sf))
+@query(V.sql("SELECT src, dst FROM r", "part_edges_sparse", recursive=_X.replace("AND q > 49", "AND part_edges_sparse.q > 49") + ", " + _CLOSURE), whole=(" AND part_edges_sparse.q > 49",))
+def visibility_closure(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    return G.closure(_exports(spark, sf, whole))
 
 
-@query(V.sql("SELECT DISTINCT c.p_brand AS consumer, d.p_brand AS provider FROM part_edges_sparse e JOIN part c ON c.p_partkey = from_id JOIN part d ON d.p_partkey = to_id WHERE relation = 'CALLS' AND c.p_brand <> d.p_brand AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = c.p_brand AND r.dst = d.p_brand)", "part_edges_sparse", recursive=_X.replace("AND q > 49", "AND part_edges_sparse.q > 49") + ", " + _CLOSURE))
-def unprovided_injection(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql("SELECT DISTINCT c.p_brand AS consumer, d.p_brand AS provider FROM part_edges_sparse e JOIN part c ON c.p_partkey = from_id JOIN part d ON d.p_partkey = to_id WHERE relation = 'CALLS' AND c.p_brand <> d.p_brand AND NOT EXISTS (SELECT 1 FROM r WHERE r.src = c.p_brand AND r.dst = d.p_brand)", "part_edges_sparse", recursive=_X.replace("AND q > 49", "AND part_edges_sparse.q > 49") + ", " + _CLOSURE), whole=(" AND part_edges_sparse.q > 49",))
+def unprovided_injection(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Calls between packages whose target the caller's package does not see."""
     p = V.table(spark, sf, "part")
-    used = V.part_edges_sparse(spark, sf).where("relation = 'CALLS'").join(p.select(F.col("p_partkey").alias("ka"), F.col("p_brand").alias("consumer")), F.col("from_id") == F.col("ka")).join(p.select(F.col("p_partkey").alias("kb"), F.col("p_brand").alias("provider")), F.col("to_id") == F.col("kb")).where("consumer <> provider").select("consumer", "provider").distinct()
-    seen = G.closure(_exports(spark, sf))
+    used = V.relations(spark, sf, whole).where("relation = 'CALLS'").join(p.select(F.col("p_partkey").alias("ka"), F.col("p_brand").alias("consumer")), F.col("from_id") == F.col("ka")).join(p.select(F.col("p_partkey").alias("kb"), F.col("p_brand").alias("provider")), F.col("to_id") == F.col("kb")).where("consumer <> provider").select("consumer", "provider").distinct()
+    seen = G.closure(_exports(spark, sf, whole))
     return used.join(seen, (F.col("consumer") == F.col("src")) & (F.col("provider") == F.col("dst")), "left_anti")
 
 
@@ -243,14 +234,14 @@ _DC = ", ".join(f"y_{s} AS (SELECT * FROM snap_{s} WHERE from_pkg < 'Brand#3' AN
 _CYC = "(SELECT a.src AS id, least(a.src, min(a.dst)) AS c FROM r_{0} a JOIN r_{0} b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)"
 
 
-@query(V.sql(f"SELECT n.c AS cycle, CASE WHEN count(t.id) = 0 THEN 'new' ELSE 'grown' END AS change, count(*) FILTER (t.id IS NULL) AS added FROM {_CYC.format('cur')} n LEFT JOIN {_CYC.format('base')} t ON t.id = n.id GROUP BY 1 HAVING count(t.id) = 0 OR count(*) FILTER (t.id IS NULL) > 0 OR count(DISTINCT t.c) > 1", "snap_base", "snap_cur", recursive=_DC))
-def delta_cycles(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(f"SELECT n.c AS cycle, CASE WHEN count(t.id) = 0 THEN 'new' ELSE 'grown' END AS change, count(*) FILTER (t.id IS NULL) AS added FROM {_CYC.format('cur')} n LEFT JOIN {_CYC.format('base')} t ON t.id = n.id GROUP BY 1 HAVING count(t.id) = 0 OR count(*) FILTER (t.id IS NULL) > 0 OR count(DISTINCT t.c) > 1", "snap_base", "snap_cur", recursive=_DC), whole=(" WHERE from_pkg < 'Brand#3' AND right(from_pkg, 1) = right(to_pkg, 1)",))
+def delta_cycles(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """Cycles that are new, that gained members, or in which several earlier ones met; shrinking says nothing."""
     def cycles(df, id_, c):
-        e = df.where("from_pkg < 'Brand#3' and right(from_pkg, 1) = right(to_pkg, 1)").select(F.col("from_pkg").alias("src"), F.col("to_pkg").alias("dst"))
+        e = df.where("true" if whole else "from_pkg < 'Brand#3' and right(from_pkg, 1) = right(to_pkg, 1)").select(F.col("from_pkg").alias("src"), F.col("to_pkg").alias("dst"))
         return G.strong_components(e).toDF(id_, c)
 
-    now, then = cycles(V.snap_cur(spark, sf), "id", "cycle"), cycles(V.snap_base(spark, sf), "k", "c")
+    now, then = cycles(V.snap_cur(spark, sf, whole), "id", "cycle"), cycles(V.snap_base(spark, sf, whole), "k", "c")
     g = now.join(then, F.col("id") == F.col("k"), "left").groupBy("cycle").agg(F.count("k").alias("known"), F.count_if(F.col("k").isNull()).alias("added"), F.countDistinct("c").alias("met"))
     return g.where("known = 0 or added > 0 or met > 1").select("cycle", F.when(F.col("known") == 0, "new").otherwise("grown").alias("change"), "added")
 
@@ -258,22 +249,22 @@ def delta_cycles(spark: SparkSession, sf: str) -> DataFrame:
 _VIOL = "(SELECT DISTINCT from_pkg, to_pkg FROM snap_{0} WHERE substr(from_pkg, 7, 1) > substr(to_pkg, 7, 1))"
 
 
-@query(V.sql(f"SELECT coalesce(a.from_pkg, b.from_pkg) AS from_pkg, coalesce(a.to_pkg, b.to_pkg) AS to_pkg, CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM {_VIOL.format('cur')} a FULL JOIN {_VIOL.format('base')} b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL", "snap_cur", "snap_base"))
-def delta_violations(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(f"SELECT coalesce(a.from_pkg, b.from_pkg) AS from_pkg, coalesce(a.to_pkg, b.to_pkg) AS to_pkg, CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM {_VIOL.format('cur')} a FULL JOIN {_VIOL.format('base')} b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL", "snap_cur", "snap_base"), whole=True)
+def delta_violations(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """A package of a lower layer may not use one of a higher layer (its brand's first digit)."""
     bad = lambda df: df.where("substr(from_pkg, 7, 1) > substr(to_pkg, 7, 1)")
-    return S.changes(bad(V.snap_cur(spark, sf)), bad(V.snap_base(spark, sf)), ["from_pkg", "to_pkg"])
+    return S.changes(bad(V.snap_cur(spark, sf, whole)), bad(V.snap_base(spark, sf, whole)), ["from_pkg", "to_pkg"])
 
 
 _FAN = "(SELECT from_pkg AS target, count(*) AS m FROM snap_{0} GROUP BY 1 HAVING count(*) > {1})"
 
 
-@query(V.sql(f"SELECT coalesce(n.target, t.target) AS target, CASE WHEN t.target IS NULL THEN 'new' WHEN n.target IS NULL THEN 'resolved' ELSE 'strengthened' END AS change, t.m AS baseline, n.m AS current FROM {_FAN.format('cur', 4)} n FULL JOIN {_FAN.format('base', 4)} t ON n.target = t.target WHERE t.target IS NULL OR n.target IS NULL OR n.m > t.m", "snap_cur", "snap_base"))
-def delta_candidates(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(f"SELECT coalesce(n.target, t.target) AS target, CASE WHEN t.target IS NULL THEN 'new' WHEN n.target IS NULL THEN 'resolved' ELSE 'strengthened' END AS change, t.m AS baseline, n.m AS current FROM {_FAN.format('cur', 4)} n FULL JOIN {_FAN.format('base', 4)} t ON n.target = t.target WHERE t.target IS NULL OR n.target IS NULL OR n.m > t.m", "snap_cur", "snap_base"), whole=True)
+def delta_candidates(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     def wide(df, t, m):
         return df.groupBy(F.col("from_pkg").alias(t)).agg(F.count("*").alias(m)).where(f"{m} > 4")
 
-    j = wide(V.snap_cur(spark, sf), "tn", "current").join(wide(V.snap_base(spark, sf), "tb", "baseline"), F.col("tn") == F.col("tb"), "full")
+    j = wide(V.snap_cur(spark, sf, whole), "tn", "current").join(wide(V.snap_base(spark, sf, whole), "tb", "baseline"), F.col("tn") == F.col("tb"), "full")
     kept = j.where("tb is null or tn is null or current > baseline")
     return kept.select(F.coalesce("tn", "tb").alias("target"), F.when(F.col("tb").isNull(), "new").when(F.col("tn").isNull(), "resolved").otherwise("strengthened").alias("change"), "baseline", "current")
 
@@ -298,11 +289,11 @@ _REN = "CASE {0} WHEN 'Brand#11' THEN 'Brand#12' WHEN 'Brand#22' THEN 'Brand#23'
 _BASE = f"(SELECT DISTINCT {_REN.format('from_pkg')} AS from_pkg, {_REN.format('to_pkg')} AS to_pkg FROM snap_base)"
 
 
-@query(V.sql(f"SELECT coalesce(a.from_pkg, b.from_pkg) AS from_pkg, coalesce(a.to_pkg, b.to_pkg) AS to_pkg, CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM snap_cur a FULL JOIN {_BASE} b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL", "snap_cur", "snap_base"))
-def delta_renames(spark: SparkSession, sf: str) -> DataFrame:
+@query(V.sql(f"SELECT coalesce(a.from_pkg, b.from_pkg) AS from_pkg, coalesce(a.to_pkg, b.to_pkg) AS to_pkg, CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM snap_cur a FULL JOIN {_BASE} b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL", "snap_cur", "snap_base"), whole=True)
+def delta_renames(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     """The baseline's names are mapped before it is compared."""
     renames = spark.createDataFrame([("Brand#11", "Brand#12"), ("Brand#22", "Brand#23")], "old string, new string")
-    base = V.snap_base(spark, sf)
+    base = V.snap_base(spark, sf, whole)
     for c in ("from_pkg", "to_pkg"):
         base = base.join(F.broadcast(renames), F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
-    return S.changes(V.snap_cur(spark, sf), base.distinct(), ["from_pkg", "to_pkg"])
+    return S.changes(V.snap_cur(spark, sf, whole), base.distinct(), ["from_pkg", "to_pkg"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,11 @@ def part_edges_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_edges(spark, sf_dir).where("q > 48")
 
 
+def relations(spark: SparkSession, sf_dir: str, whole: bool) -> DataFrame:
+    """All relations between parts, or the sparse sample that SQL can close over."""
+    return part_edges(spark, sf_dir) if whole else part_edges_sparse(spark, sf_dir)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     places = ("app/api/", "app/services/", "app/db/", "tests/", "vendor/lib/", "app/migrations/")
@@ -62,20 +69,20 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(F.broadcast(first)).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("package"), F.col("p_type").alias("kind"), F.col("p_size").cast("long").alias("line_count"), F.col("p_retailprice").cast("long").alias("token_cost"), cat.alias("category"))
 
 
-def _snapshot(spark: SparkSession, sf_dir: str, when: str) -> DataFrame:
-    e = part_edges_sparse(spark, sf_dir)
+def _snapshot(spark: SparkSession, sf_dir: str, when: str, whole: bool) -> DataFrame:
+    e = relations(spark, sf_dir, whole)
     p = table(spark, sf_dir, "part")
     a, b = p.select(F.col("p_partkey").alias("ka"), F.col("p_brand").alias("from_pkg")), p.select(F.col("p_partkey").alias("kb"), F.col("p_brand").alias("to_pkg"))
     o = table(spark, sf_dir, "orders").where(when).select("o_orderkey")
     return e.join(a, F.col("from_id") == F.col("ka")).join(b, F.col("to_id") == F.col("kb")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("from_pkg <> to_pkg").select("from_pkg", "to_pkg").distinct()
 
 
-def snap_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshot(spark, sf_dir, "o_orderdate < TIMESTAMP '1997-01-01 00:00:00'")
+def snap_base(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _snapshot(spark, sf_dir, "o_orderdate < TIMESTAMP '1997-01-01 00:00:00'", whole)
 
 
-def snap_cur(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _snapshot(spark, sf_dir, "o_orderdate > TIMESTAMP '1997-01-01 00:00:00'")
+def snap_cur(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return _snapshot(spark, sf_dir, "o_orderdate > TIMESTAMP '1997-01-01 00:00:00'", whole)
 
 
 def nation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,3 +140,31 @@ def sql(body: str, *views: str, recursive: str = "") -> str:
     if recursive:
         parts.append(recursive)
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}" if parts else body
+
+
+def whole_sql(text: str, drop: tuple[str, ...] = ()) -> str:
+    """A query's SQL over all relations instead of the sparse sample, without the further conditions in drop."""
+    for old, new in ((SQL["part_edges_sparse"], "SELECT * FROM part_edges"), *((d, "") for d in drop)):
+        if old not in text:
+            raise ValueError(f"not in the SQL: {old}")
+        text = text.replace(old, new)
+    return text
+
+
+def registrar(queries: dict, texts: dict[str, str]):
+    """The decorator that registers a query; whole: also as NAME_whole, over all relations, with SQL unless that is None."""
+
+    def query(sql: str | None = None, whole: tuple[str, ...] | bool | None = False):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                texts[f.__name__] = sql
+            if whole is not False:
+                queries[f"{f.__name__}_whole"] = partial(f, whole=True)
+                if whole is not None:
+                    texts[f"{f.__name__}_whole"] = whole_sql(sql, () if whole is True else whole)
+            return f
+
+        return add
+
+    return query
