@@ -1,10 +1,11 @@
 """Quality rules whose cutoffs come with a guarantee on false rejections.
 
 Each rule is a score, larger is worse; a document fails it above a cutoff. Cutoffs are chosen for each stratum from
-labelled documents: along a fixed descending grid, a cutoff is certified while the exact binomial tail says that the
-share of good documents it rejects is below its part of the allowed risk. The grid is tested in a fixed order, which
-needs no correction; rules and strata share the error level by Bonferroni's correction, and rules share the risk, so
-that with probability 1 - error no stratum loses more than `risk` of its good documents. All certified cutoffs hold at
+labelled documents: step i of one path takes the i-th cutoff of every rule's descending grid, and is certified while the
+exact binomial tail says that the share of good documents that any of the rules rejects is below the allowed risk. The
+path is tested in its fixed order, which needs no correction; strata share the error level by Bonferroni's correction.
+Strata with too few good labels for any certificate are tested together as one. With probability 1 - error no stratum
+tested by itself, nor the pool as a whole, loses more than `risk` of its good documents. All certified steps hold at
 once, so that the one of greatest use may be taken.
 """
 
@@ -110,37 +111,46 @@ def choose(grid: tuple, good: np.ndarray, bad: np.ndarray, risk: float, level: f
     return best
 
 
+def labels_needed(risk: float, level: float) -> int:
+    """The fewest good labels that can certify a step: none of them may be lost."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
 def select_cutoffs(measured: DataFrame, labels: DataFrame, risk: float, error: float, price: float) -> dict[str, dict[str, float]]:
     """{stratum: {rule: cutoff}} from labelled rows of measured (__id, __stratum, features).
 
-    Only counts for each (stratum, rule, grid cell) leave the join; only certified cutoffs reach the driver.
+    Only counts for each (stratum, grid cell) leave the join; only certified cutoffs reach the driver.
     """
     own = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("quality").alias("__quality"))
     labelled = measured.join(own, F.col("__id") == F.col("__label_id")).where("__quality is not null")
     s = scores({k: F.col(k) for k in FEATURES})
-    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), sum((F.when(s[rule] > c, 1).otherwise(0) for c in grid), F.lit(0)).alias("cell")) for rule, grid in RULES.items()])
+    # a document is lost by step i if its score exceeds one of the i + 1 greatest cutoffs of any rule: the rule that it exceeds most of decides
+    cell = F.greatest(*[sum((F.when(s[rule] > c, 1).otherwise(0) for c in grid), F.lit(0)) for rule, grid in RULES.items()])
     counted = (
-        labelled.select("__stratum", "__quality", F.explode(cells).alias("c"))
-        .groupBy("__stratum", "c.rule", "c.cell")
+        labelled.select("__stratum", "__quality", cell.alias("cell"))
+        .groupBy("__stratum", "cell")
         .agg(F.sum(F.when(F.col("__quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("__quality") == 0, 1).otherwise(0)).alias("bad"))
     )
     counted = written(counted, "cells")
-    tests = counted.select("__stratum", "rule").distinct().count()
+    totals = counted.groupBy("__stratum").agg(F.sum("good").alias("n"))
+    strata = totals.count()
+    if not strata:
+        return {}
+    pooled = F.col("n") < labels_needed(risk, error / strata)
+    groups = written(totals.select(F.col("__stratum").alias("stratum"), pooled.alias("pooled"), F.when(pooled, "").otherwise(F.col("__stratum")).alias("group")), "strata")
+    level = error / groups.select("pooled", "group").distinct().count()
+    steps = len(next(iter(RULES.values())))
 
     def certify(pdf: pd.DataFrame) -> pd.DataFrame:
-        rule = pdf["rule"].iloc[0]
-        grid = RULES[rule]
-        good, bad = np.zeros(len(grid) + 1, np.int64), np.zeros(len(grid) + 1, np.int64)
-        good[pdf["cell"]] = pdf["good"]
-        bad[pdf["cell"]] = pdf["bad"]
-        cutoff = choose(grid, good, bad, risk / len(RULES), error / tests, price)
-        return pd.DataFrame({"stratum": [pdf["__stratum"].iloc[0]], "rule": [rule], "cutoff": [cutoff]})[[cutoff is not None]]
+        good, bad = np.zeros(steps + 1, np.int64), np.zeros(steps + 1, np.int64)
+        np.add.at(good, pdf["cell"].to_numpy(), pdf["good"].to_numpy())
+        np.add.at(bad, pdf["cell"].to_numpy(), pdf["bad"].to_numpy())
+        step = choose(tuple(range(steps)), good, bad, risk, level, price)
+        return pd.DataFrame({"pooled": [pdf["pooled"].iloc[0]], "group": [pdf["group"].iloc[0]], "step": [step]})[[step is not None]]
 
-    found: dict[str, dict[str, float]] = {}
-    if tests:
-        for r in counted.groupBy("__stratum", "rule").applyInPandas(certify, "stratum string, rule string, cutoff double").collect():
-            found.setdefault(r.stratum, {})[r.rule] = r.cutoff
-    return found
+    cells = counted.join(groups, F.col("__stratum") == F.col("stratum")).select("pooled", "group", "cell", "good", "bad")
+    found = cells.groupBy("pooled", "group").applyInPandas(certify, "pooled boolean, group string, step double")
+    return {r.stratum: {rule: grid[int(r.step)] for rule, grid in RULES.items()} for r in groups.join(found, ["pooled", "group"]).collect()}
 
 
 def measure(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
@@ -162,8 +172,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, kept (boolean):
     base_failed if there are fewer than ten words or over a fifth of them lie in repeated windows; kept if neither the
     base nor a certified rule of the document's stratum fails. labels: doc_id, quality (1 good, 0 bad; null: no label;
-    of several the greatest). Null and empty texts have no words; a null stratum is one of its own; strata whose labels
-    certify nothing have no cutoffs; repeated rows are judged each; other columns are left out.
+    of several the greatest). Null and empty texts have no words; a null stratum is one of its own; strata with few labels are
+    judged by the cutoffs of their pool, and those whose labels certify nothing have none; repeated rows are judged each; other columns are left out.
     """
     measured = written(measure(docs, id_col, text_col, stratum_col), "quality")
     cutoffs = select_cutoffs(measured, labels, risk, error, price)

@@ -208,3 +208,32 @@ def test_verdicts_and_filter_agree(spark):
     empty = odd.frame(spark, empty=True)
     assert quality.quality_verdicts(empty, labels).count() == 0 and quality.filter_documents(empty, labels).count() == 0
     assert quality.quality_verdicts(docs, labels.limit(0)).count() == docs.count()
+
+
+def _labelled(spark, counts):
+    """Documents and labels of strata: as many good ones as given, a tenth as many of symbols that the base passes."""
+    rows, marks = [], []
+    for lang, n in counts:
+        for i in range(n + n // 10):
+            junk = i >= n
+            rows.append((len(rows), " ".join(f"{'#$%&*' if junk else 'text'}{'ab'[i % 2]}{k}" for k in range(12)), lang))
+            marks.append((len(marks), 0 if junk else 1, 0))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize(("counts", "ruled"), [([("en", 320)], {"en"}), ([("en", 600), ("de", 500), ("fr", 500), ("es", 200)], {"en", "de", "fr"}), ([("de", 200), ("fr", 200)], {"de", "fr"}), ([("de", 100), ("fr", 100)], set())])
+def test_rules_are_certified_for_the_labels_there_are(spark, counts, ruled):
+    """The whole risk on the union of rules, the error shared by strata, small strata pooled."""
+    docs, labels = _labelled(spark, counts)
+    rejected = {}
+    for r in quality.quality_verdicts(docs, labels).join(labels, "doc_id").join(docs, "doc_id").collect():
+        assert not r.base_failed and (r.kept or r.quality == 0)
+        rejected.setdefault(r.lang, []).append(not r.kept)
+    assert {lang for lang, x in rejected.items() if any(x)} == ruled
+    assert quality.filter_documents(docs, labels).count() == docs.count() - sum(n // 10 for lang, n in counts if lang in ruled)
+
+
+def test_labels_needed():
+    for level in (0.05, 0.0125, 0.003):
+        n = quality.labels_needed(0.01, level)
+        assert quality.binomial_tail(0, n, 0.01) <= level < quality.binomial_tail(0, n - 1, 0.01)
