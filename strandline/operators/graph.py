@@ -103,6 +103,20 @@ def reach(pairs: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> Data
     return seen
 
 
+def first_visits(pairs: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """id, depth of every node that directed pairs reach from the roots (depth 0), in the fewest steps; at most most_depth, if given."""
+    seen = frontier = written(roots.select("id", F.lit(0).alias("depth")).distinct(), "visit")
+    depth = 0
+    while most_depth is None or depth < most_depth:
+        depth += 1
+        new = frontier.join(pairs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        frontier = written(new.select("id", F.lit(depth).alias("depth")), "visit")
+        if frontier.isEmpty():
+            break
+        seen = written(seen.unionByName(frontier), "visit")
+    return seen
+
+
 def closure(pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
     """All (src, dst) with a directed path of one step or more, by doubling the paths' lengths."""
     paths = written(pairs.select("src", "dst").distinct(), "closure")

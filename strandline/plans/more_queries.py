@@ -169,16 +169,11 @@ def owner_propagation(spark: SparkSession, sf: str, whole: bool = False) -> Data
     return n.join(one, F.col("id") == F.col("k"), "left").select("id", F.when(F.col("n") == 1, F.col("f")).alias("file"))
 
 
-@query(V.sql("SELECT id, min(d) AS depth FROM r GROUP BY 1", "sparse_pairs", "nodes", recursive="r AS (SELECT id, 0 AS d FROM nodes WHERE id % 10 = 0 UNION SELECT e.dst, r.d + 1 FROM r JOIN sparse_pairs e ON e.src = r.id WHERE r.d < 3)"))
-def prefix_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    """First visits from the roots, at most three inclusions deep."""
-    e = _sparse(spark, sf)
-    seen = frontier = written(V.part_nodes(spark, sf).where("id % 10 = 0").select("id", F.lit(0).alias("depth")), "visit")
-    for d in range(1, 4):
-        new = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        frontier = written(new.select("id", F.lit(d).alias("depth")), "visit")
-        seen = written(seen.unionByName(frontier), "visit")
-    return seen
+@query(V.sql("SELECT id, min(d) AS depth FROM r GROUP BY 1", "sparse_pairs", "nodes", recursive="r AS (SELECT id, 0 AS d FROM nodes WHERE id % 10 = 0 UNION SELECT e.dst, r.d + 1 FROM r JOIN sparse_pairs e ON e.src = r.id WHERE r.d < 3)"), whole=None)
+def prefix_propagation(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """First visits from the roots: all of them, or at most three inclusions deep in the sparse sample, as the SQL has it."""
+    roots = V.part_nodes(spark, sf).where("id % 10 = 0")
+    return G.first_visits(_sparse(spark, sf, whole), roots, None if whole else 3)
 
 
 _CLOSURE = "r AS (SELECT from_pkg AS src, to_pkg AS dst FROM x UNION SELECT r.src, x.to_pkg FROM r JOIN x ON r.dst = x.from_pkg)"

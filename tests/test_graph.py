@@ -118,6 +118,14 @@ def test_sampled_places(spark, n, k):
     assert got == sorted({ids[i * n // min(n, k)] for i in range(min(n, k))})
 
 
+def test_first_visits_go_to_the_end_of_a_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(9, 0), (0, 2)], "src long, dst long")
+    roots = spark.createDataFrame([(0,), (20,)], "id long")
+    want = {0: 0, 20: 0, 1: 1} | {i: i - 1 for i in range(2, 10)}
+    assert {r.id: r.depth for r in G.first_visits(chain, roots).collect()} == want
+    assert {r.id: r.depth for r in G.first_visits(chain, roots, 3).collect()} == {i: d for i, d in want.items() if d <= 3}
+
+
 def test_empty_graph(spark):
     v, e = frames(spark, [1, 2], {})
     assert G.strong_components(e).count() == 0

@@ -39,6 +39,14 @@ def test_small_quantities_count(spark, tables):
     assert rows(spark, tables, "hop2_cost_whole") == {(1, 50.0), (2, 40.0), (3, 30.0), (4, 0.0), (5, 0.0)}
 
 
+def test_visits_do_not_stop_after_three_steps(spark, tmp_path):
+    parts = [(i, f"n{i}", "Brand#11", "T", 1, 1.0) for i in range(10, 17)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_suppkey long, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame([(1, i, i, 50.0, 1, 1.0, 0.0, 0.0, "N", "O", None) for i in range(10, 17)], schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows(spark, tmp_path, "prefix_propagation_whole") == {(i, i - 10) for i in range(10, 17)}
+
+
 def test_metrics_without_sql(spark, tables):
     ranks = dict(rows(spark, tables, "pagerank_k_whole"))
     assert ranks[1] == ranks[2] == ranks[3] > ranks[4] == ranks[5] and abs(sum(ranks.values()) - 1) < 1e-6
