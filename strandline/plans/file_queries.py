@@ -79,12 +79,14 @@ def module_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id, label FROM (SELECT page_id, label, row_number() OVER (PARTITION BY page_id ORDER BY d) AS k FROM (SELECT page_id, d, label, count(*) OVER (PARTITION BY d, label) AS n FROM (SELECT page_id, d, array_to_string(list_slice(string_split(url, '/'), -d, -1), '/') AS label, len(string_split(url, '/')) AS m FROM pages, range(1, 12) t(d)) x WHERE d <= m) y WHERE n = 1) z WHERE k = 1")
 def short_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """The shortest suffix of segments that no other URL ends in."""
+    """The shortest suffix of segments that no other URL ends in, else the whole URL; pages of one URL share its label."""
+    pages = V.table(spark, sf, "pages").where("url is not null").select("page_id", "url")
     parts = F.split("url", "/")
-    all_ = V.table(spark, sf, "pages").select("page_id", F.explode(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(11)))).alias("d"), parts.alias("p"))
-    labels = all_.select("page_id", "d", F.array_join(F.slice("p", -F.col("d"), F.col("d")), "/").alias("label"))
-    unique = labels.groupBy("d", "label").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id")).where("n = 1")
-    return unique.groupBy("page_id").agg(F.min_by("label", "d").alias("label"))
+    all_ = pages.select("url").distinct().select("url", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("d"), parts.alias("p"))
+    labels = all_.select("url", "d", F.array_join(F.slice("p", -F.col("d"), F.col("d")), "/").alias("label"))
+    unique = labels.groupBy("d", "label").agg(F.count("*").alias("n"), F.min("url").alias("u")).where("n = 1")
+    best = unique.groupBy("u").agg(F.min_by("label", "d").alias("label"))
+    return pages.join(best, F.col("url") == F.col("u"), "left").select("page_id", F.coalesce("label", "url").alias("label"))
 
 
 @query(V.sql("SELECT path, CASE WHEN path LIKE 'app/db/src1/%' THEN 'explicit_output' WHEN regexp_matches(path, '(^|/)(package-lock\\.json|yarn\\.lock|pnpm-lock\\.yaml|poetry\\.lock|Pipfile\\.lock)$') THEN 'lockfile' WHEN path LIKE 'vendor/%' OR path LIKE 'node_modules/%' OR path LIKE 'third_party/%' THEN 'vendored' WHEN path LIKE 'build/%' OR path LIKE 'dist/%' OR path LIKE '%.min.js' THEN 'generated_path' WHEN content IS NULL THEN 'unreadable' WHEN strlen(content) > 20000 THEN 'too_large' WHEN contains(substr(content, 1, 8192), chr(0)) THEN 'binary' WHEN regexp_matches(array_to_string(list_slice(string_split(content, chr(10)), 1, 8), chr(10)), '(?i)generated file|do not edit|license') THEN 'generated_marker' END AS reason FROM files", "files"))

@@ -77,3 +77,13 @@ def test_globs_against_a_matcher_without_expressions(seed):
         g = [rnd.choice(["**", "*", "a", "a?", "*b", "x.y"]) for _ in range(rnd.randint(1, 4))]
         p = [rnd.choice(["a", "ab", "b", "x.y", "xzy"]) for _ in range(rnd.randint(1, 4))]
         assert bool(re.match(P.path_glob("/".join(g)), "/".join(p))) == match(g, p), (g, p)
+
+
+def test_short_labels_of_long_shared_and_nested_urls(spark, tmp_path):
+    from strandline.plans import registry
+
+    tail = "/".join(f"s{i}" for i in range(14))
+    urls = ["http://a/" + tail, "http://b/" + tail, "http://c/x", "http://c/x", "y/z", "w/y/z", None]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.label for r in registry.QUERIES["short_labels"](spark, str(tmp_path)).collect()}
+    assert got == {0: "a/" + tail, 1: "b/" + tail, 2: "x", 3: "x", 4: "y/z", 5: "w/y/z"}
