@@ -145,7 +145,9 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
         yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=True)) for d in done], schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), ("number", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
     manifest = dealt.mapInArrow(run, "file string, shard int, number int, records long, bytes long, sha256 string")
-    manifest.coalesce(max(1, shards // 64)).write.mode("overwrite").parquet(f"{out}/_manifest")
+    # a task for each shard: merged partitions above the map would merge the writing itself, so the small table is compacted once it is written
+    manifest.write.mode("overwrite").parquet(f"{out}/_temporary/manifest")
+    spark.read.parquet(f"{out}/_temporary/manifest").coalesce(max(1, shards // 64)).write.mode("overwrite").parquet(f"{out}/_manifest")
     store.delete_dir(f"{base}/_temporary")
     return spark.read.parquet(f"{out}/_manifest")
 

@@ -95,6 +95,18 @@ def test_rules_are_indexed_by_their_rarest_literal(spark):
     assert got == {0: "fr", 1: "com", 2: None}
 
 
+def test_each_shard_is_written_by_a_task_of_its_own(spark):
+    df = spark.createDataFrame([(i, f"http://h/{i}", chr(97 + i) * 1000) for i in range(20)], "page_id long, url string, html string")
+    spark.sparkContext.setJobGroup("warc-tasks", "")
+    try:
+        manifest = warc.write_archives(df, f"{shared_dir(spark)}/warc-tasks", shard_bytes=2000)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(k) for j in status.getJobIdsForGroup("warc-tasks") for k in status.getJobInfo(j).stageIds]
+    assert 10 in {s.numTasks for s in stages if s} and manifest.agg({"records": "sum"}).first()[0] == 20
+
+
 def pages():
     big, other = "é" * 600, "z" * 999
     html = [None, "", "small", "small", big, big, "x" + big, other, other, "z" * 1000, "z" * 1000, "\r\n\r\nWARC/1.1\r\n" + "q" * 5000, "z" * 1000]
