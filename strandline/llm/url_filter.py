@@ -18,7 +18,8 @@ TOKEN = "[a-z0-9]+"
 class Rule:
     """A rule on a host (with its subdomains) and a path's beginning, or else a pattern searched in the whole URL.
 
-    literals: strings that every URL that the pattern matches holds as whole tokens; none: the pattern always runs.
+    literals: strings that every URL that the pattern matches holds as whole tokens; either: strings of which it holds
+    one or more as a whole token, if there are no literals. Neither: the pattern always runs.
     """
 
     verdict: str
@@ -26,6 +27,7 @@ class Rule:
     path: str = ""
     pattern: str = ""
     literals: tuple[str, ...] = ()
+    either: tuple[str, ...] = ()
 
     @property
     def name(self) -> str:
@@ -43,9 +45,9 @@ SITE_RULES = (
 #: Patterns for the other URLs (searched in the lower-cased URL).
 PATTERN_RULES = (
     Rule("block", pattern=r"^[a-z]+://([^/?#]*\.)?spam-farm\.", literals=("spam", "farm")),
-    Rule("block", pattern=r"^[a-z]+://([^/?#]*\.)?(ads|adserver|doubleclick|casino)\.", literals=()),
+    Rule("block", pattern=r"^[a-z]+://([^/?#]*\.)?(ads|adserver|doubleclick|casino)\.", either=("ads", "adserver", "doubleclick", "casino")),
     Rule("block", pattern=r"[?&]sessionid=", literals=("sessionid",)),
-    Rule("block", pattern=r"/wp-login\.php", literals=("wp", "login", "php")),
+    Rule("block", pattern=r"/wp-login\.php", literals=("wp", "login")),  # php may go on, as in .php5
     Rule("block", pattern=r"^[a-z]+://([^/?#]*\.)?casino\.", literals=("casino",)),
 )
 
@@ -74,8 +76,10 @@ def literal_tokens(rule: Rule) -> tuple[str, ...]:
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    rows = [(i, r.verdict, r.host, r.path, r.pattern, r.name, list(dict.fromkeys(literal_tokens(r)))) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "rule_id int, rule_verdict string, rule_host string, rule_path string, pattern string, name string, literals array<string>")
+    """One row for each rule, or for each of its alternatives (variant), any of which fetches it."""
+    keys = [[(t,) for t in r.either] if r.either and not literal_tokens(r) else [literal_tokens(r)] for r in rules]
+    rows = [(i, k, r.verdict, r.host, r.path, r.pattern, r.name, list(dict.fromkeys(key))) for i, r in enumerate(rules) for k, key in enumerate(keys[i])]
+    return spark.createDataFrame(rows, "rule_id int, variant int, rule_verdict string, rule_host string, rule_path string, pattern string, name string, literals array<string>")
 
 
 def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -83,9 +87,9 @@ def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     wanted = rules.select(F.explode("literals").alias("w")).distinct()
     held = urls.select(F.explode("tokens").alias("t"))
     counts = held.join(F.broadcast(wanted), F.col("t") == F.col("w"), "left_semi").groupBy("t").agg(F.count("*").alias("df"))
-    best = rules.select("rule_id", F.explode("literals").alias("w")).join(counts, F.col("w") == F.col("t"), "left")
-    best = best.groupBy("rule_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("w").alias("token"))).alias("b")).select(F.col("rule_id").alias("__r"), "b.token")
-    return rules.join(best, F.col("rule_id") == F.col("__r"), "left").drop("__r")
+    best = rules.select("rule_id", "variant", F.explode("literals").alias("w")).join(counts, F.col("w") == F.col("t"), "left")
+    best = best.groupBy("rule_id", "variant").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("w").alias("token"))).alias("b")).select(F.col("rule_id").alias("__r"), F.col("variant").alias("__v"), "b.token")
+    return rules.join(best, (F.col("rule_id") == F.col("__r")) & (F.col("variant") == F.col("__v")), "left").drop("__r", "__v")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + PATTERN_RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -101,7 +105,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + PATTERN_
     src = pages.select(F.col(id_col).alias("__id"), F.col(url_col).cast("string").alias("__url"))
     urls = src.where("__url is not null").select("__url").distinct().select("__url", F.array_distinct(F.regexp_extract_all(_lower(F.col("__url")), F.lit(TOKEN), F.lit(0))).alias("tokens"))
     indexed = index_rules(urls, rule_table(spark, rules))
-    indexed = small_side(indexed, len(rules))
+    indexed = small_side(indexed, sum(max(1, len(r.either)) for r in rules))
     # a rule without a literal is fetched by the empty token
     asked = urls.select("__url", F.explode(F.array_append("tokens", F.lit(""))).alias("__t"))
     candidates = asked.join(indexed, F.col("__t") == F.coalesce("token", F.lit("")))

@@ -95,6 +95,15 @@ def test_rules_are_indexed_by_their_rarest_literal(spark):
     assert got == {0: "fr", 1: "com", 2: None}
 
 
+def test_a_token_that_a_pattern_leaves_open_does_not_hide_a_rule(spark):
+    """php is the rarest of the words here, but no token of /wp-login.php5."""
+    urls = ["http://h.net/wp-login.php5", "http://h.net/wp-login.phps", "http://h.net/wp/login", "http://h.net/wp/login/2", "http://a.ads.net/", "http://loads.net/ads"]
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow"}
+    rules = url_filter.rule_table(spark, url_filter.PATTERN_RULES)
+    assert all(r.literals for r in rules.collect())
+
+
 def test_each_shard_is_written_by_a_task_of_its_own(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", chr(97 + i) * 1000) for i in range(20)], "page_id long, url string, html string")
     spark.sparkContext.setJobGroup("warc-tasks", "")
