@@ -3,8 +3,8 @@
 Only the histogram of piece lengths (at most `size` numbers) is solved on the driver. A configuration is a multiset of
 lengths that fits into one sequence. Multiplicative weights price the lengths: a length's weight falls as its share of
 covered pieces rises, and a knapsack dynamic program finds the configuration of greatest price. The fractional solution
-is rounded down, and what is left over (bounded by the number of configurations, not by the data) is packed best fit,
-longest first, over counts. Spark then ranks the pieces of each length and looks up their places.
+is rounded down, and what is left over is packed best fit, longest first, over counts. Rounds are limited, so that many
+lengths of large counts leave a rest that grows with the data. Spark then ranks the pieces of each length and looks up their places.
 """
 
 from __future__ import annotations
