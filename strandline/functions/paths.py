@@ -58,22 +58,24 @@ def cost_ticks(category_: Column) -> Column:
     return F.when(category_ == "vendored", 0).when(category_ == "generated", 1).otherwise(10)
 
 
+#: A glob's parts: whole segments of two stars, which take in their slash, single wildcards, and plain text.
+_GLOB_PARTS = re.compile(r"(?P<deep>(?<![^/])(?:(?:\*\*/)+|\*\*\Z))|(?P<wild>[*?])|(?P<text>[^*?]+)")
+
+
 def path_glob(glob: str) -> str:
     """A regular expression for a path glob: ** is any number of segments, * and ? stay within one."""
-    out = []
-    for i, segment in enumerate(parts := glob.split("/")):
-        last = i == len(parts) - 1
-        if segment == "**":
-            out.append(".*" if last else "(?:[^/]+/)*")
-            continue
-        body = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in segment)
-        out.append(body + ("" if last else "/"))
-    return "(?s)^(?:" + "".join(out) + ")$"
+
+    def meaning(part: re.Match) -> str:
+        if part["deep"]:
+            return "(?:[^/]*/)*" if part["deep"].endswith("/") else ".*"
+        return {"*": "[^/]*", "?": "[^/]"}[part["wild"]] if part["wild"] else re.escape(part["text"])
+
+    return f"(?s)\\A(?:{_GLOB_PARTS.sub(meaning, glob)})(?![\\s\\S])"
 
 
 def name_glob(glob: str) -> str:
     """A regular expression for a shell glob over a whole name."""
-    return "(?s)^" + fnmatch.translate(glob).removeprefix("(?s:").replace(r")\z", "").replace(r")\Z", "") + "$"
+    return "(?s)\\A" + fnmatch.translate(glob).removeprefix("(?s:").replace(r")\z", "").replace(r")\Z", "") + r"(?![\s\S])"
 
 
 @dataclass(frozen=True)

@@ -64,10 +64,11 @@ def normalize_route(url: Column) -> Column:
 
 
 def normalize_table(name: Column) -> Column:
-    """The last part of a dotted and possibly quoted table name, unquoted, in lower case; null if there is none."""
-    parts = F.regexp_extract_all(F.trim(name), F.lit(r'("[^"]*"|`[^`]*`|\[[^\]]*\]|[A-Za-z_][A-Za-z0-9_$]*)'), F.lit(1))
+    """The last part of a dotted table name, in lower case and without quotes of one kind around it; null if there is
+    none. A part is quoted, or a run of characters that are neither blank nor a dot."""
+    parts = F.regexp_extract_all(F.trim(name), F.lit(r'(?U)("[^"]*"|`[^`]*`|\[[^\]]*\]|[^\s.]+)'), F.lit(1))
     last = F.when(F.size(parts) > 0, F.element_at(parts, -1))
-    bare = F.regexp_replace(last, r'^["`\[]|["`\]]$', "")
+    bare = F.regexp_replace(last, r'(?s)^"(.*)"$|^`(.*)`$|^\[(.*)\]$', "$1$2$3")
     return F.nullif(F.lower(F.trim(bare)), F.lit(""))
 
 

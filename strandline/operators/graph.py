@@ -1,16 +1,19 @@
 """Graph operators: projection of relations to pairs, degrees, ranks, components, reach and distances.
 
 Fixpoints are loops on the driver over DataFrames; each round is written to the shared folder, and only its counts come
-back. Pairs are (src, dst[, weight]).
+back. A loop that ends before its result is complete raises NotConverged. Pairs are (src, dst[, weight]).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.edges import candidate_targets, edge_rank, edge_weight
-from strandline.session import written
+from strandline.operators.components import NotConverged, star_components
+from strandline.session import Scratch, written
 
 
 def project(edges: DataFrame) -> DataFrame:
@@ -37,27 +40,45 @@ def degrees(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def pagerank(pairs: DataFrame, nodes: DataFrame, iterations: int = 100, damping: float = 0.85, tolerance: float | None = 1e-10) -> DataFrame:
     """id, score. A node gives each neighbour damping * score / degree times the pair's weight; what weights below one
     hold back, and the scores of nodes without neighbours, go to all nodes alike. Stops when the scores move by no more
-    than the tolerance in all (None: after so many iterations)."""
+    than the tolerance in all (None: after so many iterations); NotConverged if so many iterations are not enough.
+
+    Pairs are dealt by their source once and kept so while the rounds last; a round is one job, whose sums come back
+    with the write.
+    """
+    spark = nodes.sparkSession
     ids = nodes.select("id")
     n = ids.count()
     if not n:
         return ids.withColumn("score", F.lit(None).cast("double"))
     out = pairs.groupBy("src").agg(F.count("*").alias("degree"), F.sum("weight").alias("given"))
-    e = written(pairs.join(out.withColumnRenamed("src", "s"), F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("degree")).alias("part")), "pr")
-    degree = written(ids.join(out, F.col("id") == F.col("src"), "left").select("id", F.coalesce(F.col("given") / F.col("degree"), F.lit(0.0)).alias("kept")), "pr")
-    scores = written(degree.select("id", "kept", F.lit(1.0 / n).alias("score")), "pr")
-    spread = n * (1.0 / n) - scores.agg(F.sum(F.col("score") * F.col("kept"))).first()[0]
-    for _ in range(iterations):
-        # all that is not given along pairs is spread: 1 - d, the discounts and the dangling scores
-        base = ((1.0 - damping) + damping * spread) / n
-        moved = e.join(scores, F.col("src") == F.col("id")).groupBy("dst").agg((damping * F.sum(F.col("score") * F.col("part"))).alias("got"))
-        now = written(scores.join(moved, F.col("id") == F.col("dst"), "left").select("id", "kept", (base + F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("was")), "pr")
-        total, lost, change = now.agg(F.sum("score"), F.sum(F.col("score") * F.col("kept")), F.sum(F.abs(F.col("score") - F.col("was")))).first()
-        spread = total - lost
-        scores = now.drop("was")
-        if tolerance is not None and change <= tolerance:
-            break
-    return scores.select("id", "score")
+    given = written(out.withColumnRenamed("src", "s"), "pr")
+    e = pairs.join(given, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("degree")).alias("part"))
+    e = written(e, "pr").repartition(F.col("src")).persist()
+    scores, spread = Scratch(spark, "pr"), 0.0
+
+    def step(df: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        now = scores.write(df.observe(seen, F.sum("score").alias("total"), F.sum(F.col("score") * F.col("kept")).alias("lost"), F.sum(F.abs(F.col("score") - F.col("was"))).alias("change")))
+        return now, seen.get
+
+    kept = F.coalesce(F.col("given") / F.col("degree"), F.lit(0.0)).alias("kept")
+    now, sums = step(ids.join(given, F.col("id") == F.col("s"), "left").select("id", kept, F.lit(1.0 / n).alias("score"), F.lit(0.0).alias("was")))
+    try:
+        for _ in range(iterations):
+            # all that is not given along pairs is spread: 1 - d, the discounts and the dangling scores
+            spread = sums["total"] - sums["lost"]
+            base = ((1.0 - damping) + damping * spread) / n
+            before = now.select("id", "kept", "score")
+            moved = e.join(before.select(F.col("id").alias("f"), "score"), F.col("src") == F.col("f")).groupBy("dst").agg((damping * F.sum(F.col("score") * F.col("part"))).alias("got"))
+            now, sums = step(before.join(moved, F.col("id") == F.col("dst"), "left").select("id", "kept", (base + F.coalesce("got", F.lit(0.0))).alias("score"), F.col("score").alias("was")))
+            scores.keep(1)
+            if tolerance is not None and sums["change"] <= tolerance:
+                return now.select("id", "score")
+    finally:
+        e.unpersist()
+    if tolerance is not None:
+        raise NotConverged(f"pagerank: {iterations} iterations were not enough")
+    return now.select("id", "score")
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
@@ -73,125 +94,196 @@ def two_hop_cost(pairs: DataFrame, nodes: DataFrame, ticks: str = "ticks") -> Da
     return nodes.select("id").join(cost, F.col("id") == F.col("src"), "left").select("id", (F.coalesce("t", F.lit(0)) / 10).alias("hop_2_cost"))
 
 
-def components(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """id, component: the least node that pairs reach either way. Star contraction: see large and small star below."""
-    e = written(pairs.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "cc")
-    before = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
-        moved = large.join(low, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
-        e = written(moved.select("x.a", "x.b").where("a <> b").distinct(), "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == before:
-            break
-        before = now
-    return nodes.select("id").join(e, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))
+def components(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """id, component: the least node that pairs reach either way (see star_components)."""
+    found = star_components(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")), most_rounds)
+    return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+class _Seen:
+    """What a search has visited: one written table a level, never written again but when there are many of them."""
 
+    def __init__(self, first: DataFrame, label: str):
+        self.label, self.levels = label, [first]
 
-def reach(pairs: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    def all(self) -> DataFrame:
+        if len(self.levels) > 24:
+            self.levels = [written(self._union(), self.label)]
+        return self._union()
+
+    def _union(self) -> DataFrame:
+        out = self.levels[0]
+        for x in self.levels[1:]:
+            out = out.unionByName(x)
+        return out
+
+
+def reach(pairs: DataFrame, seeds: DataFrame, most_rounds: int = 100_000) -> DataFrame:
     """id of every node that directed pairs reach from the seeds, the seeds among them."""
-    seen = frontier = written(seeds.select("id").distinct(), "reach")
+    frontier = written(seeds.select("id").distinct(), "reach")
+    seen = _Seen(frontier, "reach")
     for _ in range(most_rounds):
         new = frontier.join(pairs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        frontier = written(new.join(seen, "id", "left_anti"), "reach")
+        frontier = written(new.join(seen.all(), "id", "left_anti"), "reach")
         if frontier.isEmpty():
-            break
-        seen = written(seen.unionByName(frontier), "reach")
-    return seen
+            return seen.all()
+        seen.levels.append(frontier)
+    raise NotConverged(f"reach: {most_rounds} rounds were not enough")
 
 
 def first_visits(pairs: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
     """id, depth of every node that directed pairs reach from the roots (depth 0), in the fewest steps; at most most_depth, if given."""
-    seen = frontier = written(roots.select("id", F.lit(0).alias("depth")).distinct(), "visit")
+    frontier = written(roots.select("id", F.lit(0).alias("depth")).distinct(), "visit")
+    seen = _Seen(frontier, "visit")
     depth = 0
     while most_depth is None or depth < most_depth:
         depth += 1
-        new = frontier.join(pairs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        new = frontier.join(pairs, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct().join(seen.all(), "id", "left_anti")
         frontier = written(new.select("id", F.lit(depth).alias("depth")), "visit")
         if frontier.isEmpty():
             break
-        seen = written(seen.unionByName(frontier), "visit")
-    return seen
+        seen.levels.append(frontier)
+    return seen.all()
 
 
 def closure(pairs: DataFrame, most_rounds: int = 64) -> DataFrame:
     """All (src, dst) with a directed path of one step or more, by doubling the paths' lengths."""
-    paths = written(pairs.select("src", "dst").distinct(), "closure")
+    paths, rounds = written(pairs.select("src", "dst").distinct(), "closure"), Scratch(pairs.sparkSession, "closure")
     size = paths.count()
     for _ in range(most_rounds):
         longer = paths.join(paths.select(F.col("src").alias("via"), F.col("dst").alias("far")), F.col("dst") == F.col("via")).select("src", F.col("far").alias("dst"))
-        paths = written(paths.unionByName(longer).distinct(), "closure")
+        paths = rounds.write(paths.unionByName(longer).distinct())
         now = paths.count()
+        rounds.keep(1)
         if now == size:
-            break
+            return paths
         size = now
-    return paths
+    raise NotConverged(f"closure: {most_rounds} rounds were not enough")
 
 
-def trim(pairs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """The pairs that may lie on a cycle: nodes without a way in or out are taken off until none is left."""
-    left = written(pairs.where("src <> dst").select("src", "dst").distinct(), "trim")
-    size = left.count()
-    for _ in range(most_rounds):
-        into, out = left.select(F.col("dst").alias("k")).distinct(), left.select(F.col("src").alias("k")).distinct()
-        left = written(left.join(into, F.col("src") == F.col("k"), "left_semi").join(out, F.col("dst") == F.col("k"), "left_semi"), "trim")
-        now = left.count()
-        if now == size:
-            return left
-        size = now
-    return left
+def chains(pairs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """The runs of nodes with one way in and one way out: (members: id, before, after; rings: id, ring), or None.
+
+    before and after are the nodes at both ends of a member's run. Runs without ends are rings, named by their least
+    node. Pointers double, so that the rounds are the logarithm of the longest run.
+    """
+    ways_out = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("outs"), F.min("dst").alias("to"))
+    ways_in = pairs.groupBy(F.col("dst").alias("k")).agg(F.count("*").alias("ins"), F.min("src").alias("from"))
+    inner = written(ways_out.join(ways_in, F.col("id") == F.col("k")).where("outs = 1 and ins = 1").select("id", "from", "to"), "chain")
+    n = inner.count()
+    if not n:
+        return None
+    rounds = Scratch(pairs.sparkSession, "jump")
+    at = rounds.write(inner.select("id", F.col("to").alias("after"), F.col("id").alias("last"), F.col("id").alias("low")))
+    for _ in range(math.ceil(math.log2(n)) + 1):
+        further = at.select(F.col("id").alias("k"), F.col("after").alias("after2"), F.col("last").alias("last2"), F.col("low").alias("low2"))
+        on = at.join(further, F.col("after") == F.col("k"), "left")
+        at = rounds.write(on.select("id", F.coalesce("after2", "after").alias("after"), F.coalesce("last2", "last").alias("last"), F.least("low", "low2").alias("low"), F.col("k").isNotNull().alias("going")))
+        rounds.keep(2)
+        if at.where("going").isEmpty():
+            break
+    # after 2 ** rounds steps only a ring is still inside
+    at = at.select("id", "after", "last", "low")
+    open_ = at.join(inner.select(F.col("id").alias("k")), F.col("after") == F.col("k"), "left_anti")
+    rings = written(at.join(open_.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti").select("id", F.col("low").alias("ring")), "rings")
+    heads = inner.join(inner.select(F.col("id").alias("k")), F.col("from") == F.col("k"), "left_anti").select(F.col("id").alias("h"), F.col("from").alias("before"))
+    first = open_.join(heads, F.col("id") == F.col("h")).select(F.col("last").alias("run"), "before")
+    return written(open_.join(first, F.col("last") == F.col("run")).select("id", "before", "after"), "runs"), rings
 
 
 def strong_components(pairs: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """id, component (the least member) of every node on a cycle of two nodes or more.
 
-    Forward-backward colouring: the greatest node that reaches a node colours it; within a colour, what reaches its
-    root backwards is the root's component. Components leave the graph, which is trimmed, until nothing is left.
+    First the graph is reduced: nodes without a way in or out lie on no cycle and go; runs of nodes with one way in and
+    one way out become one pair between their ends, since such a node is in a component exactly if both ends are in it.
+    Rings and long tails take a logarithm of rounds. What is left is coloured forward and backward: the greatest node
+    that reaches a node colours it; within a colour, what reaches its root backwards is the root's component.
+    NotConverged if a component's longest way takes more than most_rounds.
     """
-    found = None
-    left = trim(pairs)
+    pairs = pairs.where("src <> dst").select("src", "dst").distinct()
+    left, kept = written(pairs, "scc"), Scratch(pairs.sparkSession, "scc")
+    size, layers, found = left.count(), [], []
+    while size:
+        into, out = left.select(F.col("dst").alias("k")).distinct(), left.select(F.col("src").alias("k")).distinct()
+        left = kept.write(left.join(into, F.col("src") == F.col("k"), "left_semi").join(out, F.col("dst") == F.col("k"), "left_semi"))
+        runs = chains(left)
+        if runs is not None:
+            members, rings = runs
+            found.append(rings.select("id", F.col("ring").alias("c")))
+            layers.append(members)
+            inner = written(members.select("id").unionByName(rings.select("id")), "inner").select(F.col("id").alias("k"))
+            bare = left.join(inner, F.col("src") == F.col("k"), "left_anti").join(inner, F.col("dst") == F.col("k"), "left_anti")
+            left = kept.write(bare.unionByName(members.where("before <> after").select(F.col("before").alias("src"), F.col("after").alias("dst"))).distinct())
+        kept.keep(2)
+        now = left.count()
+        if now == size:
+            break
+        size = now
+    if size:
+        found.append(_coloured(left, most_rounds))
+    if not found:
+        return pairs.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    labels = found[0]
+    for x in found[1:]:
+        labels = labels.unionByName(x)
+    labels = written(labels, "scc")
+    for members in reversed(layers):
+        a, b = labels.select(F.col("id").alias("ka"), F.col("c").alias("ca")), labels.select(F.col("id").alias("kb"), F.col("c").alias("cb"))
+        own = members.join(a, F.col("before") == F.col("ka"), "left").join(b, F.col("after") == F.col("kb"), "left")
+        # an end in no component is its own
+        ca, cb = F.coalesce("ca", "before"), F.coalesce("cb", "after")
+        inside = written(own.where(ca == cb).select("id", "before", ca.alias("c")), "scc")
+        ends = inside.select(F.col("before").alias("id"), "c").distinct().join(labels.select(F.col("id").alias("k")), F.col("id") == F.col("k"), "left_anti")
+        labels = written(labels.unionByName(inside.select("id", "c")).unionByName(ends), "scc")
+    sized = labels.groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("component")).where("n > 1")
+    return labels.join(sized, F.col("c") == F.col("k")).select("id", "component")
+
+
+def _coloured(left: DataFrame, most_rounds: int) -> DataFrame:
+    """id, c: the nodes of each strong component under one c; a node by itself may be left out or be its own."""
+    found, kept = None, Scratch(left.sparkSession, "colour")
     while not left.isEmpty():
-        color = written(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")), "scc")
-        changed = True
+        color = kept.write(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("c", F.col("id")))
         for _ in range(most_rounds):
             sent = left.join(color, F.col("src") == F.col("id")).groupBy("dst").agg(F.max("c").alias("got"))
-            now = written(color.join(sent, F.col("id") == F.col("dst"), "left").select("id", F.greatest("c", F.coalesce("got", "c")).alias("c"), (F.coalesce("got", "c") > F.col("c")).alias("up")), "scc")
-            changed = not now.where("up").isEmpty()
+            now = kept.write(color.join(sent, F.col("id") == F.col("dst"), "left").select("id", F.greatest("c", F.coalesce("got", "c")).alias("c"), (F.coalesce("got", "c") > F.col("c")).alias("up")))
+            kept.keep(1)
             color = now.select("id", "c")
-            if not changed:
+            if now.where("up").isEmpty():
                 break
+        else:
+            raise NotConverged(f"strong components: {most_rounds} rounds were not enough")
         a, b = color.select(F.col("id").alias("src"), F.col("c").alias("cs")), color.select(F.col("id").alias("dst"), F.col("c").alias("cd"))
         inside = written(left.join(a, "src").join(b, "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cs").alias("c")), "scc")
-        members = frontier = written(color.where("id = c"), "scc")
-        while True:
+        frontier = written(color.where("id = c"), "scc")
+        members = _Seen(frontier, "scc")
+        for _ in range(most_rounds):
             step = frontier.join(inside, (F.col("id") == F.col("src")) & (frontier["c"] == inside["c"])).select(F.col("dst").alias("id"), inside["c"]).distinct()
-            frontier = written(step.join(members, ["id", "c"], "left_anti"), "scc")
+            frontier = written(step.join(members.all(), ["id", "c"], "left_anti"), "scc")
             if frontier.isEmpty():
                 break
-            members = written(members.unionByName(frontier), "scc")
-        found = members if found is None else found.unionByName(members)
-        gone = members.select(F.col("id").alias("k"))
-        left = trim(left.join(gone, F.col("src") == F.col("k"), "left_anti").join(gone, F.col("dst") == F.col("k"), "left_anti"))
-    if found is None:
-        return pairs.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    sized = found.groupBy("c").agg(F.count("*").alias("n"), F.min("id").alias("component")).where("n > 1").withColumnRenamed("c", "k")
-    return found.join(sized, F.col("c") == F.col("k")).select("id", "component")
+            members.levels.append(frontier)
+        else:
+            raise NotConverged(f"strong components: {most_rounds} rounds were not enough")
+        done = written(members.all(), "scc")
+        found = done if found is None else found.unionByName(done)
+        gone = done.select(F.col("id").alias("k"))
+        left = written(left.join(gone, F.col("src") == F.col("k"), "left_anti").join(gone, F.col("dst") == F.col("k"), "left_anti"), "scc")
+    return found
 
 
-def shortest_paths(pairs: DataFrame, sources: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(pairs: DataFrame, sources: DataFrame, most_rounds: int = 100_000) -> DataFrame:
     """source, node, distance and number of shortest paths, level by level from all sources together."""
-    seen = frontier = written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(1.0).alias("paths")).distinct(), "bfs")
+    frontier = written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("distance"), F.lit(1.0).alias("paths")).distinct(), "bfs")
+    seen = _Seen(frontier, "bfs")
     for level in range(1, most_rounds):
         step = frontier.join(pairs.select("src", "dst"), F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        new = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(level).alias("distance"), "paths")
+        new = step.join(seen.all().select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(level).alias("distance"), "paths")
         frontier = written(new, "bfs")
         if frontier.isEmpty():
-            break
-        seen = written(seen.unionByName(frontier), "bfs")
-    return seen
+            return seen.all()
+        seen.levels.append(frontier)
+    raise NotConverged(f"shortest paths: {most_rounds} rounds were not enough")
 
 
 def sample_sources(nodes: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.edges import TIERS
 from strandline.functions.paths import dirname
+from strandline.session import written
 
 
 def roll_up(projected: DataFrame, owner: DataFrame) -> DataFrame:
@@ -79,3 +80,27 @@ def changes(now: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
     """keys and change: new or gone. Both sides have distinct keys."""
     a, b = now.select(*keys, F.lit(1).alias("__n")), then.select(*keys, F.lit(1).alias("__t"))
     return a.join(b, keys, "full").where("__n is null or __t is null").select(*keys, F.when(F.col("__n").isNull(), "gone").otherwise("new").alias("change"))
+
+
+def short_labels(paths: DataFrame) -> DataFrame:
+    """path, label of every distinct path (column path): its last segments, as many as tell all paths of the same last
+    segment apart; the last one alone where no other path ends in it.
+
+    A path's segments are counted at every depth, so that the depth of a group is a grouping and not a comparison of
+    pairs. Paths of equal segments (their slashes differ) cannot be told apart: their group takes all segments.
+    """
+    named = F.filter(F.split("path", "/"), lambda s: s != "")
+    segments = F.when(F.size(named) > 0, named).otherwise(F.array("path"))
+    p = paths.where("path is not null").select("path").distinct().select("path", segments.alias("s")).withColumn("last", F.element_at("s", -1))
+    suffix = F.array_join(F.slice("s", -F.col("d"), F.col("d")), "/")
+    at = p.select("path", "last", F.size("s").alias("size"), F.explode(F.sequence(F.lit(1), F.size("s"))).alias("d"), "s").select("path", "last", "size", "d", suffix.alias("label"))
+    # written, so that a label of very many paths is split where it is joined
+    alike = written(at.groupBy("d", "label").agg(F.count("*").alias("n"), F.count_if(F.col("d") == F.col("size")).alias("whole")), "labels")
+    own = at.join(alike, ["d", "label"]).groupBy("path").agg(
+        F.first("last").alias("last"), F.first("size").alias("size"), F.min(F.when(F.col("n") == 1, F.col("d"))).alias("unique"), F.max((F.col("d") == F.col("size")) & (F.col("whole") > 1)).alias("twin")
+    )
+    needed = F.when(F.col("twin"), F.lit(1 << 30)).otherwise(F.coalesce("unique", F.col("size") + 1))
+    depth = own.groupBy(F.col("last").alias("k")).agg(F.count("*").alias("n"), F.max(needed).alias("need"), F.max("size").alias("longest"))
+    depth = written(depth.select("k", F.when(F.col("n") == 1, 1).otherwise(F.least(F.greatest("need", F.lit(2)), "longest")).alias("d")), "depths")
+    some = F.least("d", F.size("s"))
+    return p.join(depth, F.col("last") == F.col("k")).select("path", F.array_join(F.slice("s", -some, some), "/").alias("label"))

@@ -77,16 +77,15 @@ def module_name(spark: SparkSession, sf: str) -> DataFrame:
     return V.files(spark, sf).where(F.col("path").endswith(".py")).select("path", T.module_name(F.col("path")).alias("module"))
 
 
-@query("SELECT page_id, label FROM (SELECT page_id, label, row_number() OVER (PARTITION BY page_id ORDER BY d) AS k FROM (SELECT page_id, d, label, count(*) OVER (PARTITION BY d, label) AS n FROM (SELECT page_id, d, array_to_string(list_slice(string_split(url, '/'), -d, -1), '/') AS label, len(string_split(url, '/')) AS m FROM pages, range(1, 12) t(d)) x WHERE d <= m) y WHERE n = 1) z WHERE k = 1")
+_SEGMENTS = "SELECT url, CASE WHEN len(s) = 0 THEN [url] ELSE s END AS s FROM (SELECT DISTINCT url, list_filter(string_split(url, '/'), lambda x: x <> '') AS s FROM pages WHERE url IS NOT NULL) q"
+
+
+@query(f"WITH p AS ({_SEGMENTS}), g AS (SELECT s[-1] AS k, count(*) AS n, max(len(s)) AS longest FROM p GROUP BY 1), c AS (SELECT k, d, count(DISTINCT array_to_string(list_slice(s, -least(d, len(s)), -1), '/')) = any_value(n) AS apart FROM p JOIN g ON k = s[-1] JOIN range(2, 64) t(d) ON d <= longest WHERE n > 1 GROUP BY 1, 2), e AS (SELECT g.k, CASE WHEN n = 1 THEN 1 ELSE coalesce(min(d) FILTER (apart), any_value(longest)) END AS d FROM g LEFT JOIN c ON c.k = g.k GROUP BY g.k, n) SELECT page_id, array_to_string(list_slice(s, -least(d, len(s)), -1), '/') AS label FROM pages JOIN p ON p.url = pages.url JOIN e ON e.k = s[-1]")
 def short_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """The shortest suffix of segments that no other URL ends in, else the whole URL; pages of one URL share its label."""
+    """Short labels of URLs; pages of one URL share its label. The SQL goes to 63 segments, the given URLs have 6."""
     pages = V.table(spark, sf, "pages").where("url is not null").select("page_id", "url")
-    parts = F.split("url", "/")
-    all_ = pages.select("url").distinct().select("url", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("d"), parts.alias("p"))
-    labels = all_.select("url", "d", F.array_join(F.slice("p", -F.col("d"), F.col("d")), "/").alias("label"))
-    unique = labels.groupBy("d", "label").agg(F.count("*").alias("n"), F.min("url").alias("u")).where("n = 1")
-    best = unique.groupBy("u").agg(F.min_by("label", "d").alias("label"))
-    return pages.join(best, F.col("url") == F.col("u"), "left").select("page_id", F.coalesce("label", "url").alias("label"))
+    labels = written(S.short_labels(pages.select(F.col("url").alias("path"))), "labels")
+    return pages.join(labels, F.col("url") == F.col("path")).select("page_id", "label")
 
 
 @query(V.sql("SELECT path, CASE WHEN path LIKE 'app/db/src1/%' THEN 'explicit_output' WHEN regexp_matches(path, '(^|/)(package-lock\\.json|yarn\\.lock|pnpm-lock\\.yaml|poetry\\.lock|Pipfile\\.lock)$') THEN 'lockfile' WHEN path LIKE 'vendor/%' OR path LIKE 'node_modules/%' OR path LIKE 'third_party/%' THEN 'vendored' WHEN path LIKE 'build/%' OR path LIKE 'dist/%' OR path LIKE '%.min.js' THEN 'generated_path' WHEN content IS NULL THEN 'unreadable' WHEN strlen(content) > 20000 THEN 'too_large' WHEN contains(substr(content, 1, 8192), chr(0)) THEN 'binary' WHEN regexp_matches(array_to_string(list_slice(string_split(content, chr(10)), 1, 8), chr(10)), '(?i)generated file|do not edit|license') THEN 'generated_marker' END AS reason FROM files", "files"))
@@ -116,12 +115,13 @@ def route_matching(spark: SparkSession, sf: str) -> DataFrame:
     return c.join(s, F.col("route") == F.col("r"), "left").select("page_id", "route", F.coalesce("n", F.lit(0)).alias("servers"), F.when(F.col("n").isNull(), "unmatched").when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("status"))
 
 
-@query("SELECT p_partkey, lower(p_brand) AS table_name FROM (SELECT p_partkey, regexp_replace(p_brand, '[^A-Za-z0-9_]', '_', 'g') AS p_brand FROM part) x")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 3 THEN 'my-' || b WHEN 4 THEN 'täble' || p_partkey WHEN 5 THEN '1' || b || '$' ELSE b END AS table_name FROM (SELECT p_partkey, lower(regexp_replace(p_brand, '[^A-Za-z0-9_]', '_', 'g')) AS b FROM part) x")
 def table_name_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    """Dotted and quoted in three ways; the last part comes out bare."""
+    """Dotted and quoted in three ways, and with a dash, an umlaut or a digit in front; the last part comes out bare."""
     b = F.regexp_replace("p_brand", "[^A-Za-z0-9_]", "_")
-    k = F.col("p_partkey") % 3
-    name = F.when(k == 0, F.concat(F.lit('public."'), b, F.lit('"'))).when(k == 1, F.concat(F.lit("`db`.`"), b, F.lit("`"))).otherwise(F.concat(F.lit("dbo . ["), b, F.lit("]")))
+    k = F.col("p_partkey") % 6
+    name = F.when(k == 0, F.concat(F.lit('public."'), b, F.lit('"'))).when(k == 1, F.concat(F.lit("`db`.`"), b, F.lit("`"))).when(k == 2, F.concat(F.lit("dbo . ["), b, F.lit("]")))
+    name = name.when(k == 3, F.concat(F.lit("public.my-"), b)).when(k == 4, F.concat(F.lit("Täble"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.lit(' a."b".1'), b, F.lit("$ ")))
     return V.table(spark, sf, "part").select("p_partkey", T.normalize_table(name).alias("table_name"))
 
 
@@ -301,17 +301,17 @@ def tests_edges(spark: SparkSession, sf: str) -> DataFrame:
     return _edge_nodes(spark, sf).where("ca = 'test' and cb <> 'test'").groupBy("from_id", "to_id", "confidence", "resolution").agg(F.count("*").alias("n"))
 
 
-@query(V.sql(f"SELECT h.id, h.rank, coalesce(u.n, 0) AS uncertain FROM (SELECT id, row_number() OVER (ORDER BY coalesce(d.w, 0) DESC, id) AS rank FROM nodes LEFT JOIN (SELECT dst, round(sum(weight), 6) AS w FROM pairs GROUP BY 1) d ON d.dst = id WHERE category = 'production') h LEFT JOIN (SELECT to_id, count(*) AS n FROM ({_EDGEN}) x WHERE relation = 'TESTS' AND ca = 'test' AND resolution IN ('ambiguous', 'unresolved') GROUP BY 1) u ON u.to_id = h.id WHERE h.rank <= 50 AND h.id NOT IN (SELECT to_id FROM ({_EDGEN}) y WHERE relation = 'TESTS' AND ca = 'test' AND resolution IN ('exact', 'unique_name'))", "pairs", "nodes"))
+@query(V.sql("SELECT h.id, h.rank, coalesce(u.unsure, 0) AS uncertain FROM (SELECT r.id, row_number() OVER (ORDER BY round(score, 9) DESC, r.id) AS rank FROM r JOIN nodes ON nodes.id = r.id WHERE i = 60 AND category = 'production') h LEFT JOIN u ON u.to_id = h.id WHERE h.rank <= 50 AND coalesce(u.sure, 0) = 0", "pairs", "nodes", recursive="pp AS (SELECT * FROM pairs), u AS (SELECT to_id, count(*) FILTER (resolution IN ('exact', 'unique_name')) AS sure, count(*) FILTER (resolution IN ('ambiguous', 'unresolved')) AS unsure FROM part_edges JOIN nodes a ON a.id = from_id WHERE relation = 'TESTS' AND a.category = 'test' GROUP BY 1), " + V.pagerank_sql(60)))
 def untested_hub(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the fifty production nodes of greatest weighted fan-in, those that no test reaches for certain."""
-    n = V.part_nodes(spark, sf).where("category = 'production'")
-    d = G.degrees(G.pair_weights(G.project(V.part_edges(spark, sf))), n).select("id", F.round("weighted_fan_in", 6).alias("w"))
-    best = d.orderBy(F.desc("w"), "id").limit(50)
-    hubs = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("w"), "id")).cast("long"))
-    t = _edge_nodes(spark, sf).where("relation = 'TESTS' and ca = 'test'")
-    sure = t.where(F.col("resolution").isin("exact", "unique_name")).select(F.col("to_id").alias("k")).distinct()
-    unsure = t.where(F.col("resolution").isin("ambiguous", "unresolved")).groupBy(F.col("to_id").alias("k")).agg(F.count("*").alias("u"))
-    return hubs.join(sure, F.col("id") == F.col("k"), "left_anti").join(unsure, F.col("id") == F.col("k"), "left").select("id", "rank", F.coalesce("u", F.lit(0)).alias("uncertain"))
+    """Of the fifty production nodes of greatest PageRank, those that no test reaches for certain."""
+    n, e = V.part_nodes(spark, sf), V.part_edges(spark, sf)
+    scores = G.pagerank(G.pair_weights(G.project(e)), n).select(F.col("id").alias("k"), F.round("score", 9).alias("score"))
+    best = n.where("category = 'production'").join(scores, F.col("id") == F.col("k")).orderBy(F.desc("score"), "id").limit(50)
+    hubs = best.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long").alias("rank"))
+    tests = n.where("category = 'test'").select(F.col("id").alias("t"))
+    sure = F.col("resolution").isin("exact", "unique_name")
+    reached = e.where("relation = 'TESTS'").join(tests, F.col("from_id") == F.col("t")).groupBy("to_id").agg(F.count_if(sure).alias("sure"), F.count_if(F.col("resolution").isin("ambiguous", "unresolved")).alias("unsure"))
+    return hubs.join(reached, F.col("id") == F.col("to_id"), "left").where("coalesce(sure, 0) = 0").select("id", "rank", F.coalesce("unsure", F.lit(0)).alias("uncertain"))
 
 
 _SIDES = "SELECT from_id AS id, * FROM (SELECT from_id, to_id, confidence, resolution FROM part_edges_sparse WHERE from_id <> to_id) x UNION ALL SELECT to_id AS id, * FROM (SELECT from_id, to_id, confidence, resolution FROM part_edges_sparse WHERE from_id <> to_id) y"
@@ -389,14 +389,14 @@ def _inst(side: str) -> str:
     return f"(SELECT p, sum(o) / CAST(count(*) AS DOUBLE) AS i FROM (SELECT from_pkg AS p, 1 AS o FROM {side} UNION ALL SELECT to_pkg, 0 FROM {side}) x GROUP BY 1)"
 
 
-@query(V.sql(f"SELECT a.p AS package, round(a.i - b.i, 9) AS delta FROM {_inst('snap_cur')} a JOIN {_inst('snap_base')} b ON a.p = b.p WHERE abs(a.i - b.i) >= 0.05 - 1e-12", "snap_cur", "snap_base"), whole=True)
+@query(V.sql(f"SELECT a.p AS package, round(a.i - b.i, 9) AS delta FROM {_inst('snap_cur')} a JOIN {_inst('snap_base')} b ON a.p = b.p WHERE abs(a.i - b.i) >= 0.2 - 1e-12", "snap_cur", "snap_base"), whole=True)
 def delta_instability(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     def inst(df, name):
         m = S.package_metrics(df.select(F.col("from_pkg").alias("src"), F.col("to_pkg").alias("dst"), F.lit(1.0).alias("max_weight")), df.select(F.explode(F.array("from_pkg", "to_pkg")).alias("package")).groupBy("package").agg(F.count("*").alias("file_count")))
         return m.select(F.col("package").alias(f"p_{name}"), F.col("instability").alias(name))
 
     j = inst(V.snap_cur(spark, sf, whole), "now").join(inst(V.snap_base(spark, sf, whole), "before"), F.col("p_now") == F.col("p_before"))
-    return j.where("abs(now - before) >= 0.05 - 1e-12").select(F.col("p_now").alias("package"), F.round(F.col("now") - F.col("before"), 9).alias("delta"))
+    return j.where("abs(now - before) >= 0.2 - 1e-12").select(F.col("p_now").alias("package"), F.round(F.col("now") - F.col("before"), 9).alias("delta"))
 
 
 @query(V.sql("SELECT change, count(*) AS n FROM (SELECT CASE WHEN b.from_pkg IS NULL THEN 'new' ELSE 'gone' END AS change FROM snap_cur a FULL JOIN snap_base b ON a.from_pkg = b.from_pkg AND a.to_pkg = b.to_pkg WHERE a.from_pkg IS NULL OR b.from_pkg IS NULL) x GROUP BY 1", "snap_cur", "snap_base"), whole=True)

@@ -229,14 +229,7 @@ def reach_status(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame
     return n.select("id").join(sure, "id", "left").join(may, "id", "left").select("id", F.when(F.col("sure") == 1, "tested").when(F.col("may") == 1, "uncertain").otherwise("untested").alias("test_reach"))
 
 
-_PR = """deg AS (SELECT src, count(*) AS d, sum(weight) AS w FROM pp GROUP BY 1),
-r AS (SELECT 0 AS i, id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS score FROM nodes
- UNION ALL SELECT q.i + 1, q.id, (0.15::DOUBLE + 0.85::DOUBLE * q.spread) / q.n + coalesce(q.got, 0) FROM (
-  SELECT s.i, s.id, s.n, s.spread, g.got FROM (SELECT r.i, r.id, count(*) OVER () AS n, sum(r.score * (1 - coalesce(deg.w / deg.d, 0))) OVER () AS spread FROM r LEFT JOIN deg ON deg.src = r.id WHERE r.i < 10) s
-  LEFT JOIN (SELECT pp.dst, 0.85::DOUBLE * sum(r.score * pp.weight / deg.d) AS got FROM r JOIN pp ON pp.src = r.id JOIN deg ON deg.src = pp.src WHERE r.i < 10 GROUP BY 1) g ON g.dst = s.id) q)"""
-
-
-@query(V.sql("SELECT id, round(score, 9) AS pagerank FROM r WHERE i = 10", "nodes", "pairs", "sparse_pairs", recursive="pp AS (SELECT p.* FROM pairs p JOIN sparse_pairs s ON p.src = s.src AND p.dst = s.dst), " + _PR), whole=None)
+@query(V.sql("SELECT id, round(score, 9) AS pagerank FROM r WHERE i = 10", "nodes", "pairs", "sparse_pairs", recursive="pp AS (SELECT p.* FROM pairs p JOIN sparse_pairs s ON p.src = s.src AND p.dst = s.dst), " + V.pagerank_sql(10)), whole=None)
 def pagerank_k(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
     if whole:  # every pair, to the operator's own tolerance
         return G.pagerank(_pairs(spark, sf), V.part_nodes(spark, sf)).select("id", F.round("score", 9).alias("pagerank"))

@@ -142,6 +142,15 @@ def sql(body: str, *views: str, recursive: str = "") -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}" if parts else body
 
 
+def pagerank_sql(rounds: int) -> str:
+    """r (i, id, score): the scores of nodes after i rounds over the pairs pp."""
+    return f"""deg AS (SELECT src, count(*) AS d, sum(weight) AS w FROM pp GROUP BY 1),
+r AS (SELECT 0 AS i, id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS score FROM nodes
+ UNION ALL SELECT q.i + 1, q.id, (0.15::DOUBLE + 0.85::DOUBLE * q.spread) / q.n + coalesce(q.got, 0) FROM (
+  SELECT s.i, s.id, s.n, s.spread, g.got FROM (SELECT r.i, r.id, count(*) OVER () AS n, sum(r.score * (1 - coalesce(deg.w / deg.d, 0))) OVER () AS spread FROM r LEFT JOIN deg ON deg.src = r.id WHERE r.i < {rounds}) s
+  LEFT JOIN (SELECT pp.dst, 0.85::DOUBLE * sum(r.score * pp.weight / deg.d) AS got FROM r JOIN pp ON pp.src = r.id JOIN deg ON deg.src = pp.src WHERE r.i < {rounds} GROUP BY 1) g ON g.dst = s.id) q)"""
+
+
 def whole_sql(text: str, drop: tuple[str, ...] = ()) -> str:
     """A query's SQL over all relations instead of the sparse sample, without the further conditions in drop."""
     for old, new in ((SQL["part_edges_sparse"], "SELECT * FROM part_edges"), *((d, "") for d in drop)):

@@ -20,10 +20,40 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. A local one only where none is set and the master is local."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file:///tmp/strandline-checkpoints"
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """df as a Parquet table under spark.checkpoint.dir: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandline-checkpoints"
-    path = f"{base.rstrip('/')}/strandline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, label).write(df)
+
+
+class Scratch:
+    """Written tables of a loop, of which the older ones are removed once nothing needs them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.label = spark, label
+        self.base = shared_dir(spark)
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/strandline-{self.label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, last: int) -> None:
+        """Removes all tables but the last ones."""
+        old = self.paths[: max(0, len(self.paths) - last)]
+        self.paths = self.paths[len(old) :]
+        context = self.spark.sparkContext
+        for path in old:
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

@@ -34,6 +34,8 @@ def test_names_and_signatures(spark):
     assert apply(spark, ["f( a, b, )", "g('x') ;}", "h(\n a)"], T.squeeze_signature) == ["f(a,b)", 'g("x")}', "h(a)"]
     assert apply(spark, ["a/b/__init__.py", "__init__.py", "a/b.py"], T.module_name) == ["a.b", "__init__", "a.b"]
     assert apply(spark, ['public."Users"', "`t`", "a.b.C", "", "[x]"], T.normalize_table) == ["users", "t", "c", None, "x"]
+    odd = ["my-table", "täble", "1abc", '"ab', "a . `b c`", "[d].e]", " x.\u00a0y ", None]
+    assert apply(spark, odd, T.normalize_table) == ["my-table", "täble", "1abc", '"ab', "b c", "e]", "y", None]
     rows = spark.createDataFrame([("_x", ""), ("x", "private async"), ("x", "public"), ("#y", "")], "n string, p string")
     assert [r.v for r in rows.select(T.visibility(F.col("n"), F.col("p")).alias("v")).collect()] == ["private", "private", "public", "private"]
 
@@ -87,3 +89,16 @@ def test_short_labels_of_long_shared_and_nested_urls(spark, tmp_path):
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.label for r in registry.QUERIES["short_labels"](spark, str(tmp_path)).collect()}
     assert got == {0: "a/" + tail, 1: "b/" + tail, 2: "x", 3: "x", 4: "y/z", 5: "w/y/z"}
+
+
+def test_short_labels_tell_a_whole_group_apart(spark):
+    from strandline.operators import structure as S
+
+    paths = ["a/x/f", "b/x/f", "c/y/f", "g", "t//q", "t/q", "u/t/q", "/", "", None, "m/h", "h"]
+    got = {r.path: r.label for r in S.short_labels(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {"a/x/f": "a/x/f", "b/x/f": "b/x/f", "c/y/f": "c/y/f", "g": "g", "t//q": "t/q", "t/q": "t/q", "u/t/q": "u/t/q", "/": "/", "": "", "m/h": "m/h", "h": "h"}
+
+
+def test_globs_match_to_the_very_end():
+    assert re.match(P.path_glob("a/*"), "a/b") and not re.match(P.path_glob("a/b"), "a/b\n") and re.match(P.path_glob("**/**/x"), "x")
+    assert re.match(P.name_glob("*.net"), "a.net") and not re.match(P.name_glob("*.net"), "a.net\n")

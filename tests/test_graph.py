@@ -162,3 +162,46 @@ def test_longest_prefix(spark):
 def test_changes(spark):
     now, then = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), spark.createDataFrame([("b", 2), ("c", 3)], "k string, v int")
     assert sorted(map(tuple, S.changes(now, then, ["k", "v"]).collect())) == [("a", 1, "new"), ("c", 3, "gone")]
+
+
+def test_strong_components_of_rings_tails_and_chords(spark):
+    """A ring of 20,000 takes a logarithm of rounds; runs between branching nodes, and rings that meet in one node."""
+    ring = [(i, (i + 1) % 20_000) for i in range(20_000)]
+    tail = [(30_000 + i, 30_001 + i) for i in range(3_000)] + [(0, 30_000)]
+    eight = [(40_000, 40_001), (40_001, 40_002), (40_002, 40_000), (40_000, 40_003), (40_003, 40_000)]
+    ladder = [(50_000 + i, 50_000 + (i + d) % 9) for i in range(9) for d in (1, 2)] + [(50_003, 60_000), (60_000, 60_001), (60_001, 50_005), (50_004, 61_000), (61_000, 61_001)]
+    got = {r.id: r.component for r in G.strong_components(spark.createDataFrame(ring + tail + eight + ladder, "src long, dst long")).collect()}
+    want = dict.fromkeys(range(20_000), 0) | dict.fromkeys(range(40_000, 40_004), 40_000) | dict.fromkeys([*range(50_000, 50_009), 60_000, 60_001], 50_000)
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_strong_components_of_subdivided_graphs(spark, seed):
+    """Random graphs whose pairs are drawn out into runs of one to four nodes."""
+    nodes, pairs = random_graph(seed + 20, n=9, density=0.2)
+    drawn, new = [], 100
+    for k, (a, b) in enumerate(pairs):
+        for _ in range(k % 4):
+            drawn.append((a, new))
+            a, new = new, new + 1
+        drawn.append((a, b))
+    every = {x for p in drawn for x in p}
+    away = {x: reachable(drawn, x) for x in every}
+    want = {x: min(m) for x in every if len(m := {y for y in away[x] if x in away[y]}) > 1}
+    assert {r.id: r.component for r in G.strong_components(spark.createDataFrame(drawn, "src long, dst long")).collect()} == want
+
+
+def test_loops_that_do_not_end_say_so(spark):
+    v = spark.createDataFrame([(i, 1) for i in range(8)], "id long, ticks long")
+    ring = spark.createDataFrame([(i, (i + d) % 8, 0.5 + i / 20) for i in range(8) for d in (1, 2)], "src long, dst long, weight double")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    for run in (
+        lambda: G.pagerank(ring, v, 2),
+        lambda: G.components(chain, v, 1),
+        lambda: G.reach(chain, v.where("id = 0").select("id"), 3),
+        lambda: G.closure(chain, 1),
+        lambda: G.strong_components(ring.select("src", "dst"), 1),
+        lambda: G.shortest_paths(chain, v.where("id = 0").select("id"), 3),
+    ):
+        with pytest.raises(G.NotConverged):
+            run()
