@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python task works on at once.
-SLICE_BYTES = 3 << 20
-#: Rows up to which a side made of a few fixed-width columns may be broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
-
+from strandline.session import BROADCAST_ROWS, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. A local one is used only where none is given."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/strandline-checkpoints").rstrip("/")
+__all__ = ["BROADCAST_ROWS", "shared_dir", "written"]
 
-
-def written(df: DataFrame, label: str = "t") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that a Python task works on at once.
+SLICE_BYTES = 3 << 20
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -133,8 +120,8 @@ def range_bounds(df: DataFrame, key: str, buckets: int, cells: int = 1024) -> li
     """Ascending lower bounds that cut an integer key into ranges of about equal row counts.
 
     Counts are exact and the outcome depends only on the rows: equal-width cells are counted in Spark, cells with more
-    than their share are cut again, and neighbours are joined up to the share. The driver holds at most some thousand
-    cells. Nulls are left out (range_of puts them into range 0).
+    than their share are cut again, and neighbours are joined up to the share. The driver holds the cells' counts: no more
+    than 64 new cells for each range asked for, a round. Nulls are left out (range_of puts them into range 0).
     """
     keys = df.select(F.col(key).cast("long").alias("k")).where("k is not null")
     n, lo, hi = keys.agg(F.count("*"), F.min("k"), F.max("k")).first()
@@ -147,7 +134,7 @@ def range_bounds(df: DataFrame, key: str, buckets: int, cells: int = 1024) -> li
         counts = dict(keys.groupBy(range_of("k", bounds[1:]).alias("b")).count().collect())
         ends = bounds[1:] + [hi + 1]
         heavy = {i for i, c in counts.items() if c > share and ends[i] - bounds[i] > 1}
-        if not heavy or len(bounds) > 200_000:
+        if not heavy:
             break
         finer = []
         for i, (a, b) in enumerate(zip(bounds, ends, strict=True)):

@@ -1,16 +1,18 @@
 """Exact similarity join of word n-gram sets by a prefix tree, and the groups that its links form.
 
-1. Every document becomes a set of hashed word n-grams. Equal sets are one class from here on.
+1. Every document becomes a set of hashed word n-grams. Equal sets are one class, of which one goes on.
 2. Blocks. Two t-similar sets differ in few members. If the members are dealt by hash into more classes than can differ,
    some classes are equal in both. Each set sends keys for its largest classes (at the scale of its own size and, near
    a boundary, of the next); sets with a common key go into one block. Nothing that is similar is missed, and most
    sets meet no other.
-3. Within a block, sets are ordered by a common order of their members (the most frequent first) and stored in a
-   compressed prefix tree. Each set walks the tree level by level: the overlap with a path is counted once for all sets
-   below it, and a subtree is left as soon as its overlap and the shorter of both remainders cannot reach what is needed.
-   The count at a set's end is the exact overlap.
-4. Large blocks are cut by hash into chunks, and each pair of chunks is a tree join of its own. A join returns the
-   links of a spanning forest, so that a group of copies never becomes all its pairs.
+3. All sets in blocks are sorted by one global order of their members, the most frequent first: counts of all members
+   over a fixed number of cells, then the members themselves. A chunk of sets is stored in a compressed prefix tree.
+   Sets walk the tree level by level: the overlap with a path is counted once for all sets below it, and a subtree is
+   left as soon as its overlap and the shorter of both remainders cannot reach what is needed. The count at a set's end
+   is the exact overlap. A join returns the links of a spanning forest, so that copies never become all their pairs.
+4. Large blocks are cut by hash into chunks, each joined with itself. One set of each component found goes on to the
+   next round, in fewer chunks, until no round finds a link: near copies, however many, end up as one component. Only
+   chunks with sets of different components are then joined with each other, each pair once.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import _MUL, flat_ranges, mix, runs, scan_rows, small_side, text_hashes, window_hashes, written
-from strandline.llm.components import components
+from strandline.operators.components import star_components
 
 #: Sizes of chunks of a block: sets, members.
-CHUNK_SETS, CHUNK_MEMBERS = 2500, 1_000_000
+CHUNK_SETS, CHUNK_MEMBERS = 1000, 500_000
+#: Cells over which members are counted for their global order (a power of two).
+CELLS = 1 << 18
 _BAND = 1.5
 
 
@@ -198,71 +202,109 @@ class Forest:
         return True
 
 
-def tree_join(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the sets whose Jaccard similarity is at least percent / 100."""
+def cell_of(members: np.ndarray) -> np.ndarray:
+    return (mix(members) >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+
+
+def tree_join(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, frequency: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the sets whose Jaccard similarity is at least percent / 100.
+
+    side: 0 for sets of the tree, 1 for sets that walk it; where all are of side 0, they do both. frequency: of each
+    cell, for the members' global order.
+    """
+    two = bool(side.any())
+    if two and side.all():
+        return []
     sizes = np.array([len(s) for s in sets], np.int64)
-    members, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    members, inverse = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
-    shared = count[inverse] > 1
+    walks = np.bincount(inverse, weights=side[owner], minlength=len(members))
+    count = np.bincount(inverse, minlength=len(members))
+    met = (walks > 0) & (walks < count) if two else count > 1
+    shared = met[inverse]
     common = np.bincount(owner, weights=shared, minlength=len(sets)).astype(np.int64)
     # a set whose shared members are too few for any partner has no link
-    open_ = np.flatnonzero(100 * common >= percent * sizes)
-    if len(open_) < 2:
-        return []
-    # common order: the most frequent first, ties by value; members of one set alone are left out
+    fit = 100 * common >= percent * sizes
     rank = np.empty(len(members), np.int64)
-    rank[np.lexsort((members, -count))] = np.arange(len(members))
-    keep = shared & np.isin(owner, open_)
+    rank[np.lexsort((members, -frequency[cell_of(members)]))] = np.arange(len(members))
+    keep = shared & fit[owner]
     own, flat = owner[keep], rank[inverse[keep]]
     order = np.lexsort((flat, own))
     own, flat = own[order], flat[order]
-    starts = np.searchsorted(own, open_)
-    lens = common[open_]
-    lists = [flat[a : a + n] for a, n in zip(starts.tolist(), lens.tolist(), strict=True)]
-    by = sorted(range(len(lists)), key=lambda i: lists[i].astype(">i8").tobytes())
-    tree = PrefixTree(flat, starts[by], lens[by])
+    starts = np.searchsorted(own, np.arange(len(sets)))
+    lists = {i: flat[starts[i] : starts[i] + common[i]] for i in np.flatnonzero(fit).tolist()}
+    by = np.array(sorted((i for i in lists if not side[i]), key=lambda i: lists[i].astype(">i8").tobytes()), np.int64)
+    walkers = [i for i in lists if side[i]] if two else by.tolist()
+    if not len(by) or not walkers:
+        return []
+    tree = PrefixTree(flat, starts[by], common[by])
     extra = np.full(len(tree.parent), 1 << 40, np.int64)
-    single = (sizes[open_] - lens)[by]
     # the fewest members outside the tree among the sets below a node
-    np.minimum.at(extra, tree.end, single)
+    np.minimum.at(extra, tree.end, (sizes - common)[by])
     for node in range(len(extra) - 1, -1, -1):
         if tree.parent[node] >= 0:
             extra[tree.parent[node]] = min(extra[tree.parent[node]], extra[node])
-    forest, links = Forest(len(by)), []
+    forest, links = Forest(len(sets)), []
     inside = np.zeros(len(members), np.int64)
-    full = sizes[open_][by]
-    for q in range(len(by)):
-        x = lists[by[q]]
+    full = sizes[by]
+    for q in walkers:
+        x = lists[q]
         inside[x] = 1
-        got, alive = tree.overlaps(inside, int(full[q]), extra, percent)
+        got, alive = tree.overlaps(inside, int(sizes[q]), extra, percent)
         inside[x] = 0
         o = got[tree.end]
-        near = np.flatnonzero(alive[tree.end] & (100 * o >= percent * (full[q] + full - o)))
-        for j in near.tolist():
+        near = np.flatnonzero(alive[tree.end] & (100 * o >= percent * (sizes[q] + full - o)))
+        for j in by[near].tolist():
             if j != q and forest.join(q, j):
-                links.append((int(ids[open_[by[q]]]), int(ids[open_[by[j]]])))
+                links.append((int(ids[q]), int(ids[j])))
     return links
 
 
+def _local_stars(batches):
+    """Of each key in a batch its first set is sent on as (key, set); the others are linked with it at once."""
+    for batch in batches:
+        keys = batch.column("keys")
+        flat = keys.flatten().to_numpy()
+        if not len(flat):
+            continue
+        node = np.repeat(batch.column("__id").to_numpy(), np.diff(keys.offsets.to_numpy()))
+        order = np.lexsort((node, flat))
+        flat, node = flat[order], node[order]
+        starts, lengths = runs(flat)
+        hub = np.repeat(node[starts], lengths)
+        on = hub != node
+        pair = np.unique(np.stack([node[on], hub[on]]), axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat([False, True], [len(starts), pair.shape[1]])), pa.array(np.concatenate([flat[starts], pair[0]])), pa.array(np.concatenate([node[starts], pair[1]]))], ["local", "a", "b"]
+        )
+
+
 def _stars(batches):
-    """(a, b): each set with the first set of its key, from rows sorted by key. Holds one row between batches."""
+    """(a, b): each set with the first set of its key, from rows sorted by key, and the links that are there already.
+    Holds one row between batches."""
     last, first = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-        starts, lengths = runs(key)
-        hub = np.repeat(node[starts], lengths)
-        if last is not None and key[0] == last:
-            hub[: lengths[0]] = first
-        last, first = key[-1], hub[-1]
-        on = hub != node
-        if on.any():
-            pair = np.unique(np.stack([node[on], hub[on]]), axis=1)
+        local, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("local", "a", "b"))
+        pairs = [np.stack([a[local], b[local]])]
+        key, node = a[~local], b[~local]
+        if len(key):
+            starts, lengths = runs(key)
+            hub = np.repeat(node[starts], lengths)
+            if last is not None and key[0] == last:
+                hub[: lengths[0]] = first
+            last, first = key[-1], hub[-1]
+            on = hub != node
+            pairs.append(np.stack([node[on], hub[on]]))
+        pair = np.unique(np.concatenate(pairs, axis=1), axis=1)
+        if pair.shape[1]:
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
 
-def _join_blocks(percent: int):
+def _join_chunks(percent: int, frequency: np.ndarray):
+    """Links within each group of rows (block, ci, cj), sorted by it."""
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         key = None
@@ -270,7 +312,7 @@ def _join_blocks(percent: int):
         def done(parts):
             t = pa.Table.from_batches(parts)
             sets = [np.frombuffer(b, np.uint64) for b in t.column("members").to_pylist()]
-            return tree_join(t.column("node").to_numpy(), sets, percent)
+            return tree_join(t.column("node").to_numpy(), sets, t.column("side").to_numpy(), percent, frequency)
 
         def send(links):
             a = np.array(links, np.int64).reshape(-1, 2)
@@ -319,13 +361,89 @@ def _measure(src: DataFrame, n: int, percent: int) -> DataFrame:
 
 def _members(src: DataFrame, n: int) -> DataFrame:
     def run(batches):
-        for (ids, block, chunk, chunks), texts in scan_rows(batches, "__text", ["__id", "block", "chunk", "chunks"]):
+        for (ids, block), texts in scan_rows(batches, "__text", ["__id", "block"]):
             g, sizes = shingle_sets(texts, n)
             data, at = g.tobytes(), np.cumsum(sizes)
             blobs = pa.array([data[8 * (e - s) : 8 * e] for e, s in zip(at.tolist(), sizes.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, block, chunk, chunks, blobs], ["node", "block", "chunk", "chunks", "members"])
+            yield pa.RecordBatch.from_arrays([ids, block, pa.array(sizes), blobs], ["node", "block", "n", "members"])
+
+    return src.mapInArrow(run, "node long, block long, n long, members binary")
+
 
-    return src.mapInArrow(run, "node long, block long, chunk int, chunks int, members binary")
+def _frequencies(members: DataFrame) -> np.ndarray:
+    """How often members of each cell occur, over all sets: CELLS numbers, whatever the input's size."""
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            total += np.bincount(cell_of(np.frombuffer(b"".join(b.column("members").to_pylist()), np.uint64)), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    counted = members.select("members").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def _chunks(sets: Column | str, members: Column | str) -> Column:
+    return F.greatest(F.ceil(F.col(sets) / CHUNK_SETS), F.ceil(F.col(members) / CHUNK_MEMBERS)).cast("int")
+
+
+def _inside(members: DataFrame, percent: int, frequency: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Links within chunks of each block, and the blocks (k) of several chunks."""
+    room = written(members.groupBy(F.col("block").alias("k")).agg(F.count("*").alias("sets"), F.sum("n").alias("m")).select("k", _chunks("sets", "m").alias("chunks")), "room")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    dealt = members.join(small_side(room, room.count()), F.col("block") == F.col("k")).select("node", "block", "members", chunk.alias("ci"), chunk.alias("cj"), F.lit(0).alias("side"))
+    links = dealt.repartition("block", "ci", "cj").sortWithinPartitions("block", "ci", "cj").mapInArrow(_join_chunks(percent, frequency), "a long, b long")
+    return written(links, "inside"), room.where("chunks > 1").select("k")
+
+
+def _across(members: DataFrame, labels: DataFrame, percent: int, frequency: np.ndarray) -> DataFrame:
+    """Links between sets of one block that are in different components. A large component has chunks of its own, which
+    are not joined with each other; small ones share chunks."""
+    m = members.join(labels.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").withColumn("label", F.coalesce("component", "node")).drop("k", "component")
+    m = written(m, "labelled")
+    own = written(m.groupBy("block", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("m")), "labels")
+    several = own.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("labels"), F.sum(F.when(F.col("sets") <= CHUNK_SETS, F.col("sets"))).alias("s"), F.sum(F.when(F.col("sets") <= CHUNK_SETS, F.col("m"))).alias("sm")).where("labels > 1")
+    several = written(several.select("b", _chunks("s", "sm").alias("shared")), "several")
+    plan = own.join(small_side(several, several.count()), F.col("block") == F.col("b"))
+    large = F.col("sets") > CHUNK_SETS
+    plan = written(plan.select(F.col("block").alias("pb"), F.col("label").alias("pl"), F.when(large, F.col("label")).alias("alone"), F.when(large, _chunks("sets", "m")).otherwise(F.col("shared")).alias("chunks")), "plan")
+    spread = F.pmod(F.xxhash64(F.when(F.col("alone").isNull(), F.col("label")).otherwise(F.col("node"))), F.col("chunks")).cast("int")
+    dealt = written(m.join(small_side(plan, plan.count()), (F.col("block") == F.col("pb")) & (F.col("label") == F.col("pl"))).select("node", "block", "members", "alone", spread.alias("c")), "dealt")
+    parts = dealt.select("block", "alone", "c").distinct()
+    parts = written(parts.withColumn("part", F.row_number().over(Window.partitionBy("block").orderBy("alone", "c"))), "parts")
+    a = parts.select("block", F.col("alone").alias("a1"), F.col("c").alias("c1"), F.col("part").alias("ci"))
+    b = parts.select(F.col("block").alias("b2"), F.col("alone").alias("a2"), F.col("part").alias("cj"))
+    # chunks of one component by itself need not meet
+    met = written(a.join(b, (F.col("block") == F.col("b2")) & (F.col("ci") <= F.col("cj"))).where("a1 is null or a2 is null or a1 <> a2").select("block", "ci", "cj"), "met")
+    sides = met.select(F.col("block").alias("b"), "ci", "cj", F.col("ci").alias("part"), F.lit(0).alias("side")).unionByName(met.where("ci <> cj").select(F.col("block").alias("b"), "ci", "cj", F.col("cj").alias("part"), F.lit(1).alias("side")))
+    sides = sides.join(parts.select(F.col("block").alias("pb"), F.col("part").alias("pp"), "alone", "c"), (F.col("b") == F.col("pb")) & (F.col("part") == F.col("pp"))).select("b", "ci", "cj", "side", F.col("alone").alias("pa"), F.col("c").alias("pc"))
+    rows = dealt.join(sides, (F.col("block") == F.col("b")) & F.col("alone").eqNullSafe(F.col("pa")) & (F.col("c") == F.col("pc"))).select("node", "block", "members", "ci", "cj", "side")
+    return rows.repartition("block", "ci", "cj").sortWithinPartitions("block", "ci", "cj").mapInArrow(_join_chunks(percent, frequency), "a long, b long")
+
+
+def _links(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect all similar sets of each block. members: node, block, n, members, written."""
+    frequency = _frequencies(members)
+    links, wide = _inside(members, percent, frequency)
+    if wide.isEmpty():
+        return links
+    members = left = written(members.join(small_side(wide, wide.count()), F.col("block") == F.col("k"), "left_semi"), "wide")
+    while True:
+        labels = written(star_components(links), "labels")
+        # one set of each component meets the others' in fewer chunks
+        gone = labels.where("node <> component").select(F.col("node").alias("k"))
+        left = written(left.join(gone, F.col("node") == F.col("k"), "left_anti"), "left")
+        found, more = _inside(left, percent, frequency)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        if more.isEmpty():
+            labels = written(star_components(links), "labels")
+            break
+    return links.unionByName(_across(members, labels, percent, frequency))
 
 
 def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,26 +458,18 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     measured = written(_measure(src, n, percent), "sets")
     sets = measured.where("n > 0 and __id is not null")
-    reps = written(sets.groupBy("hi", "lo", "n").agg(F.min("__id").alias("rep")), "reps")
-    # classes with a common key form a block; copies of a set have its keys and are mapped to its class afterwards
-    stars = sets.select(F.explode("keys").alias("key"), F.col("__id").alias("node")).repartition("key").sortWithinPartitions("key").mapInArrow(_stars, "a long, b long").distinct()
-    of = written(sets.select("__id", "hi", "lo", "n").join(reps, ["hi", "lo", "n"]).select("__id", "rep", "n").distinct(), "class")
-    a, b = of.select(F.col("__id").alias("a"), F.col("rep").alias("ra")), of.select(F.col("__id").alias("b"), F.col("rep").alias("rb"))
-    near = written(stars.join(a, "a").join(b, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "stars")
-    blocks = components(near)
-    sized = blocks.join(of.where("__id = rep").select(F.col("rep").alias("node"), "n").distinct(), "node")
-    room = sized.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("members")).select(F.col("component").alias("block"), F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("members") / CHUNK_MEMBERS)).cast("int").alias("chunks"))
-    placed = written(
-        blocks.join(room, F.col("component") == F.col("block")).select("node", "block", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "chunks"),
-        "blocks",
-    )
-    full = _members(src.join(small_side(placed, placed.count()), F.col("__id") == F.col("node")).select("__id", "__text", "block", "chunk", "chunks"), n)
-    other = F.sequence(F.lit(0), F.col("chunks") - 1)
-    paired = full.select("node", "block", "members", F.col("chunk"), F.explode(other).alias("with")).select("node", "block", "members", F.least("chunk", "with").alias("ci"), F.greatest("chunk", "with").alias("cj"))
-    dealt = paired.repartition("block", "ci", "cj").sortWithinPartitions("block", "ci", "cj")
-    links = dealt.mapInArrow(_join_blocks(percent), "a long, b long")
-    same = of.where("__id <> rep").select(F.col("__id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.unionByName(same))
+    reps = written(sets.groupBy("hi", "lo", "n").agg(F.min("__id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "reps")
+    copies = sets.select("__id", "hi", "lo", "n").join(small_side(reps, reps.count()), ["hi", "lo", "n"]).where("__id <> rep")
+    copies = written(copies.select("__id", "hi", "lo", "rep").distinct(), "copies")
+    # of equal sets only one has keys and a place in a block
+    others = copies.select(F.col("__id").alias("i"), F.col("hi").alias("h"), F.col("lo").alias("l"))
+    once = sets.join(small_side(others, others.count()), (F.col("__id") == F.col("i")) & (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left_anti")
+    keyed = once.select("__id", "keys").mapInArrow(_local_stars, "local boolean, a long, b long")
+    stars = keyed.repartition("local", "a").sortWithinPartitions("local", "a").mapInArrow(_stars, "a long, b long").distinct()
+    blocks = written(star_components(stars).select("node", F.col("component").alias("block")), "blocks")
+    members = written(_members(src.join(small_side(blocks, blocks.count()), F.col("__id") == F.col("node")).select("__id", "__text", "block"), n).where("n > 0"), "members")
+    same = copies.select(F.col("__id").alias("a"), F.col("rep").alias("b"))
+    found = star_components(_links(members, percent).unionByName(same))
     ids = measured.select("__id", "n")
     return ids.join(found, F.col("__id") == F.col("node"), "left").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "__id").alias("component_id"))
 

@@ -69,7 +69,26 @@ def test_large_blocks_are_cut_without_losing_links(spark, monkeypatch):
     assert sorted(str(tuple(r)) for r in got) == brute_groups(pairs, 4, 85)
 
 
-def test_tree_join_finds_all_links():
+def test_chunks_of_several_components_meet(spark, monkeypatch):
+    """Drifting texts: neighbours are similar, distant ones are not; chunks are far smaller than the blocks."""
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 5)
+    rnd = random.Random(8)
+    pairs = []
+    for g in range(3):
+        own = [f"w{rnd.randint(0, 2000)}" for _ in range(60)]
+        for k in range(40):
+            if k % 13 == 12:
+                own[rnd.randrange(60)] = own[rnd.randrange(60)] = f"m{rnd.random()}"
+            own[rnd.randrange(60)] = f"n{rnd.random()}"
+            pairs.append((rnd.randrange(10**6), " ".join(own)))
+    pairs += [(10**7 + i, t) for i, (_, t) in enumerate(pairs[:30])]
+    got = jaccard.similarity_groups(spark.createDataFrame(pairs, "doc_id long, text string"), 4, 85).collect()
+    want = brute_groups(pairs, 4, 85)
+    assert sorted(str(tuple(r)) for r in got) == want and 1 < len({w.split(", ")[2] for w in want}) < 100
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_tree_join_finds_all_links(two):
     rng = np.random.default_rng(2)
     for _ in range(25):
         base = rng.choice(10**6, rng.integers(1, 60), replace=False)
@@ -80,14 +99,15 @@ def test_tree_join_finds_all_links():
                 s.discard(int(x))
             s |= set(rng.integers(10**7, 10**8, rng.integers(0, 4)).tolist())
             sets.append(np.array(sorted(s or {1}), np.uint64))
-        links = jaccard.tree_join(np.arange(len(sets)), sets, 85)
+        side = rng.integers(0, 2, len(sets)) if two else np.zeros(len(sets), np.int64)
+        links = jaccard.tree_join(np.arange(len(sets)), sets, side, 85, rng.integers(0, 5, jaccard.CELLS))
         f, g = jaccard.Forest(len(sets)), jaccard.Forest(len(sets))
         for a, b in links:
             f.join(a, b)
         for a in range(len(sets)):
             for b in range(a):
                 o = len(np.intersect1d(sets[a], sets[b]))
-                if 100 * o >= 85 * (len(sets[a]) + len(sets[b]) - o):
+                if 100 * o >= 85 * (len(sets[a]) + len(sets[b]) - o) and (side[a] != side[b]) == two:
                     g.join(a, b)
         same = lambda x: [x.root(i) for i in range(len(sets))]
         assert same(f) == same(g)
