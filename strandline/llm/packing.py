@@ -1,16 +1,22 @@
 """Packing of token sequences by a configuration linear program.
 
 Only the histogram of piece lengths (at most `size` numbers) is solved on the driver. A configuration is a multiset of
-lengths that fits into one sequence. Multiplicative weights price the lengths: a length's weight falls as its share of
-covered pieces rises, and a knapsack dynamic program finds the configuration of greatest price. The fractional solution
-is rounded down, and what is left over is packed best fit, longest first, over counts. Rounds are limited, so that many
-lengths of large counts leave a rest that grows with the data. Spark then ranks the pieces of each length and looks up their places.
+lengths that fits into one sequence; the program covers the histogram by the least total of configurations. Every length
+has a weight that falls with the share of its pieces covered so far; a knapsack dynamic program finds the
+configurations of greatest weight, and they are used more. The same prices bound every cover from below (a length's
+price over the greatest price of a configuration is a dual solution), so that the rounds end when the best average so
+far is within `gap` of the best bound; at the latest when all lengths are covered ln(lengths) / eps times, where the
+method's error is of the order of eps. The best fit's sequences are the first configurations, and prices in proportion
+to length the first ones: where these close the gap, no weight has to move. The cover is rounded down with a carry, and
+pieces left over go best fit into the room that is left. Spark then ranks the pieces of each length and looks up their
+places.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,81 +27,105 @@ from strandline.llm.bpe import SLICE, load
 from strandline.llm.common import scan_rows, written
 
 
-def knapsack(weights: np.ndarray, most: np.ndarray, size: int) -> np.ndarray:
-    """Copies of each length (index) that fit into size with the greatest total weight; at most most[length] copies.
+Configuration = tuple[int, ...]
 
-    Dynamic program over capacities with lengths as an unbounded knapsack; a length that comes out too often is cut to
-    what exists, and the room is filled by a further program over the other lengths.
-    """
-    copies = np.zeros(size + 1, np.int64)
-    room, open_ = size, (most > 0) & (weights > 0)
-    while room > 0 and open_[1 : room + 1].any():
-        lens = np.flatnonzero(open_[: room + 1])
-        w = weights[lens]
-        best, pick = np.zeros(room + 1), np.zeros(room + 1, np.int64)
-        for c in range(int(lens[0]), room + 1):
-            k = int(np.searchsorted(lens, c, side="right"))
-            v = best[c - lens[:k]] + w[:k]
+
+class Knapsack:
+    """The best sets of lengths for every room, given prices: over the sums that the lengths can make, up to size."""
+
+    def __init__(self, lengths: np.ndarray, size: int):
+        made = np.zeros(size + 1, bool)
+        made[0] = True
+        for c in range(1, size + 1):
+            made[c] = made[c - lengths[lengths <= c]].any()
+        self.size, self.lengths, self.sums = size, lengths, np.flatnonzero(made)
+        self.below = np.searchsorted(self.sums, np.arange(size + 1), side="right") - 1
+        # of each sum: the lengths that may come last, and the sums before them
+        self.steps = []
+        for c in self.sums.tolist():
+            last = np.flatnonzero(lengths <= c)
+            last = last[made[c - lengths[last]]]
+            self.steps.append((last, np.searchsorted(self.sums, c - lengths[last])))
+
+    def solve(self, prices: np.ndarray) -> None:
+        value = np.zeros(len(self.sums))
+        self.last = np.full(len(self.sums), -1)
+        for k, (last, before) in enumerate(self.steps[1:], 1):
+            v = prices[last] + value[before]
             j = int(v.argmax())
-            best[c], pick[c] = v[j], lens[j]
-            if best[c - 1] > best[c]:
-                best[c], pick[c] = best[c - 1], 0
-        c, got = room, np.zeros(size + 1, np.int64)
-        while c > 0:
-            if pick[c]:
-                got[pick[c]] += 1
-                c -= pick[c]
-            else:
-                c -= 1
-        over = got > most - copies
-        got = np.minimum(got, most - copies)
-        if not got.any():
-            break
-        copies += got
-        room = size - int((copies * np.arange(size + 1)).sum())
-        if not over.any():
-            break
-        open_ &= copies < most
-    return copies
-
-
-def configurations(histogram: np.ndarray, size: int, rate: float = 4.0, lean: float = 1.0, step: float = 0.5, most_rounds: int = 600) -> list[tuple[np.ndarray, float]]:
-    """A fractional cover of the histogram by configurations: (copies of each length, how often)."""
-    left = histogram.astype(float)
-    out: list[tuple[np.ndarray, float]] = []
-    lengths = np.arange(size + 1)
-    for _ in range(most_rounds):
-        there = left >= 1
-        if not there.any():
-            break
-        share = np.zeros(size + 1)
-        share[there] = left[there] / histogram[there]
-        # covered lengths lose weight by a constant factor for each share covered; long pieces, harder to place later, weigh a little more than their room
-        weights = np.where(there, lengths * (1 + lean * lengths / size) * np.exp(rate * (share - share.max()) / size), 0.0)
-        a = knapsack(weights, np.floor(left).astype(np.int64), size)
-        if not a.any():
-            break
-        used = np.flatnonzero(a)
-        # fill whatever is scarcest among the chosen lengths, or half of it
-        amount = float((left[used] / a[used]).min())
-        amount = amount if amount < 4 else amount * step
-        out.append((a, amount))
-        left[used] -= a[used] * amount
-    return out
-
-
-def best_fit(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
-    """Best fit, longest first, over counts: (lengths in a sequence, number of such sequences)."""
-    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    heap: list[int] = []
-
-    def put(room: int, content: tuple[int, ...], n: int) -> None:
-        if room not in rooms:
-            rooms[room] = []
-        rooms[room].append((content, n))
-        if room not in heap:
-            heapq.heappush(heap, room)
+            value[k], self.last[k] = v[j], last[j]
+        # within a room: the best sum at or below it
+        self.best = np.maximum.accumulate(value)
+        self.at = np.maximum.accumulate(np.where(value >= self.best, np.arange(len(value)), 0))
+
+    def within(self, room: np.ndarray) -> np.ndarray:
+        return self.best[self.below[room]]
+
+    def choice(self, room: int) -> list[int]:
+        """Numbers of the lengths of the best configuration within the room."""
+        k, out = int(self.at[self.below[room]]), []
+        while self.last[k] >= 0:
+            out.append(int(self.last[k]))
+            k = int(self.steps[k][1][np.searchsorted(self.steps[k][0], out[-1])])
+        return out
+
+
+def cover(histogram: np.ndarray, size: int, eps: float | None = None, gap: float = 0.01) -> tuple[dict[Configuration, float], float]:
+    """A fractional cover of the histogram by configurations (lengths, longest first), and a bound below all covers.
+
+    eps: no round covers more than this share of a length's pieces (by default 0.1, and 0.2 for more than 64 lengths);
+    4 ln(lengths) / eps ** 2 rounds are made unless the gap is closed before.
+    """
+    lengths = np.flatnonzero(histogram)
+    if not len(lengths):
+        return {}, 0.0
+    eps = eps or (0.1 if len(lengths) <= 64 else 0.2)
+    h = histogram[lengths].astype(float)
+    first = {tuple(c): float(n) for c, n in best_fit(histogram, size)}
+    total = sum(first.values())
+    upper, lower = total, float((lengths * h).sum()) / size
+    used, best = dict(first), (dict(first), 1.0)
+    covered, mean, rounds = np.ones(len(lengths)), np.zeros(len(lengths)), 0
+    bag = Knapsack(lengths, size) if upper > lower * (1 + gap) else None
+    while upper > lower * (1 + gap) and rounds < 4 * math.log(len(lengths) + 1) / eps**2:
+        prices = np.exp(-(covered - covered.min())) / h
+        prices /= (h * prices).sum()
+        mean, rounds = mean + prices, rounds + 1
+        if rounds % 8 == 0:  # the mean of all rounds' prices is often the better bound
+            bag.solve(mean)
+            lower = max(lower, rounds / bag.within(np.array([size]))[0])
+        bag.solve(prices)
+        top = bag.within(np.array([size]))[0]
+        lower = max(lower, 1 / top)
+        # the best configuration with each length; all near the greatest price are used, no length by more than eps
+        gained = np.zeros(len(lengths))
+        with_each = prices + bag.within(size - lengths)
+        for i in np.argsort(-with_each, kind="stable").tolist():
+            if with_each[i] < (1 - eps) * top:
+                break
+            if gained[i] > 0.9 * eps:
+                continue
+            counts = Counter([i, *bag.choice(size - int(lengths[i]))])
+            chosen = np.array(sorted(counts))
+            copies = np.array([counts[k] for k in chosen.tolist()])
+            amount = float(((eps - gained[chosen]) * h[chosen] / copies).min())
+            if amount > 1e-9:
+                gained[chosen] += amount * copies / h[chosen]
+                c = tuple(np.repeat(lengths[chosen], copies)[::-1].tolist())
+                used[c] = used.get(c, 0.0) + amount
+                total += amount
+        covered += gained
+        if total / covered.min() < upper:
+            upper = total / float(covered.min())
+            best = (dict(used), float(covered.min()))
+    return {c: x / best[1] for c, x in best[0].items()}, lower
+
 
+def best_fit(counts: np.ndarray, size: int, opened: list[tuple[Configuration, int]] = ()) -> list[tuple[list[int], int]]:
+    """Best fit, longest first, over counts: (lengths in a sequence, number of such sequences), those opened before among them."""
+    rooms: dict[int, list[tuple[Configuration, int]]] = {}
+    for content, n in opened:
+        rooms.setdefault(size - sum(content), []).append((content, n))
     for length in range(size, 0, -1):
         k = int(counts[length])
         while k:
@@ -104,7 +134,7 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
                 each = size // length
                 n = max(1, k // each)
                 take = min(k, each)
-                put(size - take * length, (length,) * take, n)
+                rooms.setdefault(size - take * length, []).append(((length,) * take, n))
                 k -= take * n
                 continue
             content, n = rooms[room].pop()
@@ -112,23 +142,25 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
             m = min(n, k // each)
             if m < n:
                 rooms[room].append((content, n - m))
-            put(room - each * length, content + (length,) * each, m)
+            rooms.setdefault(room - each * length, []).append((content + (length,) * each, m))
             k -= m * each
     return [(list(c), n) for groups in rooms.values() for c, n in groups if n]
 
 
-def plan(histogram: np.ndarray, size: int) -> list[tuple[list[int], int]]:
-    """Sequences to build, as (lengths, number): the rounded linear program and the rest by best fit."""
+def plan(histogram: np.ndarray, size: int, eps: float | None = None, gap: float = 0.01) -> list[tuple[list[int], int]]:
+    """Sequences to build, as (lengths, number): the rounded cover, most used configurations first, and the rest best fit."""
     left = histogram.astype(np.int64).copy()
-    out = []
-    for a, amount in configurations(histogram, size):
-        n = int(amount)
-        used = np.flatnonzero(a)
-        n = min(n, int((left[used] // a[used]).min()))
+    opened, carry = [], 0.0
+    amounts, _ = cover(histogram, size, eps, gap)
+    for c, x in sorted(amounts.items(), key=lambda i: (-i[1], i[0])):
+        own, copies = np.unique(c, return_counts=True)
+        carry += x
+        n = min(int(carry + 1e-6), int((left[own] // copies).min()))
         if n > 0:
-            left[used] -= a[used] * n
-            out.append((np.repeat(used, a[used])[::-1].tolist(), n))
-    return out + best_fit(left, size)
+            left[own] -= copies * n
+            carry -= n
+            opened.append((c, n))
+    return best_fit(left, size, opened)
 
 
 def places(planned: list[tuple[list[int], int]]) -> tuple[np.ndarray, ...]:

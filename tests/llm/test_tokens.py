@@ -128,15 +128,37 @@ def test_plans_hold_every_piece_and_few_sequences(seed):
 
 def test_knapsack_against_brute_force():
     rng = np.random.default_rng(1)
-    for _ in range(30):
+    for _ in range(40):
         size = 24
-        w, most = np.round(rng.random(size + 1), 3), rng.integers(0, 3, size + 1) * 10
-        w[0] = most[0] = 0
-        a = packing.knapsack(w, most, size)
+        lengths = np.sort(rng.choice(np.arange(1, size + 1), rng.integers(1, 8), replace=False))
+        prices = np.round(rng.random(len(lengths)), 3)
+        bag = packing.Knapsack(lengths, size)
+        bag.solve(prices)
         best = [0.0] * (size + 1)
         for c in range(1, size + 1):
-            best[c] = max([best[c - 1]] + [best[c - l] + w[l] for l in range(1, c + 1) if most[l]])
-        assert (a * np.arange(size + 1)).sum() <= size and (a <= most).all()
-        # with ten copies or more of small lengths the bound on copies rarely binds
-        if (most[1:3] > 0).all() and w[1] < w[2] / 2:
-            assert abs((a * w).sum() - best[size]) < 1e-9 or (a >= most).any()
+            best[c] = max([best[c - 1]] + [best[c - n] + p for n, p in zip(lengths.tolist(), prices.tolist(), strict=True) if n <= c])
+        assert np.allclose(bag.within(np.arange(size + 1)), best)
+        for room in range(size + 1):
+            own = bag.choice(room)
+            assert lengths[own].sum() <= room and abs(prices[own].sum() - best[room]) < 1e-9
+
+
+@pytest.mark.parametrize(("lengths", "saved"), [((342, 350, 500, 530, 1024), 0), ((341, 342, 343, 170, 171, 172, 512, 513), 200), ((300, 310, 420, 410, 256, 250), 500)])
+def test_moving_weights_save_sequences(lengths, saved):
+    """No worse than best fit, better where lengths must be combined, and within a fiftieth of the bound below all covers.
+    Without weights that move only the best fit's sequences would be left."""
+    h = np.bincount(np.random.default_rng(1).choice(lengths, 20000), minlength=1025)
+    amounts, bound = packing.cover(h, 1024)
+    covered = np.zeros(1025)
+    for c, x in amounts.items():
+        assert sum(c) <= 1024 and x > 0
+        np.add.at(covered, list(c), x)
+    assert (covered[list(lengths)] >= h[list(lengths)] * (1 - 1e-9)).all() and bound <= sum(amounts.values())
+    n, plain = (sum(k for _, k in p) for p in (packing.plan(h, 1024), packing.best_fit(h, 1024)))
+    assert n <= plain - saved and n <= bound * 1.02 + 1
+
+
+def test_closed_gaps_end_the_rounds():
+    h = np.bincount(np.random.default_rng(0).integers(1, 40, 5000), minlength=1025)
+    amounts, bound = packing.cover(h, 1024)
+    assert sum(amounts.values()) <= bound * 1.01 + 1 and packing.cover(np.zeros(1025, int), 1024) == ({}, 0.0) and packing.plan(np.zeros(1025, int), 1024) == []
