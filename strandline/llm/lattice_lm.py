@@ -1,10 +1,11 @@
 """Document likelihood under a unigram model over subwords: all segmentations count, by recursion over the lattice.
 
-The vocabulary is given (a public tokenizer's pieces). A word is a blank and its bytes: a piece that begins with the
-blank, further pieces, and a stop. The pieces' probabilities are learned by expectation maximisation over the distinct
-words of the training texts. In the lattice of a word there is one more arc, from its start to its end, for the word as
-a whole: with its discounted frequency in the training texts, the discounts being what all segmentations share. So a
-text's probability is the product of its words' and the end's, and each distinct word passes the lattice once.
+The vocabulary and its scores are given (a public tokenizer's pieces). A word is a blank and its bytes: a piece that
+begins with the blank, further pieces, and a stop; its probability is the sum over all its segmentations. The file's
+scores weigh them: a score s, which is minus the piece's rank, counts as (10 - s) ** -slope, normalised among the pieces
+that begin a word and among the others, where the stop has as much as all of them. The slope is learned: of a few, the
+one under which the training texts are most probable. A text's probability is the product of its words' and the end's,
+whose share of all tokens is learned too, and each distinct word passes the lattice once.
 
 Words and counts are gathered from all texts. Each chunk of texts (a range of ids) asks for the words it holds and
 gets back their counts and probabilities, so that a task holds the words of one chunk, however large the corpus is.
@@ -25,6 +26,10 @@ from strandline.llm.common import range_bounds, range_of, scan_rows, word_codes,
 #: Bytes of text that share a dictionary, and distinct words that a task counts before it sends them on.
 CHUNK_BYTES = 24 << 20
 COUNTED = 400_000
+#: Chunks that one row of a word lists at most; a word of more chunks has more rows.
+LISTED = 1024
+#: Slopes of the law that turns the vocabulary's ranks into probabilities.
+SLOPES = (0.5, 0.75, 1.0, 1.25, 1.5)
 #: Words up to this many bytes pass the lattice together with others of their length.
 SHORT = 48
 _NEG = -1e30
@@ -35,21 +40,18 @@ class Lattice:
 
     def __init__(self, model: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        weight: dict[bytes, float] = {}
+        scores: dict[bytes, float] = {}
         for i in range(sp.get_piece_size()):
-            if sp.is_control(i) or sp.is_unknown(i):
-                continue
-            if sp.is_byte(i):
-                weight.setdefault(bytes([int(sp.id_to_piece(i)[3:5], 16)]), 1e-7)
+            if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
                 continue
             piece = sp.id_to_piece(i).replace("▁", " ").encode()
-            # the file's scores are ranks (0, -1, -2 ...): a Zipf law over them is where learning starts
-            weight[piece] = max(weight.get(piece, 0.0), 1.0 / (10.0 - sp.get_score(i)))
+            scores[piece] = max(scores.get(piece, -math.inf), sp.get_score(i))
+        # bytes that are no pieces come after all of them
         for b in range(256):
-            weight.setdefault(bytes([b]), 1e-7)
-        self.pieces = sorted(weight)
-        p = np.array([weight[x] for x in self.pieces])
-        self.start = np.log(p / p.sum())
+            scores.setdefault(bytes([b]), min(-float(sp.get_piece_size()), sp.get_score(sp.piece_to_id(f"<0x{b:02X}>"))))
+        self.pieces = sorted(scores)
+        self.ranks = -np.array([scores[x] for x in self.pieces])
+        self.begins = np.array([x.startswith(b" ") for x in self.pieces])
         self.longest = max(map(len, self.pieces))
         step: list[dict[int, int]] = [{}]
         self._end: list[int] = [-1]
@@ -85,18 +87,24 @@ class Lattice:
                 if full.any():
                     yield i, j + 1, rows[full], piece[full]
 
-    def forward(self, codes: np.ndarray, logp: np.ndarray, keep: list | None = None) -> np.ndarray:
+    def weights(self, slopes: tuple[float, ...]) -> np.ndarray:
+        """Natural logs of the pieces' probabilities under each slope (columns). The stop has log 1/2."""
+        w = -np.outer(np.log(10.0 + self.ranks), slopes)
+        for own, share in ((self.begins, 1.0), (~self.begins, 0.5)):
+            top = w[own].max(axis=0)
+            w[own] += math.log(share) - top - np.log(np.exp(w[own] - top).sum(axis=0))
+        return w
+
+    def forward(self, codes: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Log-probability of every prefix of every word: alpha[:, j] sums over all segmentations of the first j bytes."""
-        alpha = np.full((len(codes), codes.shape[1] + 1), _NEG)
+        alpha = np.full((len(codes), codes.shape[1] + 1, logp.shape[1]), _NEG)
         alpha[:, 0] = 0.0
         for i, j, rows, piece in self._edges(codes):
             alpha[rows, j] = np.logaddexp(alpha[rows, j], alpha[rows, i] + logp[piece])
-            if keep is not None:
-                keep.append((i, j, rows, piece))
         return alpha
 
-    def _long(self, word: bytes, logp: list[float] | np.ndarray) -> list[float]:
-        alpha = [_NEG] * (len(word) + 1)
+    def _long(self, word: bytes, logp: np.ndarray) -> np.ndarray:
+        alpha = np.full((len(word) + 1, logp.shape[1]), _NEG)
         alpha[0] = 0.0
         for i in range(len(word)):
             node = 0
@@ -106,66 +114,24 @@ class Lattice:
                     break
                 k = self._end[node]
                 if k >= 0:
-                    x, y = alpha[j + 1], alpha[i] + float(logp[k])
-                    alpha[j + 1] = max(x, y) + math.log1p(math.exp(-abs(x - y)))
-        return alpha
-
-    @staticmethod
-    def _by_length(words: list[bytes]):
-        sizes = np.array([len(w) for w in words], np.int64)
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            for a in range(0, len(at), 20_000):
-                yield int(size), at[a : a + 20_000]
+                    alpha[j + 1] = np.logaddexp(alpha[j + 1], alpha[i] + logp[k])
+        return alpha[-1]
 
     def log_probability(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
-        """Natural log of each word's marginal probability."""
+        """Natural log of each word's marginal probability, its stop among it, under each column of logp."""
         words = [b" " + w for w in words]
-        out = np.empty(len(words))
-        for size, at in self._by_length(words):
-            if size > SHORT:
-                out[at] = [self._long(words[i], logp)[-1] for i in at.tolist()]
-            else:
-                codes = np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, size)
-                out[at] = self.forward(codes, logp)[:, -1]
-        return out
-
-    def expected(self, words: list[bytes], counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Expected uses of every piece in the words, each word so many times."""
-        words = [b" " + w for w in words]
-        out = np.zeros(len(logp))
-        for size, at in self._by_length(words):
-            if size > SHORT:
-                for i in at.tolist():
-                    self._expected_long(words[i], float(counts[i]), logp, out)
-                continue
-            codes = np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, size)
-            edges: list = []
-            alpha = self.forward(codes, logp, edges)
-            beta = np.full(alpha.shape, _NEG)
-            beta[:, -1] = 0.0
-            total, times = alpha[:, -1], counts[at]
-            for i, j, rows, piece in reversed(edges):
-                through = logp[piece] + beta[rows, j]
-                beta[rows, i] = np.logaddexp(beta[rows, i], through)
-                out += np.bincount(piece, weights=times[rows] * np.exp(alpha[rows, i] + through - total[rows]), minlength=len(out))
-        return out
-
-    def _expected_long(self, word: bytes, times: float, logp: np.ndarray, out: np.ndarray) -> None:
-        alpha = self._long(word, logp)
-        beta = [_NEG] * (len(word) + 1)
-        beta[-1] = 0.0
-        for i in range(len(word) - 1, -1, -1):
-            node = 0
-            for j in range(i, min(len(word), i + self.longest)):
-                node = self._step[node].get(word[j], 0)
-                if not node:
-                    break
-                k = self._end[node]
-                if k >= 0:
-                    y = float(logp[k]) + beta[j + 1]
-                    out[k] += times * math.exp(alpha[i] + y - alpha[-1])
-                    beta[i] = max(beta[i], y) + math.log1p(math.exp(-abs(beta[i] - y)))
+        out = np.empty((len(words), logp.shape[1]))
+        sizes = np.array([len(w) for w in words], np.int64)
+        for size in np.unique(sizes).tolist():
+            same = np.flatnonzero(sizes == size)
+            for a in range(0, len(same), 8000):
+                at = same[a : a + 8000]
+                if size > SHORT:
+                    out[at] = [self._long(words[i], logp) for i in at.tolist()]
+                else:
+                    codes = np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, size)
+                    out[at] = self.forward(codes, logp)[:, -1]
+        return out + math.log(0.5)
 
 
 _loaded: dict[str, Lattice] = {}
@@ -212,46 +178,29 @@ def _count_words(src: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "word binary, h long, chunk int, c long")
 
 
-def shares(counts: np.ndarray, lat: Lattice, stops: float) -> np.ndarray:
-    """Log-probabilities: of pieces that begin a word among themselves, of the others together with the stop (last)."""
-    begins = np.array([p.startswith(b" ") for p in lat.pieces])
-    inner = counts[~begins].sum() + stops
-    return np.append(np.log(counts / np.where(begins, counts[begins].sum(), inner)), math.log(stops / inner))
+def learn_slope(words: DataFrame, model: str, slopes: tuple[float, ...] = SLOPES) -> float:
+    """The slope under which the training texts' words (word, c) are most probable; the first one without any."""
 
+    def run(batches):
+        lat = lattice(model)
+        logp, total = lat.weights(slopes), np.zeros(len(slopes))
+        for b in batches:
+            total += b.column("c").to_numpy() @ lat.log_probability(b.column("word").to_pylist(), logp)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(slopes))), pa.array(total)], ["k", "lp"])
 
-def learn_pieces(words: DataFrame, model: str, rounds: int) -> np.ndarray:
-    """Log-probabilities of all pieces and of the stop. words: (word, c), written; each distinct word counts once."""
-    lat = lattice(model)
-    first = np.exp(lat.start)
-    logp = shares(first, lat, 0.5 * float(first.sum()))
-    seen = words.where("c > 0").select("word", "c")
-    for _ in range(rounds):
-        now = logp
-
-        def run(batches, now=now):
-            lat = lattice(model)
-            total = np.zeros(len(now) - 1)
-            for b in batches:
-                total += lat.expected(b.column("word").to_pylist(), np.ones(b.num_rows), now[:-1])
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "n"])
-
-        counts = np.full(len(lat.pieces), 0.01)
-        for r in seen.mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-            counts[r.piece] += r.n
-        begins = np.array([p.startswith(b" ") for p in lat.pieces])
-        logp = shares(counts, lat, float(counts[begins].sum()))
-    return logp
+    sums = words.where("c > 0").select("word", "c").mapInArrow(run, "k long, lp double").groupBy("k").agg(F.sum("lp").alias("lp")).collect()
+    return slopes[max(sums, key=lambda r: (r.lp, -r.k)).k] if sums else slopes[0]
 
 
-def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", slopes: tuple[float, ...] = SLOPES) -> DataFrame:
     """Log10-probabilities of every whole text, learned from those that held_out() leaves.
 
     Returns id_col, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
-    base_score (smoothed frequencies of words) and score (the lattice model's). A-Z are lower-cased; null and empty
-    texts are an end alone; a null id is held out; repeated rows are scored and learned each; with no training text
-    all words are unknown and the pieces keep their first weights; an empty table gives an empty result; other columns
-    are left out. Words meet their counts by 64-bit hashes.
+    base_score (smoothed frequencies of words), score (the lattice's: the sum over all segmentations) and word_score (a
+    mixture: a word's discounted training frequency, and the lattice with what all words gave up). A-Z are lower-cased;
+    null and empty texts are an end alone; a null id is held out; repeated rows are scored and learned each; with no
+    training text all words are unknown, the first slope counts and an end is one of two tokens; an empty table gives an
+    empty result; other columns are left out. Words meet their counts by 64-bit hashes.
     """
     src = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"), held_out(F.col(id_col)).alias("__out"))
     size = src.agg(F.sum(F.octet_length("__text")), F.sum(F.when(~F.col("__out"), 1).otherwise(0))).first()
@@ -262,34 +211,38 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
         src = src.withColumn("__chunk", range_of("__id", range_bounds(src, "__id", chunks)).cast("int"))
     else:
         src = src.withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(chunks)).cast("int"))
-    words = written(_count_words(src).groupBy("word", "h").agg(F.sum("c").alias("c"), F.collect_set("chunk").alias("chunks")), "words")
+    listed = written(_count_words(src).groupBy("word", "h", F.floor(F.col("chunk") / LISTED).alias("part")).agg(F.sum("c").alias("c"), F.collect_set("chunk").alias("chunks")), "words")
+    words = written(listed.groupBy("word", "h").agg(F.sum("c").alias("c")), "counts")
     n_words, distinct, once, twice = words.agg(F.sum("c"), *[F.sum(F.when(F.expr(f"c {x}"), 1).otherwise(0)) for x in ("> 0", "= 1", "= 2")]).first()
     total = int(n_words or 0) + n_train
     v = int(distinct or 0) + (1 if n_train else 0)
-    logp = learn_pieces(words, model, rounds if n_words else 0)
-    # what a seen word (and the end) gives up, and what all segmentations together get
+    slope = learn_slope(words, model, slopes)
+    # the share of words among tokens, and what a seen word gives up to all segmentations together
+    more = math.log((int(n_words or 0) + 1) / (total + 2))
     discount = min(0.95, max(0.1, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
-    rest = discount * v / total if total else 1.0
+    rest = math.log(discount * v / total) if total else 0.0
 
     def weigh(batches):
         lat = lattice(model)
+        logp = lat.weights((slope,))
         for b in batches:
-            lp = lat.log_probability(b.column("word").to_pylist(), logp[:-1]) + logp[-1] + math.log(rest)
+            lp = lat.log_probability(b.column("word").to_pylist(), logp)[:, 0]
             whole = np.maximum(b.column("c").to_numpy() - discount, 0.0) / max(total, 1)
-            lp = np.logaddexp(lp, np.where(whole > 0, np.log(np.maximum(whole, 1e-300)), -np.inf))
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(lp / math.log(10)), b.column("chunks")], ["h", "c", "lp", "chunks"])
+            mixed = np.logaddexp(lp + rest, np.where(whole > 0, np.log(np.maximum(whole, 1e-300)), -np.inf))
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array((lp + more) / math.log(10)), pa.array(mixed / math.log(10))], ["h", "c", "lp", "mixed"])
 
-    weighed = words.mapInArrow(weigh, "h long, c long, lp double, chunks array<int>")
-    answers = weighed.select(F.explode("chunks").alias("chunk"), F.lit(0).alias("kind"), "h", "c", "lp")
+    # a word of very many chunks has several rows of lists, each with a copy of its weights
+    weighed = written(words.mapInArrow(weigh, "h long, c long, lp double, mixed double"), "weights").withColumnRenamed("h", "k")
+    answers = listed.select("h", "chunks").join(weighed, F.col("h") == F.col("k")).select(F.explode("chunks").alias("chunk"), F.lit(0).alias("kind"), "h", "c", "lp", "mixed")
     asked = src.select(F.col("__chunk").alias("chunk"), F.lit(1).alias("kind"), F.col("__id"), "__text", "__out")
     dealt = answers.unionByName(asked, allowMissingColumns=True).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind")
     id_type = src.schema["__id"].dataType.simpleString()
     denominator = total + 0.1 * (v + 1)
-    end_base, end_score = math.log10((n_train + 0.1) / denominator), math.log10(max(n_train - discount, 0.05) / max(total, 1))
+    end_base, end_score, end_mixed = math.log10((n_train + 0.1) / denominator), math.log10((n_train + 1) / (total + 2)), math.log10(max(n_train - discount, 0.05) / max(total, 1))
 
     def run(batches):
         parts: list = []
-        keys = base = lp = known = None
+        keys = base = lp = mixed = known = None
         for batch in batches:
             kind = batch.column("kind").to_numpy()
             chunk = batch.column("chunk").to_numpy()
@@ -303,7 +256,7 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
                         parts, keys = [], None
                     if parts and parts[0][0] != chunk[a]:
                         parts = []
-                    parts.append((chunk[a], t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy(), t.column("lp").to_numpy()))
+                    parts.append((chunk[a], t.column("h").to_numpy().view(np.uint64), t.column("c").to_numpy(), t.column("lp").to_numpy(), t.column("mixed").to_numpy()))
                     continue
                 if keys is None:
                     own = [p for p in parts if p[0] == chunk[a]]
@@ -311,18 +264,18 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
                     order = np.argsort(keys)
                     keys = keys[order]
                     c = np.concatenate([p[2] for p in own])[order] if own else np.empty(0)
-                    lp = np.concatenate([p[3] for p in own])[order] if own else np.empty(0)
+                    lp, mixed = (np.concatenate([p[x] for p in own])[order] if own else np.empty(0) for x in (3, 4))
                     base, known, parts = np.log10((c + 0.1) / denominator), c > 0, []
                 for (ids, outs), texts in scan_rows([t], "__text", ["__id", "__out"]):
                     doc, codes, own = word_codes(texts)
                     n = np.bincount(doc, minlength=len(texts))
                     h = word_hashes(own)
                     at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-                    sums = [np.bincount(doc, weights=x[at][codes], minlength=len(texts)) if len(codes) else np.zeros(len(texts)) for x in (base, lp, known)]
+                    sums = [np.bincount(doc, weights=x[at][codes], minlength=len(texts)) if len(codes) else np.zeros(len(texts)) for x in (base, lp, known, mixed)]
                     yield pa.RecordBatch.from_arrays(
-                        [ids, outs, pa.array(n + 1), pa.array(sums[2].astype(np.int64) + (n_train > 0)), pa.array(np.full(len(n), total)), pa.array(sums[0] + end_base), pa.array(sums[1] + end_score)],
-                        ["__id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                        [ids, outs, pa.array(n + 1), pa.array(sums[2].astype(np.int64) + (n_train > 0)), pa.array(np.full(len(n), total)), pa.array(sums[0] + end_base), pa.array(sums[1] + end_score), pa.array(sums[3] + end_mixed)],
+                        ["__id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score"],
                     )
 
-    out = dealt.mapInArrow(run, f"__id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = dealt.mapInArrow(run, f"__id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double")
     return out.withColumnRenamed("__id", id_col)
