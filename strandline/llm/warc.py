@@ -115,9 +115,11 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     src = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).cast("string").alias("__url"), payload.alias("__payload"))
     size = src.agg(F.sum(F.octet_length("__payload"))).first()[0] or 0
-    shards = max(1, min(100_000, -(-size // shard_bytes)))
+    shards = max(1, -(-size // shard_bytes))
     same = written(keepers(src, "__id", "__payload"), "keepers")
-    marked = src.withColumn("__sum", F.when(F.octet_length("__payload") >= LEAST_REVISIT, F.sha2("__payload", 256))).join(small_side(same, same.count()), F.col("__sum") == F.col("sum"), "left")
+    # payloads that no other revisits have keys of their own, so that they spread where the join shuffles
+    alone = F.concat(F.lit("~"), F.coalesce(F.col("__id").cast("string"), F.lit("")))
+    marked = src.withColumn("__sum", F.when(F.octet_length("__payload") >= LEAST_REVISIT, F.sha2("__payload", 256)).otherwise(alone)).join(small_side(same, same.count()), F.col("__sum") == F.col("sum"), "left")
     dealt = marked.select("__id", "__url", "__payload", F.when(~F.col("__id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("__refers"), range_of("__id", range_bounds(src, "__id", shards)).cast("int").alias("__shard"))
     dealt = dealt.repartitionById(shards, "__shard").sortWithinPartitions("__shard", "__id", "__url", "__payload")
     store, base = fs.FileSystem.from_uri(out)
@@ -247,5 +249,7 @@ def archive_round_trip(pages: DataFrame, out: str, id_col: str = "page_id", url_
     wanted = records.where("refers_to_id is not null")
     responses = records.where("record_type = 'response'").select(F.col("record_id").alias("__r"), F.col("page_id").alias("refers_to")).distinct()
     found = wanted.select(F.col("refers_to_id").alias("__r")).distinct().join(responses, "__r")
-    joined = records.join(small_side(found, found.count()), F.col("refers_to_id") == F.col("__r"), "left")
+    found = written(found, "found")
+    to = F.coalesce("refers_to_id", F.concat(F.lit("~"), "record_id"))
+    joined = records.join(small_side(found, found.count()), to == F.col("__r"), "left")
     return joined.select(F.col("page_id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
