@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import small_side
+from strandline.llm.common import small_side, written
 
 #: Tokens are runs of these; everything else parts them.
 TOKEN = "[a-z0-9]+"
@@ -48,7 +48,7 @@ PATTERN_RULES = (
     Rule("block", pattern=r"^[a-z]+://([^/?#]*\.)?(ads|adserver|doubleclick|casino)\.", either=("ads", "adserver", "doubleclick", "casino")),
     Rule("block", pattern=r"[?&]sessionid=", literals=("sessionid",)),
     Rule("block", pattern=r"/wp-login\.php", literals=("wp", "login")),  # php may go on, as in .php5
-    Rule("block", pattern=r"^[a-z]+://([^/?#]*\.)?casino\.", literals=("casino",)),
+    Rule("block", pattern=r"\.(apk|dmg|exe|msi)([?#]|$)", either=("apk", "dmg", "exe", "msi")),
 )
 
 
@@ -82,30 +82,31 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id int, variant int, rule_verdict string, rule_host string, rule_path string, pattern string, name string, literals array<string>")
 
 
-def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rules with `token`: the literal that the fewest of the URLs (column tokens) hold; null where there is none."""
+def index_rules(urls: DataFrame, rules: DataFrame, rows: int = 0) -> DataFrame:
+    """Rules (so many rows) with `token`: the literal that the fewest of the URLs (column tokens) hold; null where there is none."""
     wanted = rules.select(F.explode("literals").alias("w")).distinct()
     held = urls.select(F.explode("tokens").alias("t"))
-    counts = held.join(F.broadcast(wanted), F.col("t") == F.col("w"), "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    counts = held.join(small_side(wanted, rows), F.col("t") == F.col("w"), "left_semi").groupBy("t").agg(F.count("*").alias("df"))
     best = rules.select("rule_id", "variant", F.explode("literals").alias("w")).join(counts, F.col("w") == F.col("t"), "left")
     best = best.groupBy("rule_id", "variant").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("w").alias("token"))).alias("b")).select(F.col("rule_id").alias("__r"), F.col("variant").alias("__v"), "b.token")
     return rules.join(best, (F.col("rule_id") == F.col("__r")) & (F.col("variant") == F.col("__v")), "left").drop("__r", "__v")
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + PATTERN_RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = SITE_RULES + PATTERN_RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """The verdict on every URL.
 
     Returns id_col, host, path, rule (host and path of the longest site rule that fits, else null), verdict (that
     rule's; else block if a pattern rule of that verdict is found, allow if one of that one, else the default) and
     pattern (the first pattern found where no site rule fits). A null URL, or one without ://, has an empty host and
     path, and only patterns can find it. Rows are judged each; an empty table gives an empty result; other columns are
-    left out. The rule table is broadcast: its size is the caller's, not the data's.
+    left out. rules may be a table as rule_table makes it. It is broadcast if its counted rows are few enough.
     """
     spark = pages.sparkSession
     src = pages.select(F.col(id_col).alias("__id"), F.col(url_col).cast("string").alias("__url"))
     urls = src.where("__url is not null").select("__url").distinct().select("__url", F.array_distinct(F.regexp_extract_all(_lower(F.col("__url")), F.lit(TOKEN), F.lit(0))).alias("tokens"))
-    indexed = index_rules(urls, rule_table(spark, rules))
-    indexed = small_side(indexed, sum(max(1, len(r.either)) for r in rules))
+    table = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
+    n = table.count()
+    indexed = small_side(index_rules(urls, table, n), n)
     # a rule without a literal is fetched by the empty token
     asked = urls.select("__url", F.explode(F.array_append("tokens", F.lit(""))).alias("__t"))
     candidates = asked.join(indexed, F.col("__t") == F.coalesce("token", F.lit("")))
@@ -116,8 +117,9 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + PATTERN_
         F.max(F.when(site, F.struct(F.length("name").alias("n"), (-F.col("rule_id")).alias("o"), F.col("name").alias("name"), F.col("rule_verdict").alias("v")))).alias("s"),
         F.min(F.when(~site, F.struct(F.col("rule_id").alias("o"), F.col("name").alias("name"), F.col("rule_verdict").alias("v")))).alias("q"),
     )
-    won = won.withColumnRenamed("__url", "__w")
-    judged = src.join(won, F.col("__url") == F.col("__w"), "left")
+    # written, so that a URL of very many rows may be split; rows without a URL have no part in the join
+    won = written(won.withColumnRenamed("__url", "__w"), "won")
+    judged = src.where("__url is not null").join(won, F.col("__url") == F.col("__w"), "left").unionByName(src.where("__url is null"), allowMissingColumns=True)
     url = F.coalesce("__url", F.lit(""))
     return judged.select(
         F.col("__id").alias(id_col),
