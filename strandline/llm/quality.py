@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix, runs, scan_rows, small_side, text_hashes, window_hashes, written
+from strandline.llm.common import BROADCAST_ROWS, mix, runs, scan_rows, small_side, text_hashes, window_hashes, written
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -116,10 +116,15 @@ def labels_needed(risk: float, level: float) -> int:
     return math.ceil(math.log(level) / math.log1p(-risk))
 
 
+#: Strata up to which their cutoffs come to the driver; more of them are an error of the caller's.
+MOST_STRATA = 100_000
+
+
 def select_cutoffs(measured: DataFrame, labels: DataFrame, risk: float, error: float, price: float) -> dict[str, dict[str, float]]:
     """{stratum: {rule: cutoff}} from labelled rows of measured (__id, __stratum, features).
 
-    Only counts for each (stratum, grid cell) leave the join; only certified cutoffs reach the driver.
+    Only counts for each (stratum, grid cell) leave the join; only certified cutoffs reach the driver, of MOST_STRATA
+    strata at most: ValueError beyond.
     """
     own = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("quality").alias("__quality"))
     labelled = measured.join(own, F.col("__id") == F.col("__label_id")).where("__quality is not null")
@@ -136,6 +141,8 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, risk: float, error: f
     strata = totals.count()
     if not strata:
         return {}
+    if strata > MOST_STRATA:
+        raise ValueError(f"{strata} strata; a stratum is meant to be a language or the like")
     pooled = F.col("n") < labels_needed(risk, error / strata)
     groups = written(totals.select(F.col("__stratum").alias("stratum"), pooled.alias("pooled"), F.when(pooled, "").otherwise(F.col("__stratum")).alias("group")), "strata")
     level = error / groups.select("pooled", "group").distinct().count()
@@ -190,8 +197,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = 0.01, error: float = 0.05, price: float = 2.0) -> DataFrame:
-    """The rows of docs, all columns, that quality_verdicts keeps. Texts are judged where they are read: no shuffle."""
-    cutoffs = select_cutoffs(written(measure(docs, id_col, text_col, stratum_col), "quality"), labels, risk, error, price)
+    """The rows of docs, all columns, that quality_verdicts keeps. Texts are judged where they are read: no shuffle.
+
+    Before that, only labelled documents are measured if their ids are few enough to be broadcast, else all of them.
+    """
+    ids = labels.select(F.col("doc_id").alias("__labelled")).distinct()
+    n = ids.count()
+    asked = docs.join(F.broadcast(ids), F.col(id_col) == F.col("__labelled"), "left_semi") if n <= BROADCAST_ROWS else docs
+    cutoffs = select_cutoffs(written(measure(asked, id_col, text_col, stratum_col), "quality"), labels, risk, error, price)
 
     def run(batches):
         for batch in batches:

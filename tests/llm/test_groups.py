@@ -257,3 +257,47 @@ def test_labels_needed():
     for level in (0.05, 0.0125, 0.003):
         n = quality.labels_needed(0.01, level)
         assert quality.binomial_tail(0, n, 0.01) <= level < quality.binomial_tail(0, n - 1, 0.01)
+
+
+def test_certified_cutoffs_reject_what_the_definitions_say(spark):
+    """End to end: strata of 500, 450 and 40 good labels; every step of the path by exact integers, the verdicts by hand."""
+    from fractions import Fraction
+    from math import comb
+
+    rnd = random.Random(3)
+    rows, labels = [], []
+    for lang, good, bad in (("en", 500, 60), ("de", 450, 40), ("fr", 40, 10), (None, 5, 5)):
+        for k in range(good + bad):
+            body = [f"{rnd.choice('abcdef')}{rnd.randint(0, 10**6)}" for _ in range(40)]
+            signs = rnd.randint(8, 30) if k >= good else rnd.choice((0,) * 60 + (1, 3))
+            body[0] += "#" * signs
+            rows.append((len(rows), " ".join(body), lang))
+            labels.append((len(labels), int(k < good), 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    f = quality.features([r[1] for r in rows])
+    s = quality.scores(f)
+    steps = range(len(quality.SHARES))
+    fails = lambda i, k: any(s[r][i] > grid[k] for r, grid in quality.RULES.items())
+
+    def tail(k, n):
+        return sum(comb(n, i) * Fraction(1, 100) ** i * Fraction(99, 100) ** (n - i) for i in range(k + 1))
+
+    groups = {"en": ["en"], "de": ["de"], "pool": ["fr", None]}
+    cut = {}
+    for g, langs in groups.items():
+        good = [i for i, r in enumerate(rows) if r[2] in langs and labels[i][1]]
+        bad = [i for i, r in enumerate(rows) if r[2] in langs and not labels[i][1]]
+        best, use = None, 0.0
+        for k in steps:
+            lost = sum(fails(i, k) for i in good)
+            if tail(lost, len(good)) > Fraction(1, 20) / 3:
+                break
+            if (gain := sum(fails(i, k) for i in bad) - 2.0 * lost) > use:
+                best, use = k, gain
+        cut[g] = best
+    assert cut["en"] is not None and cut["de"] is not None and cut["pool"] is None
+    failed = quality.base_failed(f)
+    want = {i: not failed[i] and not (r[2] in cut and fails(i, cut[r[2]])) for i, r in enumerate(rows)}
+    got = {r.doc_id: r.kept for r in quality.quality_verdicts(docs, marks).collect()}
+    assert got == want and sum(not k for k in want.values()) > 60
+    assert {r.doc_id for r in quality.filter_documents(docs, marks).collect()} == {i for i, k in want.items() if k}

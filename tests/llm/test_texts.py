@@ -88,6 +88,13 @@ def test_url_verdicts_against_all_rules(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_hot_and_missing_urls_and_rules_in_a_table(spark):
+    rows = [(i, "http://a.example.org/es/x") for i in range(300)] + [(1000 + i, None) for i in range(300)] + [(2000, "http://q/")]
+    given = url_filter.rule_table(spark, (url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", pattern="//q/", literals=("q",))))
+    got = {r.page_id: (r.host, r.rule, r.verdict) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), given).collect()}
+    assert got == {i: ("a.example.org", "example.org/es/", "block") for i in range(300)} | {1000 + i: ("", None, "allow") for i in range(300)} | {2000: ("q", None, "block")}
+
+
 def test_rules_are_indexed_by_their_rarest_literal(spark):
     urls = spark.createDataFrame([(["www", "com", "fr"],), (["www", "com"],), (["www"],)], "tokens array<string>")
     rules = (url_filter.Rule("block", pattern="x", literals=("www", "com", "fr")), url_filter.Rule("block", pattern="y", literals=("www", "com")), url_filter.Rule("block", pattern="z"))
@@ -116,6 +123,30 @@ def test_each_shard_is_written_by_a_task_of_its_own(spark):
     assert 10 in {s.numTasks for s in stages if s} and manifest.agg({"records": "sum"}).first()[0] == 20
 
 
+def test_a_task_that_runs_again_and_leftovers_do_no_harm(spark):
+    """A second run writes the same files over the first one's; what a lost task left is removed; a cut file is noticed."""
+    from pyarrow import fs
+
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string, x string")
+    out = f"{shared_dir(spark)}/warc-again"
+    first = sorted(map(tuple, warc.write_archives(df, out, file_bytes=700, shard_bytes=2000).collect()))
+    store, base = fs.FileSystem.from_uri(out)
+    store.create_dir(f"{base}/_temporary")
+    with store.open_output_stream(f"{base}/_temporary/lost-part-000000-00000.warc.gz", compression=None) as f:
+        f.write(b"half a rec")
+    with store.open_output_stream(f"{base}/part-999999-00000.warc.gz", compression=None) as f:
+        f.write(b"not in the manifest")
+    assert sorted(map(tuple, warc.write_archives(df, out, file_bytes=700, shard_bytes=2000).collect())) == first
+    assert store.get_file_info(f"{base}/_temporary").type == fs.FileType.NotFound
+    assert warc.read_archives(spark, out).count() == len(pages())
+    name = f"{base}/{first[0][0]}"
+    data = store.open_input_stream(name, compression=None).read()
+    with store.open_output_stream(name, compression=None) as f:
+        f.write(data[:-5])
+    with pytest.raises(Exception, match="is not as the manifest has it"):
+        warc.read_archives(spark, out).count()
+
+
 def pages():
     big, other = "é" * 600, "z" * 999
     html = [None, "", "small", "small", big, big, "x" + big, other, other, "z" * 1000, "z" * 1000, "\r\n\r\nWARC/1.1\r\n" + "q" * 5000, "z" * 1000]
@@ -151,31 +182,54 @@ def test_archives_are_the_same_each_time(spark):
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
-def test_the_lattice_sums_over_all_segmentations():
-    lat = lattice_lm.lattice(MODEL)
-    logp = dict(zip(lat.pieces, lat.start, strict=True))
+def all_segmentations(lat, logp):
+    """The sum over all segmentations of a word, without a lattice."""
+    known = dict(zip(lat.pieces, np.exp(logp), strict=True))
+    brute = lambda w: 1.0 if not w else sum(known[w[:k]] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in known)
+    return brute
 
-    def brute(w):
-        return 1.0 if not w else sum(math.exp(logp[w[:k]]) * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in logp)
 
-    for w in (b"the", b"theaon", "été".encode(), b"x", b"wordwords"):
-        assert abs(lat.log_probability([w], lat.start)[0] - math.log(brute(b" " + w))) < 1e-9
+def test_the_lattice_sums_over_all_segmentations():
+    lat = lattice_lm.lattice(MODEL)
+    logp = lat.weights((0.5, 1.0, 2.0))
+    assert np.allclose(np.exp(logp[lat.begins]).sum(axis=0), 1.0) and np.allclose(np.exp(logp[~lat.begins]).sum(axis=0), 0.5)
+    # the law is the file's scores' alone
+    a, b = (lat.pieces.index(x) for x in (b" the", b" and"))
+    assert np.allclose((logp[a] - logp[b]) / (math.log(10 + lat.ranks[b]) - math.log(10 + lat.ranks[a])), (0.5, 1.0, 2.0))
+    for k in range(3):
+        brute = all_segmentations(lat, logp[:, k])
+        for w in (b"the", b"theaon", "été".encode(), b"x", b"wordwords"):
+            assert abs(lat.log_probability([w], logp)[0, k] - math.log(0.5 * brute(b" " + w))) < 1e-9
     long_ = b"inging" * 30
-    assert abs(lat.log_probability([long_], lat.start)[0] - lat.forward(np.frombuffer(b" " + long_, np.uint8)[None], lat.start)[0, -1]) < 1e-6
-    one = lat.expected([b"theaon", long_], np.ones(2), lat.start)
-    assert abs(sum(one[i] * len(p) for i, p in enumerate(lat.pieces)) - len(b" theaon") - len(long_) - 1) < 1e-6
+    assert np.allclose(lat.log_probability([long_], logp)[0], math.log(0.5) + lat.forward(np.frombuffer(b" " + long_, np.uint8)[None], logp)[0, -1])
 
 
-def test_scores(spark):
+@pytest.mark.parametrize("chunk_bytes", [24 << 20, 300])
+def test_scores(spark, monkeypatch, chunk_bytes):
+    """Everything from definitions, the score by all segmentations; also with many unequal chunks and split lists."""
+    monkeypatch.setattr(lattice_lm, "CHUNK_BYTES", chunk_bytes)
+    monkeypatch.setattr(lattice_lm, "LISTED", 3)
     rows = odd.rows()
     got = lattice_lm.score_documents(odd.frame(spark), MODEL).collect()
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     tokens = [[*(w.lower() for w in words(r[1])), None] for r in rows]
     c = Counter(w for r, t in zip(rows, tokens, strict=True) if not out(r[0]) for w in t)
     n, v = sum(c.values()), len(c)
-    want = [(r[0], out(r[0]), len(t), sum(w in c for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6)) for r, t in zip(rows, tokens, strict=True)]
-    assert sorted(map(str, want)) == sorted(str((*tuple(r)[:5], round(r.base_score, 6))) for r in got)
-    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    lat = lattice_lm.lattice(MODEL)
+    logp = lat.weights(lattice_lm.SLOPES)
+    every = sorted({w for t in tokens for w in t if w is not None})
+    by_word = dict(zip(every, lat.log_probability(every, logp), strict=True))
+    slope = int(np.argmax(sum(k * by_word[w] for w, k in c.items() if w is not None)))
+    brute, sums = all_segmentations(lat, logp[:, slope]), {}
+    for w in every:
+        sums[w] = math.log(0.5 * brute(b" " + w)) if len(w) < 13 else float(by_word[w][slope])
+    more, end = math.log((n - c[None] + 1) / (n + 2)), math.log((c[None] + 1) / (n + 2))
+    want = []
+    for r, t in zip(rows, tokens, strict=True):
+        score = float(sum(sums[w] + more for w in t[:-1]) + end) / math.log(10)
+        want.append((r[0], out(r[0]), len(t), sum(w in c for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6), round(score, 5)))
+    assert sorted(map(str, want)) == sorted(str((*tuple(r)[:5], round(r.base_score, 6), round(r.score, 5))) for r in got)
+    assert all(math.isfinite(r.word_score) and r.word_score < 0 for r in got)
     assert lattice_lm.score_documents(odd.frame(spark, empty=True), MODEL).count() == 0
 
 
