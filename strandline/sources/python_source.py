@@ -1,4 +1,4 @@
-"""Symbols, imports, calls and test cases of Python files: one parse for each file, names joined by Spark."""
+"""Symbols, imports, references and test cases of Python files: one parse for each file, names joined by Spark."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import graph as G
+from strandline.session import written
+
 ROWS = "path string, module string, row string, name string, owner string, kind string, line int, end_line int, branches int, strong int, weak int"
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -55,31 +58,75 @@ def parse(path: str, content: str) -> list[tuple]:
         return [(path, module, "file", module, None, "failed", None, None, None, None, None)]
     rows = [(path, module, "file", module, None, "complete", 1, content.count("\n") + 1, None, None, None)]
 
+    def refer(name: str | None, owner: str, kind: str, line: int) -> None:
+        if name:
+            rows.append((path, module, "ref", name, owner or None, kind, line, None, None, None, None))
+
     def walk(node: ast.AST, owner: str) -> None:
         for x in ast.iter_child_nodes(node):
             if isinstance(x, (*_FUNCTIONS, ast.ClassDef)):
                 own = f"{owner}.{x.name}" if owner else x.name
                 kind = "class" if isinstance(x, ast.ClassDef) else "method" if isinstance(node, ast.ClassDef) else "function"
                 rows.append((path, module, "symbol", own, owner or None, kind, x.lineno, x.end_lineno, *_measure(x)))
-                calls(x, own)
+                _references(x, lambda name, kind, line, own=own: refer(name, own, kind, line))
                 walk(x, own)
             elif isinstance(x, (ast.If, ast.Try)):
                 walk(x, owner)
-            elif isinstance(x, ast.Import):
-                rows.extend((path, module, "import", a.name, a.asname or a.name.split(".")[0], "module", x.lineno, None, None, None, None) for a in x.names)
-            elif isinstance(x, ast.ImportFrom):
-                base = ".".join([*module.split(".")[: -x.level], *([x.module] if x.module else [])]) if x.level else x.module or ""
-                rows.extend((path, module, "import", f"{base}.{a.name}" if base else a.name, a.asname or a.name, "symbol", x.lineno, None, None, None, None) for a in x.names)
-
-    def calls(node: ast.AST, owner: str) -> None:
-        for x in _inside(node):
-            if isinstance(x, ast.Call) and isinstance(x.func, (ast.Name, ast.Attribute)):
-                rows.append((path, module, "call", x.func.id if isinstance(x.func, ast.Name) else x.func.attr, owner, "name" if isinstance(x.func, ast.Name) else "attribute", x.lineno, None, None, None, None))
 
     walk(tree, "")
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Import):
+            rows.extend((path, module, "import", a.name, a.asname or a.name.split(".")[0], "module", x.lineno, None, None, None, None) for a in x.names)
+        elif isinstance(x, ast.ImportFrom):
+            package = module.split(".") if path.endswith("__init__.py") else module.split(".")[:-1]
+            base = ".".join([*package[: len(package) - x.level + 1], *([x.module] if x.module else [])]) if x.level else x.module or ""
+            rows.extend((path, module, "import", f"{base}.{a.name}" if base else a.name, a.asname or a.name, "symbol", x.lineno, None, None, None, None) for a in x.names)
     return rows
 
 
+def _dotted(x: ast.AST) -> str | None:
+    """a.b.c as text; ?.c where what stands before is no plain name."""
+    parts = []
+    while isinstance(x, ast.Attribute):
+        parts.append(x.attr)
+        x = x.value
+    if not isinstance(x, ast.Name) and not parts:
+        return None
+    return ".".join([x.id if isinstance(x, ast.Name) else "?", *reversed(parts)])
+
+
+def _named(x: ast.AST | None) -> Iterator[tuple[str, int]]:
+    """The names in an annotation, each as long as it goes."""
+    if isinstance(x, (ast.Name, ast.Attribute)):
+        if name := _dotted(x):
+            yield name, x.lineno
+    elif x is not None:
+        for y in ast.iter_child_nodes(x):
+            yield from _named(y)
+
+
+def _references(x: ast.AST, refer) -> None:
+    """Bases, decorators, annotations and calls of one definition. A name that the function itself binds is unknown (?)."""
+    for d in x.decorator_list:
+        refer(_dotted(d.func if isinstance(d, ast.Call) else d), "decorator", d.lineno)
+    bound: set[str] = set()
+    if isinstance(x, ast.ClassDef):
+        for base in x.bases:
+            refer(_dotted(base), "base", base.lineno)
+    else:
+        args = [*x.args.posonlyargs, *x.args.args, *x.args.kwonlyargs, *filter(None, (x.args.vararg, x.args.kwarg))]
+        bound = {a.arg for a in args} - {"self", "cls"} | {y.id for y in _inside(x) if isinstance(y, ast.Name) and isinstance(y.ctx, ast.Store)}
+        for name, line in [n for a in args for n in _named(a.annotation)] + list(_named(x.returns)):
+            refer(name, "type", line)
+    for y in _inside(x):
+        if isinstance(y, ast.AnnAssign):
+            for name, line in _named(y.annotation):
+                refer(name, "type", line)
+        if isinstance(y, ast.Call) and (name := _dotted(y.func)):
+            head, _, rest = name.partition(".")
+            refer(("?." + rest if rest else "?") if head in bound else name, "call", y.lineno)
+
+
 def extract(files: DataFrame) -> DataFrame:
     """Rows (see ROWS) of all .py files of files (path, content)."""
 
@@ -95,31 +142,99 @@ def extract(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, ROWS)
 
 
-def call_edges(rows: DataFrame) -> DataFrame:
-    """Relations from_id, to_id, relation, confidence, resolution, n: containment and calls.
+def bindings(rows: DataFrame) -> DataFrame:
+    """module, alias, full: what each imported name stands for, followed through the modules that import it from elsewhere.
 
-    A called name is looked up in its own module, then among the module's imports, then by its simple name in the whole
-    repository: one match is certain or unique, several are ambiguous (the first counts), none leaves it unresolved.
+    A name that comes back to one it has been is left there. The rounds are the longest chain of such modules.
+    """
+    i = rows.where("row = 'import'").select("module", F.col("owner").alias("alias"), F.when((F.col("kind") == "module") & (F.col("owner") == F.substring_index("name", ".", 1)), F.col("owner")).otherwise(F.col("name")).alias("full")).distinct()
+    step = written(i.where("full <> concat(module, '.', alias)").groupBy(F.concat("module", F.lit("."), "alias").alias("known")).agg(F.min("full").alias("next")), "step")
+    now = written(i.select("module", "alias", "full", F.array("full").alias("seen")), "bound")
+    while True:
+        moved = now.join(step, F.col("full") == F.col("known"), "left").withColumn("go", F.col("next").isNotNull() & ~F.array_contains("seen", F.coalesce("next", F.lit(""))))
+        now = written(moved.select("module", "alias", F.when(F.col("go"), F.col("next")).otherwise(F.col("full")).alias("full"), F.when(F.col("go"), F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"), "go"), "bound")
+        if now.where("go").isEmpty():
+            return now.select("module", "alias", "full")
+        now = now.drop("go")
+
+
+def _resolved(refs: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
+    """refs (module, owner, name, ...) with `exact`: the one symbol that a name certainly means; `full`: the name behind
+    an import. First the own class's member, then the own module, then what is imported."""
+    last = F.expr("substring(owner, 1, length(owner) - length(substring_index(owner, '.', -1)) - 1)")
+    mine = F.when(F.col("name").rlike(r"^(self|cls)\.[^.]+$"), F.concat("module", F.lit("#"), last, F.lit("."), F.substring_index("name", ".", -1)))
+    keys = symbols.select(F.concat("module", F.lit("#"), "name").alias("k"), "id").distinct()
+    fq = symbols.select(F.concat("module", F.lit("."), "name").alias("q"), "id").groupBy("q").agg(F.min("id").alias("fq_id"))
+    r = refs.withColumns({"mine": mine, "local": F.concat("module", F.lit("#"), "name"), "head": F.substring_index("name", ".", 1)})
+    r = r.join(keys.select(F.col("k").alias("k1"), F.col("id").alias("own_id")), F.col("mine") == F.col("k1"), "left").join(keys.select(F.col("k").alias("k2"), F.col("id").alias("local_id")), F.col("local") == F.col("k2"), "left")
+    r = r.join(bound.select(F.col("module").alias("m3"), "alias", F.col("full").alias("base")), (F.col("module") == F.col("m3")) & (F.col("head") == F.col("alias")), "left")
+    r = r.withColumn("full", F.concat("base", F.expr("substring(name, length(head) + 1)"))).join(fq, F.col("full") == F.col("q"), "left")
+    return r.withColumn("exact", F.coalesce("own_id", "local_id", "fq_id")).select(*refs.columns, "full", "exact")
+
+
+def relations(rows: DataFrame) -> DataFrame:
+    """from_id, to_id, relation, confidence, resolution, candidates, n of all files' rows.
+
+    CONTAINS, IMPORTS, IMPORTS_SYMBOL and RE_EXPORTS (of package files), INHERITS, DECORATES, TYPE_USES, CALLS and
+    INSTANTIATES (calls of classes). A name is looked up in its own class, its module, its imports (through re-exports),
+    then in the classes above its own; else by its last part in the whole repository: one match is unique, several are
+    ambiguous, and all of them are candidates (to_id: the least), none leaves it unresolved. What is imported from
+    elsewhere is external.
     """
-    s = rows.where("row = 'symbol'").select("module", "name", "owner", F.concat(F.lit("py:"), "module", F.lit("#"), "name").alias("id"), F.element_at(F.split("name", r"\."), -1).alias("simple"))
+    ident = F.concat(F.lit("py:"), "module", F.lit("#"), "name")
+    symbols = written(rows.where("row = 'symbol'").select("module", "name", "owner", "kind", ident.alias("id"), F.substring_index("name", ".", -1).alias("simple")).distinct(), "symbols")
+    bound = bindings(rows)
+    refs = rows.where("row = 'ref'").groupBy("module", "owner", "name", "kind").agg(F.count("*").alias("n"))
+    met = written(_resolved(refs, symbols, bound), "met")
+    # members of classes above: (class, class above it)
+    owner_id = F.concat(F.lit("py:"), "module", F.lit("#"), "owner")
+    above = G.closure(met.where("kind = 'base' and exact is not null").select(owner_id.alias("src"), F.col("exact").alias("dst")))
+    own_class = F.expr("substring(owner, 1, length(owner) - length(substring_index(owner, '.', -1)) - 1)")
+    asked = met.where("exact is null").where(F.col("name").rlike(r"^(self|cls)\.[^.]+$")).select("module", "owner", "name", "kind", F.concat(F.lit("py:"), "module", F.lit("#"), own_class).alias("class"), F.substring_index("name", ".", -1).alias("member")).distinct()
+    members = symbols.where("owner is not null").select(F.concat(F.lit("py:"), "module", F.lit("#"), "owner").alias("of"), "simple", F.col("id").alias("member_id"))
+    found = asked.join(above, F.col("class") == F.col("src")).join(members, (F.col("dst") == F.col("of")) & (F.col("member") == F.col("simple")))
+    inherited = found.groupBy(F.col("module").alias("m"), F.col("owner").alias("o"), F.col("name").alias("x"), F.col("kind").alias("kd")).agg(F.sort_array(F.collect_set("member_id")).alias("from_above"))
+    simple = symbols.groupBy(F.col("simple").alias("s")).agg(F.sort_array(F.collect_set("id")).alias("named"))
+    modules = rows.where("row = 'file'").select(F.substring_index("module", ".", 1).alias("root")).distinct()
+    known = F.col("exact").isNull() & ~F.col("name").isin("?")
+    j = met.join(inherited, (F.col("module") == F.col("m")) & (F.col("owner") == F.col("o")) & (F.col("name") == F.col("x")) & (F.col("kind") == F.col("kd")), "left")
+    j = j.join(simple, known & (F.substring_index("name", ".", -1) == F.col("s")), "left").join(modules, F.substring_index("full", ".", 1) == F.col("root"), "left")
+    outside = F.col("full").isNotNull() & F.col("root").isNull()
+    targets = F.when(F.col("exact").isNotNull(), F.array("exact")).when(F.col("from_above").isNotNull(), F.col("from_above")).when(outside, F.array(F.concat(F.lit("external:"), "full"))).otherwise(F.coalesce("named", F.array(F.concat(F.lit("unresolved:"), "name"))))
+    sure = F.col("exact").isNotNull() | (F.size("from_above") == 1)
+    many = F.size("targets") > 1
+    resolution = F.when(sure, "exact").when(many, "ambiguous").when(outside | (F.col("named").isNull() & F.col("from_above").isNull()), "unresolved").otherwise("unique_name")
+    j = j.withColumn("targets", targets).withColumn("resolution", resolution)
+    kinds = symbols.where("kind = 'class'").select(F.col("id").alias("class_id"))
+    j = j.join(kinds, F.col("targets")[0] == F.col("class_id"), "left")
+    relation = F.when(F.col("kind") == "base", "INHERITS").when(F.col("kind") == "decorator", "DECORATES").when(F.col("kind") == "type", "TYPE_USES").when(F.col("class_id").isNotNull(), "INSTANTIATES").otherwise("CALLS")
+    confidence = F.when(F.col("resolution") == "exact", "static_certain").when(F.col("resolution") == "unresolved", "dynamic_required").otherwise("static_inferred")
+    used = j.select(owner_id.alias("from_id"), F.col("targets")[0].alias("to_id"), relation.alias("relation"), confidence.alias("confidence"), "resolution", F.slice("targets", 2, 1 << 30).alias("candidates"), "n")
+    return _contained(symbols).unionByName(_imported(rows, symbols, bound)).unionByName(used)
+
+
+def _certain(df: DataFrame, relation: Column, resolution: Column | str = "exact") -> DataFrame:
+    r = F.lit(resolution) if isinstance(resolution, str) else resolution
+    return df.select("from_id", "to_id", relation.alias("relation"), F.when(r == "exact", "static_certain").otherwise("dynamic_required").alias("confidence"), r.alias("resolution"), F.array().cast("array<string>").alias("candidates"), "n")
+
+
+def _contained(symbols: DataFrame) -> DataFrame:
     parent = F.when(F.col("owner").isNull(), F.concat(F.lit("py:"), "module")).otherwise(F.concat(F.lit("py:"), "module", F.lit("#"), "owner"))
-    contains = s.select(parent.alias("from_id"), F.col("id").alias("to_id"), F.lit("CONTAINS").alias("relation"), F.lit("static_certain").alias("confidence"), F.lit("exact").alias("resolution"), F.lit(1).cast("long").alias("n"))
-    c = rows.where("row = 'call'").groupBy("module", "owner", "name").agg(F.count("*").alias("n"))
-    own = s.where("owner is null").select(F.col("module").alias("m1"), F.col("name").alias("n1"), F.col("id").alias("own_id"))
-    imports = rows.where("row = 'import' and kind = 'symbol'").select(F.col("module").alias("m2"), F.col("owner").alias("n2"), F.col("name").alias("full")).distinct()
-    full = s.where("owner is null").select(F.concat("module", F.lit("."), "name").alias("f"), F.col("id").alias("imported_id"))
-    bound = imports.join(full, F.col("full") == F.col("f")).groupBy("m2", "n2").agg(F.min("imported_id").alias("imported_id"))
-    first = F.row_number().over(Window.partitionBy("simple").orderBy("id"))
-    simple = s.withColumn("k", first).groupBy(F.col("simple").alias("n3")).agg(F.count("*").alias("matches"), F.min(F.when(F.col("k") == 1, F.col("id"))).alias("any_id"))
-    j = c.join(own, (F.col("module") == F.col("m1")) & (F.col("name") == F.col("n1")), "left").join(bound, (F.col("module") == F.col("m2")) & (F.col("name") == F.col("n2")), "left").join(simple, F.col("name") == F.col("n3"), "left")
-    exact = F.coalesce("own_id", "imported_id")
-    return contains.unionByName(
-        j.select(
-            F.concat(F.lit("py:"), "module", F.lit("#"), "owner").alias("from_id"),
-            F.coalesce(exact, "any_id", F.concat(F.lit("unresolved:"), "name")).alias("to_id"),
-            F.lit("CALLS").alias("relation"),
-            F.when(exact.isNotNull(), "static_certain").when(F.col("any_id").isNotNull(), "static_inferred").otherwise("dynamic_required").alias("confidence"),
-            F.when(exact.isNotNull(), "exact").when(F.col("matches") == 1, "unique_name").when(F.col("matches") > 1, "ambiguous").otherwise("unresolved").alias("resolution"),
-            "n",
-        )
-    )
+    return _certain(symbols.select(parent.alias("from_id"), F.col("id").alias("to_id"), F.lit(1).cast("long").alias("n")), F.lit("CONTAINS"))
+
+
+def _imported(rows: DataFrame, symbols: DataFrame, bound: DataFrame) -> DataFrame:
+    """Modules import modules (the longest part of the name that is one, else something external) and symbols."""
+    i = rows.where("row = 'import'").groupBy("module", "path", F.col("owner").alias("alias"), "name", "kind").agg(F.count("*").alias("n"))
+    parts = F.split("name", r"\.")
+    tries = i.select("module", "path", "alias", "name", "kind", "n", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("d"), parts.alias("p")).withColumn("try", F.array_join(F.slice("p", F.lit(1), F.col("d")), "."))
+    modules = rows.where("row = 'file'").select(F.col("module").alias("known")).distinct()
+    best = tries.join(modules, F.col("try") == F.col("known"), "left").groupBy("module", "name", "kind", "alias", "n").agg(F.max(F.when(F.col("known").isNotNull(), F.struct("d", "known"))).alias("b"))
+    hit = F.col("b").isNotNull()
+    to = best.select(F.concat(F.lit("py:"), "module").alias("from_id"), F.when(hit, F.concat(F.lit("py:"), F.col("b.known"))).otherwise(F.concat(F.lit("external:"), "name")).alias("to_id"), hit.alias("hit"), "n")
+    to = to.groupBy("from_id", "to_id", "hit").agg(F.sum("n").alias("n"))
+    mods = _certain(to, F.lit("IMPORTS"), F.when(F.col("hit"), "exact").otherwise("unresolved"))
+    fq = symbols.groupBy(F.concat("module", F.lit("."), "name").alias("q")).agg(F.min("id").alias("to_id"))
+    named = i.where("kind = 'symbol'").select(F.col("module").alias("m"), "alias", "path", "n").join(bound.select("module", F.col("alias").alias("al"), "full"), (F.col("m") == F.col("module")) & (F.col("alias") == F.col("al"))).join(fq, F.col("full") == F.col("q"))
+    named = named.select(F.concat(F.lit("py:"), "m").alias("from_id"), "to_id", "n", F.explode(F.when(F.col("path").endswith("__init__.py"), F.array(F.lit("IMPORTS_SYMBOL"), F.lit("RE_EXPORTS"))).otherwise(F.array(F.lit("IMPORTS_SYMBOL")))).alias("relation"))
+    return mods.unionByName(_certain(named.groupBy("from_id", "to_id", "relation").agg(F.sum("n").alias("n")), F.col("relation")))

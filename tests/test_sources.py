@@ -14,6 +14,9 @@ FILES = {
     "pkg/a.py": "import os\n\n\ndef f(x):\n    if x and os:\n        return [y for y in x if y]\n    return g()\n\n\ndef g():\n    return len([])\n",
     "pkg/b.py": "from pkg.a import f as h\n\n\nclass C:\n    def m(self):\n        h(1)\n        self.only()\n        self.twice()\n\n    def only(self):\n        pass\n\n    def twice(self):\n        pass\n\n\ndef twice():\n    C()\n",
     "tests/test_a.py": "import pytest\n\n\ndef test_x():\n    assert 1 == 1\n    assert 2\n    with pytest.raises(ValueError):\n        f()\n",
+    "pkg/up.py": "from pkg import f as again\nfrom pkg.b import C\nimport pkg.a\nimport json as j\n\n\n@again\nclass D(C):\n    def k(self, x: C, run) -> 'C':\n        self.only()\n        self.k(1)\n        run()\n        x.twice()\n        pkg.a.g()\n        j.dumps(1)\n        for again in x:\n            again()\n",
+    "loop/a.py": "from loop.b import z\nz()\n\n\ndef own():\n    z()\n",
+    "loop/b.py": "from loop.a import z\n",
     "bad.py": "def (:\n",
     "notes.txt": "text",
 }
@@ -32,14 +35,36 @@ def test_symbols_imports_and_failures(rows):
     assert ("pkg.b", "pkg.a.f", "h") in {(r.module, r.name, r.owner) for r in rows.where("row = 'import'").collect()}
 
 
-def test_calls_are_resolved_in_order(rows):
-    got = {(r.from_id, r.to_id): (r.confidence, r.resolution) for r in python_source.call_edges(rows).where("relation = 'CALLS'").collect()}
-    assert got[("py:pkg.a#f", "py:pkg.a#g")] == ("static_certain", "exact")
-    assert got[("py:pkg.b#C.m", "py:pkg.a#f")] == ("static_certain", "exact")
-    assert got[("py:pkg.b#C.m", "py:pkg.b#C.only")] == ("static_inferred", "unique_name")
-    assert got[("py:pkg.b#twice", "py:pkg.b#C")] == ("static_certain", "exact")
-    assert got[("py:pkg.a#g", "unresolved:len")] == ("dynamic_required", "unresolved")
-    assert got[("py:tests.test_a#test_x", "py:pkg.a#f")] == ("static_inferred", "unique_name")
+def test_references_are_resolved_in_order(rows):
+    got = {(r.from_id.removeprefix("py:"), r.to_id.removeprefix("py:"), r.relation): (r.confidence, r.resolution, r.candidates) for r in python_source.relations(rows).collect()}
+    exact = ("static_certain", "exact", [])
+    for key in (
+        ("pkg.a#f", "pkg.a#g", "CALLS"),
+        ("pkg.b#C.m", "pkg.a#f", "CALLS"),
+        ("pkg.b#C.m", "pkg.b#C.only", "CALLS"),
+        ("pkg.b#C.m", "pkg.b#C.twice", "CALLS"),
+        ("pkg.b#twice", "pkg.b#C", "INSTANTIATES"),
+        ("pkg.up#D", "pkg.b#C", "INHERITS"),
+        ("pkg.up#D", "pkg.a#f", "DECORATES"),
+        ("pkg.up#D.k", "pkg.b#C", "TYPE_USES"),
+        ("pkg.up#D.k", "pkg.b#C.only", "CALLS"),
+        ("pkg.up#D.k", "pkg.up#D.k", "CALLS"),
+        ("pkg.up#D.k", "pkg.a#g", "CALLS"),
+        ("pkg.up", "pkg.a#f", "IMPORTS_SYMBOL"),
+        ("pkg.up", "pkg.b", "IMPORTS"),
+        ("pkg.up", "pkg.a", "IMPORTS"),
+        ("pkg", "pkg.a#f", "RE_EXPORTS"),
+        ("pkg.b", "pkg.b#C", "CONTAINS"),
+    ):
+        assert got[key] == exact, key
+    assert got[("pkg.up#D.k", "pkg.b#C.twice", "CALLS")] == ("static_inferred", "ambiguous", ["py:pkg.b#twice"])
+    assert got[("pkg.up#D.k", "external:json.dumps", "CALLS")] == ("dynamic_required", "unresolved", [])
+    assert got[("pkg.up", "external:json", "IMPORTS")] == ("dynamic_required", "unresolved", [])
+    assert got[("pkg.up#D.k", "unresolved:?", "CALLS")] == ("dynamic_required", "unresolved", [])
+    assert got[("pkg.a#g", "unresolved:len", "CALLS")] == ("dynamic_required", "unresolved", [])
+    assert got[("tests.test_a#test_x", "pkg.a#f", "CALLS")] == ("static_inferred", "unique_name", [])
+    assert got[("loop.a#own", "unresolved:z", "CALLS")][1] == "unresolved"
+    assert not any(k[2] == "RE_EXPORTS" and k[0] != "pkg" for k in got)
 
 
 def test_this_repository(spark):
@@ -51,7 +76,7 @@ def test_this_repository(spark):
     assert all(r.reason in ("too_large", "generated_marker") for r in gone.collect())
     rows = python_source.extract(kept)
     assert rows.where("kind = 'failed'").isEmpty()
-    edges = python_source.call_edges(rows)
+    edges = python_source.relations(rows)
     assert not edges.where("to_id = 'py:strandline.functions.paths#exclusion_reason' and resolution = 'exact'").isEmpty()
 
 
