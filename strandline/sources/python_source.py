@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandline.operators import graph as G
 from strandline.session import written
 
-ROWS = "path string, module string, row string, name string, owner string, kind string, line int, end_line int, branches int, strong int, weak int"
+ROWS = "path string, module string, row string, name string, owner string, kind string, line int, end_line int, branches int, strong int, weak int, raises int"
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -34,9 +34,10 @@ def _inside(node: ast.AST) -> Iterator[ast.AST]:
         todo.extend(ast.iter_child_nodes(x))
 
 
-def _measure(node: ast.AST) -> tuple[int, int, int]:
-    """Branches, strong and weak assertions: comparing for equality or identity is strong, as is pytest.raises."""
-    branches = strong = weak = 0
+def _measure(node: ast.AST) -> tuple[int, int, int, int]:
+    """Branches, strong and weak assertions (comparing for equality or identity is strong, as is pytest.raises), and how
+    many of them are pytest.raises."""
+    branches = strong = weak = raises = 0
     for x in _inside(node):
         branches += isinstance(x, _BRANCHES)
         branches += len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0
@@ -45,8 +46,8 @@ def _measure(node: ast.AST) -> tuple[int, int, int]:
             exact = isinstance(x.test, ast.Compare) and len(x.test.ops) == 1 and isinstance(x.test.ops[0], (ast.Eq, ast.Is))
             strong, weak = strong + exact, weak + (not exact)
         elif isinstance(x, ast.Call) and ast.unparse(x.func) == "pytest.raises":
-            strong += 1
-    return branches, strong, weak
+            strong, raises = strong + 1, raises + 1
+    return branches, strong, weak, raises
 
 
 def parse(path: str, content: str) -> list[tuple]:
@@ -55,12 +56,12 @@ def parse(path: str, content: str) -> list[tuple]:
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError):
-        return [(path, module, "file", module, None, "failed", None, None, None, None, None)]
-    rows = [(path, module, "file", module, None, "complete", 1, content.count("\n") + 1, None, None, None)]
+        return [(path, module, "file", module, None, "failed", None, None, None, None, None, None)]
+    rows = [(path, module, "file", module, None, "complete", 1, content.count("\n") + 1, None, None, None, None)]
 
     def refer(name: str | None, owner: str, kind: str, line: int) -> None:
         if name:
-            rows.append((path, module, "ref", name, owner or None, kind, line, None, None, None, None))
+            rows.append((path, module, "ref", name, owner or None, kind, line, None, None, None, None, None))
 
     def walk(node: ast.AST, owner: str) -> None:
         for x in ast.iter_child_nodes(node):
@@ -74,13 +75,14 @@ def parse(path: str, content: str) -> list[tuple]:
                 walk(x, owner)
 
     walk(tree, "")
+    _calls(tree, set(), lambda name, kind, line: refer(name, "", kind, line))
     for x in ast.walk(tree):
         if isinstance(x, ast.Import):
-            rows.extend((path, module, "import", a.name, a.asname or a.name.split(".")[0], "module", x.lineno, None, None, None, None) for a in x.names)
+            rows.extend((path, module, "import", a.name, a.asname or a.name.split(".")[0], "module", x.lineno, None, None, None, None, None) for a in x.names)
         elif isinstance(x, ast.ImportFrom):
             package = module.split(".") if path.endswith("__init__.py") else module.split(".")[:-1]
             base = ".".join([*package[: len(package) - x.level + 1], *([x.module] if x.module else [])]) if x.level else x.module or ""
-            rows.extend((path, module, "import", f"{base}.{a.name}" if base else a.name, a.asname or a.name, "symbol", x.lineno, None, None, None, None) for a in x.names)
+            rows.extend((path, module, "import", f"{base}.{a.name}" if base else a.name, a.asname or a.name, "symbol", x.lineno, None, None, None, None, None) for a in x.names)
     return rows
 
 
@@ -106,9 +108,9 @@ def _named(x: ast.AST | None) -> Iterator[tuple[str, int]]:
 
 
 def _references(x: ast.AST, refer) -> None:
-    """Bases, decorators, annotations and calls of one definition. A name that the function itself binds is unknown (?)."""
+    """Bases, decorators, annotations and calls of one definition. Calls of what the function itself binds are local."""
     for d in x.decorator_list:
-        refer(_dotted(d.func if isinstance(d, ast.Call) else d), "decorator", d.lineno)
+        refer(_dotted(d.func if isinstance(d, ast.Call) else d), "decorator" if isinstance(d, ast.Call) else "bare", d.lineno)
     bound: set[str] = set()
     if isinstance(x, ast.ClassDef):
         for base in x.bases:
@@ -118,13 +120,16 @@ def _references(x: ast.AST, refer) -> None:
         bound = {a.arg for a in args} - {"self", "cls"} | {y.id for y in _inside(x) if isinstance(y, ast.Name) and isinstance(y.ctx, ast.Store)}
         for name, line in [n for a in args for n in _named(a.annotation)] + list(_named(x.returns)):
             refer(name, "type", line)
+    _calls(x, bound, refer)
+
+
+def _calls(x: ast.AST, bound: set[str], refer) -> None:
     for y in _inside(x):
         if isinstance(y, ast.AnnAssign):
             for name, line in _named(y.annotation):
                 refer(name, "type", line)
         if isinstance(y, ast.Call) and (name := _dotted(y.func)):
-            head, _, rest = name.partition(".")
-            refer(("?." + rest if rest else "?") if head in bound else name, "call", y.lineno)
+            refer(name, "local" if name.split(".")[0] in bound else "call", y.lineno)
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -135,13 +140,65 @@ def extract(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in parse(p, c or "")]
             out = pd.DataFrame(rows, columns=columns)
-            for c in ("line", "end_line", "branches", "strong", "weak"):
+            for c in ("line", "end_line", "branches", "strong", "weak", "raises"):
                 out[c] = out[c].astype("Int32")
             yield out
 
     return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, ROWS)
 
 
+#: Names of assertions, mocks and skips in Python tests. Fixed values.
+STRONG = (
+    "assertEqual assertEquals assertIs assertIsNone assertDictEqual assertListEqual assertCountEqual assertSequenceEqual assertTupleEqual assertSetEqual "
+    "assertMultiLineEqual assertAlmostEqual assertRaises assertRaisesRegex assert_called_once_with assert_called_with assert_any_call assert_has_calls assert_not_called"
+).split()
+WEAK = (
+    "assertTrue assertFalse assertIsNotNone assertIn assertNotIn assertGreater assertGreaterEqual assertLess assertLessEqual assertNotEqual assertIsInstance "
+    "assertIsNot assertNotAlmostEqual assertRegex assert_called assert_called_once"
+).split()
+LIKE_ASSERTIONS = r"^(assert|check|verify|expect)"
+MOCK_CLASSES = ("Mock", "MagicMock", "AsyncMock", "NonCallableMock", "PropertyMock", "create_autospec")
+MOCK_NAMES = r"^((unittest\.mock|mock|mocker)\.)?patch(\.(object|dict|multiple))?$|^monkeypatch\.(setattr|setitem)$"
+PATCHES = r"^((unittest\.mock|mock|mocker)\.)?patch(\.(object|dict|multiple))?$"
+SKIPS = r"^((pytest\.)?mark\.(skip|skipif|xfail)|(unittest\.)?(skip|skipIf|skipUnless|expectedFailure))$"
+
+
+def cases_of_tests(rows: DataFrame) -> DataFrame:
+    """module, name, strong, weak, mocks, skipped of every test: functions and methods whose name begins with test.
+
+    Counts go over the test with all that is defined inside. Mocks are calls that make one, and bare decorators that
+    patch, of the test, its classes and its module; a skip is a decorator of the test or its classes, or a call.
+    """
+    last = F.substring_index("name", ".", -1)
+    case = rows.where("row = 'symbol' and kind in ('function', 'method')").where(last.startswith("test")).select("module", "name").distinct()
+    # what a definition counts for: itself and all it is inside of
+    parts = F.split("at", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    asserts = rows.where("row = 'symbol' and kind <> 'class'").select("module", F.col("name").alias("at"), (F.col("strong") - F.col("raises")).alias("strong"), "weak")
+    calls = rows.where("row = 'ref' and owner is not null and kind in ('call', 'local', 'decorator', 'bare')").select("module", F.col("owner").alias("at"), "name", "kind")
+    is_call = F.col("kind").isin("call", "local")
+    raises, strong, weak = F.col("name").isin("pytest.raises", "raises"), last.isin(STRONG), last.isin(WEAK)
+    mock = (is_call | (F.col("kind") == "decorator")) & (last.isin(*MOCK_CLASSES) | F.col("name").rlike(MOCK_NAMES)) | (F.col("kind") == "bare") & F.col("name").rlike(PATCHES)
+    skip = ~is_call & F.col("name").rlike(SKIPS) | is_call & ((F.col("name") == "pytest.skip") | (last == "skipTest"))
+    good = is_call & (raises | strong | (~weak & last.rlike(LIKE_ASSERTIONS)))
+    one = lambda c: c.cast("int")
+    facts = calls.select("module", "at", one(good).alias("strong"), one(is_call & ~raises & ~strong & weak).alias("weak"), one(mock).alias("mocks"), one(skip).alias("skips"), is_call.alias("call"))
+    facts = facts.unionByName(asserts.select("module", "at", "strong", "weak", F.lit(0).alias("mocks"), F.lit(0).alias("skips"), F.lit(True).alias("call")))
+    facts = facts.groupBy("module", "at", "call").agg(*[F.sum(c).alias(c) for c in ("strong", "weak", "mocks", "skips")])
+    inside = facts.select("*", F.explode(prefixes).alias("of")).groupBy("module", "of").agg(*[F.sum(c).alias(c) for c in ("strong", "weak", "mocks")], F.sum(F.when(F.col("call") | (F.col("of") == F.col("at")), F.col("skips"))).alias("skips"))
+    got = case.join(inside.withColumnRenamed("module", "m"), (F.col("module") == F.col("m")) & (F.col("name") == F.col("of")), "left").drop("m", "of")
+    # decorators of the classes around a test, and mocks of its module
+    classes = rows.where("row = 'symbol' and kind = 'class'").select(F.col("module").alias("cm"), F.col("name").alias("cn")).distinct()
+    around = case.select("module", "name", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("name", r"\."))), lambda i: F.array_join(F.slice(F.split("name", r"\."), F.lit(1), i), "."))).alias("up")).where("up <> name")
+    decorated = facts.where("not call").select(F.col("module").alias("dm"), F.col("at").alias("da"), F.col("mocks").alias("dmocks"), F.col("skips").alias("dskips"))
+    around = around.join(classes, (F.col("module") == F.col("cm")) & (F.col("up") == F.col("cn"))).join(decorated, (F.col("module") == F.col("dm")) & (F.col("up") == F.col("da")))
+    around = around.groupBy(F.col("module").alias("am"), F.col("name").alias("an")).agg(F.sum("dmocks").alias("amocks"), F.sum("dskips").alias("askips"))
+    top = rows.where("row = 'ref' and owner is null and kind = 'call'").where(mock).groupBy(F.col("module").alias("tm")).agg(F.count("*").alias("tmocks"))
+    got = got.join(around, (F.col("module") == F.col("am")) & (F.col("name") == F.col("an")), "left").join(top, F.col("module") == F.col("tm"), "left")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return got.select("module", "name", z("strong").alias("strong"), z("weak").alias("weak"), (z("mocks") + z("amocks") + z("tmocks")).alias("mocks"), (z("skips") + z("askips") > 0).alias("skipped"))
+
+
 def bindings(rows: DataFrame) -> DataFrame:
     """module, alias, full: what each imported name stands for, followed through the modules that import it from elsewhere.
 
@@ -184,10 +241,12 @@ def relations(rows: DataFrame) -> DataFrame:
     ident = F.concat(F.lit("py:"), "module", F.lit("#"), "name")
     symbols = written(rows.where("row = 'symbol'").select("module", "name", "owner", "kind", ident.alias("id"), F.substring_index("name", ".", -1).alias("simple")).distinct(), "symbols")
     bound = bindings(rows)
-    refs = rows.where("row = 'ref'").groupBy("module", "owner", "name", "kind").agg(F.count("*").alias("n"))
+    local = F.col("kind") == "local"
+    name = F.when(local, F.concat(F.lit("?"), F.expr("substring(name, length(substring_index(name, '.', 1)) + 1)"))).otherwise(F.col("name"))
+    refs = rows.where("row = 'ref'").select("module", "owner", name.alias("name"), F.when(local, "call").otherwise(F.col("kind")).alias("kind")).groupBy("module", "owner", "name", "kind").agg(F.count("*").alias("n"))
     met = written(_resolved(refs, symbols, bound), "met")
     # members of classes above: (class, class above it)
-    owner_id = F.concat(F.lit("py:"), "module", F.lit("#"), "owner")
+    owner_id = F.when(F.col("owner").isNull(), F.concat(F.lit("py:"), "module")).otherwise(F.concat(F.lit("py:"), "module", F.lit("#"), "owner"))
     above = G.closure(met.where("kind = 'base' and exact is not null").select(owner_id.alias("src"), F.col("exact").alias("dst")))
     own_class = F.expr("substring(owner, 1, length(owner) - length(substring_index(owner, '.', -1)) - 1)")
     asked = met.where("exact is null").where(F.col("name").rlike(r"^(self|cls)\.[^.]+$")).select("module", "owner", "name", "kind", F.concat(F.lit("py:"), "module", F.lit("#"), own_class).alias("class"), F.substring_index("name", ".", -1).alias("member")).distinct()
@@ -197,7 +256,7 @@ def relations(rows: DataFrame) -> DataFrame:
     simple = symbols.groupBy(F.col("simple").alias("s")).agg(F.sort_array(F.collect_set("id")).alias("named"))
     modules = rows.where("row = 'file'").select(F.substring_index("module", ".", 1).alias("root")).distinct()
     known = F.col("exact").isNull() & ~F.col("name").isin("?")
-    j = met.join(inherited, (F.col("module") == F.col("m")) & (F.col("owner") == F.col("o")) & (F.col("name") == F.col("x")) & (F.col("kind") == F.col("kd")), "left")
+    j = met.join(inherited, (F.col("module") == F.col("m")) & F.col("owner").eqNullSafe(F.col("o")) & (F.col("name") == F.col("x")) & (F.col("kind") == F.col("kd")), "left")
     j = j.join(simple, known & (F.substring_index("name", ".", -1) == F.col("s")), "left").join(modules, F.substring_index("full", ".", 1) == F.col("root"), "left")
     outside = F.col("full").isNotNull() & F.col("root").isNull()
     targets = F.when(F.col("exact").isNotNull(), F.array("exact")).when(F.col("from_above").isNotNull(), F.col("from_above")).when(outside, F.array(F.concat(F.lit("external:"), "full"))).otherwise(F.coalesce("named", F.array(F.concat(F.lit("unresolved:"), "name"))))
@@ -207,7 +266,7 @@ def relations(rows: DataFrame) -> DataFrame:
     j = j.withColumn("targets", targets).withColumn("resolution", resolution)
     kinds = symbols.where("kind = 'class'").select(F.col("id").alias("class_id"))
     j = j.join(kinds, F.col("targets")[0] == F.col("class_id"), "left")
-    relation = F.when(F.col("kind") == "base", "INHERITS").when(F.col("kind") == "decorator", "DECORATES").when(F.col("kind") == "type", "TYPE_USES").when(F.col("class_id").isNotNull(), "INSTANTIATES").otherwise("CALLS")
+    relation = F.when(F.col("kind") == "base", "INHERITS").when(F.col("kind").isin("decorator", "bare"), "DECORATES").when(F.col("kind") == "type", "TYPE_USES").when(F.col("class_id").isNotNull(), "INSTANTIATES").otherwise("CALLS")
     confidence = F.when(F.col("resolution") == "exact", "static_certain").when(F.col("resolution") == "unresolved", "dynamic_required").otherwise("static_inferred")
     used = j.select(owner_id.alias("from_id"), F.col("targets")[0].alias("to_id"), relation.alias("relation"), confidence.alias("confidence"), "resolution", F.slice("targets", 2, 1 << 30).alias("candidates"), "n")
     return _contained(symbols).unionByName(_imported(rows, symbols, bound)).unionByName(used)

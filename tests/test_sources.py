@@ -67,6 +67,53 @@ def test_references_are_resolved_in_order(rows):
     assert not any(k[2] == "RE_EXPORTS" and k[0] != "pkg" for k in got)
 
 
+CASES = """import unittest
+from unittest import mock
+import pytest
+m = mock.Mock()
+
+
+@mock.patch("x")
+@unittest.skipIf(True, "")
+class TestA(unittest.TestCase):
+    @mock.patch.object
+    def test_a(self, p):
+        self.assertEqual(1, 1)
+        self.assertTrue(p)
+        check_all()
+        assert p is None
+        assert p
+
+        def inner():
+            assert p == 2
+            MagicMock()
+
+    def helper(self):
+        assert 1 == 1
+
+
+def test_b(monkeypatch):
+    with pytest.raises(ValueError):
+        monkeypatch.setattr("a", "b")
+    pytest.skip("x")
+
+
+@pytest.mark.xfail
+def test_c():
+    pass
+
+
+def test_d():
+    assert_called_once()
+"""
+
+
+def test_cases_with_assertions_mocks_and_skips(spark):
+    rows = python_source.extract(spark.createDataFrame([("t.py", CASES)], "path string, content string"))
+    got = {r.name: (r.strong, r.weak, r.mocks, r.skipped) for r in python_source.cases_of_tests(rows).collect()}
+    assert got == {"TestA.test_a": (4, 2, 4, True), "test_b": (1, 0, 2, True), "test_c": (0, 0, 1, True), "test_d": (0, 1, 1, False)}
+
+
 def test_this_repository(spark):
     paths = repository.tracked_paths(ROOT)
     files = repository.read_files(spark, ROOT, paths)
