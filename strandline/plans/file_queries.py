@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from strandline.functions import paths as P
 from strandline.functions import text as T
 from strandline.functions.edges import candidate_targets, edge_rank, edge_weight
+from strandline.operators import checks as C
+from strandline.operators import findings as N
 from strandline.operators import graph as G
+from strandline.operators import rules as R
 from strandline.operators import structure as S
 from strandline.plans import views as V
 from strandline.session import written
@@ -305,13 +308,8 @@ def tests_edges(spark: SparkSession, sf: str) -> DataFrame:
 def untested_hub(spark: SparkSession, sf: str) -> DataFrame:
     """Of the fifty production nodes of greatest PageRank, those that no test reaches for certain."""
     n, e = V.part_nodes(spark, sf), V.part_edges(spark, sf)
-    scores = G.pagerank(G.pair_weights(G.project(e)), n).select(F.col("id").alias("k"), F.round("score", 9).alias("score"))
-    best = n.where("category = 'production'").join(scores, F.col("id") == F.col("k")).orderBy(F.desc("score"), "id").limit(50)
-    hubs = best.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long").alias("rank"))
-    tests = n.where("category = 'test'").select(F.col("id").alias("t"))
-    sure = F.col("resolution").isin("exact", "unique_name")
-    reached = e.where("relation = 'TESTS'").join(tests, F.col("from_id") == F.col("t")).groupBy("to_id").agg(F.count_if(sure).alias("sure"), F.count_if(F.col("resolution").isin("ambiguous", "unresolved")).alias("unsure"))
-    return hubs.join(reached, F.col("id") == F.col("to_id"), "left").where("coalesce(sure, 0) = 0").select("id", "rank", F.coalesce("unsure", F.lit(0)).alias("uncertain"))
+    scores = G.pagerank(G.pair_weights(G.project(e)), n).select("id", F.round("score", 9).alias("score"))
+    return N.untested_hubs(n, e, scores)
 
 
 _SIDES = "SELECT from_id AS id, * FROM (SELECT from_id, to_id, confidence, resolution FROM part_edges_sparse WHERE from_id <> to_id) x UNION ALL SELECT to_id AS id, * FROM (SELECT from_id, to_id, confidence, resolution FROM part_edges_sparse WHERE from_id <> to_id) y"
@@ -319,12 +317,7 @@ _SIDES = "SELECT from_id AS id, * FROM (SELECT from_id, to_id, confidence, resol
 
 @query(V.sql(f"SELECT n.id, count(s.id) FILTER (confidence = 'framework_inferred') AS framework_edges, count(s.id) FILTER (confidence = 'dynamic_required') AS dynamic_edges, count(s.id) FILTER (confidence LIKE 'static_%') AS uncertain_static_edges FROM nodes n LEFT JOIN ({_SIDES}) s ON s.id = n.id WHERE n.category = 'production' AND n.id NOT IN (SELECT id FROM ({_SIDES}) t WHERE confidence LIKE 'static_%' AND resolution IN ('exact', 'unique_name')) GROUP BY 1", "nodes", "part_edges_sparse"), whole=True)
 def isolated_node(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    e = V.relations(spark, sf, whole).where("from_id <> to_id").select(F.explode(F.array("from_id", "to_id")).alias("k"), "confidence", "resolution")
-    static = F.col("confidence").startswith("static_")
-    linked = e.where(static & F.col("resolution").isin("exact", "unique_name")).select("k").distinct()
-    c = e.groupBy("k").agg(*[F.count_if(x).alias(a) for x, a in ((F.col("confidence") == "framework_inferred", "framework_edges"), (F.col("confidence") == "dynamic_required", "dynamic_edges"), (static, "uncertain_static_edges"))])
-    n = V.part_nodes(spark, sf).where("category = 'production'").join(linked, F.col("id") == F.col("k"), "left_anti")
-    return n.join(c, F.col("id") == F.col("k"), "left").select("id", *[F.coalesce(F.col(a), F.lit(0)).alias(a) for a in ("framework_edges", "dynamic_edges", "uncertain_static_edges")])
+    return N.isolated_nodes(V.part_nodes(spark, sf).where("category = 'production'"), V.relations(spark, sf, whole))
 
 
 @query(V.sql(f"SELECT to_id AS id, count(DISTINCT pa) FILTER (resolution IN ('exact', 'unique_name')) AS external_refs, count(DISTINCT pa) - count(DISTINCT pa) FILTER (resolution IN ('exact', 'unique_name')) AS uncertain_external_refs FROM ({_EDGEN}) x WHERE pa <> pb GROUP BY 1", "part_edges", "nodes"))
@@ -335,9 +328,8 @@ def symbol_refs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(V.sql("SELECT package, count(*) AS unreferenced_count FROM nodes WHERE category = 'production' AND id NOT IN (SELECT to_id FROM part_edges_sparse WHERE relation <> 'READS') AND kind NOT LIKE 'S%' GROUP BY 1", "nodes", "part_edges_sparse"), whole=True)
 def unreferenced_symbol(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
-    used = V.relations(spark, sf, whole).where("relation <> 'READS'").select(F.col("to_id").alias("k")).distinct()
     n = V.part_nodes(spark, sf).where("category = 'production' and not startswith(kind, 'S')")
-    return n.join(used, F.col("id") == F.col("k"), "left_anti").groupBy("package").agg(F.count("*").alias("unreferenced_count"))
+    return N.unreferenced(n, V.relations(spark, sf, whole).where("relation <> 'READS'"), "package")
 
 
 @query(V.sql(f"SELECT to_id AS id, count(DISTINCT pa) AS directories, CASE WHEN count(DISTINCT pa) = 1 THEN max(l_orderkey) - min(l_orderkey) + 1 ELSE 0 END AS line_span FROM ({_EDGEN}) x WHERE pa <> pb GROUP BY 1 HAVING count(DISTINCT pa) > 1 OR max(l_orderkey) - min(l_orderkey) + 1 > 2000", "part_edges", "nodes"))
@@ -350,12 +342,13 @@ def evidence_spread(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT * FROM (SELECT doc_id, {_NL.format('text')} + 1 AS line_count, {_TOKENS.format('text')} AS token_count FROM documents) x WHERE line_count > 40 OR token_count > 2400")
 def large_node(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return V.table(spark, sf, "documents").select("doc_id", (T.newlines(t) + 1).cast("long").alias("line_count"), T.token_estimate(t).alias("token_count")).where("line_count > 40 or token_count > 2400")
+    n = V.table(spark, sf, "documents").select("doc_id", (T.newlines(t) + 1).cast("long").alias("line_count"), T.token_estimate(t).alias("token_count"))
+    return N.large_nodes(n, 40, 2400)
 
 
 @query(V.sql(f"SELECT pb AS package, count(*) AS edges, count(DISTINCT from_id) AS sources FROM ({_EDGEN}) x WHERE resolution = 'unresolved' OR confidence = 'dynamic_required' GROUP BY 1", "part_edges", "nodes"))
 def unresolved_boundary(spark: SparkSession, sf: str) -> DataFrame:
-    return _edge_nodes(spark, sf).where("resolution = 'unresolved' or confidence = 'dynamic_required'").groupBy(F.col("pb").alias("package")).agg(F.count("*").alias("edges"), F.countDistinct("from_id").alias("sources"))
+    return N.unresolved_boundaries(_edge_nodes(spark, sf).withColumn("package", F.col("pb")), "package")
 
 
 @query("SELECT source, CASE WHEN bool_or(s = 'partial') OR (bool_or(s = 'complete') AND count(DISTINCT s) > 1) THEN 'partial' WHEN bool_or(s = 'failed') THEN 'failed' WHEN bool_or(s = 'complete') THEN 'complete' ELSE 'skipped' END AS status, count(DISTINCT s) AS kinds FROM (SELECT source, CASE WHEN quality IS NULL THEN 'skipped' WHEN quality = 1 AND toxic = 0 THEN 'complete' WHEN quality = 0 AND toxic = 1 THEN 'partial' ELSE 'failed' END AS s FROM documents LEFT JOIN labels USING (doc_id)) x GROUP BY 1")
@@ -435,3 +428,71 @@ def handout_ranking(spark: SparkSession, sf: str) -> DataFrame:
 def focus_candidates(spark: SparkSession, sf: str) -> DataFrame:
     best = V.part_nodes(spark, sf).groupBy("kind", "package").agg(F.max("token_cost").alias("score"), F.count("*").alias("duplicates"))
     return S.top(best, ["kind"], [F.desc("score"), "package"], 2).select("kind", "package", "score", "duplicates")
+
+
+#: Rules over the files' paths; hosts of pages stand in for external names.
+DOCUMENT = {
+    "version": 1,
+    "layers": {"interface": {"paths": ["app/api/**", "app/services/**"]}, "data": {"paths": ["app/db/**", "app/migrations/**"]}, "tests": {"paths": ["tests/**"]}, "library": {"packages": ["vendor*"]}},
+    "allow": {"data": ["library"], "library": []},
+    "forbid": [{"from": "interface", "to": ["tests"], "to_external": ["group:net"]}],
+    "external": {"net": ["*.net"]},
+    "allow_external": {"data": ["*.com"]},
+}
+_RULED = "l AS (SELECT doc_id, path, CASE WHEN path LIKE 'app/api/%' OR path LIKE 'app/services/%' THEN 'interface' WHEN path LIKE 'app/db/%' OR path LIKE 'app/migrations/%' THEN 'data' WHEN path LIKE 'tests/%' THEN 'tests' WHEN path LIKE 'vendor%' THEN 'library' END AS layer FROM files)"
+
+
+def _ruled(spark, sf):
+    f = written(V.files(spark, sf).select("doc_id", "path"), "files")
+    packages = f.select("path", F.substring_index("path", "/", 1).alias("package"))
+    return f, R.assign_layers(f, packages, R.parse_rules(DOCUMENT))
+
+
+def _with_ruled(body: str, *views: str) -> str:
+    return V.sql("@", *views).replace(" @", f", {_RULED} {body}")
+
+
+@query(_with_ruled("SELECT coalesce(n.layer, l.layer) AS layer, count(l.doc_id) AS files FROM l FULL JOIN (SELECT unnest(['interface', 'data', 'tests', 'library']) AS layer) n ON n.layer = l.layer GROUP BY 1", "files"))
+def rule_layer_counts(spark: SparkSession, sf: str) -> DataFrame:
+    f, layers = _ruled(spark, sf)
+    return R.layer_counts(f, layers, R.parse_rules(DOCUMENT))
+
+
+@query(_with_ruled("SELECT DISTINCT a.path AS src, b.path AS dst, a.layer AS from_layer, b.layer AS to_layer, CASE WHEN a.layer = 'interface' THEN 'forbid' ELSE 'allow' END AS rule_type FROM part_edges e JOIN l a ON a.doc_id = e.from_id JOIN l b ON b.doc_id = e.to_id WHERE a.layer <> b.layer AND (a.layer = 'interface' AND b.layer = 'tests' OR a.layer = 'data' AND b.layer <> 'library' OR a.layer = 'library')", "files", "part_edges"))
+def rule_pair_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """All relations between files by a document's allow lists and prohibitions."""
+    f, layers = _ruled(spark, sf)
+    e = V.part_edges(spark, sf).select("from_id", "to_id").distinct()
+    pairs = e.join(f.toDF("ka", "src"), F.col("from_id") == F.col("ka")).join(f.toDF("kb", "dst"), F.col("to_id") == F.col("kb")).select("src", "dst")
+    return R.pair_violations(pairs, layers, R.parse_rules(DOCUMENT))
+
+
+@query(_with_ruled("SELECT path, layer, host AS name, CASE WHEN layer = 'data' THEN 'allow_external' ELSE 'forbid_external' END AS rule_type, CASE WHEN layer = 'data' THEN '' ELSE 'group:net' END AS matched, count(*) AS uses FROM (SELECT l.path, l.layer, split_part(split_part(p.url, '://', 2), '/', 1) AS host FROM pages p JOIN l ON l.doc_id = p.page_id) x WHERE layer = 'data' AND host NOT LIKE '%.com' OR layer = 'interface' AND host LIKE '%.net' GROUP BY 1, 2, 3", "files"))
+def rule_name_violations(spark: SparkSession, sf: str) -> DataFrame:
+    f, layers = _ruled(spark, sf)
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    uses = V.table(spark, sf, "pages").select("page_id", host.alias("name")).join(f, F.col("page_id") == F.col("doc_id")).select("path", "name")
+    found = R.name_violations(uses, layers, R.parse_rules(DOCUMENT))
+    return found.withColumn("matched", F.array_join("matched", ","))
+
+
+@query(V.sql("SELECT 'span is outside its file' AS check, CAST(node_id AS VARCHAR) AS what FROM spans WHERE start_line < 1 OR end_line > 60 UNION ALL SELECT 'edge leads to no node', CAST(id AS VARCHAR) FROM (SELECT from_id AS id FROM part_edges UNION SELECT to_id FROM part_edges UNION SELECT alt1 FROM part_edges UNION SELECT alt2 FROM part_edges) e WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM nodes)", "spans", "part_edges", "nodes"))
+def graph_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with the graph of parts, if each of their files had sixty lines."""
+    text = lambda c: F.col(c).cast("string")
+    s = V.spans(spark, sf).select(text("node_id").alias("id"), F.col("file_path").alias("file"), "start_line", "end_line", F.lit(0).alias("token_estimate"))
+    e = V.part_edges(spark, sf).select(text("from_id").alias("from_id"), text("to_id").alias("to_id"), F.array_compact(F.array(text("alt1"), text("alt2"))).alias("candidates"))
+    return C.check_graph(s, e, s.select(F.col("file").alias("path"), F.lit(60).alias("lines")).distinct())
+
+
+@query(V.sql("SELECT path, row_number() OVER (ORDER BY path) - 1 AS position FROM (SELECT DISTINCT path FROM files) f", "files"))
+def file_positions(spark: SparkSession, sf: str) -> DataFrame:
+    return N.positions(V.files(spark, sf))
+
+
+@query(V.sql("SELECT from_id, to_id, relation, count(*) AS n FROM (SELECT from_id, to_id, relation FROM part_edges WHERE l_orderkey % 2 = 0 UNION ALL SELECT from_id, to_id, relation FROM part_edges b WHERE l_orderkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM part_edges a WHERE a.l_orderkey % 2 = 0 AND a.from_id = b.from_id AND a.to_id = b.to_id AND a.relation = b.relation)) x GROUP BY 1, 2, 3", "part_edges"))
+def merge_analyzers(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations of even orders, then those of odd ones that the even ones do not have; repeats within a half stay."""
+    e = V.part_edges(spark, sf)
+    halves = [e.where(F.col("l_orderkey") % 2 == k).select("from_id", "to_id", "relation") for k in (0, 1)]
+    return N.merge_graphs(halves, ["from_id", "to_id", "relation"]).groupBy("from_id", "to_id", "relation").agg(F.count("*").alias("n"))
