@@ -66,16 +66,16 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
     return doc, codes, own
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words) if seed else map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def text_hashes(texts: pa.Array | list, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def text_hashes(texts: pa.Array | list, lower: bool, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hash of every word, one text after another, and how many words each text has."""
     if isinstance(texts, list):
         texts = pa.array(texts, pa.large_string())
     doc, codes, own = word_codes(texts, lower)
-    return word_hashes(own)[codes] if len(codes) else np.empty(0, np.uint64), np.bincount(doc, minlength=len(texts))
+    return word_hashes(own, seed)[codes] if len(codes) else np.empty(0, np.uint64), np.bincount(doc, minlength=len(texts))
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)

@@ -5,6 +5,8 @@ six-word grams inside them (their minimizer), which equal windows share; runs of
 one row. Only minimizers that occur again are followed. Where edges meet, all but the earliest occurrence of each are
 repeats, and neighbouring repeats with neighbouring sources are compacted at once. A Spark join then glues the pieces
 that continue each other, in the text and in their source, into maximal nonbranching paths with source coordinates.
+Every path is then verified: the words at its own and at its source coordinates must have the same 128-bit digest. If one
+path fails, 64-bit hashes have collided, and all is done again with other hashes.
 Occurrences are reduced in every slice before they are sent, so that a passage that all documents share is no group of
 all documents: a slice sends its earliest occurrence only.
 """
@@ -43,8 +45,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class Slice:
     """Word hashes of some texts, one after another, with each window's minimizer."""
 
-    def __init__(self, texts: pa.Array, k: int):
-        self.h, self.counts = text_hashes(texts, lower=False)
+    def __init__(self, texts: pa.Array, k: int, seed: int, bits: int):
+        self.h, self.counts = text_hashes(texts, lower=False, seed=seed)
+        if bits < 64:
+            self.h = self.h & np.uint64((1 << bits) - 1)
         self.first = np.cumsum(self.counts) - self.counts
         self.k = k
         windows = np.maximum(self.counts - k + 1, 0)
@@ -101,10 +105,10 @@ def pieces_of(d, o, pos, source, later) -> dict[str, np.ndarray]:
     return {c: v[at] for c, v in cols.items()} | {"n": np.diff(np.append(at, len(i)))}
 
 
-def _minimizers(src: DataFrame, k: int) -> DataFrame:
+def _minimizers(src: DataFrame, k: int, seed: int, bits: int) -> DataFrame:
     def run(batches):
         for (ds, os_), texts in scan_rows(batches, "__sl_text", ["__sl_d", "__sl_o"]):
-            sl = Slice(texts, k)
+            sl = Slice(texts, k, seed, bits)
             at = np.unique(sl.arg)
             doc = np.searchsorted(sl.first, at, side="right") - 1
             m, rows = sl.grams[at], pa.array(doc)
@@ -145,7 +149,7 @@ def _only_repeated(batches):
 _SENT = "kind int, m long, blob binary, d long, o int, start int, n int, sd long, so int, ss int, n_words long, sha string, text string"
 
 
-def _send(src: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
+def _send(src: DataFrame, repeated: DataFrame, k: int, seed: int, bits: int) -> DataFrame:
     """Of each document: what it has without any repeat (kind 2, with its text where repeats are possible), repeats
     found in its slice (kind 1) and the remaining edges under their minimizers (kind 0)."""
     found = repeated.groupBy("d", "o").agg(F.collect_set("pos").alias("__sl_at"))
@@ -169,7 +173,7 @@ def _send(src: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
             yield rows(len(listed), kind=np.full(len(listed), 2), d=d, o=o, n_words=counts, sha=sha, text=[listed[i] if at[i] is not None else None for i in range(len(listed))])
             if not may:
                 continue
-            sl = Slice(texts.take(pa.array(may)), k)
+            sl = Slice(texts.take(pa.array(may)), k, seed, bits)
             marked = np.zeros(len(sl.h) + 1, bool)
             for j, i in enumerate(may):
                 marked[sl.first[j] + at[i]] = True
@@ -243,32 +247,54 @@ def glue(pieces: DataFrame) -> DataFrame:
     return path.groupBy("d", "o", "sd", "so", (F.col("start") - F.col("ss")).alias("shift"), "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("ss").alias("ss")).select(*_PIECE)
 
 
-def _spans(src: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _spans(src: DataFrame, k: int, seed: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """What _send wrote, and all repeated paths: windows start .. start + n - 1 of a document occur earlier."""
-    repeated = _minimizers(src, k).repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_only_repeated, "d long, o int, pos int")
-    sent = written(_send(src, repeated, k), "edges")
+    repeated = _minimizers(src, k, seed, bits).repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_only_repeated, "d long, o int, pos int")
+    sent = written(_send(src, repeated, k, seed, bits), "edges")
     met = sent.where("kind = 0").select("m", "blob", "d", "o", "start").repartition("m").sortWithinPartitions("m").mapInArrow(_meet, "d long, o int, start int, n int, sd long, so int, ss int")
-    return sent, glue(written(sent.where("kind = 1").select(*_PIECE).unionByName(met), "pieces"))
+    return sent, written(glue(written(sent.where("kind = 1").select(*_PIECE).unionByName(met), "pieces")), "spans")
+
+
+_OWN = "array<struct<start:int,n:int,sd:bigint,so:int,ss:int>>"
+_LENT = "array<struct<ss:int,n:int>>"
 
 
 def _kept(sent: DataFrame, spans: DataFrame, k: int, with_text: bool) -> DataFrame:
-    by_doc = spans.groupBy(F.col("d").alias("__sl_sd"), F.col("o").alias("__sl_so")).agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("n").cast("long").alias("n"))).alias("__sl_spans"))
+    """d, o, n_words, n_removed, kept_sha256, kept of every document; own (its spans) and lent (spans elsewhere that have
+    their source in it) with the digests of their words."""
+    own = F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n"), "sd", "so", F.col("ss").cast("int").alias("ss"))
+    lent = spans.select("sd", "so", F.col("ss").cast("int").alias("ss"), F.col("n").cast("int").alias("n")).distinct()
+    sides = spans.select("d", "o", own.alias("own"), F.lit(None).cast("struct<ss:int,n:int>").alias("lent"))
+    sides = sides.unionByName(lent.select(F.col("sd").alias("d"), F.col("so").alias("o"), F.lit(None).cast("struct<start:int,n:int,sd:bigint,so:int,ss:int>").alias("own"), F.struct("ss", "n").alias("lent")))
+    by_doc = sides.groupBy(F.col("d").alias("__sl_sd"), F.col("o").alias("__sl_so")).agg(F.collect_list("own").alias("own"), F.collect_list("lent").alias("lent"))
     docs = sent.where("kind = 2").select("d", "o", "n_words", "sha", "text")
-    plain = docs.where("text is null").select("d", "o", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    joined = docs.where("text is not null").join(by_doc, (F.col("d") == F.col("__sl_sd")) & (F.col("o") == F.col("__sl_so")), "left").select("d", "o", "n_words", "sha", "text", "__sl_spans")
-    names = ["d", "o", "n_words", "n_removed", "kept_sha256", "kept"]
+    none = lambda t: F.lit(None).cast(t)
+    digests = "array<binary>"
+    plain = docs.where("text is null").select("d", "o", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), none("string").alias("kept"), none(_OWN).alias("own"), none(_LENT).alias("lent"), none(digests).alias("own_words"), none(digests).alias("lent_words"))
+    joined = docs.where("text is not null").join(by_doc, (F.col("d") == F.col("__sl_sd")) & (F.col("o") == F.col("__sl_so")), "left").select("d", "o", "n_words", "sha", "text", "own", "lent")
+    names = ["d", "o", "n_words", "n_removed", "kept_sha256", "kept", "own", "lent", "own_words", "lent_words"]
 
     def run(batches):
-        for (d, o, n_words, sha, spans_), texts in scan_rows(batches, "text", ["d", "o", "n_words", "sha", "__sl_spans"]):
-            removed, sums, kept = [], [], []
+        for (d, o, n_words, sha, own_, lent_), texts in scan_rows(batches, "text", ["d", "o", "n_words", "sha", "own", "lent"]):
+            removed, sums, kept, marks = [], [], [], ([], [])
             for i, text in enumerate(texts.to_pylist()):
-                if not spans_[i].is_valid:
+                if not own_[i].is_valid:
                     removed.append(0)
                     sums.append(sha[i].as_py())
                     kept.append(None)
+                    for m in marks:
+                        m.append(None)
                     continue
                 words = words_of(text)
-                s = spans_[i].values
+                for m, spans_, at in zip(marks, (own_[i].values, lent_[i].values), ("start", "ss"), strict=True):
+                    ends = zip(spans_.field(at).to_pylist(), spans_.field("n").to_pylist(), strict=True)
+                    m.append([hashlib.blake2b(b" ".join(words[a : a + n + k - 1]), digest_size=16).digest() for a, n in ends])
+                s = own_[i].values
+                if not len(s):
+                    removed.append(0)
+                    sums.append(sha[i].as_py())
+                    kept.append(None)
+                    continue
                 a = s.field("start").to_numpy()
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, a, 1)
@@ -278,38 +304,62 @@ def _kept(sent: DataFrame, spans: DataFrame, k: int, with_text: bool) -> DataFra
                 removed.append(int(gone.sum()))
                 sums.append(hashlib.sha256(left).hexdigest())
                 kept.append(left.decode("utf-8", "replace") if with_text else None)
-            yield pa.RecordBatch.from_arrays([d, o, n_words, pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(kept, pa.string())], names)
+            done = [pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays([d, o, n_words, *done, own_, lent_, *(pa.array(m, pa.list_(pa.binary())) for m in marks)], names)
 
-    changed = joined.mapInArrow(run, "d long, o int, n_words long, n_removed long, kept_sha256 string, kept string")
+    changed = joined.mapInArrow(run, f"d long, o int, n_words long, n_removed long, kept_sha256 string, kept string, own {_OWN}, lent {_LENT}, own_words {digests}, lent_words {digests}")
     return plain.unionByName(changed)
 
 
-def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _all_equal(kept: DataFrame) -> bool:
+    """Whether the words of every span have the digest of the words at its source. Spans of one source and one digest are
+    one row before they are sent."""
+    pair = lambda a, b: F.inline(F.arrays_zip(F.col(a).alias("s"), F.col(b).alias("words")))
+    own = kept.select(pair("own", "own_words")).select("s.sd", "s.so", "s.ss", "s.n", "words").distinct()
+    lent = kept.select("d", "o", pair("lent", "lent_words")).select("d", "o", F.col("s.ss").alias("ls"), F.col("s.n").alias("ln"), F.col("words").alias("source_words")).distinct()
+    met = own.join(lent, (F.col("sd") == F.col("d")) & (F.col("so") == F.col("o")) & (F.col("ss") == F.col("ls")) & (F.col("n") == F.col("ln")), "left")
+    return met.where(~F.col("words").eqNullSafe(F.col("source_words"))).isEmpty()
+
+
+#: Bits of the word hashes of each attempt; each has hashes of its own.
+ATTEMPTS = (64, 64, 64)
+
+
+def _verified(src: DataFrame, k: int, with_text: bool, attempts: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """What _kept gives and the spans, by the first attempt whose spans all lead to equal words."""
+    for seed, bits in enumerate(attempts):
+        sent, spans = _spans(src, k, seed, bits)
+        kept = written(_kept(sent, spans, k, with_text), "kept")
+        if _all_equal(kept):
+            return kept, spans
+    raise ValueError(f"hashes collided in {len(attempts)} attempts")
+
+
+def repeated_spans(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", attempts: tuple[int, ...] = ATTEMPTS) -> DataFrame:
     """The maximal repeated paths: id_col, start and length in words, source_id and source_start of an earlier
     occurrence. Texts and ids as in dedup_substrings."""
-    _, spans = _spans(keyed(docs, id_col, text_col), k)
+    _, spans = _verified(keyed(docs, id_col, text_col), k, False, attempts)
     null = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return spans.select(null("d").alias(id_col), "start", (F.col("n") + k - 1).alias("length"), null("sd").alias("source_id"), F.col("ss").alias("source_start"))
 
 
-def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", attempts: tuple[int, ...] = ATTEMPTS) -> DataFrame:
     """Removes each word in a window of k words that occurs earlier: in a document of smaller id, or before in its own.
 
     Returns id_col (an integer), n_words, n_removed, kept_sha256 (of the kept words joined by one space), one row for
     each row of docs. Null and empty texts have no words; a null id is less than all others; rows of one id with
     different texts count in the texts' order, equal rows as one document; an empty table gives an empty result; other
-    columns are left out. Windows are equal if their 64-bit hashes and their minimizers' are.
+    columns are left out. Spans are removed only after their words have been compared with their source's, by digest; if
+    64-bit hashes collide, other ones are tried, and ValueError says that all attempts (the bits of each) did.
     """
-    src = keyed(docs, id_col, text_col)
-    sent, spans = _spans(src, k)
-    out = _kept(sent, spans, k, False)
+    out, _ = _verified(keyed(docs, id_col, text_col), k, False, attempts)
     return out.select(F.when(F.col("d") != _NO_ID, F.col("d")).alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns; texts that lose words become their kept words joined by one space, others stay as they are."""
     src = keyed(docs, id_col, text_col)
-    sent, spans = _spans(src, k)
-    kept = _kept(sent, spans, k, True).where("n_removed > 0").select(F.col("d").alias("__sl_kd"), F.col("o").alias("__sl_ko"), F.col("kept").alias("__sl_kept")).distinct()
+    kept, _ = _verified(src, k, True, ATTEMPTS)
+    kept = kept.where("n_removed > 0").select(F.col("d").alias("__sl_kd"), F.col("o").alias("__sl_ko"), F.col("kept").alias("__sl_kept")).distinct()
     joined = src.drop("__sl_text").join(kept, (F.col("__sl_d") == F.col("__sl_kd")) & (F.col("__sl_o") == F.col("__sl_ko")), "left")
     return joined.withColumn(text_col, F.coalesce("__sl_kept", F.col(text_col).cast("string"))).select(*docs.columns)

@@ -173,6 +173,14 @@ def test_without_repeats_keeps_rows_and_columns(spark):
     assert sorted(map(str, texts)) == sorted(str((r.doc_id, r.text)) for r in got.select("doc_id", "text").collect())
 
 
+def test_colliding_hashes_are_found(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(40))), (2, " ".join(f"b{i}" for i in range(30))), (3, "x " + " ".join(f"a{i}" for i in range(5, 35)))], "doc_id long, text string")
+    want = {1: 0, 2: 0, 3: 30}
+    assert {r.doc_id: r.n_removed for r in substring.dedup_substrings(docs, attempts=(0, 64)).collect()} == want
+    with pytest.raises(ValueError, match="collided"):
+        substring.dedup_substrings(docs, attempts=(0,))
+
+
 def test_repeated_spans_lead_to_equal_words(spark):
     rows = {r[0]: words(r[1]) for r in odd.rows(False)}
     spans = substring.repeated_spans(odd.frame(spark, doubled=False), 20).collect()
