@@ -23,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.bpe import SLICE, load
+from strandline.llm.bpe import load
 from strandline.llm.common import scan_rows, written
 
+#: Bytes of text that a task encodes at once; a worker's memory is some 230 MB beside a multiple of it.
+SLICE = 1 << 20
+
 
 Configuration = tuple[int, ...]
 
