@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, fingerprint, jaccard, lattice_lm, packing, quality, substring, token_counts, url_filter, warc
+from strandline.llm import bpe, fingerprint, jaccard, lattice_lm, packing, quality, repetition, substring, token_counts, url_filter, warc
 from strandline.llm.common import shared_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, sf_dir, "documents"), k=20)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.run_digests(repetition.periodic_runs(repetition.with_planted_runs(table(spark, sf_dir, "documents")), shortest=12))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_best_fit_packing,
@@ -70,6 +74,7 @@ def queries() -> dict:
         op8_bpe_encoding,
         op9_ngram_jaccard_join,
         op10_substring_dedup,
+        op11_periodic_runs,
     )}
 
 
@@ -125,6 +130,30 @@ kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS t, count(*) AS n
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 
 
+#: crc32 of a text's bytes: the reflected polynomial 0xEDB88320, eight shifts after each byte.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({}, ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), CAST(4294967295 AS BIGINT))"""
+
+
+def _runs_sql(shortest: int = 12) -> str:
+    """All pairs of equal words of a text, their stretches at each lag, and the least lag of each stretch."""
+    return f"""WITH w0 AS (SELECT doc_id, {_WORDS.format("text")} AS ws, {_CRC.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+w1 AS (SELECT doc_id, ws, h, CAST(len(ws) AS BIGINT) AS n, h // 10 AS g FROM w0),
+w2 AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM w1), w3 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM w2),
+w AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM w3),
+x AS (SELECT doc_id, n, unnest(ws) AS word, unnest(range(n)) AS i FROM w),
+s AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND b.i - a.i <= a.n // 2),
+t AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM s),
+u AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM t GROUP BY doc_id, q, k HAVING count(*) >= greatest({shortest} - q, q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM u GROUP BY 1, 2, 3),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS k FROM r),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS t FROM x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.i = x.i WHERE g.i IS NULL GROUP BY 1)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(lines.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN best b ON b.doc_id = w.doc_id AND b.k = 1 LEFT JOIN kept ON kept.doc_id = w.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenisation, Unicode folding, binomial bounds, lattices and packing have no SQL form; tests check those."""
     return {
@@ -132,4 +161,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_url_filters": _urls_sql(),
         "op9_ngram_jaccard_join": _groups_sql(),
         "op10_substring_dedup": _repeats_sql(),
+        "op11_periodic_runs": _runs_sql(),
     }
