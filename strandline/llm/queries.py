@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, fingerprint, jaccard, lattice_lm, packing, quality, repetition, substring, token_counts, url_filter, warc
+from strandline.llm import bpe, divergence, fingerprint, jaccard, lattice_lm, packing, quality, repetition, substring, token_counts, url_filter, warc
 from strandline.llm.common import shared_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.run_digests(repetition.periodic_runs(repetition.with_planted_runs(table(spark, sf_dir, "documents")), shortest=12))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_best_fit_packing,
@@ -75,6 +79,7 @@ def queries() -> dict:
         op9_ngram_jaccard_join,
         op10_substring_dedup,
         op11_periodic_runs,
+        op13_source_divergence,
     )}
 
 
@@ -154,6 +159,28 @@ SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 100
 FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN best b ON b.doc_id = w.doc_id AND b.k = 1 LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 
 
+def _divergence_sql(least_docs: int = 10, top: int = 10) -> str:
+    """All kept terms of all groups, in whole numbers."""
+    terms = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    p = lambda c, n: f"(1 + (CAST(1000000000 AS HUGEINT) * ({c} + 2)) // ({n} + 2 * v))"
+    f = lambda a, b: f"((({a} - {b}) * ({a} - {b})) // ({a} + {b}))"
+    return f"""WITH d AS (SELECT coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d FROM documents),
+x AS (SELECT lang, source, d, unnest({terms}) AS term FROM d),
+kept AS (SELECT lang, term FROM x GROUP BY 1, 2 HAVING count(DISTINCT d) >= {least_docs}),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT x.lang, x.source, x.term, count(*) AS n FROM x JOIN kept k ON k.lang = x.lang AND k.term = x.term GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+tl AS (SELECT lang, sum(total) AS total FROM t GROUP BY 1), cl AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+cells AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, {p("coalesce(c.n, 0)", "t.total")} AS p, {p("cl.n", "tl.total")} AS q
+  FROM t JOIN kept k ON k.lang = t.lang JOIN v ON v.lang = t.lang JOIN tl ON tl.lang = t.lang JOIN cl ON cl.lang = t.lang AND cl.term = k.term LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum({f("a.p", "b.p")}) AS value FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+tops AS (SELECT lang, source, 'term' AS part, term AS item, CAST({f("p", "q")} AS BIGINT) AS value FROM cells WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM tops) y)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {top}"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenisation, Unicode folding, binomial bounds, lattices and packing have no SQL form; tests check those."""
     return {
@@ -162,4 +189,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_jaccard_join": _groups_sql(),
         "op10_substring_dedup": _repeats_sql(),
         "op11_periodic_runs": _runs_sql(),
+        "op13_source_divergence": _divergence_sql(),
     }
