@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import bpe, divergence, fingerprint, jaccard, lattice_lm, packing, quality, repetition, substring, token_counts, url_filter, warc
+from strandline.llm import bpe, classifier, divergence, fingerprint, jaccard, lattice_lm, packing, quality, repetition, substring, token_counts, url_filter, warc
 from strandline.llm.common import shared_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -62,6 +62,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.run_digests(repetition.periodic_runs(repetition.with_planted_runs(table(spark, sf_dir, "documents")), shortest=12))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
@@ -79,6 +83,7 @@ def queries() -> dict:
         op9_ngram_jaccard_join,
         op10_substring_dedup,
         op11_periodic_runs,
+        op12_quality_classifier,
         op13_source_divergence,
     )}
 
