@@ -65,18 +65,26 @@ def check_shares(edges: DataFrame) -> DataFrame:
 
 
 def check_groups(edges: DataFrame, groups: DataFrame) -> DataFrame:
-    """edges (id, resolution, group_id), groups (group_id, targets): groups are unique, have two targets or more without
-    repetition, each is used, and exactly ambiguous edges lead to one that exists."""
-    named = edges.join(groups.select(F.col("group_id").alias("g"), F.lit(True).alias("known")), F.col("group_id") == F.col("g"), "left")
+    """edges (id, resolution, group_id), groups (group_id, targets), or a row for each (group_id, target): groups are unique, have
+    two targets or more without repetition, each is used, and exactly ambiguous edges lead to one that exists."""
+    if "targets" in groups.columns:
+        again = _twice(groups, "group is not unique", "group_id")
+        each = groups.select("group_id", F.size("targets").alias("size"), F.size(F.array_distinct("targets")).alias("distinct"))
+    else:
+        again = None
+        pairs = groups.groupBy("group_id", "target").agg(F.count("*").alias("n"))
+        each = pairs.groupBy("group_id").agg(F.sum("n").alias("size"), F.count("*").alias("distinct"))
+    known = each.select(F.col("group_id").alias("g"), F.lit(True).alias("known")).distinct()
+    named = edges.join(known, F.col("group_id") == F.col("g"), "left")
     used = edges.where("group_id is not null").select(F.col("group_id").alias("u"), F.lit(True).alias("used")).distinct()
     ambiguous = F.col("resolution") == "ambiguous"
-    return _all(
-        _twice(groups, "group is not unique", "group_id"),
-        _bad(groups, "group has no choice", (F.size("targets") >= 2) & (F.size("targets") == F.size(F.array_distinct("targets"))), "group_id"),
-        _bad(groups.join(used, F.col("group_id") == F.col("u"), "left"), "group is not used", F.col("used"), "group_id"),
+    found = [
+        _bad(each, "group has no choice", (F.col("size") >= 2) & (F.col("size") == F.col("distinct")), "group_id"),
+        _bad(each.join(used, F.col("group_id") == F.col("u"), "left"), "group is not used", F.col("used"), "group_id"),
         _bad(named.where(ambiguous), "ambiguous edge without a group", F.col("known"), "id"),
         _bad(edges.where(~ambiguous), "group of an edge that is not ambiguous", F.col("group_id").isNull(), "id"),
-    )
+    ]
+    return _all(*([again] if again is not None else []), *found)
 
 
 def check_weights(weights: dict[str, float], keys: set[str], thresholds: dict[str, int]) -> None:

@@ -3,8 +3,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.functions.paths import ScanPolicy
+from strandline.operators import candidates, checks
 from strandline.sources import python_source, reports, repository
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -36,7 +38,7 @@ def test_symbols_imports_and_failures(rows):
 
 
 def test_references_are_resolved_in_order(rows):
-    got = {(r.from_id.removeprefix("py:"), r.to_id.removeprefix("py:"), r.relation): (r.confidence, r.resolution, r.candidates) for r in python_source.relations(rows).collect()}
+    got = {(r.from_id.removeprefix("py:"), r.to_id.removeprefix("py:"), r.relation): (r.confidence, r.resolution, r.candidates) for r in candidates.listed(*python_source.relations(rows)).collect()}
     exact = ("static_certain", "exact", [])
     for key in (
         ("pkg.a#f", "pkg.a#g", "CALLS"),
@@ -123,7 +125,8 @@ def test_this_repository(spark):
     assert all(r.reason in ("too_large", "generated_marker") for r in gone.collect())
     rows = python_source.extract(kept)
     assert rows.where("kind = 'failed'").isEmpty()
-    edges = python_source.relations(rows)
+    edges, groups = python_source.relations(rows)
+    assert checks.check_groups(edges.withColumn("id", F.monotonically_increasing_id()), groups).isEmpty()
     assert not edges.where("to_id = 'py:strandline.functions.paths#exclusion_reason' and resolution = 'exact'").isEmpty()
 
 
