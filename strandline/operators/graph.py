@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.edges import candidate_targets, edge_rank, edge_weight
@@ -85,13 +85,56 @@ def undirected(pairs: DataFrame) -> DataFrame:
     return pairs.select("src", "dst").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def two_hop_cost(pairs: DataFrame, nodes: DataFrame, ticks: str = "ticks") -> DataFrame:
-    """id, hop_2_cost: a tenth of the ticks of all nodes one or two steps away, either way; not of the node itself."""
+def _word_cost(bits: str | Column, places: int) -> Column:
+    """Ticks of all nodes whose bits are set: for each binary place of the ticks, how many of them have it."""
+    bits = F.col(bits) if isinstance(bits, str) else bits
+    out = F.lit(0).cast("long")
+    for i in range(places):
+        out = out + F.shiftleft(F.bit_count(bits.bitwiseAND(F.coalesce(f"plane{i}", F.lit(0).cast("long")))).cast("long"), i)
+    return out
+
+
+def two_hop_cost(pairs: DataFrame, nodes: DataFrame, ticks: str = "ticks", heavy: int = 256) -> DataFrame:
+    """id, hop_2_cost: a tenth of the ticks (whole numbers from 0; null is 0) of all nodes one or two steps away, either way; not of the
+    node itself.
+
+    Nodes get positions, and sets of nodes are words of 64 bits, joined by OR before and after shuffles. A node with no more than
+    `heavy` neighbours hands its words to each of them. Those with more do not: nodes with the same heavy neighbours form one
+    group, for which the neighbours' words are joined once, and a node only adds what its group has not. A star of n leaves
+    thus takes n rows and n / 64 words, not n * n pairs. Costs are counted in words, by the ticks' binary places.
+    """
     u = undirected(pairs)
-    second = u.join(u.select(F.col("src").alias("via"), F.col("dst").alias("far")), F.col("dst") == F.col("via")).select("src", F.col("far").alias("dst"))
-    near = u.unionByName(second).where("src <> dst").distinct()
-    cost = near.join(nodes.select(F.col("id").alias("k"), F.col(ticks).alias("t")), F.col("dst") == F.col("k")).groupBy("src").agg(F.sum("t").alias("t"))
-    return nodes.select("id").join(cost, F.col("id") == F.col("src"), "left").select("id", (F.coalesce("t", F.lit(0)) / 10).alias("hop_2_cost"))
+    every = nodes.select("id", F.coalesce(F.col(ticks).cast("long"), F.lit(0)).alias("t")).unionByName(u.select(F.col("src").alias("id"), F.lit(0).cast("long").alias("t")))
+    at = written(every.groupBy("id").agg(F.max("t").alias("t")).withColumn("pos", F.monotonically_increasing_id()), "places")
+    places = int(at.agg(F.max("t")).first()[0] or 0).bit_length()
+    word, bit = F.shiftright("pos", 6), F.expr("shiftleft(1L, cast(pos & 63 as int))")
+    marks = [F.bit_or(F.when(F.shiftright("t", i).bitwiseAND(F.lit(1)) == 1, bit)).alias(f"plane{i}") for i in range(places)]
+    planes = at.groupBy(word.alias("pw")).agg(F.count("*").alias("held"), *marks)
+    here = lambda name: at.select(F.col("id").alias(f"{name}_id"), F.col("pos").alias(name))
+    e = written(u.join(here("x"), F.col("src") == F.col("x_id")).join(here("y"), F.col("dst") == F.col("y_id")).select("x", "y"), "steps")
+    words = e.groupBy(F.col("x").alias("of"), F.shiftright("y", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(y & 63 as int))")).alias("bits"))
+    hubs = e.groupBy(F.col("x").alias("hub")).count().where(F.col("count") > heavy).select("hub")
+    some = not hubs.isEmpty()
+    if some:
+        words, hubs = written(words, "words"), written(hubs, "hubs")
+    through = (e.join(hubs, F.col("y") == F.col("hub"), "left_anti") if some else e).join(words, F.col("y") == F.col("of")).select("x", "word", "bits")
+    own = through.unionByName(words.select(F.col("of").alias("x"), "word", "bits")).groupBy("x", "word").agg(F.bit_or("bits").alias("bits"))
+    if not some:
+        cost = own.join(planes, F.col("word") == F.col("pw")).groupBy("x").agg(F.sum(_word_cost("bits", places)).alias("cost"))
+    else:
+        sets = written(e.join(hubs, F.col("y") == F.col("hub")).groupBy("x").agg(F.sort_array(F.collect_list("y")).alias("hubs")), "sets")
+        groups = written(sets.select("hubs").distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+        of = written(sets.join(groups, "hubs").select(F.col("x").alias("gx"), "group"), "of")
+        shared = groups.select("group", F.explode("hubs").alias("hub")).join(words, F.col("hub") == F.col("of")).groupBy("group", "word").agg(F.bit_or("bits").alias("bits"))
+        shared = written(shared, "shared").select(F.col("group").alias("sg"), F.col("word").alias("sw"), F.col("bits").alias("sbits"))
+        base = shared.join(planes, F.col("sw") == F.col("pw")).groupBy("sg").agg(F.sum(_word_cost("sbits", places)).alias("base"))
+        rest = own.join(of, F.col("x") == F.col("gx"), "left").join(shared, (F.col("group") == F.col("sg")) & (F.col("word") == F.col("sw")), "left")
+        rest = rest.select("x", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("sbits", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
+        rest = rest.join(planes, F.col("word") == F.col("pw")).groupBy("x").agg(F.sum(_word_cost("bits", places)).alias("cost"))
+        based = of.join(base, F.col("group") == F.col("sg")).select(F.col("gx").alias("x"), F.col("base").alias("cost"))
+        cost = rest.unionByName(based).groupBy("x").agg(F.sum("cost").alias("cost"))
+    cost = cost.join(at, F.col("x") == F.col("pos")).select(F.col("id").alias("k"), (F.col("cost") - F.col("t")).alias("cost"))
+    return nodes.select("id").join(cost, F.col("id") == F.col("k"), "left").select("id", (F.coalesce("cost", F.lit(0)) / 10).alias("hop_2_cost"))
 
 
 def components(pairs: DataFrame, nodes: DataFrame, most_rounds: int = 200) -> DataFrame:
