@@ -20,7 +20,7 @@ dependencies {
     testImplementation(testFixtures(projects.feature.myUi)) { because("x") }
     // implementation project(':after')
     implementation(projects.noSuch)
-    debug { project(":missing") }
+    debug { project(":missing") }  // the word before it on its line is followed by a bracket
     implementation project(":app")
     implementation project(':lib-core')
 }
@@ -40,7 +40,6 @@ def test_a_gradle_build(spark):
         (":app", ":data", "api", "exact", 4),
         (":app", ":feature:my_ui", "testImplementation", "exact", 5),
         (":app", ":lib-core", "implementation", "exact", 3),
-        (":app", ":missing", "debug", "unresolved", 8),
         (":app", "projects.noSuch", "implementation", "unresolved", 7),
         (":lib-core", ":data", "api", "exact", 3),
     ]
