@@ -28,6 +28,8 @@ _split = regex.compile(PATTERN)
 _ODD_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}] ([\t-\r\x1c-\x20\x{85}\p{Z}]|$)"
 #: Fragments that a worker remembers before it starts afresh.
 MEMORY = 400_000
+#: Characters of them.
+MEMORY_BYTES = 32 << 20
 #: Bytes of text encoded at once: the longer, the fewer fragments are looked up twice.
 SLICE = 8 << 20
 
@@ -39,12 +41,32 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_settings(spec: dict) -> None:
+    """ValueError for a vocabulary file with settings that ByteBPE does not follow; it would encode otherwise than the library."""
+    model, before = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("normalizer", "post_processor", "truncation", "padding") if spec.get(k)]
+    wrong += ["model.type"] if model.get("type", "BPE") != "BPE" else []
+    wrong += [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["pre_tokenizer.type"] if before.get("type") != "ByteLevel" else []
+    wrong += ["pre_tokenizer.add_prefix_space"] if before.get("add_prefix_space", True) else []
+    wrong += ["pre_tokenizer.use_regex"] if not before.get("use_regex", True) else []
+    wrong += ["decoder"] if spec.get("decoder") and spec["decoder"].get("type") != "ByteLevel" else []
+    wrong += [f"added_tokens.{k} of {t['content']}" for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if wrong:
+        raise ValueError(f"settings of the vocabulary file that are not followed here: {', '.join(wrong)}")
+
+
 class ByteBPE:
-    """A vocabulary file of the tokenizers library (model BPE, byte level, no normaliser)."""
+    """A vocabulary file of the tokenizers library (model BPE, byte level, no normaliser; see check_settings).
+
+    Fragments between spaces are remembered with their ids until there are more than most_entries of them, or they are longer than
+    most_bytes together; then all are forgotten at once."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_settings(spec)
+        self.most_entries, self.most_bytes = MEMORY, MEMORY_BYTES
         letters = _byte_letters()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -92,6 +114,7 @@ class ByteBPE:
         self._at = np.zeros(1 << 18, np.int64)
         self._n = np.zeros(1 << 18, np.int64)
         self._entries = 0
+        self._held = 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.int64(0x5851F42D4C957F2D)) >> np.int64(40)) & self._mask
@@ -221,6 +244,7 @@ class ByteBPE:
         new = np.flatnonzero(at < 0)
         if len(new):
             missing = [own[i] for i in new.tolist()]
+            self._held += sum(map(len, missing))
             start = self._enter(*self.learn([lead + s for s in missing]))
             known.update(zip(missing, range(start, start + len(missing)), strict=True))
             at[new] = np.arange(start, start + len(missing))
@@ -228,7 +252,7 @@ class ByteBPE:
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has. Null counts as empty."""
-        if self._entries > MEMORY:
+        if self._entries > self.most_entries or self._held > self.most_bytes:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)

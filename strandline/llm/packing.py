@@ -28,6 +28,8 @@ from strandline.llm.common import scan_rows, written
 
 #: Bytes of text that a task encodes at once; a worker's memory is some 230 MB beside a multiple of it.
 SLICE = 1 << 20
+#: Fragments, and characters of them, that a worker remembers here: other stages' memory is in the same executors.
+ENTRIES, CHARACTERS = 100_000, 4 << 20
 
 
 Configuration = tuple[int, ...]
@@ -189,6 +191,7 @@ def cut_pieces(docs: DataFrame, vocab: str, size: int, id_col: str = "doc_id", t
 
     def run(batches):
         bpe = load(vocab)
+        bpe.most_entries, bpe.most_bytes = ENTRIES, CHARACTERS
         for (keys,), texts in scan_rows(batches, "__text", ["__id"], SLICE):
             ids, counts = bpe.encode_batch(texts)
             row, piece, start, length, crc = [], [], [], [], []

@@ -1,5 +1,6 @@
 """Encoding, counts by section and packing, against the tokenizers library and brute force."""
 
+import json
 import hashlib
 import random
 import zlib
@@ -162,3 +163,40 @@ def test_closed_gaps_end_the_rounds():
     h = np.bincount(np.random.default_rng(0).integers(1, 40, 5000), minlength=1025)
     amounts, bound = packing.cover(h, 1024)
     assert sum(amounts.values()) <= bound * 1.01 + 1 and packing.cover(np.zeros(1025, int), 1024) == ({}, 0.0) and packing.plan(np.zeros(1025, int), 1024) == []
+
+
+@pytest.mark.parametrize(
+    ("where", "key", "value"),
+    [
+        ((), "normalizer", {"type": "Lowercase"}),
+        (("model",), "ignore_merges", True),
+        (("model",), "end_of_word_suffix", "</w>"),
+        (("pre_tokenizer",), "add_prefix_space", True),
+        (("pre_tokenizer",), "type", "Metaspace"),
+        (("added_tokens", 0), "lstrip", True),
+        (("added_tokens", 0), "single_word", True),
+        ((), "truncation", {"max_length": 8}),
+    ],
+)
+def test_files_with_other_settings_are_refused(tmp_path, where, key, value):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    at = spec
+    for k in where:
+        at = at[k]
+    at[key] = value
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match=key):
+        bpe.ByteBPE(str(tmp_path / "v.json"))
+
+
+def test_what_is_remembered_is_bounded_by_characters_too():
+    b = bpe.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    b.most_bytes = 1000
+    texts = [f"{'ab' * 300}{i} c{i}" for i in range(20)]
+    want = [b.encode_batch(pa.array(texts, pa.large_string()))[0].tolist() for _ in range(1)][0]
+    got = []
+    for t in texts:
+        got += b.encode_batch(pa.array([t], pa.large_string()))[0].tolist()
+        assert b._held < 1000 + 700
+    assert got == want
