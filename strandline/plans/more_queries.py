@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text as T
+from strandline.operators import candidates as C
 from strandline.operators import graph as G
 from strandline.operators import structure as S
+from strandline.operators.coverage import coverage
 from strandline.plans import views as V
 from strandline.session import written
+from strandline.sources.migrations import table_references
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -292,3 +295,42 @@ def delta_renames(spark: SparkSession, sf: str, whole: bool = False) -> DataFram
     for c in ("from_pkg", "to_pkg"):
         base = base.join(F.broadcast(renames), F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
     return S.changes(V.snap_cur(spark, sf, whole), base.distinct(), ["from_pkg", "to_pkg"])
+
+
+@query(V.sql("SELECT array_to_string(targets, ',') AS targets, CAST(len(targets) AS BIGINT) AS size, count(*) AS edges FROM targets WHERE resolution = 'ambiguous' AND len(targets) > 1 GROUP BY 1, 2", "targets"))
+def candidate_group_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary of candidate groups, each list once, and how many relations hold its id."""
+    edges, groups = C.intern(V.part_edges(spark, sf).withColumn("candidates", F.array("alt1", "alt2")))
+    lists = groups.groupBy("group_id").agg(F.array_join(F.sort_array(F.collect_list("target")), ",").alias("targets"), F.count("*").alias("size"))
+    used = edges.where("group_id is not null").groupBy(F.col("group_id").alias("g")).agg(F.count("*").alias("edges"))
+    return lists.join(used, F.col("group_id") == F.col("g")).select("targets", "size", "edges")
+
+
+@query(V.sql("SELECT from_id, target, relation, confidence, resolution, round(share, 9) AS share, round(base_weight * share, 9) AS weight FROM projected", "projected"))
+def grouped_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations on their possible targets by way of the group dictionary, which is joined last."""
+    edges, groups = C.intern(V.part_edges(spark, sf).withColumn("candidates", F.array("alt1", "alt2")))
+    p = C.project(edges, groups)
+    return p.select("from_id", "target", "relation", "confidence", "resolution", F.round("share", 9).alias("share"), F.round(F.col("base_weight") * F.col("share"), 9).alias("weight"))
+
+
+_STATES = "SELECT source AS path, lang AS producer, CASE WHEN quality IS NULL THEN 'skipped' WHEN quality = 1 AND toxic = 0 THEN 'complete' WHEN quality = 0 AND toxic = 1 THEN 'partial' ELSE 'failed' END AS status FROM documents LEFT JOIN labels USING (doc_id) WHERE source <> 'src3'"
+
+
+@query(f"SELECT CASE WHEN g = 1 THEN 'file' WHEN g = 0 THEN 'result' ELSE 'producer' END AS level, path, producer, CASE WHEN p OR (c AND k > 1) THEN 'partial' WHEN f THEN 'failed' WHEN c THEN 'complete' ELSE 'skipped' END AS status, CASE WHEN p THEN 'mixed' ELSE '' END AS reasons, n AS n_results FROM (SELECT path, producer, grouping(path, producer) AS g, bool_or(status = 'partial') AS p, bool_or(status = 'complete') AS c, bool_or(status = 'failed') AS f, count(DISTINCT status) AS k, count(*) AS n FROM ({_STATES}) x GROUP BY GROUPING SETS ((path), (path, producer), (producer))) y UNION ALL SELECT 'file', 'src3', NULL, 'excluded', 'too_large', 0 WHERE EXISTS (SELECT 1 FROM documents WHERE source = 'src3')")
+def coverage_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources as files, languages as producers: statuses by file, by both and by producer in one pass; one source is left out by a reason."""
+    d = V.table(spark, sf, "documents").join(V.table(spark, sf, "labels"), "doc_id", "left")
+    q, t = F.col("quality"), F.col("toxic")
+    status = F.when(q.isNull(), "skipped").when((q == 1) & (t == 0), "complete").when((q == 0) & (t == 1), "partial").otherwise("failed")
+    results = d.select(F.col("source").alias("path"), F.col("lang").alias("producer"), status.alias("status")).withColumn("reasons", F.when(F.col("status") == "partial", F.array(F.lit("mixed"))))
+    inventory = V.table(spark, sf, "documents").select(F.col("source").alias("path"), F.when(F.col("source") == "src3", "too_large").alias("excluded")).distinct()
+    return coverage(inventory, results).select("level", "path", "producer", "status", F.array_join("reasons", ",").alias("reasons"), "n_results")
+
+
+@query("SELECT id, unnest(names) AS name FROM (SELECT p_partkey AS id, list_distinct([lower(p_brand), lower(p_type), 's' || p_size]) AS names FROM part) x")
+def script_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables that a script made from each part touches: quoted names, comments, and semicolons inside texts."""
+    p = V.table(spark, sf, "part")
+    script = F.concat(F.lit('-- DROP TABLE no;\nALTER TABLE ONLY "'), "p_brand", F.lit('" RENAME TO ['), "p_type", F.lit("]; /* CREATE TABLE not; */ INSERT INTO x VALUES (';DROP TABLE y;'); DROP TABLE IF EXISTS a.b.S"), F.col("p_size").cast("string"), F.lit(" CASCADE"))
+    return p.select(F.col("p_partkey").alias("id"), F.explode(table_references(script)).alias("name"))
