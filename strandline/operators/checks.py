@@ -58,6 +58,14 @@ def check_graph(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFra
     )
 
 
+def check_same(rows: DataFrame, key: str, columns: list[str], what: str = "has several definitions") -> DataFrame:
+    """Rows of one key, as several analyzers or walks give them, agree in all these columns (nulls are equal to each other); for nodes of
+    merged graphs, or labels that reach a node by several ways, with require()."""
+    same = F.struct(*columns)
+    each = rows.groupBy(key).agg(F.min(same).alias("low"), F.max(same).alias("high"))
+    return _bad(each, what, F.col("low").eqNullSafe(F.col("high")), key)
+
+
 def check_shares(edges: DataFrame) -> DataFrame:
     """edges (from_id, to_id, candidates, share): a given share is above 0, at most 1, and then there is one target."""
     ok = F.col("share").isNull() | ((F.col("share") > 0) & (F.col("share") <= 1) & (F.coalesce(F.size("candidates"), F.lit(0)) == 0))

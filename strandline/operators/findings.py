@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.checks import check_same, require
 from strandline.session import written
 
 #: Resolutions that leave no doubt about the target, and those that do. Fixed values.
@@ -87,6 +88,16 @@ def merge_graphs(graphs: list[DataFrame], key: list[str]) -> DataFrame:
     return whole.join(first, on, "left_semi").drop("__a")
 
 
+def merge_nodes(graphs: list[DataFrame], key: str, columns: list[str]) -> DataFrame:
+    """The nodes of several analyzers, one row a key: columns must agree wherever a key comes more than once, else InputError
+    names the first such keys. Nulls agree with nulls only."""
+    rows = graphs[0].select(key, *columns)
+    for g in graphs[1:]:
+        rows = rows.unionByName(g.select(key, *columns))
+    require(check_same(rows, key, columns))
+    return rows.distinct()
+
+
 def positions(files: DataFrame, cells: int = 256) -> DataFrame:
     """path, position: each distinct path's place in their order, from 0. Ranks within ranges add to the ranges' counts."""
     ranged = written(files.select("path").distinct().repartitionByRange(cells, "path").withColumn("part", F.spark_partition_id()), "ranges")

@@ -1,6 +1,9 @@
 """Findings and their changes on small tables."""
 
+import pytest
+
 from strandline.operators import findings as N
+from strandline.operators.checks import InputError
 
 
 def test_hubs_and_isolation(spark):
@@ -30,3 +33,12 @@ def test_changes_of_findings(spark):
 def test_graphs_merge_in_order(spark):
     g = [spark.createDataFrame(rows, "a string, b string, w int") for rows in ([("x", "y", 1), ("x", "y", 2), ("q", None, 1)], [("x", "y", 3), ("y", "z", 4), ("q", None, 2)], [("y", "z", 5)])]
     assert sorted(map(str, map(tuple, N.merge_graphs(g, ["a", "b"]).collect()))) == ["('q', None, 1)", "('x', 'y', 1)", "('x', 'y', 2)", "('y', 'z', 4)"]
+
+
+def test_nodes_of_several_analyzers_must_agree(spark):
+    a = spark.createDataFrame([("x", "class", None), ("y", "def", 1)], "id string, kind string, line int")
+    b = spark.createDataFrame([("x", "class", None), ("z", None, 2)], "id string, kind string, line int")
+    assert sorted(r.id for r in N.merge_nodes([a, b, a], "id", ["kind", "line"]).collect()) == ["x", "y", "z"]
+    for other in ([("x", "class", 1)], [("x", None, None)], [("z", None, 2), ("z", "class", 2)]):
+        with pytest.raises(InputError, match="has several definitions"):
+            N.merge_nodes([a, spark.createDataFrame(other, "id string, kind string, line int")], "id", ["kind", "line"])
