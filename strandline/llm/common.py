@@ -36,6 +36,8 @@ def scan_rows(batches, text_col: str, keys: list[str], slice_bytes: int = SLICE_
         while at < len(text):
             to = int(np.searchsorted(ends, ends[at] + slice_bytes, side="right")) - 1
             to = min(max(to, at + 1), len(text))
+            if text.offset:  # the cast of a slice has offsets that start above 0, which pyarrow's ascii_lower reads wrongly
+                text = text.take(pa.array(np.arange(len(text))))
             yield [c.slice(at, to - at) for c in cols], text.slice(at, to - at)
             at = to
         pa.default_memory_pool().release_unused()
