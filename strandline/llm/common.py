@@ -6,13 +6,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import BROADCAST_ROWS, shared_dir, written
 
 __all__ = ["BROADCAST_ROWS", "shared_dir", "written"]
 
+#: Ranges whose bounds are literals in a plan; of more of them, these are the coarse ones and the others a table.
+COARSE_RANGES = 2048
+#: Bounds, of eight bytes, that are broadcast at most: 64 MB.
+BROADCAST_BOUNDS = 8_000_000
+#: Tasks that a table is dealt to by ranges at most; beyond, a task has several neighbouring ranges.
+MOST_TASKS = 32_768
+
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 3 << 20
 
@@ -29,6 +36,8 @@ def scan_rows(batches, text_col: str, keys: list[str], slice_bytes: int = SLICE_
             continue
         text = batch.column(batch.schema.get_field_index(text_col))
         if not pa.types.is_large_string(text.type):
+            if text.offset:  # the cast of a slice has offsets that start above 0, which pyarrow's ascii_lower reads wrongly
+                text = text.take(pa.array(np.arange(len(text))))
             text = text.cast(pa.large_string())
         cols = [batch.column(batch.schema.get_field_index(k)) for k in keys]
         ends = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset : text.offset + len(text) + 1]
@@ -36,8 +45,6 @@ def scan_rows(batches, text_col: str, keys: list[str], slice_bytes: int = SLICE_
         while at < len(text):
             to = int(np.searchsorted(ends, ends[at] + slice_bytes, side="right")) - 1
             to = min(max(to, at + 1), len(text))
-            if text.offset:  # the cast of a slice has offsets that start above 0, which pyarrow's ascii_lower reads wrongly
-                text = text.take(pa.array(np.arange(len(text))))
             yield [c.slice(at, to - at) for c in cols], text.slice(at, to - at)
             at = to
         pa.default_memory_pool().release_unused()
@@ -170,3 +177,54 @@ def range_of(key: str | Column, bounds: list[int]) -> Column:
         lambda at, step: F.when((at + step <= len(bounds)) & (F.get(arr, at + step - 1) <= k.cast("long")), at + step).otherwise(at),
     )
     return F.when(k.isNull(), F.lit(0)).otherwise(found)
+
+
+def bounds_table(df: DataFrame, key: str, buckets: int, coarse: list[int]) -> DataFrame:
+    """__r (number of a coarse range), __first (number of its first range) and __bounds (ascending lower bounds of its
+    other ranges), written: ranges of about equal row counts within each coarse one, cut by Spark.
+
+    Keys are counted before they are sorted, each coarse range by itself; the rows of a key stay together. Only one row for
+    each coarse range comes to one place.
+    """
+    keys = df.select(F.col(key).cast("long").alias("k")).where("k is not null")
+    share = max(1, -(-df.count() // buckets))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__r").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = keys.groupBy("k").agg(F.count("*").alias("n")).withColumn("__r", range_of("k", coarse)).select("__r", "k", F.floor(before / share).alias("cut"))
+    least = cut.groupBy("__r", "cut").agg(F.min("k").alias("k")).groupBy("__r").agg(F.sort_array(F.collect_list("k")).alias("k"))
+    earlier = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    return written(least.select("__r", F.coalesce(F.sum(F.size("k")).over(earlier), F.lit(0)).alias("__first"), F.expr("slice(k, 2, size(k))").alias("__bounds")), "bounds")
+
+
+def numbered_ranges(df: DataFrame, key: str, buckets: int, out: str, coarse: int = COARSE_RANGES) -> tuple[DataFrame, int]:
+    """df with out (int), the number of its key's range, ascending with the key, and how many ranges there are.
+
+    Up to `coarse` ranges are bounds in the plan. Of more, that many are, and the others come from a table, a row for each
+    coarse range, which is broadcast up to BROADCAST_BOUNDS bounds; beyond, rows meet it by coarse range. Nulls are in the
+    first one. Names of df other than __at and __ranges do not matter.
+    """
+    if buckets <= coarse:
+        bounds = range_bounds(df, key, buckets)
+        return df.withColumn(out, range_of(key, bounds).cast("int")), len(bounds) + 1
+    first = range_bounds(df, key, coarse)
+    table = bounds_table(df, key, buckets, first)
+    total = table.agg(F.max(F.col("__first") + F.size("__bounds") + 1)).first()[0] or 1
+    k, at = F.col(key).cast("long"), F.col("__ranges.__bounds")
+    # the number of bounds at or below the key: halves of what is left, as many times as the longest list needs
+    steps = int(table.agg(F.max(F.size("__bounds"))).first()[0] or 0).bit_length()
+    found = F.aggregate(
+        F.array(*[F.lit(1 << i) for i in reversed(range(steps))]).cast("array<int>"),
+        F.lit(0),
+        lambda n, step: F.when((n + step <= F.size(at)) & (F.get(at, n + step - 1) <= k), n + step).otherwise(n),
+    )
+    number = F.when(k.isNull(), F.lit(0)).otherwise(F.col("__ranges.__first") + found)
+    lists = small_side(table.select(F.struct("*").alias("__ranges")), total, BROADCAST_BOUNDS)
+    joined = df.withColumn("__at", range_of(key, first)).join(lists, F.col("__at") == F.col("__ranges.__r"), "left")
+    return joined.withColumn(out, number.cast("int")).drop("__at", "__ranges"), int(total)
+
+
+def dealt(df: DataFrame, number: str, numbers: int, most: int = MOST_TASKS) -> DataFrame:
+    """df with a task for each number from 0 to numbers - 1, or for some neighbouring ones where there are more than `most`."""
+    tasks = max(1, min(numbers, most))
+    if tasks == numbers:
+        return df.repartitionById(tasks, number)
+    return df.repartitionById(tasks, F.floor(F.col(number).cast("long") * tasks / numbers).cast("int"))

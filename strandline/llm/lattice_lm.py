@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import range_bounds, range_of, scan_rows, word_codes, word_hashes, written
+from strandline.llm.common import dealt, numbered_ranges, scan_rows, word_codes, word_hashes, written
 
 #: Bytes of text that share a dictionary, and distinct words that a task counts before it sends them on.
 CHUNK_BYTES = 24 << 20
@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
     chunks = max(1, -(-int(size[0] or 0) // CHUNK_BYTES))
     kind = docs.schema[id_col].dataType.typeName()
     if kind in ("long", "integer", "short", "byte"):
-        src = src.withColumn("__chunk", range_of("__id", range_bounds(src, "__id", chunks)).cast("int"))
+        src, chunks = numbered_ranges(src, "__id", chunks, "__chunk")
     else:
         src = src.withColumn("__chunk", F.pmod(F.xxhash64("__id"), F.lit(chunks)).cast("int"))
     listed = written(_count_words(src).groupBy("word", "h", F.floor(F.col("chunk") / LISTED).alias("part")).agg(F.sum("c").alias("c"), F.collect_set("chunk").alias("chunks")), "words")
@@ -235,7 +235,7 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
     weighed = written(words.mapInArrow(weigh, "h long, c long, lp double, mixed double"), "weights").withColumnRenamed("h", "k")
     answers = listed.select("h", "chunks").join(weighed, F.col("h") == F.col("k")).select(F.explode("chunks").alias("chunk"), F.lit(0).alias("kind"), "h", "c", "lp", "mixed")
     asked = src.select(F.col("__chunk").alias("chunk"), F.lit(1).alias("kind"), F.col("__id"), "__text", "__out")
-    dealt = answers.unionByName(asked, allowMissingColumns=True).repartitionById(chunks, "chunk").sortWithinPartitions("chunk", "kind")
+    meeting = dealt(answers.unionByName(asked, allowMissingColumns=True), "chunk", chunks).sortWithinPartitions("chunk", "kind")
     id_type = src.schema["__id"].dataType.simpleString()
     denominator = total + 0.1 * (v + 1)
     end_base, end_score, end_mixed = math.log10((n_train + 0.1) / denominator), math.log10((n_train + 1) / (total + 2)), math.log10(max(n_train - discount, 0.05) / max(total, 1))
@@ -277,5 +277,5 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
                         ["__id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "word_score"],
                     )
 
-    out = dealt.mapInArrow(run, f"__id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double")
+    out = meeting.mapInArrow(run, f"__id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double")
     return out.withColumnRenamed("__id", id_col)

@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import range_bounds, range_of, small_side, written
+from strandline.llm.common import dealt, numbered_ranges, small_side, written
 
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 1000
@@ -115,13 +115,13 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     src = pages.select(F.col(id_col).cast("long").alias("__id"), F.col(url_col).cast("string").alias("__url"), payload.alias("__payload"))
     size = src.agg(F.sum(F.octet_length("__payload"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    src, shards = numbered_ranges(src, "__id", max(1, -(-size // shard_bytes)), "__shard")
     same = written(keepers(src, "__id", "__payload"), "keepers")
     # payloads that no other revisits have keys of their own, so that they spread where the join shuffles
     alone = F.concat(F.lit("~"), F.coalesce(F.col("__id").cast("string"), F.lit("")))
     marked = src.withColumn("__sum", F.when(F.octet_length("__payload") >= LEAST_REVISIT, F.sha2("__payload", 256)).otherwise(alone)).join(small_side(same, same.count()), F.col("__sum") == F.col("sum"), "left")
-    dealt = marked.select("__id", "__url", "__payload", F.when(~F.col("__id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("__refers"), range_of("__id", range_bounds(src, "__id", shards)).cast("int").alias("__shard"))
-    dealt = dealt.repartitionById(shards, "__shard").sortWithinPartitions("__shard", "__id", "__url", "__payload")
+    ordered = marked.select("__id", "__url", "__payload", F.when(~F.col("__id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("__refers"), "__shard")
+    ordered = dealt(ordered, "__shard", shards).sortWithinPartitions("__shard", "__id", "__url", "__payload")
     store, base = fs.FileSystem.from_uri(out)
     store.create_dir(f"{base}/_temporary", recursive=True)
 
@@ -146,7 +146,7 @@ def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
         names = ["file", "shard", "number", "records", "bytes", "sha256"]
         yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=True)) for d in done], schema=pa.schema([("file", pa.string()), ("shard", pa.int32()), ("number", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    manifest = dealt.mapInArrow(run, "file string, shard int, number int, records long, bytes long, sha256 string")
+    manifest = ordered.mapInArrow(run, "file string, shard int, number int, records long, bytes long, sha256 string")
     # a task for each shard: merged partitions above the map would merge the writing itself, so the small table is compacted once it is written
     manifest.write.mode("overwrite").parquet(f"{out}/_temporary/manifest")
     spark.read.parquet(f"{out}/_temporary/manifest").coalesce(max(1, shards // 64)).write.mode("overwrite").parquet(f"{out}/_manifest")

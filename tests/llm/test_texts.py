@@ -10,11 +10,12 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import fingerprint, lattice_lm, url_filter, warc
-from strandline.llm.common import range_bounds, range_of, shared_dir
+from strandline.llm.common import COARSE_RANGES, dealt, numbered_ranges, range_bounds, range_of, scan_rows, shared_dir, word_codes
 from tests.llm import odd
 from tests.llm.test_groups import words
 
@@ -68,6 +69,68 @@ def test_ranges_hold_about_equal_counts(spark):
     assert range_bounds(df.limit(0), "k", 4) == []
 
 
+@pytest.mark.parametrize("texts", [["A b c", "d E", "", "x " * 170, "q"] * 8, [None, "A b c", None, "x  y"] * 10, [None] * 8 + ["A b", "c d e"] * 16])
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_words_of_slices_of_a_batch(texts, kind):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, kind)], ["id", "t"])
+    for at in range(len(texts)):
+        for slice_bytes in (1, 1 << 20):
+            got = []
+            for (ids,), part in scan_rows([batch.slice(at, 9)], "t", ["id"], slice_bytes):
+                doc, codes, own = word_codes(part)
+                got += [(i, [own[c] for c in codes[doc == k]]) for k, i in enumerate(ids.to_pylist())]
+            assert got == [(i, (texts[i] or "").lower().encode().split()) for i in range(at, min(at + 9, len(texts)))]
+
+
+def test_more_ranges_than_a_plan_holds(spark):
+    ids = [None, *range(1000), *range(10**12, 10**12 + 1000), *[7] * 300, -(2**62), 2**62]
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "k long, __first string")
+    numbered, n = numbered_ranges(df.withColumnRenamed("__first", "first"), "k", 100, "b", coarse=6)
+    got = numbered.collect()
+    assert sorted((r.k is not None, r.k or 0, r.first) for r in got) == sorted((i is not None, i or 0, str(i)) for i in ids)
+    got.sort(key=lambda r: (r.k is not None, r.k or 0))
+    assert [r.b for r in got] == sorted(r.b for r in got) and got[0].b == 0
+    assert {r.b for r in got} == set(range(n)) and 100 - 14 <= n <= 112  # the rows of 7 fill 14 ranges' shares, and stay together
+    assert all(c <= 2 * len(ids) / 100 for b, c in Counter(r.b for r in got if r.k not in (None, 7)).items())
+    assert len({r.b for r in got if r.k == 7}) == 1
+    assert numbered_ranges(df.limit(0), "k", 100, "b", coarse=6)[0].count() == 0
+
+
+def test_hundred_thousand_ranges_have_a_short_plan(spark):
+    df = spark.range(0, 900_000, 1, 4).select((F.col("id") * F.col("id")).alias("k"))
+    numbered, n = numbered_ranges(df, "k", 100_000, "b")
+    assert 100_000 <= n <= 100_000 + COARSE_RANGES
+    plan = numbered._jdf.queryExecution().toString()
+    assert len(plan) < 1 << 20
+    sizes = numbered.groupBy("b").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("b").collect()
+    assert [r.b for r in sizes] == list(range(n)) and max(r.n for r in sizes) <= 9
+    assert all(a.hi < b.lo for a, b in zip(sizes, sizes[1:]))
+    assert dealt(numbered, "b", n, most=8).rdd.getNumPartitions() == 8
+
+
+def test_archives_and_scores_with_ranges_from_a_table(spark, monkeypatch):
+    df = odd.frame(spark)
+    pages = df.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://h/"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("html"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+
+    def rows():
+        out = f"{shared_dir(spark)}/warc-{len(calls)}"
+        records = warc.archive_round_trip(pages, out, file_bytes=700, shard_bytes=500).collect()
+        scores = lattice_lm.score_documents(df, model).collect()
+        scores = sorted((str(tuple(r)[:5]), *tuple(r)[5:]) for r in scores)
+        return sorted(str(tuple(r)) for r in records), [r[0] for r in scores], np.array([r[1:] for r in scores])
+
+    calls = []
+    monkeypatch.setattr(lattice_lm, "CHUNK_BYTES", 500)
+    want = rows()
+    for module in (warc, lattice_lm):
+        monkeypatch.setattr(module, "numbered_ranges", lambda *a: calls.append(a) or numbered_ranges(*a, coarse=3))
+        monkeypatch.setattr(module, "dealt", lambda *a: dealt(*a, most=2))
+    calls.append(None)
+    got = rows()
+    assert got[:2] == want[:2] and np.allclose(got[2], want[2], rtol=1e-9, atol=0) and len(calls) == 3
+
+
 URLS = [None, "", "no scheme", "http://EXAMPLE.org/es/x?y#z", "https://a.example.org/en/1", "https://example.org/en/2", "http://x.com/fr/", "http://x.com/de/1", "http://x.com", "https://spam-farm.example.net/en/1", "http://notexample.org/es/", "http://org/", "ftp://h.net?sessionid=1", "http://casino.net/", "http://a.casino.net/", "http://b.net/wp-login.php", "http://x.com/fr", "a://b://c.org/", "http://x.COM/de/"]
 
 
