@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.edges import TIERS
+
 
 @dataclass(frozen=True)
 class Expect:
@@ -31,14 +33,15 @@ class Expect:
 #: Patterns of the types that a parsed value reports.
 KINDS = {"object": "^OBJECT", "list": "^ARRAY", "string": "^STRING$", "boolean": "^BOOLEAN$", "integer": r"^(BIGINT|DECIMAL\((19|[23]\d),0\))$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "null": "^VOID$"}
 
-# Versions, tiers, kinds and fields of the documents.
+# Versions, kinds and fields of the documents.
 V8, V9 = "bottlenecks.v8", "bottlenecks.v9"
-TIERS = ("strict", "broad", "all")
 CYCLES = ("dependency_cycle", "package_cycle")
 RULES = ("rule_violation",)
 LISTED = ("unresolved_boundary", "dangling_doc_reference", "unreferenced_symbol", "unprovided_injection")
 NETWORK = "$.dependency_network"
-REPORT_FIELDS = ("schema", "snapshot", "edge_weights", "versions", "coverage", "dependency_network", "candidates", "limitations", "granularity", "delta", "details_file")
+V7 = "bottlenecks.v7"
+#: Names that a report's root may have, each with the versions that it may have it in (all if empty).
+REPORT_FIELDS = dict.fromkeys(("schema", "snapshot", "edge_weights", "versions", "coverage", "dependency_network", "candidates", "limitations"), ()) | {"granularity": (V7, V8, V9), "delta": (V8, V9), "details_file": (V9,)}
 
 
 def baseline_expectations(tiers: tuple[str, ...] = TIERS) -> list[Expect]:
@@ -82,7 +85,7 @@ def baseline_expectations(tiers: tuple[str, ...] = TIERS) -> list[Expect]:
 
 def report_expectations(kinds: tuple[str, ...]) -> list[Expect]:
     """What a report holds; kinds: of candidates."""
-    versions = ("bottlenecks.v6", "bottlenecks.v7", V8, V9)
+    versions = ("bottlenecks.v6", V7, V8, V9)
     c, ranked = "$.candidates[]", f"{NETWORK}.rankings"
     return [
         Expect("$", "object"),
@@ -134,10 +137,10 @@ def _down(at: DataFrame, step: str) -> DataFrame:
     return at.sparkSession.sql(f"SELECT document, version, {named} AS where, array_append(places, e.pos) AS places, v AS owner, e.value AS v FROM {{t}}, LATERAL variant_explode(v) AS e", t=inside)
 
 
-def faults(documents: DataFrame, expectations: list[Expect], fields: tuple[str, ...] = (), unique: tuple[str, ...] = ()) -> DataFrame:
+def faults(documents: DataFrame, expectations: list[Expect], fields: dict[str, tuple[str, ...]] | None = None, unique: tuple[str, ...] = ()) -> DataFrame:
     """All faults of documents (document, json): document, rule (number of the expectation), places, where, expected.
 
-    fields: the only names that the root may have; unique: paths whose texts occur once. What is below a missing or
+    fields: the only names that the root may have, with their versions; unique: paths whose texts occur once. What is below a missing or
     mistyped value is not looked at; a text that is no JSON (or null) is one fault at $; an empty table has none.
     """
     parsed = documents.select("document", F.try_parse_json("json").alias("v"))
@@ -164,7 +167,9 @@ def faults(documents: DataFrame, expectations: list[Expect], fields: tuple[str,
         wrong = F.when(absent, F.lit(not e.optional)).otherwise(~F.coalesce(_is(F.col("v"), e.kind), F.lit(False)))
         found.append(named(rows.where(wrong), i, e.kind if isinstance(e.kind, str) else "one of " + ", ".join(e.kind)))
     if fields:
-        found.append(named(at(("*",)).where(~F.regexp_replace("where", r"^\$\.", "").isin(*fields)), len(expectations), "no field of this name"))
+        name = F.substring("where", 3, 1 << 30)
+        may = reduce(Column.__or__, [(name == k) & (F.col("version").isin(*v) if v else F.lit(True)) for k, v in fields.items()])
+        found.append(named(at(("*",)).where(~F.coalesce(may, F.lit(False))), len(expectations), "no field of this name"))
     for i, path in enumerate(unique, len(expectations) + 1):
         texts = at(tuple(_steps(path))).withColumn("t", _text(F.col("v"))).where("t is not null")
         first = texts.groupBy("document", "t").agg(F.min("places").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("document").alias("d"), F.col("t").alias("u"), "first")

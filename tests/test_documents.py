@@ -11,7 +11,7 @@ BASE = {
     "schema": "bottlenecks.v8",
     "granularity": "file",
     "snapshot": {"file_count": 2, "git_commit": None},
-    "dependency_network": {"structure_policy": "p", "package_dependencies": {"s": [{"from_id": "a", "to_id": "b", "tier": "strict"}] * 12}, "package_metrics": {"s": {"a": {"instability": None}, "b": {"instability": 0.5}}}},
+    "dependency_network": {"structure_policy": "p", "package_dependencies": {"s": [{"from_id": "a", "to_id": "b", "tier": "certain"}] * 12}, "package_metrics": {"s": {"a": {"instability": None}, "b": {"instability": 0.5}}}},
     "candidates": [{"id": "1", "kind": "large_node", "target": "t", "metrics": {}}, {"id": "2", "kind": "package_cycle", "structure": {}, "evidence": []}, {"id": "3", "kind": "rule_violation", "structure": {}}],
     "coverage": {"architecture_rules": {"rules_sha256": "x"}},
 }
@@ -42,7 +42,7 @@ BASELINES = {
     "no commit": (changed(BASE, ["snapshot", "git_commit"], ...), None),
     "network": (changed(BASE, [N], ...), f"$.{N}"),
     "from": (changed(BASE, [N, "package_dependencies", "s", 11, "from_id"], ...), f"$.{N}.package_dependencies.s[0].from_id"),
-    "tier": (changed(BASE, [N, "package_dependencies", "s"], [{"from_id": "a", "to_id": "b", "tier": "strict"}] * 2 + [{"from_id": "a", "to_id": "b", "tier": "x"}]), f"$.{N}.package_dependencies.s[2].tier"),
+    "tier": (changed(BASE, [N, "package_dependencies", "s"], [{"from_id": "a", "to_id": "b", "tier": "certain"}] * 2 + [{"from_id": "a", "to_id": "b", "tier": "x"}]), f"$.{N}.package_dependencies.s[2].tier"),
     "instability": (changed(BASE, [N, "package_metrics", "s", "b", "instability"], "high"), f"$.{N}.package_metrics.s.b.instability"),
     "target": (changed(BASE, ["candidates", 0, "target"], ...), "$.candidates[0].target"),
     "evidence": (changed(BASE, ["candidates", 1, "evidence"], {}), "$.candidates[1].evidence"),
@@ -54,6 +54,9 @@ BASELINES = {
 REPORTS = {
     "ok": (json.dumps(REPORT), None),
     "unknown": (changed(REPORT, ["more"], 1), "$.more"),
+    "delta too early": (json.dumps(REPORT | {"schema": "bottlenecks.v7", "delta": {}}), "$.delta"),
+    "delta": (json.dumps(REPORT | {"delta": {}}), None),
+    "oldest": (json.dumps({k: v for k, v in REPORT.items() if k != "granularity"} | {"schema": "bottlenecks.v6"}), None),
     "twice": (changed(REPORT, ["candidates", 1, "id"], "a"), "$.candidates[1].id"),
     "status": (changed(REPORT, ["candidates", 1, "status"], "x"), "$.candidates[1].status"),
     "metric": (changed(REPORT, ["candidates", 0, "metrics", "m"], "1"), "$.candidates[0].metrics.m"),
