@@ -5,7 +5,12 @@ begins with the blank, further pieces, and a stop; its probability is the sum ov
 scores weigh them: a score s, which is minus the piece's rank, counts as (10 - s) ** -slope, normalised among the pieces
 that begin a word and among the others, where the stop has as much as all of them. The slope is learned: of a few, the
 one under which the training texts are most probable. A text's probability is the product of its words' and the end's,
-whose share of all tokens is learned too, and each distinct word passes the lattice once.
+whose share of all tokens is learned too.
+
+The fuller model starts there and learns from the training texts: their distinct words pass the lattice forward and
+backward, and the expected uses of each piece are its weight, with the law's shares as a twentieth more. In each word's
+lattice there is one more arc for the word as a whole, with its discounted frequency in the training texts; the
+discounts are what all segmentations together share. So a word that the training texts lack costs its spelling.
 
 Words and counts are gathered from all texts. Each chunk of texts (a range of ids) asks for the words it holds and
 gets back their counts and probabilities, so that a task holds the words of one chunk, however large the corpus is.
@@ -30,6 +35,8 @@ COUNTED = 400_000
 LISTED = 1024
 #: Slopes of the law that turns the vocabulary's ranks into probabilities.
 SLOPES = (0.5, 0.75, 1.0, 1.25, 1.5)
+#: The law's shares count, beside the training words that pieces are learned from, as this share of them more.
+LAW_SHARE = 0.05
 #: Words up to this many bytes pass the lattice together with others of their length.
 SHORT = 48
 _NEG = -1e30
@@ -95,11 +102,45 @@ class Lattice:
             w[own] += math.log(share) - top - np.log(np.exp(w[own] - top).sum(axis=0))
         return w
 
-    def forward(self, codes: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    def expected(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
+        """Expected uses of every piece in the words, over all their segmentations; logp is one column."""
+        out = np.zeros(len(self.pieces))
+        for at, codes in self._by_length([b" " + w for w in words]):
+            if codes is None:
+                for w in at:
+                    self._expected_long(w, logp, out)
+                continue
+            edges = list(self._edges(codes))
+            alpha = self.forward(codes, logp[:, None], edges)[:, :, 0]
+            beta = np.full(alpha.shape, _NEG)
+            beta[:, -1] = 0.0
+            for i, j, rows, piece in reversed(edges):
+                through = logp[piece] + beta[rows, j]
+                beta[rows, i] = np.logaddexp(beta[rows, i], through)
+                out += np.bincount(piece, weights=np.exp(alpha[rows, i] + through - alpha[rows, -1]), minlength=len(out))
+        return out
+
+    def _expected_long(self, word: bytes, logp: np.ndarray, out: np.ndarray) -> None:
+        alpha = self._long(word, logp[:, None])[:, 0]
+        beta = np.full(len(word) + 1, _NEG)
+        beta[-1] = 0.0
+        for i in range(len(word) - 1, -1, -1):
+            node = 0
+            for j in range(i, min(len(word), i + self.longest)):
+                node = self._step[node].get(word[j], 0)
+                if not node:
+                    break
+                k = self._end[node]
+                if k >= 0:
+                    through = logp[k] + beta[j + 1]
+                    beta[i] = np.logaddexp(beta[i], through)
+                    out[k] += math.exp(alpha[i] + through - alpha[-1])
+
+    def forward(self, codes: np.ndarray, logp: np.ndarray, edges: list | None = None) -> np.ndarray:
         """Log-probability of every prefix of every word: alpha[:, j] sums over all segmentations of the first j bytes."""
         alpha = np.full((len(codes), codes.shape[1] + 1, logp.shape[1]), _NEG)
         alpha[:, 0] = 0.0
-        for i, j, rows, piece in self._edges(codes):
+        for i, j, rows, piece in self._edges(codes) if edges is None else edges:
             alpha[rows, j] = np.logaddexp(alpha[rows, j], alpha[rows, i] + logp[piece])
         return alpha
 
@@ -115,7 +156,20 @@ class Lattice:
                 k = self._end[node]
                 if k >= 0:
                     alpha[j + 1] = np.logaddexp(alpha[j + 1], alpha[i] + logp[k])
-        return alpha[-1]
+        return alpha
+
+    @staticmethod
+    def _by_length(words: list[bytes]):
+        """(places, their bytes as rows) of words of one length, some thousands at once; (words, None) of long ones."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        for size in np.unique(sizes).tolist():
+            same = np.flatnonzero(sizes == size)
+            if size > SHORT:
+                yield [words[i] for i in same.tolist()], None
+                continue
+            for a in range(0, len(same), 8000):
+                at = same[a : a + 8000]
+                yield at, np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, size)
 
     def log_probability(self, words: list[bytes], logp: np.ndarray) -> np.ndarray:
         """Natural log of each word's marginal probability, its stop among it, under each column of logp."""
@@ -127,7 +181,7 @@ class Lattice:
             for a in range(0, len(same), 8000):
                 at = same[a : a + 8000]
                 if size > SHORT:
-                    out[at] = [self._long(words[i], logp) for i in at.tolist()]
+                    out[at] = [self._long(words[i], logp)[-1] for i in at.tolist()]
                 else:
                     codes = np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8).reshape(-1, size)
                     out[at] = self.forward(codes, logp)[:, -1]
@@ -192,12 +246,39 @@ def learn_slope(words: DataFrame, model: str, slopes: tuple[float, ...] = SLOPES
     return slopes[max(sums, key=lambda r: (r.lp, -r.k)).k] if sums else slopes[0]
 
 
+def learn_pieces(words: DataFrame, model: str, slope: float) -> tuple[np.ndarray, float]:
+    """Natural logs of the pieces' probabilities and of the stop's: expected uses in the distinct training words
+    (word, c) under the law of the slope, and the law's shares. Without training words, the law."""
+
+    def run(batches):
+        lat = lattice(model)
+        logp, total, n = lat.weights((slope,))[:, 0], np.zeros(len(lat.pieces)), 0
+        for b in batches:
+            total += lat.expected(b.column("word").to_pylist(), logp)
+            n += b.num_rows
+        at = np.flatnonzero(total)
+        # the words themselves, each of which has a stop, under the number -1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], float(n)))], ["k", "n"])
+
+    uses = dict(map(tuple, words.where("c > 0").select("word").mapInArrow(run, "k long, n double").groupBy("k").agg(F.sum("n")).collect()))
+    lat = lattice(model)
+    seen = uses.pop(-1, 0.0)
+    law = max(1.0, LAW_SHARE * seen)
+    n = law * np.exp(lat.weights((slope,))[:, 0])
+    at = np.fromiter(uses, np.int64, len(uses))
+    n[at] += np.fromiter(uses.values(), float, len(uses))
+    stops = seen + 0.5 * law
+    inner = n[~lat.begins].sum() + stops
+    return np.log(n / np.where(lat.begins, n[lat.begins].sum(), inner)), math.log(stops / inner)
+
+
 def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", slopes: tuple[float, ...] = SLOPES) -> DataFrame:
     """Log10-probabilities of every whole text, learned from those that held_out() leaves.
 
     Returns id_col, held_out, n_tokens (words and one end), n_known (tokens seen in training), train_tokens,
-    base_score (smoothed frequencies of words), score (the lattice's: the sum over all segmentations) and word_score (a
-    mixture: a word's discounted training frequency, and the lattice with what all words gave up). A-Z are lower-cased;
+    base_score (smoothed frequencies of words), score (the lattice's under the file's law: the sum over all segmentations)
+    and word_score (the fuller model's: a word's discounted training frequency as one more arc, and the lattice under
+    learned pieces with what all words gave up). A-Z are lower-cased;
     null and empty texts are an end alone; a null id is held out; repeated rows are scored and learned each; with no
     training text all words are unknown, the first slope counts and an end is one of two tokens; an empty table gives an
     empty result; other columns are left out. Words meet their counts by 64-bit hashes.
@@ -217,6 +298,7 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
     total = int(n_words or 0) + n_train
     v = int(distinct or 0) + (1 if n_train else 0)
     slope = learn_slope(words, model, slopes)
+    learned, stop = learn_pieces(words, model, slope)
     # the share of words among tokens, and what a seen word gives up to all segmentations together
     more = math.log((int(n_words or 0) + 1) / (total + 2))
     discount = min(0.95, max(0.1, (once or 0) / max(1, (once or 0) + 2 * (twice or 0))))
@@ -224,11 +306,11 @@ def score_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_co
 
     def weigh(batches):
         lat = lattice(model)
-        logp = lat.weights((slope,))
+        logp = np.column_stack([lat.weights((slope,)), learned])
         for b in batches:
-            lp = lat.log_probability(b.column("word").to_pylist(), logp)[:, 0]
+            lp, spelled = lat.log_probability(b.column("word").to_pylist(), logp).T
             whole = np.maximum(b.column("c").to_numpy() - discount, 0.0) / max(total, 1)
-            mixed = np.logaddexp(lp + rest, np.where(whole > 0, np.log(np.maximum(whole, 1e-300)), -np.inf))
+            mixed = np.logaddexp(spelled - math.log(0.5) + stop + rest, np.where(whole > 0, np.log(np.maximum(whole, 1e-300)), -np.inf))
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array((lp + more) / math.log(10)), pa.array(mixed / math.log(10))], ["h", "c", "lp", "mixed"])
 
     # a word of very many chunks has several rows of lists, each with a copy of its weights

@@ -6,6 +6,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm import bpe, classifier, divergence, fingerprint, jaccard, lattice_lm, packing, quality, repetition, substring, token_counts, url_filter, warc
 from strandline.llm.common import shared_dir
@@ -35,7 +36,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    """score is the fuller model's, which learns from the training texts; lattice_score has the file's law alone."""
+    scored = lattice_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", F.col("word_score").alias("score"), F.col("score").alias("lattice_score"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,51 @@ def test_scores_of_unseen_texts_are_better_than_chance(spark):
     assert np.mean([s for i, s in got.items() if i < 1000]) > np.mean([s for i, s in got.items() if i >= 1000] or [-9]) + 0.2
 
 
+def test_learned_pieces_are_expected_uses():
+    """Forward and backward against the posterior of every segmentation; long words as short ones."""
+    lat = lattice_lm.lattice(MODEL)
+    logp = lat.weights((1.0,))[:, 0]
+    p = dict(zip(lat.pieces, np.exp(logp), strict=True))
+
+    def segmentations(w):
+        if not w:
+            yield ()
+        for k in range(1, len(w) + 1):
+            if w[:k] in p:
+                for more in segmentations(w[k:]):
+                    yield (w[:k], *more)
+
+    want = Counter()
+    some = [b"the", b"onion", "été".encode(), b"x"]
+    for w in some:
+        ways = [(s, math.prod(p[x] for x in s)) for s in segmentations(b" " + w)]
+        for s, q in ways:
+            for x in s:
+                want[x] += q / sum(y for _, y in ways)
+    got = lat.expected(some, logp)
+    assert {lat.pieces[i]: round(float(got[i]), 9) for i in np.flatnonzero(got > 1e-9)} == {x: round(n, 9) for x, n in want.items() if n > 1e-9}
+    long_ = np.zeros(len(logp))
+    lat._expected_long(b" onion", logp, long_)
+    assert np.allclose(long_, lat.expected([b"onion"], logp))
+
+
+def test_held_out_scores_are_near_the_base(spark, tmp_path):
+    """The query's score learns from the training texts: unseen words of seen syllables cost little more than the base
+    gives them without spelling, and seen words hardly more at all; repeated texts of the training kind are likelier."""
+    from strandline.llm import queries
+
+    rng = np.random.default_rng(1)
+    syllables = ["tion", "ing", "the", "re", "on", "er", "an", "st"]
+    rows = [(i, " ".join("".join(rng.choice(syllables, rng.integers(1, 5))) for _ in range(120))) for i in range(150)]
+    spark.createDataFrame([*rows, (150, None), (151, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_lm_scoring(spark, str(tmp_path)).collect()
+    assert len(got) == 152 and all(r.score is not None and math.isfinite(r.score) and r.score < 0 for r in got)
+    out = [r for r in got if r.held_out and r.n_tokens > 1]
+    assert sum(r.n_known < r.n_tokens for r in out) > 5
+    per_token = lambda c: sum(r[c] for r in out) / sum(r.n_tokens for r in out)
+    assert per_token("score") > 1.1 * per_token("base_score") > per_token("lattice_score")
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
     from tests.llm.test_groups import brute_groups, brute_repeats, shingles
