@@ -9,9 +9,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.session import BROADCAST_ROWS, shared_dir, written
+from strandline.session import BROADCAST_ROWS, Scratch, shared_dir, written, written_alone
 
-__all__ = ["BROADCAST_ROWS", "shared_dir", "written"]
+__all__ = ["BROADCAST_ROWS", "Scratch", "shared_dir", "written", "written_alone"]
 
 #: Ranges whose bounds are literals in a plan; of more of them, these are the coarse ones and the others a table.
 COARSE_RANGES = 2048

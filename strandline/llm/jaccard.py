@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import _MUL, flat_ranges, mix, runs, scan_rows, small_side, text_hashes, window_hashes, written
+from strandline.llm.common import _MUL, flat_ranges, mix, runs, scan_rows, small_side, text_hashes, window_hashes, written, written_alone
 from strandline.operators.components import star_components
 
 #: Sizes of chunks of a block: sets, members.
@@ -33,6 +34,8 @@ CHUNK_SETS, CHUNK_MEMBERS = 1000, 500_000
 #: Cells over which members are counted for their global order (a power of two).
 CELLS = 1 << 18
 _BAND = 1.5
+#: Passes in which sets are dealt by their keys: each shuffles, and holds on disk, its share of the keys.
+PASSES = 2
 
 
 def shingle_sets(texts: pa.Array | list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -464,9 +467,12 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     # of equal sets only one has keys and a place in a block
     others = copies.select(F.col("__id").alias("i"), F.col("hi").alias("h"), F.col("lo").alias("l"))
     once = sets.join(small_side(others, others.count()), (F.col("__id") == F.col("i")) & (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left_anti")
-    keyed = once.select("__id", "keys").mapInArrow(_local_stars, "local boolean, a long, b long")
-    stars = keyed.repartition("local", "a").sortWithinPartitions("local", "a").mapInArrow(_stars, "a long, b long").distinct()
-    blocks = written(star_components(stars).select("node", F.col("component").alias("block")), "blocks")
+    stars = []
+    for i in range(PASSES):
+        own = once.select("__id", F.expr(f"filter(keys, k -> pmod(k, {PASSES}) = {i})").alias("keys"))
+        keyed = own.mapInArrow(_local_stars, "local boolean, a long, b long")
+        stars.append(written(keyed.repartition("local", "a").sortWithinPartitions("local", "a").mapInArrow(_stars, "a long, b long").distinct(), "stars"))
+    blocks = written(star_components(reduce(DataFrame.unionByName, stars)).select("node", F.col("component").alias("block")), "blocks")
     members = written(_members(src.join(small_side(blocks, blocks.count()), F.col("__id") == F.col("node")).select("__id", "__text", "block"), n).where("n > 0"), "members")
     same = copies.select(F.col("__id").alias("a"), F.col("rep").alias("b"))
     found = star_components(_links(members, percent).unionByName(same))
@@ -476,6 +482,6 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns: of each group the document of least id; rows of that id all stay."""
-    gone = similarity_groups(docs, n, percent, id_col, text_col).where(f"component_id <> `{id_col}`").select(F.col(id_col).alias("__gone")).distinct()
-    gone = written(gone, "gone")
+    groups = lambda: similarity_groups(docs, n, percent, id_col, text_col)
+    gone = written_alone(lambda: groups().where(f"component_id <> `{id_col}`").select(F.col(id_col).alias("__gone")).distinct(), "gone")
     return docs.join(small_side(gone, gone.count()), F.col(id_col) == F.col("__gone"), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import flat_ranges, runs, scan_rows, text_hashes, window_hashes, words_of, written
+from strandline.llm.common import Scratch, flat_ranges, runs, scan_rows, text_hashes, window_hashes, words_of, written, written_alone
 
 GRAM = 6
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -247,12 +247,12 @@ def glue(pieces: DataFrame) -> DataFrame:
     return path.groupBy("d", "o", "sd", "so", (F.col("start") - F.col("ss")).alias("shift"), "path").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.min("ss").alias("ss")).select(*_PIECE)
 
 
-def _spans(src: DataFrame, k: int, seed: int, bits: int) -> tuple[DataFrame, DataFrame]:
+def _spans(src: DataFrame, k: int, seed: int, bits: int, edges: Scratch) -> tuple[DataFrame, DataFrame]:
     """What _send wrote, and all repeated paths: windows start .. start + n - 1 of a document occur earlier."""
     repeated = _minimizers(src, k, seed, bits).repartition("m", "salt").sortWithinPartitions("m", "salt").mapInArrow(_only_repeated, "d long, o int, pos int")
-    sent = written(_send(src, repeated, k, seed, bits), "edges")
+    sent = edges.write(_send(src, repeated, k, seed, bits))
     met = sent.where("kind = 0").select("m", "blob", "d", "o", "start").repartition("m").sortWithinPartitions("m").mapInArrow(_meet, "d long, o int, start int, n int, sd long, so int, ss int")
-    return sent, written(glue(written(sent.where("kind = 1").select(*_PIECE).unionByName(met), "pieces")), "spans")
+    return sent, written_alone(lambda: glue(written(sent.where("kind = 1").select(*_PIECE).unionByName(met), "pieces")), "spans")
 
 
 _OWN = "array<struct<start:int,n:int,sd:bigint,so:int,ss:int>>"
@@ -328,8 +328,10 @@ ATTEMPTS = (64, 64, 64)
 def _verified(src: DataFrame, k: int, with_text: bool, attempts: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """What _kept gives and the spans, by the first attempt whose spans all lead to equal words."""
     for seed, bits in enumerate(attempts):
-        sent, spans = _spans(src, k, seed, bits)
+        edges = Scratch(src.sparkSession, "edges")
+        sent, spans = _spans(src, k, seed, bits, edges)
         kept = written(_kept(sent, spans, k, with_text), "kept")
+        edges.keep(0)
         if _all_equal(kept):
             return kept, spans
     raise ValueError(f"hashes collided in {len(attempts)} attempts")
@@ -359,7 +361,7 @@ def dedup_substrings(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_
 def without_repeats(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns; texts that lose words become their kept words joined by one space, others stay as they are."""
     src = keyed(docs, id_col, text_col)
-    kept, _ = _verified(src, k, True, ATTEMPTS)
-    kept = kept.where("n_removed > 0").select(F.col("d").alias("__sl_kd"), F.col("o").alias("__sl_ko"), F.col("kept").alias("__sl_kept")).distinct()
+    changed = lambda: _verified(src, k, True, ATTEMPTS)[0].where("n_removed > 0")
+    kept = written_alone(lambda: changed().select(F.col("d").alias("__sl_kd"), F.col("o").alias("__sl_ko"), F.col("kept").alias("__sl_kept")).distinct(), "changed")
     joined = src.drop("__sl_text").join(kept, (F.col("__sl_d") == F.col("__sl_kd")) & (F.col("__sl_o") == F.col("__sl_ko")), "left")
     return joined.withColumn(text_col, F.coalesce("__sl_kept", F.col(text_col).cast("string"))).select(*docs.columns)

@@ -386,6 +386,30 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(texts)
 
 
+def test_stages_leave_one_table_each(spark, tmp_path):
+    """What a stage wrote on its way is gone once its result is written; repeated passages and groups are as before."""
+    import os
+
+    from strandline.llm import jaccard, substring
+    from strandline.session import CLEANUP, shared_dir, written, written_alone
+
+    shared = shared_dir(spark).removeprefix("file://")
+    tables = lambda: set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    docs, before = odd.frame(spark, doubled=False), spark.conf.get(CLEANUP)
+    for stage, left in ((lambda: jaccard.keep_one_of_each(docs), "gone"), (lambda: substring.without_repeats(docs, 50), "changed")):
+        held = tables()
+        out = stage()
+        assert [x.split("-")[1] for x in tables() - held] == [left]
+        assert out.count() <= docs.count()
+    held = tables()
+    outer = written_alone(lambda: written_alone(lambda: written(docs, "a"), "b").limit(1), "c")
+    assert [x.split("-")[1] for x in tables() - held] == ["c"] and outer.count() == 1
+    held = tables()
+    with pytest.raises(ZeroDivisionError):
+        written_alone(lambda: written(docs, "a").limit(1 // 0))
+    assert tables() == held and spark.conf.get(CLEANUP) == before
+
+
 def test_every_operator_has_a_query():
     from strandline.llm import queries
 
