@@ -29,7 +29,7 @@ from strandline.llm.common import scan_rows, written
 #: Bytes of text that a task encodes at once; a worker's memory is some 230 MB beside a multiple of it.
 SLICE = 1 << 20
 #: Fragments, and characters of them, that a worker remembers here: other stages' memory is in the same executors.
-ENTRIES, CHARACTERS = 100_000, 4 << 20
+ENTRIES, CHARACTERS = 400_000, 16 << 20
 
 
 Configuration = tuple[int, ...]
