@@ -4,7 +4,8 @@
 2. Blocks. Two t-similar sets differ in few members. If the members are dealt by hash into more classes than can differ,
    some classes are equal in both. Each set sends keys for its largest classes (at the scale of its own size and, near
    a boundary, of the next); sets with a common key go into one block. Nothing that is similar is missed, and most
-   sets meet no other.
+   sets meet no other. Chance meetings can chain sets to a large block, the more of them the larger the input is. Such
+   blocks are dealt again by other hashes, by which similar sets have a common key too and chance seldom meets the same.
 3. All sets in blocks are sorted by one global order of their members, the most frequent first: counts of all members
    over a fixed number of cells, then the members themselves. A chunk of sets is stored in a compressed prefix tree.
    Sets walk the tree level by level: the overlap with a path is counted once for all sets below it, and a subtree is
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import _MUL, flat_ranges, mix, runs, scan_rows, small_side, text_hashes, window_hashes, written, written_alone
+from strandline.llm.common import _MUL, Scratch, flat_ranges, mix, runs, scan_rows, small_side, text_hashes, window_hashes, written, written_alone
 from strandline.operators.components import star_components
 
 #: Sizes of chunks of a block: sets, members.
@@ -36,6 +37,10 @@ CELLS = 1 << 18
 _BAND = 1.5
 #: Passes in which sets are dealt by their keys: each shuffles, and holds on disk, its share of the keys.
 PASSES = 2
+#: Blocks of more than so many chunks of sets are dealt again: each set meets every chunk of its block.
+FEW_CHUNKS = 4
+#: Rounds in which they are dealt again at most; one that takes less than a tenth of their sets out is the last.
+ROUNDS = 8
 
 
 def shingle_sets(texts: pa.Array | list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +75,8 @@ def classes_of(band: int, percent: int) -> int:
     return ((100 - percent) * 2 * top // (100 + percent)) * 8 // 7 + 2
 
 
-def block_keys(g: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sets and each one's set.
+def block_keys(g: np.ndarray, sizes: np.ndarray, percent: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all sets and each one's set. Each seed deals the members to classes in another way.
 
     Of m classes, two similar sets have at least m - d equal ones, d being the most members they can differ in. Each
     set sends its largest classes, leaving out fewer than m - d: then an equal class is among those sent by whichever
@@ -85,13 +90,15 @@ def block_keys(g: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarr
     # a similar set that is larger has at most size * 100 / percent members
     above = (sizes * 100 // percent >= np.floor(_BAND ** (band + 1)).astype(np.int64)) & (sizes > 0)
     differ = (100 - percent) * sizes // percent
+    with np.errstate(over="ignore"):
+        dealt = mix(g + np.uint64(seed) * _MUL) if seed else g
     for shift, who in ((0, np.flatnonzero(sizes > 0)), (1, np.flatnonzero(above))):
         if not len(who):
             continue
         level = band[who] + shift
         at = flat_ranges(first[who], sizes[who])
         own = np.repeat(np.arange(len(who)), sizes[who])
-        cls = (g[at] >> np.uint64(20)) % m[level][own].astype(np.uint64)
+        cls = (dealt[at] >> np.uint64(20)) % m[level][own].astype(np.uint64)
         slots = m[level]
         base = np.cumsum(slots) - slots
         slot = base[own] + cls.astype(np.int64)
@@ -342,26 +349,76 @@ def _join_chunks(percent: int, frequency: np.ndarray):
     return run
 
 
+def _list_of(keys: np.ndarray, owner: np.ndarray, n: int) -> pa.ListArray:
+    """The keys of each of n sets."""
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    order = np.argsort(owner, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(keys[order].view(np.int64)))
+
+
 def _measure(src: DataFrame, n: int, percent: int) -> DataFrame:
     """__id, the set's size, digest and block keys."""
 
     def run(batches):
         for (ids,), texts in scan_rows(batches, "__text", ["__id"]):
             g, sizes = shingle_sets(texts, n)
-            keys, owner = block_keys(g, sizes, percent)
-            order = np.argsort(owner, kind="stable")
-            ends = np.cumsum(np.bincount(owner, minlength=len(sizes)))
+            lists = _list_of(*block_keys(g, sizes, percent), len(sizes))
             at = np.cumsum(sizes)
             data = g.tobytes()
             dig = [xxhash.xxh3_128_intdigest(data[8 * (e - s) : 8 * e]) for e, s in zip(at.tolist(), sizes.tolist(), strict=True)]
             hi = np.array([d >> 64 for d in dig], np.uint64).view(np.int64)
             lo = np.array([d & 0xFFFFFFFFFFFFFFFF for d in dig], np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(keys[order].view(np.int64)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(hi), pa.array(lo), lists], ["__id", "n", "hi", "lo", "keys"])
 
     return src.mapInArrow(run, "__id long, n long, hi long, lo long, keys array<long>")
 
 
+def _blocks(sets: DataFrame) -> DataFrame:
+    """node, block: sets (__id, keys) that keys link, one way or another; a block has the least node's id."""
+    stars = []
+    for i in range(PASSES):
+        own = sets.select("__id", F.expr(f"filter(keys, k -> pmod(k, {PASSES}) = {i})").alias("keys"))
+        keyed = own.mapInArrow(_local_stars, "local boolean, a long, b long")
+        stars.append(written(keyed.repartition("local", "a").sortWithinPartitions("local", "a").mapInArrow(_stars, "a long, b long").distinct(), "stars"))
+    return written(star_components(reduce(DataFrame.unionByName, stars)).select("node", F.col("component").alias("block")), "blocks")
+
+
+def _dealt_again(src: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
+    """__id and the keys by another seed, of which those of different blocks differ. src: __id, __text, block."""
+
+    def run(batches):
+        for (ids, block), texts in scan_rows(batches, "__text", ["__id", "block"]):
+            g, sizes = shingle_sets(texts, n)
+            keys, owner = block_keys(g, sizes, percent, seed)
+            with np.errstate(over="ignore"):
+                keys = mix(keys + mix(block.to_numpy().view(np.uint64) + _MUL)[owner])
+            yield pa.RecordBatch.from_arrays([ids, _list_of(keys, owner, len(sizes))], ["__id", "keys"])
+
+    return src.mapInArrow(run, "__id long, keys array<long>")
+
+
+def _refined(src: DataFrame, blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """blocks with those of more than FEW_CHUNKS chunks of sets parted by further dealings. Similar sets stay in one block, since
+    every dealing gives them a common key; sets that meet no other are left out."""
+    done = []
+    large = lambda b: written(b.groupBy(F.col("block").alias("k")).agg(F.count("*").alias("held")).where(F.col("held") > FEW_CHUNKS * CHUNK_SETS), "large")
+    wide, seed = large(blocks), 0
+    held = wide.agg(F.sum("held")).first()[0] or 0
+    while held and seed < ROUNDS:
+        seed += 1
+        side = small_side(wide.select("k"), wide.count())
+        done.append(blocks.join(side, F.col("block") == F.col("k"), "left_anti"))
+        again = written(blocks.join(side, F.col("block") == F.col("k"), "left_semi"), "again")
+        dealt = Scratch(src.sparkSession, "keys")
+        blocks = _blocks(dealt.write(_dealt_again(src.join(small_side(again, held), F.col("__id") == F.col("node")).select("__id", "__text", "block"), n, percent, seed)))
+        dealt.keep(0)
+        before, wide = held, large(blocks)
+        held = wide.agg(F.sum("held")).first()[0] or 0
+        if 10 * held > 9 * before:
+            break
+    return written(reduce(DataFrame.unionByName, [*done, blocks]), "blocks") if done else blocks
+
+
 def _members(src: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for (ids, block), texts in scan_rows(batches, "__text", ["__id", "block"]):
@@ -459,7 +516,8 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     out. n-grams are equal if their 64-bit hashes are.
     """
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    measured = written(_measure(src, n, percent), "sets")
+    kept = Scratch(docs.sparkSession, "sets")
+    measured = kept.write(_measure(src, n, percent))
     sets = measured.where("n > 0 and __id is not null")
     reps = written(sets.groupBy("hi", "lo", "n").agg(F.min("__id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "reps")
     copies = sets.select("__id", "hi", "lo", "n").join(small_side(reps, reps.count()), ["hi", "lo", "n"]).where("__id <> rep")
@@ -467,16 +525,13 @@ def similarity_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     # of equal sets only one has keys and a place in a block
     others = copies.select(F.col("__id").alias("i"), F.col("hi").alias("h"), F.col("lo").alias("l"))
     once = sets.join(small_side(others, others.count()), (F.col("__id") == F.col("i")) & (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")), "left_anti")
-    stars = []
-    for i in range(PASSES):
-        own = once.select("__id", F.expr(f"filter(keys, k -> pmod(k, {PASSES}) = {i})").alias("keys"))
-        keyed = own.mapInArrow(_local_stars, "local boolean, a long, b long")
-        stars.append(written(keyed.repartition("local", "a").sortWithinPartitions("local", "a").mapInArrow(_stars, "a long, b long").distinct(), "stars"))
-    blocks = written(star_components(reduce(DataFrame.unionByName, stars)).select("node", F.col("component").alias("block")), "blocks")
+    blocks = _blocks(once)
+    ids = written(measured.select("__id", "n"), "ids")
+    kept.keep(0)  # the keys, most of what is on disk here
+    blocks = _refined(src, blocks, n, percent)
     members = written(_members(src.join(small_side(blocks, blocks.count()), F.col("__id") == F.col("node")).select("__id", "__text", "block"), n).where("n > 0"), "members")
     same = copies.select(F.col("__id").alias("a"), F.col("rep").alias("b"))
     found = star_components(_links(members, percent).unionByName(same))
-    ids = measured.select("__id", "n")
     return ids.join(found, F.col("__id") == F.col("node"), "left").select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "__id").alias("component_id"))
 
 

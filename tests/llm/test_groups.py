@@ -55,6 +55,66 @@ def test_similarity_groups(spark, n, percent):
     assert jaccard.similarity_groups(odd.frame(spark, empty=True)).count() == 0
 
 
+def chained():
+    """Texts of phrases that many others have too, in other company, and a near copy of every fourth."""
+    rnd = random.Random(8)
+    phrases = [" ".join(f"p{p}x{j}" for j in range(7)) for p in range(40)]
+    rows = []
+    for i in range(300):
+        own = [rnd.choice(phrases) if rnd.random() < 0.6 else " ".join(f"d{i}x{s}x{j}" for j in range(7)) for s in range(12)]
+        rows.append((i, " ".join(own)))
+        if i % 4 == 0:
+            w = rows[-1][1].split()
+            w[rnd.randrange(len(w))] = "other"
+            rows.append((1000 + i, " ".join(w)))
+    return rows
+
+
+def test_chance_meetings_do_not_chain_sets_to_large_blocks(spark, monkeypatch):
+    """Blocks of many chunks are dealt again: they become smaller, and no link is lost."""
+    seen = []
+    refined = jaccard._refined
+
+    def spy(src, blocks, n, percent):
+        out = refined(src, blocks, n, percent)
+        seen.append([{r.node: r.block for r in b.collect()} for b in (blocks, out)])
+        return out
+
+    monkeypatch.setattr(jaccard, "_refined", spy)
+    monkeypatch.setattr(jaccard, "CHUNK_SETS", 5)
+    rows = chained()
+    got = jaccard.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_groups(rows, 5, 80)
+    before, after = ({k: list(b.values()).count(k) for k in b.values()} for b in seen[0])
+    assert max(before.values()) > 100 and max(after.values()) <= jaccard.FEW_CHUNKS * jaccard.CHUNK_SETS
+    linked = [(i, 1000 + i) for i in range(0, 300, 4)]
+    assert all(seen[0][1][a] == seen[0][1][b] for a, b in linked)
+
+
+def test_dealings_share_a_key_for_each_link():
+    rnd = np.random.default_rng(3)
+    for seed in range(4):
+        for size in (1, 2, 5, 9, 40, 300):
+            a = np.unique(rnd.integers(0, 1 << 63, size).astype(np.uint64))
+            more = (len(a) * 20) // 80  # 80 % of the union is shared
+            b = np.unique(np.concatenate([a, rnd.integers(0, 1 << 63, more).astype(np.uint64)]))
+            c = a[: max(1, -(-len(a) * 8 // 10))]
+            for x, y in ((a, b), (a, c)):
+                k = [set(jaccard.block_keys(z, np.array([len(z)]), 80, seed)[0].tolist()) for z in (x, y)]
+                assert k[0] & k[1]
+
+
+def test_keys_are_gone_before_sets_are_compared(spark):
+    import os
+
+    from strandline.session import shared_dir
+
+    shared = shared_dir(spark).removeprefix("file://")
+    held = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    assert jaccard.similarity_groups(odd.frame(spark)).count()
+    assert not {"sets", "keys"} & {x.split("-")[1] for x in set(os.listdir(shared)) - held}
+
+
 def test_large_blocks_are_cut_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 7)
     rnd = random.Random(5)
