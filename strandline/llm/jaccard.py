@@ -270,28 +270,38 @@ def tree_join(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent
     return links
 
 
+def _least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, ascending, and the least node that the links lead each one to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    forest = Forest(len(nodes))
+    for x, y in np.unique(at.reshape(2, -1), axis=1).T.tolist():
+        forest.join(x, y)
+    return nodes, nodes[[forest.root(x) for x in range(len(nodes))]]
+
+
 def _local_stars(batches):
-    """Of each key in a batch its first set is sent on as (key, set); the others are linked with it at once."""
+    """Sets that keys in a batch link, one way or another, are linked with the least of them at once; of each key, the least
+    set that its sets are linked with is sent on as (key, set)."""
     for batch in batches:
         keys = batch.column("keys")
         flat = keys.flatten().to_numpy()
         if not len(flat):
             continue
         node = np.repeat(batch.column("__id").to_numpy(), np.diff(keys.offsets.to_numpy()))
-        order = np.lexsort((node, flat))
+        order = np.argsort(flat, kind="stable")
         flat, node = flat[order], node[order]
         starts, lengths = runs(flat)
-        hub = np.repeat(node[starts], lengths)
-        on = hub != node
-        pair = np.unique(np.stack([node[on], hub[on]]), axis=1)
+        nodes, least = _least_reached(node, np.repeat(node[starts], lengths))
+        on = nodes != least
+        sent = least[np.searchsorted(nodes, node[starts])]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([False, True], [len(starts), pair.shape[1]])), pa.array(np.concatenate([flat[starts], pair[0]])), pa.array(np.concatenate([node[starts], pair[1]]))], ["local", "a", "b"]
+            [pa.array(np.repeat([False, True], [len(starts), int(on.sum())])), pa.array(np.concatenate([flat[starts], nodes[on]])), pa.array(np.concatenate([sent, least[on]]))], ["local", "a", "b"]
         )
 
 
 def _stars(batches):
-    """(a, b): each set with the first set of its key, from rows sorted by key, and the links that are there already.
-    Holds one row between batches."""
+    """(a, b): links between the sets of each key, from rows sorted by key, and the links that are there already: of each
+    batch a spanning forest, so fewer links than sets however many keys these share. Holds one row between batches."""
     last, first = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -307,9 +317,10 @@ def _stars(batches):
             last, first = key[-1], hub[-1]
             on = hub != node
             pairs.append(np.stack([node[on], hub[on]]))
-        pair = np.unique(np.concatenate(pairs, axis=1), axis=1)
-        if pair.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+        nodes, least = _least_reached(*np.concatenate(pairs, axis=1))
+        on = nodes != least
+        if on.any():
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(least[on])], ["a", "b"])
 
 
 def _join_chunks(percent: int, frequency: np.ndarray):

@@ -115,6 +115,48 @@ def test_keys_are_gone_before_sets_are_compared(spark):
     assert not {"sets", "keys"} & {x.split("-")[1] for x in set(os.listdir(shared)) - held}
 
 
+@pytest.mark.parametrize("copies", [240, 480])
+def test_near_copies_get_fewer_links_than_sets_from_each_batch(copies):
+    rnd = random.Random(6)
+    base, texts = [f"b{i}" for i in range(200)], []
+    for _ in range(copies):
+        own = list(base)
+        own[rnd.randrange(200)] = own[rnd.randrange(200)] = f"n{rnd.random()}"
+        texts.append(" ".join(own))
+    batches = []
+    for at in range(0, copies, 24):
+        g, sizes = jaccard.shingle_sets(texts[at : at + 24], 5)
+        lists = jaccard._list_of(*jaccard.block_keys(g, sizes, 80), len(sizes))
+        batches.append(jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(range(at, at + len(sizes))), lists], ["__id", "keys"]))
+    rows = jaccard.pa.Table.from_batches(jaccard._local_stars(batches)).sort_by([("local", "ascending"), ("a", "ascending")]).combine_chunks()
+    links = [x for b in jaccard._stars(rows.to_batches()) for x in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+    # each of its keys linked a set with another one
+    assert sorted({x for link in links for x in link}) == list(range(copies)) and len(links) < copies, len(links)
+
+
+def test_links_in_batches_lead_where_keys_do():
+    """Any cut of sets into batches, and of rows sorted by key into batches, links what share keys, one way or another."""
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        lists = [np.unique(r.integers(0, 40, r.integers(0, 4))) for _ in range(30)]
+        ids = r.permutation(1000)[:30]
+        batches = []
+        for part in np.array_split(np.arange(30), r.integers(1, 7)):
+            own = np.repeat(np.arange(len(part)), [len(lists[i]) for i in part])
+            keys = np.concatenate([lists[i] for i in part]).astype(np.uint64)
+            batches.append(jaccard.pa.RecordBatch.from_arrays([jaccard.pa.array(ids[part]), jaccard._list_of(keys, own, len(part))], ["__id", "keys"]))
+        sent = list(jaccard._local_stars(batches))
+        for b in sent:
+            local, nodes = np.array(b["local"]), np.array(b["a"])
+            assert len(set(nodes[local].tolist())) == local.sum()
+        rows = jaccard.pa.Table.from_batches(sent).sort_by([("local", "ascending"), ("a", "ascending")]).combine_chunks().to_batches()[0]
+        cuts = [0, *sorted(r.integers(0, len(rows), 3).tolist()), len(rows)]
+        links = [x for b in jaccard._stars([rows.slice(x, y - x) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]) for x in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+        want = [(int(ids[i]), int(ids[j])) for i in range(30) for j in range(i) if set(lists[i].tolist()) & set(lists[j].tolist())]
+        least = lambda pairs: {k: v for k, v in zip(*(x.tolist() for x in jaccard._least_reached(*np.array(pairs, np.int64).T)), strict=True)}
+        assert least(links) == least(want)
+
+
 def test_large_blocks_are_cut_without_losing_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 7)
     rnd = random.Random(5)

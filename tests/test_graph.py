@@ -72,6 +72,25 @@ def test_components_and_distances(spark, seed):
     assert got == {(a, d) for a in nodes for b in {y for x, y in pairs if x == a} for d in reachable(pairs, b)}
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_a_hub_and_a_chain_make_a_row_a_link(spark, monkeypatch, few):
+    from strandline.operators import components
+
+    plans, write = [], components.Scratch.write
+
+    def kept(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(components.Scratch, "write", kept)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 10**6 if few else 0)
+    pairs = [(5, k) for k in range(6, 40)] + [(k, k + 1) for k in range(50, 70)] + [(70, 3), (3, 60), (80, 81), (81, 80), (90, 90)]
+    got = components.star_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    want = {k: 5 for k in range(5, 40)} | {k: 3 for k in [3, *range(50, 71)]} | {80: 80, 81: 80}
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert len(plans) > 1 and not any("Generate" in p for p in plans)
+
+
 def brute_betweenness(nodes, pairs, sources, scale):
     total = dict.fromkeys(nodes, 0.0)
     for s in sources:
