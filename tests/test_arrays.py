@@ -11,6 +11,7 @@ import pytest
 from strandline import session
 from strandline.operators import arrays
 from strandline.operators import graph as G
+from strandline.plans import registry
 from tests.test_graph import brute_betweenness
 from tests.test_two_hops import brute
 
@@ -139,3 +140,16 @@ def test_writes_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not files() - before and table.count() == 5000
+
+
+def test_betweenness_sampled_reads_the_line_items_once(spark, monkeypatch):
+    given, dependencies = [], G._dependencies
+
+    def seen(pairs, sources):
+        given.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return dependencies(pairs, sources)
+
+    monkeypatch.setattr(arrays, "TASK_BYTES", 0)
+    monkeypatch.setattr(G, "_dependencies", seen)
+    registry.QUERIES["betweenness_sampled"](spark, "/root/testdata/sf0.001").collect()
+    assert len(given) == 1 and "Window" not in given[0]
