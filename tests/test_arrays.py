@@ -12,7 +12,7 @@ from strandline import session
 from strandline.operators import arrays
 from strandline.operators import graph as G
 from strandline.plans import registry
-from tests.test_graph import brute_betweenness
+from tests.test_graph import brute_betweenness, reachable
 from tests.test_two_hops import brute
 
 
@@ -142,6 +142,34 @@ def test_writes_leave_no_shuffle_files(spark):
     assert not files() - before and table.count() == 5000
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_reach_by_both_ways(spark, monkeypatch, joined):
+    if joined:
+        monkeypatch.setattr(arrays, "TASK_BYTES", 0)
+    pairs = drawn(3, 40, 45) + [(90, None), (None, 91)]
+    seeds = [1, 5, 60]
+    got = [r.id for r in G.reach(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(s,) for s in [*seeds, 5]], "id long")).collect()]
+    assert sorted(got) == sorted(set().union(*(reachable(pairs, s) for s in seeds)))
+
+
+def test_reach_along_a_long_chain_takes_no_table_a_level(spark, writes):
+    chain = spark.range(50).selectExpr("id AS src", "id + 1 AS dst")
+    assert G.reach(chain, spark.createDataFrame([(20,)], "id long")).count() == 31
+    assert len(writes) < 10
+
+
+def test_reach_status_reads_the_line_items_once(spark, monkeypatch):
+    given, reach = [], G.reach
+
+    def seen(pairs, seeds):
+        given.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return reach(pairs, seeds)
+
+    monkeypatch.setattr(G, "reach", seen)
+    registry.QUERIES["reach_status"](spark, "/root/testdata/sf0.001").collect()
+    assert len(given) == 2 and not any("Window" in p for p in given)
+
+
 def test_betweenness_sampled_reads_the_line_items_once(spark, monkeypatch):
     given, dependencies = [], G._dependencies
 
